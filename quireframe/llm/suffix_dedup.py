@@ -11,8 +11,11 @@ that all strings of the suffix share, and `full`, of all bytes of all its string
    the shuffle, so copies do not crowd a bucket. Equal neighbours in both tokens repeat in all their strings.
    Neighbours equal in the leading token only may repeat in part; so may the first and last run of a bucket,
    whose neighbours stand across the boundary: one row of each kind goes on to step 2.
-2. The strings of those suffixes are compared one by one, by 128-bit fingerprints.
-3. The repeated starts of a text are joined to it, and what they cover is removed.
+2. Those suffixes are cut out and looked at more closely: their strings in groups of STEP neighbours, with tokens,
+   buckets and runs as above, and where a group may repeat in part, its strings one by one.
+3. The repeated starts of a text are joined to it, and what they cover is removed. Texts are shuffled compressed.
+
+Tokens are 64-bit fingerprints, so what counts as equal is equal in 128 bits.
 
 Defined results: a null text is an empty one, nothing of it is removed; a text shorter than `length` is kept; texts of
 rows that are equal in all columns repeat each other; a null doc_id is a document like others. Other columns are ignored.
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-LENGTH, WINDOW, GRAM = 400, 256, 16
+LENGTH, WINDOW, GRAM, STEP = 400, 256, 16, 16
 #: Bytes fingerprinted at once, and the bits that number them.
 BLOCK, POS_BITS = 1 << 19, np.uint64(20)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -130,35 +133,95 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _sampled(length: int, window: int, gram: int, counted: bool):
-    """Rows of suffixes; counted: equal ones of a batch as one row with their number."""
+SUFFIX = "lead long, full long, key long, base long, s long, e long, n long"
+BUCKET = "lead long, full long, key long, base long, s long, e long, part boolean"
+
+
+def _first_of_runs(lead: np.ndarray, full: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (full[1:] != full[:-1])])
+
+
+def _rows(arrays, counted: bool):
+    """Rows of suffixes from arrays(batch), which gives tuples of lead, full, key, base, s, e; counted: equal ones of a batch
+    as one row with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, starts = common.text_views(batch, "text")
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            got = []
-            for block, rows, bounds, place in blocks(raw, starts, length):
-                if (found := suffixes(block, bounds, length, window, gram)) is not None:
-                    t, s, e, lead, full = found
-                    shift = place[t] - bounds[t]
-                    got.append((lead, full, keys[rows[t]], s + shift, e + shift))
+            got = list(arrays(batch))
             if not got:
                 continue
-            lead, full, key, s, e = (np.concatenate(c) for c in zip(*got, strict=True))
-            n = np.ones(len(lead), dtype=np.int64)
+            cols = [np.concatenate(c) for c in zip(*got, strict=True)]
+            n = np.ones(len(cols[0]), dtype=np.int64)
             if counted:
-                order = multikey_quicksort(lead, full)
-                first = np.flatnonzero(np.r_[True, (lead[order[1:]] != lead[order[:-1]]) | (full[order[1:]] != full[order[:-1]])])
+                order = multikey_quicksort(cols[0], cols[1])
+                first = _first_of_runs(cols[0][order], cols[1][order])
                 n = np.diff(np.r_[first, len(order)])
-                lead, full, key, s, e = (c[order[first]] for c in (lead, full, key, s, e))
-            cols = [_signed(lead), _signed(full), pa.array(key), pa.array(s.astype(np.int64)), pa.array(e.astype(np.int64)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(cols, names=["lead", "full", "key", "s", "e", "n"])
+                cols = [c[order[first]] for c in cols]
+            yield pa.RecordBatch.from_arrays([_signed(cols[0]), _signed(cols[1]), *(pa.array(c.astype(np.int64)) for c in (*cols[2:], n))], names=[x.split()[0] for x in SUFFIX.split(", ")])
 
     return run
 
 
-SUFFIX = "lead long, full long, key long, s long, e long, n long"
+def _sampled(length: int, window: int, gram: int):
+    """Suffixes of whole texts (key, text)."""
+
+    def arrays(batch: pa.RecordBatch):
+        raw, starts = common.text_views(batch, "text")
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for block, rows, bounds, place in blocks(raw, starts, length):
+            if (found := suffixes(block, bounds, length, window, gram)) is not None:
+                t, s, e, lead, full = found
+                shift = place[t] - bounds[t]
+                yield lead, full, keys[rows[t]], np.zeros(len(t), dtype=np.int64), s + shift, e + shift
+
+    return arrays
+
+
+def groups_of(piece: np.ndarray, n: int, length: int, window: int, gram: int, step: int):
+    """The n starts of a suffix in groups of `step`, cut at the same places from its k-gram on wherever it stands: first and last
+    start and tokens of each group."""
+    prints = Prints(piece)
+    g = common.mix64(prints.raw(np.arange(window), gram))
+    low = (np.uint64(1) << POS_BITS) - np.uint64(1)
+    own = int(((g & ~low) | np.arange(window, dtype=np.uint64)).argmin())
+    shift = -(-window // step) * step
+    k = np.arange((shift - own) // step, (n - 1 + shift - own) // step + 1)
+    left = k * step - shift + own
+    right = left + step - 1
+    s, e = np.maximum(left, 0), np.minimum(right, n - 1)
+    lead = common.mix64(prints.of(right, length - step + 1) + k.astype(np.uint64))
+    full = common.mix64(prints.of(s, e - s + length) + ((k * step + s - left) * step + e - left).astype(np.uint64))
+    return s, e, lead, full
+
+
+def _grouped(length: int, window: int, gram: int, step: int):
+    """Groups of the strings of cut-out suffixes (key, s, e, piece)."""
+
+    def arrays(batch: pa.RecordBatch):
+        raw, starts = common.text_views(batch, "piece")
+        key, s, e = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        for i in range(batch.num_rows):
+            a, b, lead, full = groups_of(raw[starts[i] : starts[i + 1]], int(e[i] - s[i]) + 1, length, window, gram, step)
+            same = np.full(len(a), s[i])
+            yield lead, full, np.full(len(a), key[i]), same, a + s[i], b + s[i]
+
+    return arrays
+
+
+def _single(length: int):
+    """The strings of groups (key, s, piece, spans) one by one."""
+
+    def arrays(batch: pa.RecordBatch):
+        raw, starts = common.text_views(batch, "piece")
+        key, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        for i in range(batch.num_rows):
+            piece = raw[starts[i] : starts[i + 1]]
+            both = Prints(piece, 0), Prints(piece, 1)
+            at = np.concatenate([np.arange(x["s"], x["e"] + 1) for x in batch.column(3)[i].as_py()]) - base[i]
+            same = np.full(len(at), base[i])
+            yield both[0].of(at, length), both[1].of(at, length), np.full(len(at), key[i]), same, at + base[i], at + base[i]
+
+    return arrays
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,38 +229,60 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    lead, full, key, s, e, n = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(6))
-    order = multikey_quicksort(lead, full)
-    lead, full, key, s, e, n = (x[order] for x in (lead, full, key, s, e, n))
-    first = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (full[1:] != full[:-1])])
+    cols = [np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got]) for k in range(7)]
+    order = multikey_quicksort(cols[0], cols[1])
+    lead, full, key, base, s, e, n = (x[order] for x in cols)
+    first = _first_of_runs(lead, full)
     n = np.add.reduceat(n, first)
-    lead, full, key, s, e = (x[first] for x in (lead, full, key, s, e))
+    lead, full, key, base, s, e = (x[first] for x in (lead, full, key, base, s, e))
     same = lead[1:] == lead[:-1]
     part = np.r_[False, same] | np.r_[same, False]
     part |= (lead == lead[0]) | (lead == lead[-1])  # their neighbours may stand in another bucket
     for kind, mask in ((False, n >= 2), (True, part)):
         if mask.any():
-            cols = [pa.array(x[mask]) for x in (lead, full, key, s, e)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(int(mask.sum()), kind))], names=["lead", "full", "key", "s", "e", "part"])
+            out = [pa.array(x[mask]) for x in (lead, full, key, base, s, e)]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.full(int(mask.sum()), kind))], names=[x.split()[0] for x in BUCKET.split(", ")])
+
+
+def _sorted_out(source: DataFrame, arrays, what: str) -> tuple[DataFrame, DataFrame]:
+    """Starts (key, s, e) of suffixes that repeat in all their strings, and those (key, base, s, e) that may in part."""
+    counted = source.mapInArrow(_rows(arrays, True), SUFFIX)
+    buckets = counted.repartitionByRange(common.parts(source.sparkSession), "lead", "full").mapInArrow(_bucket, BUCKET)
+    buckets = common.written(buckets, what)
+    whole = buckets.where("not part").select(F.col("lead").alias("l"), F.col("full").alias("f"))
+    every = source.mapInArrow(_rows(arrays, False), SUFFIX).select("lead", "full", "key", "s", "e")
+    repeated = every.join(whole, (F.col("lead") == F.col("l")) & (F.col("full") == F.col("f"))).select("key", "s", "e")
+    return repeated, buckets.where("part").select("key", "base", "s", "e")
 
 
-def _strings(length: int):
-    """Fingerprints of all strings of some suffixes of a text."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, text) with the text compressed."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        raw, starts = common.text_views(batch, "text")
+        for k in range(0, batch.num_rows, 512):
+            b = batch.slice(k, 512)
+            z = [squeeze(raw[starts[i] : starts[i + 1]]) for i in range(k, k + b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc_id", "key", "z"])
+
+
+def _pieces(length: int):
+    """Suffixes of texts (key, z, spans) cut out, as far as their last string reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw, starts = common.text_views(batch, "text")
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
-                text = raw[starts[i] : starts[i + 1]]
-                for span in sorted((x["s"], x["e"]) for x in batch.column(2)[i].as_py()):
-                    for a in range(span[0], span[1] + 1, BLOCK - length):
-                        b = min(span[1] + 1, a + BLOCK - length)
-                        block = text[a : b + length - 1]
-                        at = np.arange(b - a)
-                        h = [Prints(block, which).of(at, length) for which in (0, 1)]
-                        cols = [_signed(h[0]), _signed(h[1]), pa.array(np.full(b - a, keys[i])), pa.array(at + a)]
-                        yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "key", "p"])
+                text = expand(batch.column(1)[i].as_py())
+                spans = [(x["s"], x["e"]) for x in batch.column(2)[i].as_py()]
+                for k in range(0, len(spans), 4096):
+                    s, e = zip(*spans[k : k + 4096], strict=True)
+                    cols = [pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array([text[a : b + length] for a, b in zip(s, e, strict=True)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "s", "e", "piece"])
 
     return run
 
@@ -207,11 +292,13 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _removed(length: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            raw, starts = common.text_views(batch, "text")
             rows = []
             for i in range(batch.num_rows):
-                text = raw[starts[i] : starts[i + 1]]
+                text = np.frombuffer(expand(batch.column(1)[i].as_py()), dtype=np.uint8)
                 found = batch.column(2)[i].as_py()
                 if not found:
                     rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text.tobytes() if texts else None))
@@ -242,17 +329,15 @@ def remove_repeats(
     text = common.empty_if_null(F.col(text_col))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
     own = base.select("key", "text")
-    counted = own.mapInArrow(_sampled(length, window, gram, True), SUFFIX)
-    buckets = counted.repartitionByRange(common.parts(spark), "lead", "full").mapInArrow(_bucket, "lead long, full long, key long, s long, e long, part boolean")
-    buckets = common.written(buckets, "suffix-buckets")
-    whole = buckets.where("not part").select(F.col("lead").alias("l"), F.col("full").alias("f"))
-    every = own.mapInArrow(_sampled(length, window, gram, False), SUFFIX)
-    repeated = every.join(whole, (F.col("lead") == F.col("l")) & (F.col("full") == F.col("f"))).select("key", "s", "e")
-    some = buckets.where("part").groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # of one text
-    picked = base.join(some.hint("shuffle_hash"), F.col("key") == F.col("of")).select("key", "text", "spans", "doc_id")
-    strings = picked.mapInArrow(_strings(length), "h1 long, h2 long, key long, p long")
-    twice = strings.groupBy(F.col("h1").alias("a"), F.col("h2").alias("b")).agg(F.count("*").alias("n")).where("n >= 2")
-    starts = strings.join(twice, (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b"))).select("key", F.col("p").alias("s"), F.col("p").alias("e"))
-    spans = repeated.unionByName(starts).groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # of one text
-    joined = base.join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("doc_id", "text", "spans", "key")
+    packed = base.select("doc_id", "key", "text").mapInArrow(_packed, "doc_id long, key long, z binary")
+    spans_of = lambda d: d.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # noqa: E731  of one text
+    repeated, part = _sorted_out(own, _sampled(length, window, gram), "suffix-buckets")
+    picked = packed.join(spans_of(part).hint("shuffle_hash"), F.col("key") == F.col("of")).select("key", "z", "spans")
+    pieces = common.written(picked.mapInArrow(_pieces(length), "key long, s long, e long, piece binary"), "suffix-pieces")
+    more, part = _sorted_out(pieces, _grouped(length, window, gram, min(STEP, window)), "group-buckets")
+    groups = part.groupBy(F.col("key").alias("of"), "base").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # of one suffix
+    close = pieces.join(groups, (F.col("key") == F.col("of")) & (F.col("s") == F.col("base"))).select("key", "s", "piece", "spans")
+    last, _ = _sorted_out(common.written(close, "group-pieces"), _single(length), "string-buckets")
+    spans = spans_of(repeated.unionByName(more).unionByName(last))
+    joined = packed.join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(_removed(length, texts), RESULT)
