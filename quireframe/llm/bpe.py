@@ -26,7 +26,7 @@ from . import common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Chunks kept with their encoding by a worker, and the longest chunk kept.
-CACHE, CACHE_LEN = 300_000, 48
+CACHE, CACHE_LEN = 150_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -192,8 +192,8 @@ class Codec:
             raise ValueError("only files without a decoder are known here")
         #: What parts the decoded texts of two neighbouring tokens.
         self.between = b" "
-        self.cache: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.piece_cache: dict[str, tuple[int, bytes, bytes]] = {}
+        self.cache = common.Recent(CACHE)
+        self.piece_cache = common.Recent(CACHE)
 
     def pieces(self, chunk: str) -> Iterator[str | int]:
         """Ids of special tokens, and pieces of ordinary text; a piece's letters stand for bytes."""
@@ -241,24 +241,22 @@ class Codec:
 
     def known(self, chunk: bytes) -> tuple[int, bytes, bytes]:
         """Number of ids, ids as decimals and decoded tokens of a chunk, both parted by spaces."""
+        if (got := self.cache.get(chunk)) is not None:
+            return got
         parts = []
         for p in self.pieces(chunk.decode()):
             got = self.piece_cache.get(p)
             if got is None:
                 got = self._entry([p] if isinstance(p, int) else self.encode_piece(p))
                 if isinstance(p, str) and len(p) <= CACHE_LEN:
-                    if len(self.piece_cache) >= CACHE:
-                        self.piece_cache.clear()
-                    self.piece_cache[p] = got
+                    self.piece_cache.put(p, got)
             parts.append(got)
         if len(parts) == 1:
             got = parts[0]
         else:
             got = sum(x[0] for x in parts), b" ".join(x[1] for x in parts), self.between.join(x[2] for x in parts)
         if len(chunk) <= CACHE_LEN:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[chunk] = got
+            self.cache.put(chunk, got)
         return got
 
     def digest(self, text: bytes) -> tuple[int, str, str]:
@@ -267,7 +265,7 @@ class Codec:
         words = text.split()
         for k in range(0, len(words), 8192):
             some = words[k : k + 8192]
-            rows = list(map(self.cache.get, some))
+            rows = list(map(self.cache.young.get, some))
             if None in rows:
                 rows = [self.known(w) if r is None else r for w, r in zip(some, rows, strict=True)]
             counts = list(map(itemgetter(0), rows))

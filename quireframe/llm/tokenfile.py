@@ -34,7 +34,7 @@ BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on so many documents, those with the smallest hashes of doc_id, and so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1500, 4096, 32_768
 BLOCKS = "shard int, block int, n_docs long, n_ids long, data binary"
-CACHE, CACHE_LEN = 300_000, 48
+CACHE, CACHE_LEN = 400_000, 48
 
 
 class LibraryEncoder:
@@ -46,7 +46,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = common.Recent(CACHE)
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -54,15 +54,16 @@ class LibraryEncoder:
         words = text.split()
         for k in range(0, len(words), 8192):
             some = words[k : k + 8192]
-            rows = list(map(self.cache.get, some))
+            rows = list(map(self.cache.young.get, some))
             if None in rows:
-                new = list({w for w, r in zip(some, rows, strict=True) if r is None})
-                got = self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, got, strict=True)}
-                rows = [fresh[w] if r is None else r for w, r in zip(some, rows, strict=True)]
-                if len(self.cache) + len(fresh) > CACHE:
-                    self.cache.clear()
-                self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_LEN)
+                known = {w: self.cache.get(w) for w in {w for w, r in zip(some, rows, strict=True) if r is None}}
+                new = [w for w, r in known.items() if r is None]
+                got = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+                for w, e in zip(new, got, strict=True):
+                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                    if len(w) <= CACHE_LEN:
+                        self.cache.put(w, known[w])
+                rows = [known[w] if r is None else r for w, r in zip(some, rows, strict=True)]
             out.append(b"".join(rows))
         return b"".join(out)
 
