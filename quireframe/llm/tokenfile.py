@@ -139,7 +139,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained)).compress
+        shared = zstandard.ZstdCompressionDict(trained)
+        shared.precompute_compress(level=level)  # else each frame digests the dictionary anew
+        squeeze = zstandard.ZstdCompressor(level=level, dict_data=shared).compress
         e = encoder(tokenizer)
         end = struct.pack("<I", end_id)
         shard, block, first, index, frames, at = 0, 0, 0, [], [], 0
