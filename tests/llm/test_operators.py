@@ -249,7 +249,7 @@ def test_embeddings_against_brute_force(spark):
         assert (r.n_links, r.component_id, r.kept) == (n, root[r.vec_id], root[r.vec_id] == r.vec_id)
 
 
-def test_pipeline_stages_against_brute_force(spark):
+def test_pipeline_runs_in_order(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mixing", "bpe"]
