@@ -9,7 +9,8 @@ those last few units are landed without balance.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source without
 any words has target 0 and takes nothing; a document is taken 3 times at most; all choices come from hashes
-of ids, texts and the seed, so reruns agree; an empty table gives no rows; equal rows are separate units, told apart by a hash-ordered number.
+of ids, texts and the seed, so reruns agree; an empty table gives no rows; equal rows are separate units, told apart by a
+number.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -87,15 +88,20 @@ def _flight(seed: int, last: bool):
     return lambda pdf: _block(pdf, seed, last)
 
 
+def _name(docs: DataFrame, seed: int, *cols: str) -> Column:
+    """A hash of what a document is; a null differs from an empty text."""
+    return F.xxhash64(F.lit(seed), *[x for c in cols for x in (docs[c], docs[c].isNull())])
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 7, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken. Only ids and sizes are shuffled."""
+    """Per document: doc_id, size, source_size, target, h (a hash of its id, text and source), copies, taken. Only ids and sizes are shuffled."""
     spark = docs.sparkSession
     text = F.col(text_col)
     units = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("src"),
         F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"),
+        _name(docs, seed, id_col, text_col, source_col).alias("h"),
     )
     units = common.written(units, "mix-units")
     sums = [(r["src"], r["s"], r["n"]) for r in units.groupBy("src").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()]  # one row a source
@@ -125,15 +131,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 7, bl
         most = max(1, -(-most * 2 // block))
         blocks = F.greatest(F.lit(1), F.ceil(F.col("blocks") * 2 / block)).cast("long")
         open_ = flown.where("p > 0 and p < 1").withColumn("blocks", blocks).withColumn("block", F.pmod("block", "blocks"))
-    cols = ["doc_id", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("long")).alias("copies")]
+    cols = ["doc_id", "size", "source_size", "target", "h", (F.col("whole") + F.round("p").cast("long")).alias("copies")]
     out = fixed.select(*cols)
     for d in done:
         out = out.unionByName(d.select(*cols))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return docs.join(taken, docs["doc_id"] == taken["__id"]).withColumn("__k", again).drop("__id", "copies", "__k")
+def apply_mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken, with the columns of docs, whatever they are called.
+
+    A document meets its choice by the hash of its id, text and source; rows that share it are numbered, and each has a choice of its own.
+    """
+    names = docs.columns
+    chosen = mix(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    taken = chosen.groupBy(F.col("h").alias("of")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies")).where("copies[0] > 0")
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), _name(docs, seed, id_col, text_col, source_col).alias("h"))
+    same = Window.partitionBy("h").orderBy(F.lit(0))
+    met = rows.join(taken, F.col("h") == F.col("of")).withColumn("k", F.row_number().over(same)).withColumn("n", F.element_at("copies", F.col("k")))
+    met = met.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("again"))
+    return met.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -43,7 +43,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "h")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,20 @@ def test_mix(spark):
     assert mixing.apply_mix(df).columns == df.columns
 
 
+def test_applied_mix_takes_each_row_as_often_as_the_mix_says(spark):
+    rows = [(None if k % 7 == 0 else k % 50, None if k % 11 == 0 else "w " * (k % 13), None if k % 5 == 0 else f"s{k % 3}", k, "x", 1) for k in range(300)]
+    df = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, source string, copies int, h string, again int")
+    said, got = collections.Counter(), collections.Counter()
+    for r in mixing.mix(df).collect():
+        said[r.doc_id, r.size] += r.copies
+    applied = mixing.apply_mix(df)
+    assert applied.columns == df.columns
+    for r in applied.collect():
+        got[r.doc_id, len((r.text or "").split())] += 1
+    assert got == +said
+    assert mixing.apply_mix(none(spark)).count() == 0
+
+
 def test_quality_counts(docs, spark):
     for r in quality.measure(docs).collect():
         t = texts()[r.doc_id] or ""
