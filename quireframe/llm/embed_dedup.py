@@ -1,8 +1,9 @@
 """Embedding near-dedup by product quantisation.
 
 Coarse inverted lists hold each vector under its nearest centroid, with one code per subspace for what is left of it and the
-length of the error that the codes make. A vector is compared with all lists in which a partner can be: one whose border
-with the vector's own list is no farther than the threshold allows. In a list, distances come from a table of the
+length of the error that the codes make. Two linked vectors in different lists lie on both sides of the lists' border, so
+one of them is no farther from it than half the distance that the threshold allows: a vector is compared with its own list and with
+those whose border is that near, and a link that only one end can find counts for both. In a list, distances come from a table of the
 query's products with the code words; a row stays if its error could lift it over the threshold, so no
 link is lost, and the exact cosine decides. Lists are dealt out in bounded blocks of queries and of
 rows; a block gives back counts, and links enough to connect its components.
@@ -67,13 +68,13 @@ class Quantiser:
         seen = np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1)
         return lists, codes.astype(np.uint8), np.sqrt(((rest - seen) ** 2).sum(axis=1))
 
-    def probes(self, x: np.ndarray, own: np.ndarray, far: float) -> np.ndarray:
-        """Which lists can hold a vector at most `far` from x: those whose border with x's own list is that near."""
+    def probes(self, x: np.ndarray, own: np.ndarray, near: float) -> np.ndarray:
+        """Which lists x is compared with: its own, and those whose border with it is at most `near` away."""
         c = self.centroids
         d = (c * c).sum(axis=1) - 2 * (x @ c.T)
         lead = d - d[np.arange(len(x)), own][:, None]
         between = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 0))[own]
-        return (lead <= 2 * between * far + 1e-9) | (np.arange(len(c)) == own[:, None])
+        return (lead <= 2 * between * near + 1e-9) | (np.arange(len(c)) == own[:, None])
 
     def approximate(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Products of queries with the rows of a list, from the queries' tables."""
@@ -89,16 +90,17 @@ def _units(col: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _placed(dim: int, q: Quantiser, far: float):
+def _placed(dim: int, q: Quantiser, near: float):
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 b = batch.slice(k, 1024)
                 x = _units(b.column(2), dim)
                 lists, codes, error = q.encode(x)
-                probes = [np.flatnonzero(p).tolist() for p in q.probes(x, lists, far)]
-                cols = [b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["node", "m", "x", "list", "codes", "error", "probes"])
+                near_by = q.probes(x, lists, near)
+                probes, masks = [np.flatnonzero(p).tolist() for p in near_by], [p.tobytes() for p in np.packbits(near_by, axis=1)]
+                cols = [b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64())), pa.array(lists), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probes, pa.list_(pa.int64())), pa.array(masks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "m", "x", "list", "codes", "error", "probes", "mask"])
 
     return run
 
@@ -122,6 +124,9 @@ def _compared(q: Quantiser, least: float):
         if not len(i):
             return none
         n = np.bincount(i, weights=rows["m"].to_numpy()[j], minlength=len(a)).astype(np.int64)
+        masks = np.unpackbits(np.stack([np.frombuffer(c, dtype=np.uint8) for c in rows["mask"]]), axis=1)
+        one = masks[j, queries["qlist"].to_numpy()[i]] == 0  # the row does not look into the query's list, so the link counts for it here
+        n_back = np.bincount(j[one], weights=queries["qm"].to_numpy()[i[one]], minlength=len(b)).astype(np.int64)
         parent: dict[int, int] = {}
 
         def root(v: int) -> int:
@@ -137,7 +142,8 @@ def _compared(q: Quantiser, least: float):
         hung = [(v, root(v)) for v in list(parent)]
         counted = pd.DataFrame({"a": a[n > 0], "b": a[n > 0], "n": n[n > 0]})
         linked = pd.DataFrame([(u, v, 0) for u, v in hung if u != v], columns=["a", "b", "n"]).astype("int64")
-        return pd.concat([counted, linked])
+        back = pd.DataFrame({"a": b[n_back > 0], "b": b[n_back > 0], "n": n_back[n_back > 0]})
+        return pd.concat([counted, back, linked])
 
     return run
 
@@ -148,18 +154,18 @@ def _one_length(rows: DataFrame, dim: int, n: int, least: float) -> DataFrame:
     x = _units(sample, dim)
     q = Quantiser(x, max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS))))
     far = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
-    placed = rows.select("node", "m", "v").mapInArrow(_placed(dim, q, far), "node long, m long, x array<double>, list long, codes binary, error double, probes array<long>")
+    placed = rows.select("node", "m", "v").mapInArrow(_placed(dim, q, far / 2), "node long, m long, x array<double>, list long, codes binary, error double, probes array<long>, mask binary")
     placed = common.written(placed, "quantised")
-    asked = placed.select(F.col("node").alias("q"), F.col("x").alias("qx"), F.explode("probes").alias("ql"))
+    asked = placed.select(F.col("node").alias("q"), F.col("m").alias("qm"), F.col("x").alias("qx"), F.col("list").alias("qlist"), F.explode("probes").alias("ql"))
     held = placed.groupBy("list").agg(F.count("*").alias("rows"))  # MOST_LISTS rows at most
     asks = asked.groupBy(F.col("ql").alias("l")).agg(F.count("*").alias("asks"))
     blocks = held.join(asks, F.col("list") == F.col("l")).select("l", F.ceil(F.col("rows") / BLOCK).alias("nb"), F.ceil(F.col("asks") / BLOCK).alias("nq"))
     blocks = F.broadcast(blocks)
     asked = asked.join(blocks, F.col("ql") == F.col("l")).select(
-        F.col("ql"), "q", "qx", F.pmod(F.xxhash64("q"), "nq").alias("qqb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("qrb")
+        F.col("ql"), "q", "qm", "qx", "qlist", F.pmod(F.xxhash64("q"), "nq").alias("qqb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("qrb")
     )
     held = placed.join(blocks, F.col("list") == F.col("l")).select(
-        "list", "node", "m", "x", "codes", "error", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(F.xxhash64(F.lit(1), "node"), "nb").alias("rb")
+        "list", "node", "m", "x", "codes", "error", "mask", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(F.xxhash64(F.lit(1), "node"), "nb").alias("rb")
     )
     return asked.groupBy("ql", "qqb", "qrb").cogroup(held.groupBy("list", "qb", "rb")).applyInPandas(_compared(q, least), "a long, b long, n long")
 
