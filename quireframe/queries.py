@@ -174,7 +174,7 @@ COLUMNS_SQL = f"""{lines_sql(2)}, area AS (
 ), r0 AS (
   SELECT *, max(hi) OVER (PARTITION BY doc_id, page_no ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM body
 ), r1 AS (
-  SELECT *, sum(CASE WHEN reach IS NULL OR lo - reach >= greatest(10e0, 0.035e0 * w) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM r0
+  SELECT *, sum(CASE WHEN reach IS NULL OR lo - reach >= greatest(10e0, 0.035e0 * w) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY lo, hi) AS run FROM r0
 ), runs AS (SELECT doc_id, page_no, run, min(lo) AS lo, max(hi) AS hi, any_value(w) AS w FROM r1 GROUP BY doc_id, page_no, run
 ), adm AS (
   SELECT * FROM runs u WHERE hi - lo >= 0.12e0 * w AND (SELECT count(*) FROM body b WHERE b.doc_id = u.doc_id AND b.page_no = u.page_no AND mid BETWEEN lo - 1 AND u.hi + 1 AND mid >= u.lo - 1) >= 3
