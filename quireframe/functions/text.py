@@ -96,7 +96,7 @@ def dominant_span_size(spans: Column) -> Column:
     votes = F.transform(
         sizes,
         lambda z, k: F.struct(
-            F.aggregate(F.filter(spans, lambda s: s["size"] == z), F.lit(0).cast("bigint"), lambda a, s: a + F.length(s["text"])).alias("n"), (-k).alias("k"), z.alias("size")
+            F.aggregate(F.filter(spans, lambda s: s["size"] == z), F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(F.length(s["text"]), F.lit(0))).alias("n"), (-k).alias("k"), z.alias("size")
         ),
     )
     return F.array_max(votes)["size"]

@@ -1,6 +1,7 @@
 """Columns, spanning lines, obstacles, tables and reading order of pages.
 
-All joins are equi-joins on the page with a range condition on top. A page is a small, bounded group.
+Lines are placed by windows keyed by the page, joins are equi-joins on the page with a range condition on top. A page is a
+small, bounded group.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
 from ..schema import PAGE
@@ -20,33 +21,34 @@ RULE_THICKNESS, LEAST_AREA, MOST_AREA, TABLE_AREA = 3.0, 0.004, 0.85, 400.0
 MERGE_PAD = {"drawing": 4.0, "image": 1.0}
 
 
-def areas(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    return lines.groupBy(*keys).agg(G.bounds(F.col("bbox")).alias("area"))
+def in_runs(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """Lines with the page's width (w) and, if they are narrow, the run of neighbouring narrow lines they stand in (lo, hi, run).
 
-
-def columns(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Columns (col_no, lo, hi) of pages that have at least two.
-
-    Narrow lines cover one-point bins of the page's width; covered runs nearer than a gutter are one column; a column
-    needs width and lines of its own.
+    Runs are at least a gutter apart. All windows are keyed by the page, so that one exchange serves them all.
     """
-    box = F.col("bbox")
-    body = lines.join(areas(lines, keys), keys).withColumn("w", G.width(F.col("area")))
-    body = body.where(G.width(box) < SPAN_LINE * F.col("w"))
-    body = body.withColumn("n_body", F.count("*").over(Window.partitionBy(*keys))).where(F.col("n_body") >= MIN_BODY)
-    lo, hi = F.floor(F.greatest(box["x0"], F.col("area.x0"))), F.ceil(F.least(box["x1"], F.col("area.x1")))
-    body = body.select(*keys, "w", lo.alias("lo"), hi.alias("hi"), G.mid_x(box).alias("mid"))
-    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    box, page = F.col("bbox"), Window.partitionBy(*keys)
+    d = lines.withColumn("ax0", F.min(box["x0"]).over(page)).withColumn("ax1", F.max(box["x1"]).over(page))
+    d = d.withColumn("w", F.col("ax1") - F.col("ax0")).withColumn("narrow", F.coalesce(G.width(box) < SPAN_LINE * F.col("w"), F.lit(False)))
+    d = d.withColumn("body", F.col("narrow") & (F.sum(F.col("narrow").cast("int")).over(page) >= MIN_BODY))
+    d = d.withColumn("lo", F.when(F.col("body"), F.floor(F.greatest(box["x0"], F.col("ax0"))))).withColumn("hi", F.when(F.col("body"), F.ceil(F.least(box["x1"], F.col("ax1")))))
+    order = page.orderBy(F.col("lo").asc_nulls_last(), "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gutter = F.greatest(F.lit(GUTTER_PT), GUTTER_SHARE * F.col("w"))
-    runs = body.withColumn("new", (reach.isNull() | (F.col("lo") - reach >= gutter)).cast("int")).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy(*keys, "run").agg(F.min("lo").cast("double").alias("lo"), F.max("hi").cast("double").alias("hi"), F.first("w").alias("w"))
-    # a line counts for every run that its middle is in, tolerance included
-    mids = body.select(*keys, "mid")
-    inside = runs.join(mids, keys).where(F.col("mid").between(F.col("lo") - SLACK, F.col("hi") + SLACK)).groupBy(*keys, "run").agg(F.count("*").alias("n"))
-    kept = runs.join(inside, [*keys, "run"]).where((F.col("hi") - F.col("lo") >= COLUMN_SHARE * F.col("w")) & (F.col("n") >= COLUMN_LINES))
+    d = d.withColumn("new", F.when(F.col("body"), (reach.isNull() | (F.col("lo") - reach >= gutter)).cast("int")))
+    return d.withColumn("run", F.when(F.col("body"), F.sum("new").over(order))).drop("ax0", "ax1", "narrow", "body", "new")
+
+
+def is_column(lo: Column, hi: Column, n: Column) -> Column:
+    """A run is a column if it has width and lines of its own. A line's middle lies in its own run, and in no other, as a gutter is wider than the slack."""
+    return (hi - lo >= COLUMN_SHARE * F.col("w")) & (n >= COLUMN_LINES)
+
+
+def columns(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """Columns (col_no, lo, hi) of pages that have at least two."""
+    runs = in_runs(lines.select(*keys, "bbox"), keys).where("run is not null").groupBy(*keys, "run")
+    runs = runs.agg(F.min("lo").cast("double").alias("lo"), F.max("hi").cast("double").alias("hi"), F.first("w").alias("w"), F.count("*").alias("n"))
     page = Window.partitionBy(*keys)
-    kept = kept.withColumn("n_cols", F.count("*").over(page)).where("n_cols >= 2")
+    kept = runs.where(is_column(F.col("lo"), F.col("hi"), F.col("n"))).withColumn("n_cols", F.count("*").over(page)).where("n_cols >= 2")
     return kept.select(*keys, F.row_number().over(page.orderBy("lo")).alias("col_no"), "lo", "hi")
 
 
@@ -62,37 +64,35 @@ def assigned(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     Spanning lines cover a quarter of two columns. They form blocks; bands lie between blocks. band_no, part (0 columns,
     1 block) and col_no order regions; a body line in no band or column has region_kind 'unassigned'.
     """
-    cols = columns(lines, keys)
-    box = F.col("bbox")
-    own = [*keys, "line_no"]
-    met = lines.join(cols, keys)
-    wide = (F.least(box["x1"], F.col("hi")) - F.greatest(box["x0"], F.col("lo"))) > SPAN_OVERLAP * (F.col("hi") - F.col("lo"))
-    held = G.mid_x(box).between(F.col("lo") - SLACK, F.col("hi") + SLACK)
-    facts = met.groupBy(*own).agg(F.sum(wide.cast("int")).alias("n_wide"), F.min(F.when(held, F.col("col_no"))).alias("col_no"))
-    d = lines.join(areas(lines, keys), keys).join(facts, own, "left")
-    d = d.withColumn("multi", F.col("n_wide").isNotNull()).withColumn("spanning", F.coalesce(F.col("n_wide") >= 2, F.lit(False)))
-    order = Window.partitionBy(*keys).orderBy(box["y0"], "line_no")
-    span = d.where("spanning").withColumn("gap", box["y0"] - F.lag(box["y1"]).over(order))
-    span = span.withColumn("block", F.sum((F.col("gap").isNull() | (F.col("gap") > SPAN_GAP)).cast("int")).over(order))
-    blocks = span.groupBy(*keys, "block").agg(F.min(box["y0"]).alias("by0"), F.max(box["y1"]).alias("by1"))
-    in_block = span.select(*own, "block")
-    seq = Window.partitionBy(*keys).orderBy("block")
-    tops = blocks.withColumn("cursor", F.lag("by1").over(seq))
+    box, page, run = F.col("bbox"), Window.partitionBy(*keys), Window.partitionBy(*keys, "run")
+    first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), 0)
+    d = in_runs(lines, keys).withColumn("rlo", F.min("lo").over(run).cast("double")).withColumn("rhi", F.max("hi").over(run).cast("double")).withColumn("rn", F.count("lo").over(run))
+    column = F.when(is_column(F.col("rlo"), F.col("rhi"), F.col("rn")), F.struct(F.col("rlo").alias("lo"), F.col("rhi").alias("hi")))
+    d = d.withColumn("cols", F.array_sort(F.collect_set(column).over(page))).drop("w", "lo", "hi", "run", "rlo", "rhi", "rn")  # a page's columns
+    wide = lambda c: (F.least(box["x1"], c["hi"]) - F.greatest(box["x0"], c["lo"])) > SPAN_OVERLAP * (c["hi"] - c["lo"])
+    held = lambda c: G.mid_x(box).between(c["lo"] - SLACK, c["hi"] + SLACK)
+    d = d.withColumn("multi", F.size("cols") >= 2).withColumn("spanning", F.col("multi") & (F.size(F.filter("cols", wide)) >= 2))
+    d = d.withColumn("col_no", F.when(F.col("multi"), first(F.transform("cols", lambda c, k: F.when(held(c), k + 1))))).drop("cols")
+    order = Window.partitionBy(*keys, "spanning").orderBy(box["y0"], "line_no")
+    gap = box["y0"] - F.lag(box["y1"]).over(order)
+    d = d.withColumn("new", F.when(F.col("spanning"), (gap.isNull() | (gap > SPAN_GAP)).cast("int")))
+    d = d.withColumn("block", F.when(F.col("spanning"), F.sum("new").over(order)))
+    own = Window.partitionBy(*keys, "block")
+    d = d.withColumn("by0", F.min(box["y0"]).over(own)).withColumn("by1", F.max(box["y1"]).over(own))
+    block = F.when(F.col("spanning"), F.struct("block", "by0", "by1"))
+    d = d.withColumn("blocks", F.array_sort(F.collect_set(block).over(page)))  # a page's blocks, numbered from 1
     # bands end at blocks; the last one is open
-    bands = tops.select(*keys, F.col("block").alias("band_no"), F.col("cursor").alias("lo_y"), F.col("by0").alias("hi_y"))
-    tail = blocks.groupBy(*keys).agg((F.max("block") + 1).alias("band_no"), F.max_by("by1", "block").alias("lo_y")).withColumn("hi_y", F.lit(None).cast("double"))
-    bands = bands.unionByName(tail)
-    body = d.where("not spanning").withColumn("my", G.mid_y(box))
-    hit = body.select(*own, "my").join(bands, keys).where((F.col("lo_y").isNull() | (F.col("my") >= F.col("lo_y"))) & (F.col("hi_y").isNull() | (F.col("my") < F.col("hi_y"))))
-    band = hit.groupBy(*own).agg(F.min("band_no").alias("band_no"))
-    has_blocks = blocks.select(*keys).distinct().withColumn("has_blocks", F.lit(True))
-    out = d.join(in_block, own, "left").join(band, own, "left").join(has_blocks, keys, "left")
-    number = F.when(~F.col("multi"), 1).when(F.col("spanning"), F.col("block")).when(F.col("has_blocks").isNull(), 1).otherwise(F.col("band_no"))
+    my, above = G.mid_y(box), lambda k: F.get("blocks", k - 1)["by1"]
+    last = F.get("blocks", F.size("blocks") - 1)
+    closed = F.transform("blocks", lambda b, k: F.when(((k == 0) | (my >= above(k))) & (my < b["by0"]), b["block"]))
+    d = d.withColumn("band_no", F.coalesce(first(closed), F.when(my >= last["by1"], last["block"] + 1)))
+    out = d.withColumn("has_blocks", F.size("blocks") > 0)
+    number = F.when(~F.col("multi"), 1).when(F.col("spanning"), F.col("block")).when(~F.col("has_blocks"), 1).otherwise(F.col("band_no"))
     lost = F.col("multi") & ~F.col("spanning") & (F.col("col_no").isNull() | number.isNull())
     kind = F.when(lost, "unassigned").when(F.col("spanning"), "spanning").otherwise("text")
     part = F.col("spanning").cast("int")
     col = F.when(F.col("spanning") | ~F.col("multi"), 0).otherwise(F.col("col_no"))
-    return out.select(*own, "bbox", "spans", F.when(~lost, number).alias("band_no"), F.when(~lost, part).alias("part"), F.when(~lost, col).alias("region_col"), kind.alias("region_kind"))
+    return out.select(*keys, "line_no", "bbox", "spans", F.when(~lost, number).alias("band_no"), F.when(~lost, part).alias("part"), F.when(~lost, col).alias("region_col"), kind.alias("region_kind"))
 
 
 def regions(placed: DataFrame, keys: list[str] = PAGE) -> DataFrame:

@@ -25,8 +25,10 @@ def modal_margin(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
 
 def marked_lines(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Lines with the group's statistics, own body size, and whether a marker starts them."""
-    stats = dominant_size(lines, keys).join(modal_margin(lines, keys), keys)
-    both = lines.join(stats, keys)
+    row = F.struct("line_no", "bbox", "spans")
+    page = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("ls"), F.mode(F.round(F.col("bbox.x0"), 1), True).alias("margin"))  # a group's lines
+    page = page.withColumn("dominant", X.dominant_span_size(F.flatten(F.transform("ls", lambda r: F.coalesce(r["spans"], F.array().cast(lines.schema["spans"].dataType))))))
+    both = page.select(*keys, "margin", "dominant", F.inline("ls"))
     is_marker = lambda s: X.span_marker(s, F.col("dominant")).isNotNull()
     body = X.dominant_span_size(F.filter("spans", lambda s: ~is_marker(s)))
     shown = F.get(F.filter("spans", lambda s: X.strip(s["text"]) != ""), 0)

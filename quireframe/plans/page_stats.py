@@ -17,10 +17,13 @@ def page_stats(lines: DataFrame, pages: DataFrame | None = None, drawings: DataF
     placed = L.assigned(free)
     region = [*PAGE, "band_no", "part", "region_col"]
     para = P.paragraphs(placed.where("region_kind <> 'unassigned'"), region)
-    stats = para.groupBy(*PAGE).agg(F.count("*").alias("paragraphs"), F.max("size").alias("body_size"), P.count_where(X.near_empty(F.col("text"))).alias("near_empty"))
+    seen = F.collect_set(F.struct("band_no", "part", "region_col"))  # a page's regions: each has a paragraph
+    stats = para.groupBy(*PAGE).agg(
+        F.count("*").alias("paragraphs"), F.max("size").alias("body_size"), P.count_where(X.near_empty(F.col("text"))).alias("near_empty"),
+        F.size(seen).alias("regions"), F.greatest(F.lit(1), F.max("region_col")).alias("columns"),
+    )
     margin = P.modal_margin(free).withColumnRenamed("margin", "modal_margin")
-    regs = L.regions(placed).groupBy(*PAGE).agg(F.count("*").alias("regions"), F.greatest(F.lit(1), F.max("region_col")).alias("columns"))
-    out = stats.join(margin, PAGE).join(regs, PAGE)
+    out = stats.join(margin, PAGE)
     counts = {}
     if drawings is not None and pages is not None:
         solid = L.sized_obstacles(L.merged(L.plausible_drawings(drawings, tables), "drawing", "drawing_no"), pages)
