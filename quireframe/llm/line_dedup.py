@@ -2,8 +2,8 @@
 
 For each host, the share of its documents that contain a line is set against a boilerplate ratio; lines above
 it are dropped wherever the host shows them. A host has fewer such lines than (distinct lines per document) /
-ratio, so they fit in one array a host; documents meet them by a join on the host, whose large keys Spark
-splits (or which it broadcasts after measuring its size).
+ratio, so they fit in one array a host; documents meet them by a join on the host and a salt, so that a host of
+any size is dealt over many tasks (or Spark broadcasts the arrays after measuring their size).
 
 Defined results: a null text stays null with 0 lines; a null host is a host of its own; blank lines are never dropped;
 a line counts once a document, however often it stands there; equal rows are documents of their own; a
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 RATIO, MIN_PAGES = 0.2, 5
+#: A host's documents are dealt over so many tasks; its lines are repeated as often.
+SALTS = 64
 
 
 def _prints(line: Column) -> Column:
@@ -42,7 +44,10 @@ def drop_boilerplate(
 ) -> DataFrame:
     """The documents without boilerplate lines; with counts, also __n_lines and __n_dropped."""
     found = boilerplate(docs, host_col, text_col, ratio, min_pages)
-    joined = docs.join(found, docs[host_col].eqNullSafe(found["__host"]), "left")
+    found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hashable = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(SALTS)).cast("int")
+    joined = docs.join(found, docs[host_col].eqNullSafe(found["__host"]) & (salt == found["__salt"]), "left")
     lines = F.split(docs[text_col], "\n")
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), _prints(x)))
