@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geometry as G, text as X
@@ -365,6 +367,16 @@ def marker_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", X.preserve_markers(F.col("src"), F.col("output")).alias("kept"))
 
 
+@query()
+def marker_preservation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X9, J13, U4 over whole texts: markers at every sentence, comma and line, of which outputs lost all, some or none; tests hold it against brute force."""
+    t, d = F.col("text"), F.col("doc_id") % 4
+    marked = lambda x, ends: reduce(lambda y, e: F.replace(y, F.lit(e[0]), F.lit(e[1])), ends, x)
+    ends = [(". ", " [1]. "), (", ", " [2], "), ("\n", " [13]\n")]
+    m = derived.documents(spark, sf_dir).select("doc_id", F.concat(marked(t, ends), F.lit(" [1] [2]")).alias("src"), F.when(d == 0, t).when(d == 1, marked(t, ends[1:])).when(d == 2, marked(t, ends[:1])).otherwise(F.concat(F.lit("[2] [7] "), marked(t, ends))).alias("output"))
+    return m.select("doc_id", X.preserve_markers(F.col("src"), F.col("output")).alias("kept"))
+
+
 @query()
 def paragraph_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-behind has no SQL form; tests hold it against given cases."""
