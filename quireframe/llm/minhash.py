@@ -4,7 +4,8 @@ A document's set holds its distinct shingles. The smallest shingle hash of each
 register: the number of its leading zeros and the mantissa bits that follow. Buckets without a shingle borrow, along a
 fixed order of their own, from one that has any, so registers of two sets agree with the probability of their
 similarity. Bands of registers name the candidates; registers' agreement, corrected for chance collisions, drops candidates
-far below the threshold; the full sets decide.
+far below the threshold; the full sets decide. Small sets fill few buckets, and their registers agree or differ together: no
+pair with one is dropped by its registers, and the smallest are also joined by their rarest shingles, whatever their bands.
 
 Groups of copies never meet in all pairs. Documents with equal sets are one node. In each band's bucket
 nodes are compared with a few hubs; links make components. Nodes of buckets that still hold several components are
@@ -33,6 +34,8 @@ SIMILAR = 75  # per cent
 STORED_BITS, BAND_BITS = 10, 26
 #: Candidates are dropped below the threshold less so many standard deviations of the estimate.
 SLACK = 5.0
+#: Pairs with a smaller set than ALL_FILLED are not dropped by their registers; links of smaller sets than SMALL need no bands.
+ALL_FILLED, SMALL = 512, 128
 HUBS = 3
 CHUNK = 1 << 19
 
@@ -191,7 +194,8 @@ def _likely(least: float):
             a, b = (np.stack([np.frombuffer(x.as_py(), dtype="<u2") for x in batch.column(k)]) if batch.num_rows else np.zeros((0, REGISTERS)) for k in (2, 3))
             chance = 2.0**-STORED_BITS / 3
             est = ((a == b).mean(axis=1) - chance) / (1 - chance)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(est >= least))
+            small = np.minimum(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))) < ALL_FILLED
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(small | (est >= least)))
 
     return run
 
@@ -265,10 +269,10 @@ def _still_possible(left: DataFrame, size: int, percent: int) -> DataFrame:
 def _links(pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those that the full sets confirm."""
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    side = lambda c, x, y: nodes.select(F.col("node").alias(f"_{c}"), F.col(x).alias(y))
-    seen = pairs.join(side("a", "regs", "ra"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "regs", "rb"), F.col("b") == F.col("_b")).select("a", "b", "ra", "rb")
+    side = lambda c, *x: nodes.select(F.col("node").alias(f"_{c}"), *[F.col(y).alias(f"{y[0]}{c}") for y in x])
+    seen = pairs.join(side("a", "regs", "n"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "regs", "n"), F.col("b") == F.col("_b")).select("a", "b", "ra", "rb", "na", "nb")
     likely = common.written(seen.mapInArrow(_likely(least), "a long, b long").distinct(), "likely")
-    full = likely.join(side("a", "text", "ta"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "text", "tb"), F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
+    full = likely.join(side("a", "text"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "text"), F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
     return common.written(full.mapInArrow(_verified(size, percent), "a long, b long").distinct(), "near-links")
 
 
@@ -289,19 +293,23 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR, id_col:
     ranked = met.join(degree, F.col("node") == F.col("d"))
     lots = [F.min_by("node", F.xxhash64(F.lit(r), "node")).alias(f"hub{r}") for r in range(1, HUBS)]
     hubs = ranked.groupBy(F.col("key").alias("k")).agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub0"), *lots)
-    ids = met.select(F.col("node").alias("id")).distinct()
-    # the texts of nodes that share a band with any other
+    # a set that is similar to a small one is small_n at most
+    small_n = (SMALL - 1) * 100 // percent
+    ids = met.select(F.col("node").alias("id")).unionByName(reps.where(F.col("n_shingles") <= small_n).select(F.col("node").alias("id"))).distinct()
+    # the texts of nodes that share a band with any other, and of small ones
     nodes = base.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
-    regs = reps.select(F.col("node"), "regs")
-    nodes = common.written(nodes.join(regs, F.col("doc_id") == F.col("node")).select("node", "regs", "text"), "near-nodes")
+    regs = reps.select(F.col("node"), F.col("n_shingles").alias("n"), "regs")
+    nodes = common.written(nodes.join(regs, F.col("doc_id") == F.col("node")).select("node", "n", "regs", "text"), "near-nodes")
     with_hubs = met.join(hubs, F.col("key") == F.col("k")).select("node", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("hub"))
     pairs = with_hubs.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     links = _links(pairs, nodes, size, percent)
     roots = common.written(components(links), "near-roots")
-    # what still meets in one bucket from different components
+    # what still meets in one bucket from different components, and all small sets
     placed = met.join(roots, F.col("node") == F.col("id"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    left = placed.join(mixed, F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("x"), F.col("root").alias("r")).distinct()
+    left = placed.join(mixed, F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("x"), F.col("root").alias("r"))
+    small = nodes.where(F.col("n") <= small_n).select(F.col("node").alias("x")).join(roots, F.col("x") == F.col("id"), "left").select("x", F.coalesce("root", "x").alias("r"))
+    left = left.unionByName(small).distinct()
     left = nodes.join(left, F.col("node") == F.col("x")).select("node", F.col("r").alias("root"), "text")
     more = _still_possible(left, size, percent)
     rest = _links(more, nodes, size, percent)

@@ -114,6 +114,14 @@ def test_near_copies_against_brute_force(spark, docs):
     assert minhash.keep_one(docs).columns == docs.columns
 
 
+def test_links_of_short_texts_do_not_hang_on_registers(spark):
+    """Three of four shingles shared: the registers of the first three pairs agree too seldom, the last two share no band."""
+    pairs = [" ".join(f"w{k}x{j}" for j in range(n)) for k in (557, 871, 6762, 1232, 13040, 1) for n in (7, 8)]
+    away = " ".join(f"w1x{j}" for j in range(10))  # six shingles: too far from the last pair
+    got = {r.doc_id: r for r in minhash.groups(spark.createDataFrame(list(enumerate([*pairs, away])), "doc_id long, text string")).collect()}
+    assert [got[k].component_id for k in range(13)] == [*(k - k % 2 for k in range(12)), 12]
+
+
 def test_registers_agree_as_sets_do():
     rng = np.random.default_rng(3)
     both, own = rng.integers(0, 1 << 63, 800, dtype=np.uint64), rng.integers(0, 1 << 63, 200, dtype=np.uint64)
