@@ -122,6 +122,14 @@ def test_links_of_short_texts_do_not_hang_on_registers(spark):
     assert [got[k].component_id for k in range(13)] == [*(k - k % 2 for k in range(12)), 12]
 
 
+def test_keep_one_leaves_one_row_of_each_kept_document(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a, "s", "x", 1)] * 3 + [(2, a + " more", "s", "x", 1), (3, b, "s", "x", 1), (3, b, "t", "x", 1), (4, "", "s", "x", 1), (4, "", "s", "x", 1)] + [(None, "own text", "s", "x", 1)] * 2
+    got = sorted((tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert sorted((r[0] or 0, r[1]) for r in got) == [(0, "own text"), (0, "own text"), (1, a), (3, b), (4, "")]
+    assert got == sorted((tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows[::-1], DOCS).repartition(3)).collect()), key=str)
+
+
 def test_registers_agree_as_sets_do():
     rng = np.random.default_rng(3)
     both, own = rng.integers(0, 1 << 63, 800, dtype=np.uint64), rng.integers(0, 1 << 63, 200, dtype=np.uint64)
