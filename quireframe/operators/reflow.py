@@ -57,11 +57,15 @@ def ceilings(regs: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataF
     return a.join(nearest, [*keys, "region_no"], "left").join(pages.select(*keys, F.col("rect.y1").alias("page_y1")), keys).select(*keys, "region_no", F.coalesce("next_y", "page_y1").alias("limit"))
 
 
-def clear_of(y: Column, h: Column, x0: Column, x1: Column, obstacles: Column) -> Column:
-    """The top of a box moved below every obstacle in its way; obstacles sorted by their top, at most JUMPS of them."""
+def clear_of(y: Column, h: Column, x0: Column, x1: Column, obstacles: Column, limit: Column | None = None) -> Column:
+    """The top of a box moved below every obstacle in its way: passes over all obstacles until none moves it, it ends below the
+    limit, or JUMPS passes are done."""
     hit = lambda top, r: (x0 < r["x1"]) & (r["x0"] < x1) & (top < r["y1"]) & (top + h > r["y0"])
-    once = lambda top: F.aggregate(F.slice(obstacles, 1, JUMPS), top, lambda t, r: F.when(hit(t, r), r["y1"] + MIN_GAP).otherwise(t))
-    return once(once(y))
+    once = lambda top: F.aggregate(obstacles, top, lambda t, r: F.when(hit(t, r), r["y1"] + MIN_GAP).otherwise(t))
+    past = lambda t: F.lit(False) if limit is None else F.coalesce(t + h > limit, F.lit(False))
+    start = F.struct(y.cast("double").alias("y"), F.lit(False).alias("done"))
+    moved = lambda a: F.transform(F.array(once(a["y"])), lambda t: F.struct(t.alias("y"), ((t == a["y"]) | past(t)).alias("done")))[0]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(JUMPS)), start, lambda a, _: F.when(a["done"], a).otherwise(moved(a)), lambda a: a["y"])
 
 
 def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE) -> DataFrame:

@@ -52,6 +52,27 @@ def test_clear_of_obstacles(spark):
     assert tuple(spark.range(1).select(f(0.0), f(8.0), f(21.0)).first()) == (0.0, 21.5, 21.0)
 
 
+def test_clear_of_many_obstacles_and_long_chains(spark):
+    def brute(y, h, x0, x1, obs, limit):
+        for _ in range(32):
+            moved = False
+            for a, t, b, u in obs:
+                if b > x0 and a < x1 and y < u and y + h > t:
+                    y, moved = u + R.MIN_GAP, True
+            if not moved or y + h > limit:
+                return y
+        return y
+
+    aside = [(100.0, 10.0 * k, 150.0, 10.0 * k + 9) for k in range(40)]
+    chain = [(0.0, 10.0 * k, 50.0, 10.0 * k + 9) for k in range(40)]
+    cases = [aside + [(0.0, 10.0, 50.0, 20.0)], chain[:6][::-1], chain[::-1], chain, chain[:40:3]]
+    for obs in cases:
+        for limit in (1e9, 35.0):
+            o = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, ("x0", "y0", "x1", "y1"), strict=True)]) for r in obs])
+            got = spark.range(1).select(R.clear_of(F.lit(8.0), F.lit(5.0), F.lit(10.0), F.lit(40.0), o, F.lit(limit))).first()[0]
+            assert got == brute(8.0, 5.0, 10.0, 40.0, obs, limit)
+
+
 @pytest.mark.parametrize("spec,n,wanted", [(None, 10, list(range(10))), ("1-5", 10, [0, 1, 2, 3, 4]), ("1,3,5-6", 10, [0, 2, 4, 5]), ("1-3,99", 5, [0, 1, 2])])
 def test_page_range(spec, n, wanted):
     assert ingest.page_range(spec, n)[0] == wanted
