@@ -13,6 +13,7 @@ ids; rows are encoded one by one, repeated or not; other columns are left out.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import unicodedata
@@ -188,8 +189,9 @@ class Codec:
         self.specials = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.letters = byte_letters()
         self.decoder = spec.get("decoder")
-        if self.decoder is not None:
-            raise ValueError("only files without a decoder are known here")
+        if self.decoder is not None and self.decoder["type"] != "ByteLevel":
+            raise ValueError("only files without a decoder or with a byte-level one are known here")
+        self.bytes = {c: b for b, c in self.letters.items()}
         #: What parts the decoded texts of two neighbouring tokens.
         self.between = b" "
         self.cache = common.Recent(CACHE)
@@ -211,6 +213,8 @@ class Codec:
         return self.pattern.findall(text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text))
 
     def encode_piece(self, piece: str) -> list[int]:
+        if self.decoder is not None:  # such files take white space for letters, which chunks leave out
+            raise ValueError("files with a decoder are only decoded here")
         letters = "".join(map(self.letters.__getitem__, piece.encode()))
         return [self.vocab[t] for t in self.merges.stream((letters,))]
 
@@ -228,8 +232,19 @@ class Codec:
         return b"".join(self.decode_stream(ids)).decode()
 
     def decode_stream(self, ids: Iterable[int]) -> Iterator[bytes]:
-        """Text as UTF-8, a token at a time. The state is whether a token came before, and the unfinished character:
-        the file has no decoder, so tokens' letters stand for themselves, parted by a space; unknown ids give nothing."""
+        """Text as UTF-8, a token at a time; unknown ids give nothing. Without a decoder in the file, tokens' letters stand for
+        themselves, parted by a space, and the state is whether a token came before. With a byte-level one, letters stand for
+        bytes, and the state is the unfinished character: its bytes wait until it is whole."""
+        if self.decoder is not None:
+            waiting = codecs.getincrementaldecoder("utf-8")("replace")
+            for i in ids:
+                if (t := self.tokens.get(i)) is not None:
+                    known = all(c in self.bytes for c in t)
+                    if text := waiting.decode(bytes(map(self.bytes.__getitem__, t)) if known else t.encode()):
+                        yield text.encode()
+            if text := waiting.decode(b"", final=True):
+                yield text.encode()
+            return
         begun = False
         for i in ids:
             if (t := self.tokens.get(i)) is not None:

@@ -173,6 +173,27 @@ def test_encoder_emits_early_and_keeps_little():
     assert m.merged(list("therein") [:-1] + ["n</w>"]) == list(m.stream(["there", "in"]))
 
 
+def test_byte_level_decoder_holds_unfinished_characters(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer(), encoding="utf-8"))
+    letters = bpe.byte_letters()
+    spec["model"] |= {"vocab": {c: b for b, c in letters.items()} | {letters[0x41] + letters[0xC3]: 256, "\u6f22": 257}, "merges": [], "unk_token": None, "end_of_word_suffix": None}
+    spec |= {"added_tokens": [], "post_processor": None, "decoder": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+    path = tmp_path / "bytes.json"
+    path.write_text(json.dumps(spec))
+    codec, library = bpe.Codec(str(path)), Tokenizer.from_file(str(path))
+    rnd = random.Random(3)
+    cases = [list("a é 漢🎉".encode()), [256, 0xA9, 0x42], [0xE6, 0xBC], [0xC3, 0x41], [0xFF, 257, 9999]] + [[rnd.randrange(258) for _ in range(20)] for _ in range(200)]
+    for ids in cases:
+        assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert list(codec.decode_stream([0xE6, 0xBC, 0xA2, 0x21])) == ["漢".encode(), b"!"]
+    with pytest.raises(ValueError):
+        codec.encode("a")
+
+
 def test_encode_decode(spark, docs):
     assert bpe.encode_decode(docs, tokenizer()).count() == len(texts())
     assert bpe.encode_decode(none(spark), tokenizer()).count() == 0
