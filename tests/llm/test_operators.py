@@ -270,6 +270,17 @@ def test_quality_bands():
     assert kept(prose) and not kept(b" ".join(bytes([k]) * 3 for k in noise) * 1 + b" same line" * 3000)
 
 
+def test_tail_of_a_text_is_judged():
+    import zstandard
+
+    squeeze, bands = zstandard.ZstdCompressor(level=3).compress, quality.Bands()
+    rnd = random.Random(5)
+    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(900)).encode()[: bands.chunk]
+    for tail, bad in ((b"", 0), (b"x" * (bands.chunk - 1), 1), (prose[:9], 0)):
+        assert quality.judge(prose + tail, bands, squeeze)[8:] == (1 + bool(tail), bad)
+    assert quality.judge(prose[:-1], bands, squeeze)[8:] == (0, 0)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/1", "<p>x</p>", 1), (2, "http://a/2", "<p>x</p>", 1), (3, None, None, 1), (4, "u\r\nv", "", 1), (5, "http://b", "WARC/1.0\r\n\r\nContent-Length: 3\r\n\r\nü", 1), (6, "c", "y" * 100_000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, response int")
