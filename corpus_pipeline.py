@@ -31,7 +31,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("near_dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
 
-#: Compression ratios and the cube method have no SQL form; the operators are tested one by one, the whole run only for its shape.
+#: Compression ratios and the cube method have no SQL form; a test holds the whole run against plain Python stages, row by row.
 ORACLE_SQL = None
 
 

@@ -317,3 +317,35 @@ def test_pipeline_runs_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mixing", "bpe"]
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 600
+
+
+def test_pipeline_against_plain_stages_row_by_row(spark, tmp_path):
+    import zstandard
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rnd, rows = random.Random(7), []
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    for k in range(48):
+        rows.append((k, f"menu of s{k % 3}\n{prose(rnd.randint(70, 200))}\n{prose(9)}", f"s{k % 3}" if k % 8 else None))
+    rows += [(100 + k, rows[k][1] + " " + prose(2), rows[k][2]) for k in range(0, 12, 2)] + [(120 + k, rows[k][1], rows[k][2]) for k in range(20, 24)]
+    rows += [(200, "too short", "s0"), (201, "same words again " * 60, "s1"), (202, None, "s2"), (203, "", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    good = [r for r in rows if quality.judge((r[1] or "").encode(), quality.Bands(), squeeze)[6]]
+    pages, holders = collections.Counter(r[2] for r in good), collections.Counter((r[2], x) for r in good for x in set(r[1].split("\n")) if x.strip())
+    dropped = {(s, x) for (s, x), n in holders.items() if n >= 5 and n > 0.2 * pages[s]}
+    lean = [(d, "\n".join(x for x in t.split("\n") if (s, x) not in dropped), s) for d, t, s in good]
+    sets = [shingles(t) for _, t, _ in lean]
+    root = components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+    single = [r for i, r in enumerate(lean) if root[i] == i]
+    assert len(rows) > len(good) > len(single) > 20 and dropped
+    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(single, "doc_id long, text string, source string")).collect()}
+    library, wanted = Tokenizer.from_file(tokenizer()), []
+    for d, t, _ in single:
+        ids = library.encode(t, add_special_tokens=False).ids
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        wanted += [(d, len(ids), *digests)] * copies[d]
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(wanted)
