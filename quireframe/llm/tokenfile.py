@@ -117,14 +117,20 @@ class Dataset:
 
 
 def _sample(docs: DataFrame, path: str) -> list[bytes]:
-    """Serialized ids of a bounded sample of documents; only their ids are read to choose them."""
+    """Serialized ids of windows from anywhere in a bounded sample of documents; only their ids are read to choose them."""
     order = F.xxhash64("doc_id")
     last = docs.where("doc_id is not null").select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if last is None:
         return []
-    rows = docs.where(order <= F.lit(last)).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(SAMPLE_DOCS).collect()
-    e = encoder(path)
-    return [pack(e.ids(r["text"].encode())[: 4 * SAMPLE_IDS]) for r in rows]
+    start = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.length("text") - 8 * SAMPLE_IDS, F.lit(0)) + 1).cast("int") + 1
+    rows = docs.where(order <= F.lit(last)).select(F.substring("text", start, F.lit(8 * SAMPLE_IDS)).alias("text")).limit(SAMPLE_DOCS).collect()
+    e, out = encoder(path), []
+    for r in rows:
+        raw = r["text"].encode()
+        ids = e.ids(raw)
+        at = 4 * (zlib.crc32(raw) % (max(0, len(ids) // 4 - SAMPLE_IDS) + 1))
+        out.append(pack(ids[at : at + 4 * SAMPLE_IDS]))
+    return out
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> Dataset:

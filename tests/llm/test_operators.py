@@ -74,6 +74,15 @@ def test_token_file_round_trip(spark, docs):
     assert tokenfile.read(spark, tokenfile.write(none(spark), tokenizer())).count() == 0
 
 
+def test_dictionary_sample_reaches_late_parts(spark):
+    from tokenizers import Tokenizer
+
+    one, two = (Tokenizer.from_file(tokenizer()).encode(x, add_special_tokens=False).ids[0] for x in ("one", "two"))
+    df = spark.createDataFrame([(k, "one " * 10_000 + "two " * 10_000) for k in range(30)], "doc_id long, text string")
+    seen = [struct.unpack(f"<{len(b) // 4}I", b) for b in map(tokenfile.unpack, tokenfile._sample(df, tokenizer()))]
+    assert {i for ids in seen for i in ids} == {one, two} and all(len(ids) == 4096 for ids in seen)
+
+
 def shingles(text, n=5):
     w = WORD.findall((text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
