@@ -15,19 +15,22 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from . import common
+from . import common, units
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Chunks kept with their encoding by a worker, and the longest chunk kept.
-CACHE, CACHE_LEN = 150_000, 48
+#: Steps of the transducer that a worker keeps.
+STATES = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,7 +51,8 @@ class Merges:
         self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
         self.lookahead = max(1, len(self.rank)) * self.longest
         self._tokens: dict[str, tuple | None] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self.states: dict[str | None, After] = {}
+        self.learned = 0
 
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -98,76 +102,94 @@ class Merges:
 
     def follows(self, a: str, b: str) -> bool:
         """Whether no merge reaches across the border of a and b while they are being made."""
-        key = (a, b)
-        try:
-            return self._pairs[key]
-        except KeyError:
-            pass
-        rank, got = self.rank, True
+        rank = self.rank
         for x, born_x, ends_x in self.token(a)[1]:
             for y, born_y, ends_y in self.token(b)[0]:
                 r = rank.get((x, y))
                 # at the same rank the merge further left goes first: the one inside a, but not the one inside b
                 if r is not None and (now := max(r, born_x, born_y)) < ends_x and now <= ends_y:
-                    got = False
-        if len(self._pairs) > 600_000:
-            self._pairs.clear()
-        self._pairs[key] = got
-        return got
+                    return False
+        return True
+
+    def start(self) -> After:
+        """The state before the first letter; what was learned is dropped when it has grown too much."""
+        if self.learned > STATES:
+            self.learned, self.states = 0, {}
+        return self.states.get(None) or self.states.setdefault(None, After(self, None))
 
     def stream(self, letters: Iterable[str]) -> Iterator[str]:
         """The tokens of a piece that arrives in strings of any length, each as soon as no later letter can change it."""
         buffer, base = "", 0  # letters from the oldest unsettled prefix on; how many prefixes are settled
-        chain: list[tuple[int, str | None]] = [(0, None)]  # of prefixes from there on: where the last token starts, the token
-        wait, token, follows, longest = "", self.token, self.follows, self.longest
+        after: list[After] = [self.start()]  # of prefixes from there on: what may follow the last token,
+        came: list[int] = [0]  # and where that token starts
+        wait, longest, suffix = "", self.longest, self.suffix
+        emit = 3 * longest
         for block in letters:
             block, wait = wait + block[:-1], block[-1:]  # the last letter carries the end mark
             for s in block:
                 buffer += s
                 n = len(buffer)
                 for j in range(n - 1, max(-1, n - 1 - longest), -1):
-                    tail = buffer[j:n]
-                    if token(tail) is not None and ((before := chain[j][1]) is None or follows(before, tail)):
-                        chain.append((base + j, tail))
+                    if (now := after[j][buffer[j:n]]) is not None:
+                        after.append(now)
+                        came.append(base + j)
                         break
                 else:
                     raise ValueError(f"no token ends in {buffer[-1]!r}")
-                if n > 3 * longest:
-                    out = self._settle(chain, base)
+                if n > emit:
+                    out, done = self._settle(after, came, base)
                     yield from out
-                    done = len(buffer) + 1 - len(chain)
-                    buffer, base = buffer[done:], base + done
+                    if done:
+                        after, came, buffer, base = after[done:], came[done:], buffer[done:], base + done
+                    elif n > self.lookahead:
+                        raise AssertionError("more letters wait than the merge list's lookahead")
         if wait:
             n = len(buffer) + 1
+            tail = buffer + wait + suffix
             for j in range(n - 1, max(-1, n - 1 - longest), -1):
-                tail = buffer[j:] + wait + self.suffix
-                if token(tail) is not None and ((before := chain[j][1]) is None or follows(before, tail)):
-                    chain.append((base + j, tail))
+                if (now := after[j][tail[j:]]) is not None:
+                    after.append(now)
+                    came.append(base + j)
                     break
-            yield from self._path(chain, base, base + n)
+            else:
+                raise ValueError(f"no token ends in {wait + suffix!r}")
+            yield from self._path(after, came, base, base + n)
 
     @staticmethod
-    def _path(chain: list, base: int, n: int) -> list[str]:
+    def _path(after: list, came: list, base: int, n: int) -> list[str]:
         out = []
         while n > base:
-            n, t = chain[n - base]
-            out.append(t)
+            out.append(after[n - base].text)
+            n = came[n - base]
         return out[::-1]
 
-    def _settle(self, chain: list, base: int) -> list[str]:
-        """Tokens that all live prefixes share; what they cover leaves the chain."""
-        n = base + len(chain) - 1
+    def _settle(self, after: list, came: list, base: int) -> tuple[list[str], int]:
+        """Tokens that all live prefixes share, and how many letters they cover."""
+        n = base + len(after) - 1
         live = set(range(max(base, n + 1 - self.longest), n + 1))
         while len(live) > 1:
             last = max(live)
             live.discard(last)
-            live.add(chain[last - base][0] if last > base else base)
+            live.add(came[last - base] if last > base else base)
         stable = live.pop()
-        out = self._path(chain, base, stable)
-        if out:
-            del chain[: stable - base]
-            chain[0] = (stable, out[-1])
-        return out
+        return self._path(after, came, base, stable), stable - base
+
+
+class After(dict):
+    """The state after a token: for each string, the state after it where it is a token that may follow, else None."""
+
+    __slots__ = ("merges", "text")
+
+    def __init__(self, merges: Merges, text: str | None):
+        self.merges, self.text = merges, text
+
+    def __missing__(self, tail: str) -> After | None:
+        m, got = self.merges, None
+        if m.token(tail) is not None and (self.text is None or m.follows(self.text, tail)):
+            got = m.states.get(tail) or m.states.setdefault(tail, After(m, tail))
+        m.learned += 1
+        self[tail] = got
+        return got
 
 
 class Codec:
@@ -185,17 +207,24 @@ class Codec:
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        if split["pattern"]["Regex"] != units.PATTERN:
+            raise ValueError("only files with the known pattern are encoded here")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.lines = regex.compile(split["pattern"]["Regex"] + r"|\n")
         self.specials = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.letters = byte_letters()
         self.decoder = spec.get("decoder")
         if self.decoder is not None and self.decoder["type"] != "ByteLevel":
             raise ValueError("only files without a decoder or with a byte-level one are known here")
         self.bytes = {c: b for b, c in self.letters.items()}
-        #: What parts the decoded texts of two neighbouring tokens.
-        self.between = b" "
-        self.cache = common.Recent(CACHE)
-        self.piece_cache = common.Recent(CACHE)
+        #: What follows the decoded text of each token but the last.
+        self.between = b" " if self.decoder is None else b""
+        self.units = units.Encoder(self.encode_units)
+        self.piece_ids = common.Recent(units.KEPT)
+        most = max(self.tokens, default=-1) + 1
+        ends = [b"%d " % i for i in range(most)]
+        shown = [b"".join(self.decode_stream([i])) + self.between if i in self.tokens else b"" for i in range(most)]
+        self.tables = [pa.array(x, pa.large_binary()) for x in (ends, shown)]
 
     def pieces(self, chunk: str) -> Iterator[str | int]:
         """Ids of special tokens, and pieces of ordinary text; a piece's letters stand for bytes."""
@@ -206,27 +235,43 @@ class Codec:
             at = m.end()
         yield from self._plain(chunk[at:])
 
-    def _plain(self, text: str) -> list[str]:
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # the file's lower-casing is letter by letter: a final sigma is not told apart
-        return self.pattern.findall(text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text))
+        return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
 
-    def encode_piece(self, piece: str) -> list[int]:
-        if self.decoder is not None:  # such files take white space for letters, which chunks leave out
-            raise ValueError("files with a decoder are only decoded here")
-        letters = "".join(map(self.letters.__getitem__, piece.encode()))
-        return [self.vocab[t] for t in self.merges.stream((letters,))]
+    def _plain(self, text: str) -> list[str]:
+        return self.pattern.findall(self._normal(text))
+
+    def encode_piece(self, piece: str) -> bytes:
+        if (got := self.piece_ids.get(piece)) is None:
+            letters = "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = [self.vocab[t] for t in self.merges.stream((letters,))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) <= units.KEPT_LEN:
+                self.piece_ids.put(piece, got)
+        return got
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for p in self.pieces(chunk):
-            ids.extend((p,) if isinstance(p, int) else self.encode_piece(p))
-        return ids
+    def encode_units(self, some: list[bytes]) -> list[bytes]:
+        """Ids of units, as 32-bit integers; units without special tokens are cut into pieces together, a line each."""
+        if self.decoder is not None:  # such files take white space for letters, which units leave out
+            raise ValueError("files with a decoder are only decoded here")
+        out: list[list[bytes]] = [[]]
+        special = [b"<|" in u for u in some]
+        for p in self.lines.findall(self._normal("".join(("" if x else u.decode()) + "\n" for u, x in zip(some, special, strict=True)))):
+            if p == "\n":
+                out.append([])
+            else:
+                out[-1].append(self.encode_piece(p))
+        for k in itertools.compress(range(len(some)), special):
+            out[k] = [struct.pack("<I", p) if isinstance(p, int) else self.encode_piece(p) for p in self.pieces(some[k].decode())]
+        return list(map(b"".join, out[: len(some)]))
 
     def encode(self, text: str) -> list[int]:
-        """Chunks between white space are encoded apart: no rule of the file reaches across it."""
-        return [i for chunk in (text or "").encode().split() for i in self.encode_chunk(chunk.decode())]
+        """Units are encoded apart: no rule of the file reaches across them."""
+        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        return np.frombuffer(next(self.units.rows(raw, np.array([0, len(raw)]))), dtype="<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(self.decode_stream(ids)).decode()
@@ -251,46 +296,57 @@ class Codec:
                 yield (" " + t if begun else t).encode()
                 begun = True
 
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), b"".join(self.decode_stream(ids))
-
-    def known(self, chunk: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids as decimals and decoded tokens of a chunk, both parted by spaces."""
-        if (got := self.cache.get(chunk)) is not None:
-            return got
-        parts = []
-        for p in self.pieces(chunk.decode()):
-            got = self.piece_cache.get(p)
-            if got is None:
-                got = self._entry([p] if isinstance(p, int) else self.encode_piece(p))
-                if isinstance(p, str) and len(p) <= CACHE_LEN:
-                    self.piece_cache.put(p, got)
-            parts.append(got)
-        if len(parts) == 1:
-            got = parts[0]
-        else:
-            got = sum(x[0] for x in parts), b" ".join(x[1] for x in parts), self.between.join(x[2] for x in parts)
-        if len(chunk) <= CACHE_LEN:
-            self.cache.put(chunk, got)
-        return got
+    def digests(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, str, str]]:
+        """Of each row: number of ids, digests of the ids and of the text decoded from them, a block at a time."""
+        row, n, kept = 0, 0, None
+        for i, j, block, first in units.blocks(raw, starts):
+            indices, bounds, ids = self.units.distinct(block, first)
+            counts, places = self._shown(ids)
+            held = np.zeros(len(indices) + 1, dtype=np.int64)
+            np.cumsum(counts[indices], out=held[1:])
+            both = [units.views(pc.take(p, indices)) for p in places]
+            for k in range(j - i):
+                if kept is None or i + k != row:
+                    if kept is not None:
+                        yield n, *(x.end() for x in kept)
+                    row, n, kept = i + k, 0, (Digest(b" "), Digest(self.between))
+                n += int(held[bounds[k + 1]] - held[bounds[k]])
+                for x, (data, offsets) in zip(kept, both, strict=True):
+                    x.add(data[offsets[bounds[k]] : offsets[bounds[k + 1]]])
+        if kept is not None:
+            yield n, *(x.end() for x in kept)
 
     def digest(self, text: bytes) -> tuple[int, str, str]:
-        """Number of ids and digests of the ids and of the decoded text, some thousand words at a time."""
-        n, a, b = 0, hashlib.sha256(), hashlib.sha256()
-        words = text.split()
-        for k in range(0, len(words), 8192):
-            some = words[k : k + 8192]
-            rows = list(map(self.cache.young.get, some))
-            if None in rows:
-                rows = [self.known(w) if r is None else r for w, r in zip(some, rows, strict=True)]
-            counts = list(map(itemgetter(0), rows))
-            if 0 in counts:
-                rows = [r for r in rows if r[0]]
-            if rows:
-                a.update((b" " if n else b"") + b" ".join(map(itemgetter(1), rows)))
-                b.update((self.between if n else b"") + self.between.join(map(itemgetter(2), rows)))
-                n += sum(counts)
-        return n, a.hexdigest(), b.hexdigest()
+        raw = np.frombuffer(text, dtype=np.uint8)
+        return next(self.digests(raw, np.array([0, len(raw)])))
+
+    def _shown(self, ids: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """Of units' ids: how many, as decimals, and decoded, what parts them after each."""
+        data, offsets = units.views(ids)
+        flat = pa.array(np.frombuffer(data, dtype="<u4", count=int(offsets[-1]) // 4).astype(np.int32))
+        at = offsets // 4
+        out = []
+        for t in self.tables:
+            some, ends = units.views(pc.take(t, flat))
+            out.append(units.binary(ends[at], some))
+        return np.diff(at), out
+
+
+class Digest:
+    """SHA-256 of bytes that come in pieces, without the separator that ends the last."""
+
+    def __init__(self, after: bytes):
+        self.after, self.hash, self.any = after, hashlib.sha256(), False
+
+    def add(self, data: memoryview) -> None:
+        if len(data):
+            if self.any:
+                self.hash.update(self.after)
+            self.hash.update(data[: len(data) - len(self.after)])
+            self.any = True
+
+    def end(self) -> str:
+        return self.hash.hexdigest()
 
 
 _CODECS: dict[str, Codec] = {}
@@ -308,8 +364,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            raw, at = common.text_views(batch, "text")
-            rows = [c.digest(raw[at[i] : at[i + 1]].tobytes()) for i in range(batch.num_rows)]
+            rows = list(c.digests(*common.text_views(batch, "text")))
             n, a, b = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
@@ -325,7 +380,10 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            ids = [c.encode(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            rows = list(c.units.rows(*common.text_views(batch, "text")))
+            at = np.zeros(len(rows) + 1, dtype=np.int32)
+            np.cumsum([len(r) // 4 for r in rows], out=at[1:])
+            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
