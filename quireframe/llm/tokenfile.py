@@ -6,16 +6,17 @@ starts with a magic word, its number of documents and the dictionary's hash, the
 (doc_id, first id, number of ids, offset and length of the frame), then one zstandard frame a document. A
 short document is read by one index look-up and one small frame; neighbours are not touched.
 
-Documents are dealt to shards by ranges of doc_id and sorted there, so shards follow each other; the
-start of a shard is the sum of the ids of the shards before it, from one number a shard.
+A document's frame is made where its text is read. Frames are dealt to shards by ranges of doc_id and sorted there, so
+shards follow each other; the start of a shard is the sum of the ids of the shards before it, from one number a shard.
 
 Defined results: a null text is an empty one and holds the end id only; rows that share a doc_id follow
-each other, ordered by text; a null doc_id comes first; an empty table gives no rows. Other columns are ignored.
+each other, ordered by a hash of the text; a null doc_id comes first; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import common
+from . import common, units
 
 MAGIC = b"QTB1"
 _HEAD, _HEAD_BYTES = "<4sI32s", struct.calcsize("<4sI32s")
@@ -33,12 +34,16 @@ _INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("first", "<u8"), ("n", "
 BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on so many documents, those with the smallest hashes of doc_id, and so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1500, 4096, 32_768
+#: nth numbers the rows of a task, so that rows of one doc_id can stand in several shards.
+FRAMES = "doc_id long, tie long, nth long, n long, frame binary"
 BLOCKS = "shard int, block int, n_docs long, n_ids long, data binary"
-CACHE, CACHE_LEN = 400_000, 48
+#: Words that go through the library as one text.
+TOGETHER = 128
 
 
 class LibraryEncoder:
-    """The tokenizers library with a memory for chunks between white space, which no rule of the file reaches across."""
+    """The tokenizers library, over the distinct units of texts where the file is of the kind that units are made for, else over
+    whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,26 +51,47 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache = common.Recent(CACHE)
-
-    def ids(self, text: bytes) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        out = []
-        words = text.split()
-        for k in range(0, len(words), 8192):
-            some = words[k : k + 8192]
-            rows = list(map(self.cache.young.get, some))
-            if None in rows:
-                known = {w: self.cache.get(w) for w in {w for w, r in zip(some, rows, strict=True) if r is None}}
-                new = [w for w, r in known.items() if r is None]
-                got = self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                for w, e in zip(new, got, strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                    if len(w) <= CACHE_LEN:
-                        self.cache.put(w, known[w])
-                rows = [known[w] if r is None else r for w, r in zip(some, rows, strict=True)]
-            out.append(b"".join(rows))
-        return b"".join(out)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        split = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.units = units.Encoder(self._units) if suffix and split == [units.PATTERN] else None
+        vocab = spec["model"]["vocab"]
+        if self.units is not None:
+            self.ends = np.zeros(max(vocab.values()) + 1 + len(spec.get("added_tokens", [])), dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _units(self, some: list[bytes]) -> list[bytes]:
+        """Units of letters alone are one piece each, so many of them go through the library as one text, and its ids are parted
+        where words end; other units go one by one."""
+        out: list[bytes] = [b""] * len(some)
+        words, others = [], []
+        for k, u in enumerate(some):
+            (words if u.decode().isalpha() else others).append(k)
+        lots = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for lot, ids in zip(lots, self._ids([b" ".join(some[k] for k in lot).decode() for lot in lots]), strict=True):
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(lot):  # some letters fall apart into others and marks
+                others.extend(lot)
+                continue
+            data, at = ids.tobytes(), [0, *(4 * at).tolist()]
+            for i, k in enumerate(lot):
+                out[k] = data[at[i] : at[i + 1]]
+        for k, ids in zip(others, self._ids([some[k].decode() for k in others]), strict=True):
+            out[k] = ids.tobytes()
+        return out
+
+    def rows(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        if self.units is not None:
+            yield from self.units.rows(raw, starts)
+            return
+        for i, j in common.row_runs(starts, units.BLOCK):
+            for ids in self._ids([raw[starts[k] : starts[k + 1]].tobytes().decode() for k in range(i, j)]):
+                yield ids.tobytes()
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -124,19 +150,20 @@ def _sample(docs: DataFrame, path: str) -> list[bytes]:
         return []
     start = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.length("text") - 8 * SAMPLE_IDS, F.lit(0)) + 1).cast("int") + 1
     rows = docs.where(order <= F.lit(last)).select(F.substring("text", start, F.lit(8 * SAMPLE_IDS)).alias("text")).limit(SAMPLE_DOCS).collect()
-    e, out = encoder(path), []
-    for r in rows:
-        raw = r["text"].encode()
-        ids = e.ids(raw)
-        at = 4 * (zlib.crc32(raw) % (max(0, len(ids) // 4 - SAMPLE_IDS) + 1))
+    raw = [r["text"].encode() for r in rows]
+    starts = np.r_[0, np.cumsum([len(x) for x in raw], dtype=np.int64)]
+    out = []
+    for x, ids in zip(raw, encoder(path).rows(np.frombuffer(b"".join(raw), dtype=np.uint8), starts), strict=True):
+        at = 4 * (zlib.crc32(x) % (max(0, len(ids) // 4 - SAMPLE_IDS) + 1))
         out.append(pack(ids[at : at + 4 * SAMPLE_IDS]))
     return out
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", level: int = 3) -> Dataset:
-    """Encodes and writes all documents; two passes over the ids, one over the texts, one shuffle."""
+    """Encodes and writes all documents: one pass over the texts makes a frame of each; only frames are shuffled and sorted."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text"))
+    text = common.empty_if_null(F.col(text_col))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     path = common.fresh_path(spark, "tokens")
     trained = train(_sample(docs, tokenizer))
     digest = hashlib.sha256(trained).digest()
@@ -150,6 +177,26 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
         squeeze = zstandard.ZstdCompressor(level=level, dict_data=shared).compress
         e = encoder(tokenizer)
         end = struct.pack("<I", end_id)
+        nth = 0
+        for batch in batches:
+            k, n, frames, size = 0, [], [], 0
+
+            def rows() -> pa.RecordBatch:
+                nonlocal k, n, frames, size, nth
+                m = len(frames)
+                cols = [batch.column(0).slice(k, m), batch.column(2).slice(k, m), pa.array(range(nth, nth + m), pa.int64()), pa.array(n, pa.int64()), pa.array(frames, pa.binary())]  # noqa: B023
+                k, n, frames, size, nth = k + m, [], [], 0, nth + m
+                return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in FRAMES.split(", ")])
+
+            for ids in e.rows(*common.text_views(batch, "text")):
+                n.append(len(ids) // 4 + 1)
+                frames.append(squeeze(pack(ids + end)))
+                size += len(frames[-1])
+                if size >= 8 * BLOCK_BYTES:
+                    yield rows()
+            yield rows()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first, index, frames, at = 0, 0, 0, [], [], 0
 
         def cut() -> pa.RecordBatch:
@@ -165,23 +212,23 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
             return out
 
         for batch in batches:
-            raw, starts = common.text_views(batch, "text")
-            ids, shards = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, doc in enumerate(ids):
-                shard = shards[i]
-                words = e.ids(raw[starts[i] : starts[i + 1]].tobytes()) + end
-                frame = squeeze(pack(words))
-                index.append((doc or 0, doc is None, first, len(words) // 4, at, len(frame)))
+            ids, sizes, shards = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            for i, (doc, n) in enumerate(zip(ids, sizes, strict=True)):
+                shard, frame = shards[i], batch.column(2)[i].as_py()
+                index.append((doc or 0, doc is None, first, n, at, len(frame)))
                 frames.append(frame)
-                first, at = first + len(words) // 4, at + len(frame)
+                first, at = first + n, at + len(frame)
                 if at >= BLOCK_BYTES:
                     yield cut()
         if index:
             yield cut()
 
-    n = max(common.parts(spark), 1)
-    dealt = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
-    dealt.mapInArrow(encode, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # written before it is dealt out, since the range partitioner reads its input twice
+    frames = common.written(docs.mapInArrow(encode, FRAMES), "token-frames", "none")
+    order = ["doc_id", "tie", "nth"]
+    dealt = frames.repartitionByRange(max(common.parts(spark), 1), *order).sortWithinPartitions(*order)
+    dealt = dealt.select("doc_id", "n", "frame", F.spark_partition_id().alias("shard"))
+    dealt.mapInArrow(assemble, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     return Dataset(path)
 
 
