@@ -30,7 +30,7 @@ from . import common, units
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Steps of the transducer that a worker keeps.
-STATES = 600_000
+STATES = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -220,7 +220,6 @@ class Codec:
         #: What follows the decoded text of each token but the last.
         self.between = b" " if self.decoder is None else b""
         self.units = units.Encoder(self.encode_units)
-        self.piece_ids = common.Recent(units.KEPT)
         most = max(self.tokens, default=-1) + 1
         ends = [b"%d " % i for i in range(most)]
         shown = [b"".join(self.decode_stream([i])) + self.between if i in self.tokens else b"" for i in range(most)]
@@ -245,12 +244,13 @@ class Codec:
         return self.pattern.findall(self._normal(text))
 
     def encode_piece(self, piece: str) -> bytes:
-        if (got := self.piece_ids.get(piece)) is None:
-            letters = "".join(map(self.letters.__getitem__, piece.encode()))
+        """A piece is kept like a unit, which it is where it stands alone."""
+        if (got := self.units.kept.get(raw := piece.encode())) is None:
+            letters = "".join(map(self.letters.__getitem__, raw))
             ids = [self.vocab[t] for t in self.merges.stream((letters,))]
             got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(piece) <= units.KEPT_LEN:
-                self.piece_ids.put(piece, got)
+            if len(raw) <= units.KEPT_LEN:
+                self.units.kept.put(raw, got)
         return got
 
     def encode_units(self, some: list[bytes]) -> list[bytes]:

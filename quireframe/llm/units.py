@@ -19,7 +19,7 @@ from . import common
 #: Bytes of text cut at once; a unit that is longer stays whole.
 BLOCK = 1 << 22
 #: Units kept in each generation of the memory, and the longest unit kept.
-KEPT, KEPT_LEN = 300_000, 48
+KEPT, KEPT_LEN = 250_000, 48
 #: Fixed value: the pattern of the files that these rules hold for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -116,10 +116,10 @@ class Encoder:
     """Ids of texts by their units; encode: from distinct units to their ids as little-endian 32-bit integers."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
-        self._encode, self._kept = encode, common.Recent(KEPT)
+        self._encode, self.kept = encode, common.Recent(KEPT)
 
     def of(self, units: list[bytes]) -> list[bytes]:
-        kept = self._kept
+        kept = self.kept
         out = list(map(kept.young.get, units))
         missing = [k for k, ids in enumerate(out) if ids is None]
         for k in missing:
