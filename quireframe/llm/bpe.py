@@ -361,6 +361,8 @@ def codec(path: str) -> Codec:
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the text decoded from them. No shuffle."""
 
+    common.lean(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -371,12 +373,14 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(common.tidy(run), SCHEMA)
 
 
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its ids, as array<int>."""
 
+    common.lean(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
@@ -386,4 +390,4 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(common.tidy(run), "doc_id long, ids array<int>")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of documents: runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 _OWN_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -19,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The cluster's shared folder. Where none is set, a local one serves a local master, as in tests; a cluster has to name one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = spark.conf.get("spark.checkpoint.dir", None) or _OWN_CHECKPOINTS
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = _OWN_CHECKPOINTS
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -33,15 +39,57 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends here, any executor may be lost.
 
-    The files are removed with the driver's session directory; a job that reruns writes anew.
+    The files go when the driver's JVM ends, or before that by `drop`; a job that reruns writes anew.
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    lean(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        fs, at = _folder(t.sparkSession, t.written_at)
+        fs.delete(at, True)
+
+
+def lean(spark: SparkSession) -> None:
+    """Rows go to Python in batches of so many bytes, so that long texts do not pile up in a worker; less stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)\s*b?", spark.conf.get(key))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy(run: Callable) -> Callable:
+    """run over batches; what a worker holds without need goes back to the system when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def parts(spark: SparkSession) -> int:

@@ -15,6 +15,9 @@ that all strings of the suffix share, and `full`, of all bytes of all its string
    buckets and runs as above, and where a group may repeat in part, its strings one by one.
 3. The repeated starts of a text are joined to it, and what they cover is removed. Texts are shuffled compressed.
 
+Beside that, a shorter sampled suffix whose leading token also stands in another row marks a text that shares a passage with it:
+every passage of PASSAGE bytes in two rows is seen, no string shorter than PASSAGE - PASSAGE_WINDOW + 1 bytes is.
+
 Tokens are 64-bit fingerprints, so what counts as equal is equal in 128 bits.
 
 Defined results: a null text is an empty one, nothing of it is removed; a text shorter than `length` is kept; texts of
@@ -29,11 +32,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
 LENGTH, WINDOW, GRAM, STEP = 400, 256, 16, 16
+#: Shared passages: all of so many bytes (some 50 words) have a sampled suffix inside, whose leading token spans a half of them.
+PASSAGE, PASSAGE_WINDOW = 255, 128
 #: Bytes fingerprinted at once, and the bits that number them.
 BLOCK, POS_BITS = 1 << 19, np.uint64(20)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -141,9 +147,9 @@ def _first_of_runs(lead: np.ndarray, full: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (full[1:] != full[:-1])])
 
 
-def _rows(arrays, counted: bool):
-    """Rows of suffixes from arrays(batch), which gives tuples of lead, full, key, base, s, e; counted: equal ones of a batch
-    as one row with their number."""
+def _rows(arrays):
+    """Rows of suffixes from arrays(batch), which gives tuples of lead, full, key, base, s, e; n is the number of equal ones of a
+    batch on the first of them, 0 on the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,12 +157,10 @@ def _rows(arrays, counted: bool):
             if not got:
                 continue
             cols = [np.concatenate(c) for c in zip(*got, strict=True)]
-            n = np.ones(len(cols[0]), dtype=np.int64)
-            if counted:
-                order = multikey_quicksort(cols[0], cols[1])
-                first = _first_of_runs(cols[0][order], cols[1][order])
-                n = np.diff(np.r_[first, len(order)])
-                cols = [c[order[first]] for c in cols]
+            order = multikey_quicksort(cols[0], cols[1])
+            first = _first_of_runs(cols[0][order], cols[1][order])
+            n = np.zeros(len(order), dtype=np.int64)
+            n[order[first]] = np.diff(np.r_[first, len(order)])
             yield pa.RecordBatch.from_arrays([_signed(cols[0]), _signed(cols[1]), *(pa.array(c.astype(np.int64)) for c in (*cols[2:], n))], names=[x.split()[0] for x in SUFFIX.split(", ")])
 
     return run
@@ -177,21 +181,49 @@ def _sampled(length: int, window: int, gram: int):
     return arrays
 
 
-def groups_of(piece: np.ndarray, n: int, length: int, window: int, gram: int, step: int):
-    """The n starts of a suffix in groups of `step`, cut at the same places from its k-gram on wherever it stands: first and last
-    start and tokens of each group."""
-    prints = Prints(piece)
-    g = common.mix64(prints.raw(np.arange(window), gram))
+def _leads(length: int, window: int, gram: int):
+    """Leading tokens of sampled suffixes of texts (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, starts = common.text_views(batch, "text")
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for block, rows, bounds, _ in blocks(raw, starts, length):
+                if (found := suffixes(block, bounds, length, window, gram)) is not None:
+                    yield pa.RecordBatch.from_arrays([_signed(found[3]), pa.array(keys[rows[found[0]]])], names=["lead", "key"])
+
+    return run
+
+
+def _sharing(own: DataFrame, length: int, window: int, gram: int) -> DataFrame:
+    """Keys of the texts (key, text) that share a passage with a text of another key."""
+    leads = common.written(own.mapInArrow(common.tidy(_leads(length, window, gram)), "lead long, key long"), "passage-leads")
+    shared = leads.groupBy(F.col("lead").alias("l")).agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("l")
+    shared = common.written(shared, "passage-shared")  # so that the join below can split hot tokens
+    out = common.written(leads.join(shared, F.col("lead") == F.col("l"), "left_semi").select("key").distinct(), "passage-keys")
+    common.drop(leads, shared)
+    return out
+
+
+def groups_of(block: np.ndarray, at: np.ndarray, n: np.ndarray, length: int, window: int, gram: int, step: int):
+    """The n starts of each suffix in groups of `step`, cut at the same places from its k-gram on wherever it stands. Suffixes begin
+    at `at` in the block; of each group: which suffix, first and last start, tokens."""
+    prints = Prints(block)
+    g = common.mix64(prints.raw(np.arange(len(block) - gram + 1), gram))
     low = (np.uint64(1) << POS_BITS) - np.uint64(1)
-    own = int(((g & ~low) | np.arange(window, dtype=np.uint64)).argmin())
+    places = np.arange(window)
+    own = ((g[at[:, None] + places] & ~low) | places.astype(np.uint64)).argmin(axis=1)
     shift = -(-window // step) * step
-    k = np.arange((shift - own) // step, (n - 1 + shift - own) // step + 1)
-    left = k * step - shift + own
+    from_ = (shift - own) // step
+    many = (n - 1 + shift - own) // step - from_ + 1
+    of = np.repeat(np.arange(len(at)), many)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + from_[of]
+    left = k * step - shift + own[of]
     right = left + step - 1
-    s, e = np.maximum(left, 0), np.minimum(right, n - 1)
-    lead = common.mix64(prints.of(right, length - step + 1) + k.astype(np.uint64))
-    full = common.mix64(prints.of(s, e - s + length) + ((k * step + s - left) * step + e - left).astype(np.uint64))
-    return s, e, lead, full
+    s, e = np.maximum(left, 0), np.minimum(right, n[of] - 1)
+    lead = common.mix64(prints.of(at[of] + right, length - step + 1) + k.astype(np.uint64))
+    full = common.mix64(prints.of(at[of] + s, e - s + length) + ((k * step + s - left) * step + e - left).astype(np.uint64))
+    return of, s, e, lead, full
 
 
 def _grouped(length: int, window: int, gram: int, step: int):
@@ -200,26 +232,37 @@ def _grouped(length: int, window: int, gram: int, step: int):
     def arrays(batch: pa.RecordBatch):
         raw, starts = common.text_views(batch, "piece")
         key, s, e = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        for i in range(batch.num_rows):
-            a, b, lead, full = groups_of(raw[starts[i] : starts[i + 1]], int(e[i] - s[i]) + 1, length, window, gram, step)
-            same = np.full(len(a), s[i])
-            yield lead, full, np.full(len(a), key[i]), same, a + s[i], b + s[i]
+        for i, j in common.row_runs(starts, BLOCK):
+            of, a, b, lead, full = groups_of(raw[starts[i] : starts[j]], starts[i:j] - starts[i], e[i:j] - s[i:j] + 1, length, window, gram, step)
+            base = s[i:j][of]
+            yield lead, full, key[i:j][of], base, a + base, b + base
 
     return arrays
 
 
+def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of lists of (s, e): where each row's begin in the flat arrays (a row more), and those; a null list is empty."""
+    flat = column.flatten()
+    at = np.zeros(len(column) + 1, dtype=np.int64)
+    np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), out=at[1:])
+    return at, *(flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+
+
 def _single(length: int):
     """The strings of groups (key, s, piece, spans) one by one."""
 
     def arrays(batch: pa.RecordBatch):
         raw, starts = common.text_views(batch, "piece")
         key, base = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        for i in range(batch.num_rows):
-            piece = raw[starts[i] : starts[i + 1]]
-            both = Prints(piece, 0), Prints(piece, 1)
-            at = np.concatenate([np.arange(x["s"], x["e"] + 1) for x in batch.column(3)[i].as_py()]) - base[i]
-            same = np.full(len(at), base[i])
-            yield both[0].of(at, length), both[1].of(at, length), np.full(len(at), key[i]), same, at + base[i], at + base[i]
+        at, s, e = _spans(batch.column(3))
+        for i, j in common.row_runs(starts, BLOCK):
+            block = raw[starts[i] : starts[j]]
+            first, last = s[at[i] : at[j]], e[at[i] : at[j]]
+            many = last - first + 1
+            row = np.repeat(np.repeat(np.arange(i, j), np.diff(at[i : j + 1])), many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+            inside = place - base[row] + starts[row] - starts[i]
+            yield *(Prints(block, k).of(inside, length) for k in (0, 1)), key[row], base[row], place, place
 
     return arrays
 
@@ -246,13 +289,17 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sorted_out(source: DataFrame, arrays, what: str) -> tuple[DataFrame, DataFrame]:
     """Starts (key, s, e) of suffixes that repeat in all their strings, and those (key, base, s, e) that may in part."""
-    counted = source.mapInArrow(_rows(arrays, True), SUFFIX)
-    buckets = counted.repartitionByRange(common.parts(source.sparkSession), "lead", "full").mapInArrow(_bucket, BUCKET)
+    rows = common.written(source.mapInArrow(common.tidy(_rows(arrays)), SUFFIX), f"{what}-rows")
+    counted = rows.where("n > 0")
+    buckets = counted.repartitionByRange(common.parts(source.sparkSession), "lead", "full").mapInArrow(common.tidy(_bucket), BUCKET)
     buckets = common.written(buckets, what)
     whole = buckets.where("not part").select(F.col("lead").alias("l"), F.col("full").alias("f"))
-    every = source.mapInArrow(_rows(arrays, False), SUFFIX).select("lead", "full", "key", "s", "e")
+    every = rows.select("lead", "full", "key", "s", "e")
     repeated = every.join(whole, (F.col("lead") == F.col("l")) & (F.col("full") == F.col("f"))).select("key", "s", "e")
-    return repeated, buckets.where("part").select("key", "base", "s", "e")
+    repeated = common.written(repeated, f"{what}-repeated")
+    part = common.written(buckets.where("part").select("key", "base", "s", "e"), f"{what}-part")
+    common.drop(rows, buckets)
+    return repeated, part
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,18 +323,28 @@ def _pieces(length: int):
 
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            at, s, e = _spans(batch.column(2))
+            lot = []
+
+            def cut() -> pa.RecordBatch:
+                row, first, last, pieces = zip(*lot, strict=True)  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(key[list(row)]), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(pieces, pa.binary())], names=["key", "s", "e", "piece"])  # noqa: B023
+
             for i in range(batch.num_rows):
                 text = expand(batch.column(1)[i].as_py())
-                spans = [(x["s"], x["e"]) for x in batch.column(2)[i].as_py()]
-                for k in range(0, len(spans), 4096):
-                    s, e = zip(*spans[k : k + 4096], strict=True)
-                    cols = [pa.array(np.full(len(s), batch.column(0)[i].as_py())), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array([text[a : b + length] for a, b in zip(s, e, strict=True)], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "s", "e", "piece"])
+                for a, b in zip(s[at[i] : at[i + 1]].tolist(), e[at[i] : at[i + 1]].tolist(), strict=True):
+                    lot.append((i, a, b, text[a : b + length]))
+                    if len(lot) == 4096:
+                        yield cut()
+                        lot = []
+            if lot:
+                yield cut()
 
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept string"
 
 
 def _removed(length: int, texts: bool):
@@ -297,22 +354,23 @@ def _removed(length: int, texts: bool):
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
+            at, s, e = _spans(batch.column(2))
             for i in range(batch.num_rows):
                 text = np.frombuffer(expand(batch.column(1)[i].as_py()), dtype=np.uint8)
-                found = batch.column(2)[i].as_py()
-                if not found:
-                    rows.append((len(text), 0, 0, hashlib.sha256(text).hexdigest(), text.tobytes() if texts else None))
-                    continue
-                turns = np.zeros(len(text) + 1, dtype=np.int32)
-                np.add.at(turns, [x["s"] for x in found], 1)
-                np.add.at(turns, [x["e"] + length for x in found], -1)
-                gone = np.cumsum(turns[:-1]) > 0
+                first, last = s[at[i] : at[i + 1]], e[at[i] : at[i + 1]]
+                shares, first, last = bool((first < 0).any()), first[first >= 0], last[first >= 0]
+                gone = np.zeros(len(text), dtype=bool)
+                if len(first):
+                    turns = np.zeros(len(text) + 1, dtype=np.int32)
+                    np.add.at(turns, first, 1)
+                    np.add.at(turns, last + length, -1)
+                    gone = np.cumsum(turns[:-1]) > 0
                 kept = text[~gone].tobytes()
                 n_spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
-                rows.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            n, r, k, h, t = zip(*rows, strict=True) if rows else ([],) * 5
+                rows.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), shares, kept if texts else None))
+            n, r, k, h, p, t = zip(*rows, strict=True) if rows else ([],) * 6
             shown = pa.array([None if x is None else x.decode("utf-8", "replace") for x in t], pa.string())
-            cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), shown]
+            cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(p, pa.bool_()), shown]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
@@ -321,23 +379,29 @@ def _removed(length: int, texts: bool):
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True
 ) -> DataFrame:
-    """Per document: bytes, removed bytes and runs, digest of what is left, and what is left where texts is set
-    (a character of which some bytes are removed shows as a replacement character)."""
+    """Per document: bytes, removed bytes and runs, digest of what is left, whether it shares a passage with another row, and
+    what is left where texts is set (a character of which some bytes are removed shows as a replacement character)."""
     if window - 1 + gram > length or window < 2:
         raise ValueError("the window and a gram must fit into a string")
     spark = docs.sparkSession
     text = common.empty_if_null(F.col(text_col))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
     own = base.select("key", "text")
-    packed = base.select("doc_id", "key", "text").mapInArrow(_packed, "doc_id long, key long, z binary")
-    spans_of = lambda d: d.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # noqa: E731  of one text
+    packed = base.select("doc_id", "key", "text").mapInArrow(common.tidy(_packed), "doc_id long, key long, z binary")
+    spans_of = lambda d: d.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # noqa: E731  of one text
+    minus = F.lit(-1).cast("long")
+    sharing = _sharing(own, PASSAGE, PASSAGE_WINDOW, GRAM).select("key", minus.alias("s"), minus.alias("e"))
     repeated, part = _sorted_out(own, _sampled(length, window, gram), "suffix-buckets")
     picked = packed.join(spans_of(part).hint("shuffle_hash"), F.col("key") == F.col("of")).select("key", "z", "spans")
-    pieces = common.written(picked.mapInArrow(_pieces(length), "key long, s long, e long, piece binary"), "suffix-pieces")
+    pieces = common.written(picked.mapInArrow(common.tidy(_pieces(length)), "key long, s long, e long, piece binary"), "suffix-pieces")
+    common.drop(part)
     more, part = _sorted_out(pieces, _grouped(length, window, gram, min(STEP, window)), "group-buckets")
-    groups = part.groupBy(F.col("key").alias("of"), "base").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # of one suffix
+    groups = part.groupBy(F.col("key").alias("of"), "base").agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # of one suffix
     close = pieces.join(groups, (F.col("key") == F.col("of")) & (F.col("s") == F.col("base"))).select("key", "s", "piece", "spans")
-    last, _ = _sorted_out(common.written(close, "group-pieces"), _single(length), "string-buckets")
-    spans = spans_of(repeated.unionByName(more).unionByName(last))
+    close = common.written(close, "group-pieces")
+    common.drop(part, pieces)
+    last, part = _sorted_out(close, _single(length), "string-buckets")
+    common.drop(part, close)
+    spans = spans_of(repeated.unionByName(more).unionByName(last).unionByName(sharing))
     joined = packed.join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(_removed(length, texts), RESULT)
+    return joined.mapInArrow(common.tidy(_removed(length, texts)), RESULT)

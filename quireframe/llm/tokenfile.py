@@ -224,11 +224,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
             yield cut()
 
     # written before it is dealt out, since the range partitioner reads its input twice
-    frames = common.written(docs.mapInArrow(encode, FRAMES), "token-frames", "none")
+    frames = common.written(docs.mapInArrow(common.tidy(encode), FRAMES), "token-frames", "none")
     order = ["doc_id", "tie", "nth"]
     dealt = frames.repartitionByRange(max(common.parts(spark), 1), *order).sortWithinPartitions(*order)
     dealt = dealt.select("doc_id", "n", "frame", F.spark_partition_id().alias("shard"))
-    dealt.mapInArrow(assemble, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    dealt.mapInArrow(common.tidy(assemble), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     return Dataset(path)
 
 
@@ -244,6 +244,7 @@ def open_block(data: bytes, digest: bytes) -> tuple[np.ndarray, memoryview]:
 def read(spark: SparkSession, dataset: Dataset) -> DataFrame:
     """Per document: where its ids start in the whole file, how many, and their CRC-32."""
     digest, trained = dataset.dictionary(spark)
+    common.lean(spark)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -270,7 +271,7 @@ def read(spark: SparkSession, dataset: Dataset) -> DataFrame:
                 )
 
     blocks = dataset.blocks(spark)
-    found = blocks.select("shard", "data").mapInArrow(decode, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    found = blocks.select("shard", "data").mapInArrow(common.tidy(decode), "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # one row a shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = shards.select(F.col("shard").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
