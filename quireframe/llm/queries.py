@@ -47,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"))
+    return quality.measure(table(spark, sf_dir, "documents"), quality.fitted(spark, sf_dir))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
