@@ -13,7 +13,8 @@ compared across components after that, where their rarest shingles leave it poss
 components is lost, and none inside a component is needed.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; fewer words than a shingle has are one
-shingle; rows that share a doc_id are one document; a null doc_id is linked with nothing, has no component and is kept; equal
+shingle; rows that share a doc_id are one document, linked with whatever any of their texts is (n_shingles is each row's own, and a
+wordless one of them stands alone); a null doc_id is linked with nothing, has no component and is kept; equal
 texts are linked; an empty table gives no rows. Other columns are ignored.
 """
 
@@ -30,14 +31,16 @@ from .graph import components
 
 SHINGLE, REGISTERS, ROWS = 5, 128, 4
 SIMILAR = 75  # per cent
-#: Mantissa bits that are stored, and those that band keys are made of.
-STORED_BITS, BAND_BITS = 10, 26
+#: Mantissa bits that are stored beside the number of leading zeros; bands are made of the registers as stored.
+STORED_BITS = 10
 #: Candidates are dropped below the threshold less so many standard deviations of the estimate.
 SLACK = 5.0
 #: Pairs with a smaller set than ALL_FILLED are not dropped by their registers; links of smaller sets than SMALL need no bands.
 ALL_FILLED, SMALL = 512, 128
 HUBS = 3
 CHUNK = 1 << 19
+#: Shingle hashes that the verification of a batch keeps at hand.
+HELD = 1 << 21
 
 _FNV = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,29 +172,38 @@ def _sketch(size: int):
                     continue
                 both = [int(common.mix64(s ^ np.uint64(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x1234567, 0x89ABCDEF)]
                 sig.append(tuple(both))
-                wide = registers(s, BAND_BITS)
-                stored.append((wide >> np.uint64(BAND_BITS - STORED_BITS)).astype("<u2").tobytes())
-                rows = wide.reshape(bands, ROWS)
+                own = registers(s, STORED_BITS)
+                stored.append(own.astype("<u2").tobytes())
+                rows = own.reshape(bands, ROWS)
                 h = salt.copy()
                 for k in range(ROWS):
                     h = common.mix64(h * _FNV + rows[:, k])
                 keys.append(h.view(np.int64))
             a, b = zip(*sig, strict=True) if sig else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(stored, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "s1", "s2", "regs", "bands"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(stored, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[x.split()[0] for x in SKETCH.split(", ")],
             )
 
     return run
 
 
-SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, regs binary, bands array<long>"
+SKETCH = "doc_id long, th long, n_shingles long, s1 long, s2 long, regs binary, bands array<long>"
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one length without nulls, as rows of bytes."""
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, width), dtype=np.uint8)
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset]
+    return np.frombuffer(data, dtype=np.uint8)[at : at + len(column) * width].reshape(len(column), width)
 
 
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.stack([np.frombuffer(x.as_py(), dtype="<u2") for x in batch.column(k)]) if batch.num_rows else np.zeros((0, REGISTERS)) for k in (2, 3))
+            a, b = (_fixed(batch.column(k), 2 * REGISTERS).view("<u2") for k in (2, 3))
             chance = 2.0**-STORED_BITS / 3
             est = ((a == b).mean(axis=1) - chance) / (1 - chance)
             small = np.minimum(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))) < ALL_FILLED
@@ -200,30 +212,44 @@ def _likely(least: float):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes (node, n, regs, text) with the text compressed."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        raw, starts = common.text_views(batch, "text")
+        z = pa.array([squeeze(raw[starts[i] : starts[i + 1]]) for i in range(batch.num_rows)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), z], names=["node", "n", "regs", "z"])
+
+
+def _set_of(z: bytes, size: int) -> np.ndarray:
+    import zstandard
+
+    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), dtype=np.uint8)
+    return next(iter(shingle_sets(text, np.array([0, len(text)]), size)))
+
+
 def _verified(size: int, percent: int):
-    """Pairs that the full sets confirm; each text of a batch is cut into shingles once."""
+    """Pairs that the full sets confirm; each text of a batch is cut into shingles once, as long as HELD hashes suffice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             keep = np.zeros(batch.num_rows, dtype=bool)
-            held: dict[tuple, np.ndarray] = {}
-            sides = [common.text_views(batch, name) for name in ("ta", "tb")]
-
-            def set_of(side: int, i: int) -> np.ndarray:
-                raw, starts = sides[side]  # noqa: B023
-                text = raw[starts[i] : starts[i + 1]]
-                name = ((a, b)[side][i], len(text), text[:64].tobytes())  # noqa: B023
-                if name not in held:  # noqa: B023
-                    if sum(map(len, held.values())) > 1 << 22:  # noqa: B023
-                        held.clear()  # noqa: B023
-                    held[name] = next(iter(shingle_sets(text, np.array([0, len(text)]), size)))  # noqa: B023
-                return held[name]  # noqa: B023
-
-            for i in np.lexsort((a, b)):
-                x, y = set_of(0, i), set_of(1, i)
-                if len(x) > len(y):
-                    x, y = y, x
+            held: dict[int, np.ndarray] = {}
+            total = 0
+            for i in np.lexsort((a, b)).tolist():
+                both = []
+                for name, z in ((int(a[i]), batch.column(2)), (int(b[i]), batch.column(3))):
+                    if (got := held.get(name)) is None:
+                        got = _set_of(z[i].as_py(), size)
+                        if total + len(got) > HELD:
+                            held, total = {}, 0
+                        held[name] = got
+                        total += len(got)
+                    both.append(got)
+                x, y = sorted(both, key=len)
                 at = np.searchsorted(y, x)
                 shared = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
                 keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
@@ -233,23 +259,38 @@ def _verified(size: int, percent: int):
 
 
 def _tokens(size: int):
+    """The shingles of nodes (node, root, z), some documents' in one batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, starts = common.text_views(batch, "text")
-            for i, s in enumerate(shingle_sets(raw, starts, size)):
-                same = [pa.array(np.full(len(s), batch.column(k)[i].as_py(), dtype=np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(s), len(s), dtype=np.int64)), pa.array(s.view(np.int64))], names=["node", "root", "n", "tok"])
+            ids, roots = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            rows, sets, total = [], [], 0
+
+            def cut() -> pa.RecordBatch:
+                n = np.array([len(x) for x in sets], dtype=np.int64)  # noqa: B023
+                cols = [np.repeat(x, n) for x in (ids[rows], roots[rows], n)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "root", "n", "tok"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                rows.append(i)
+                sets.append(_set_of(batch.column(2)[i].as_py(), size))
+                total += len(sets[-1])
+                if total >= 1 << 16:
+                    yield cut()
+                    rows, sets, total = [], [], 0
+            if rows:
+                yield cut()
 
     return run
 
 
 def _still_possible(left: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of nodes (node, root, text), the pairs from different components that can be similar at all, and some more.
+    """Of nodes (node, root, z), the pairs from different components that can be similar at all, and some more.
 
     Similar sets share one of their (1 - threshold) rarest shingles, so early that enough others can follow. Shingles that no other node has lead nowhere, so a
     node with more of them than that has no partner.
     """
-    tokens = common.written(left.select("node", "root", "text").mapInArrow(_tokens(size), "node long, root long, n long, tok long"), "near-tokens")
+    tokens = common.written(left.select("node", "root", "z").mapInArrow(common.tidy(_tokens(size)), "node long, root long, n long, tok long"), "near-tokens")
     often = tokens.groupBy(F.col("tok").alias("t")).agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(often, F.col("tok") == F.col("t")).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("by"))
     reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("by"))
@@ -272,20 +313,28 @@ def _links(pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
     side = lambda c, *x: nodes.select(F.col("node").alias(f"_{c}"), *[F.col(y).alias(f"{y[0]}{c}") for y in x])
     seen = pairs.join(side("a", "regs", "n"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "regs", "n"), F.col("b") == F.col("_b")).select("a", "b", "ra", "rb", "na", "nb")
     likely = common.written(seen.mapInArrow(_likely(least), "a long, b long").distinct(), "likely")
-    full = likely.join(side("a", "text"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "text"), F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
-    return common.written(full.mapInArrow(_verified(size, percent), "a long, b long").distinct(), "near-links")
+    full = likely.join(side("a", "z"), F.col("a") == F.col("_a")).drop("_a").join(side("b", "z"), F.col("b") == F.col("_b")).select("a", "b", "za", "zb")
+    return common.written(full.mapInArrow(common.tidy(_verified(size, percent)), "a long, b long").distinct(), "near-links")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text"))
-    sketch = common.written(base.mapInArrow(_sketch(size), SKETCH), "sketches")
+    text = common.empty_if_null(F.col(text_col))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    sketch = common.written(base.mapInArrow(common.tidy(_sketch(size)), SKETCH), "sketches")
     some = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(F.min("doc_id").alias("node"))
+    # a node is a set; a written number names it, and the smallest of its documents lends it a text
+    classes = some.groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2")).agg(
+        F.min(F.struct("doc_id", "th")).alias("low"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")
+    )
+    classes = common.written(classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "low.doc_id", "low.th", "n", "regs", "bands"), "near-classes")
     same_set = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
+    # rows that share a doc_id are one document, so their sets are linked
+    again = common.written(some.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "near-again")
+    repeated = not again.isEmpty()
     # sets of one or two shingles are similar to equal sets only
-    reps = some.where("n_shingles > 2").join(classes, same_set & (F.col("doc_id") == F.col("node"))).select("node", "n_shingles", "regs", "bands")
-    rows = reps.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    reps = classes.where("n > 2")
+    rows = reps.select("node", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("rows")).where("rows > 1")
     met = common.written(rows.join(shared, F.col("key") == F.col("k")).select("key", "node", "n", "rows"), "band-members")
     # hubs of a bucket: the node that meets the most others in all its buckets, and some by lot
@@ -295,14 +344,21 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR, id_col:
     hubs = ranked.groupBy(F.col("key").alias("k")).agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub0"), *lots)
     # a set that is similar to a small one is small_n at most
     small_n = (SMALL - 1) * 100 // percent
-    ids = met.select(F.col("node").alias("id")).unionByName(reps.where(F.col("n_shingles") <= small_n).select(F.col("node").alias("id"))).distinct()
+    ids = met.select(F.col("node").alias("id")).unionByName(reps.where(F.col("n") <= small_n).select(F.col("node").alias("id"))).distinct()
     # the texts of nodes that share a band with any other, and of small ones
-    nodes = base.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi")
-    regs = reps.select(F.col("node"), F.col("n_shingles").alias("n"), "regs")
-    nodes = common.written(nodes.join(regs, F.col("doc_id") == F.col("node")).select("node", "n", "regs", "text"), "near-nodes")
+    wanted = reps.join(ids, F.col("node") == F.col("id")).select("node", "n", "regs", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    nodes = base.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("d")) & (F.col("th") == F.col("t"))).select("node", "n", "regs", "text")
+    nodes = nodes.mapInArrow(common.tidy(_packed), "node long, n long, regs binary, z binary")
+    nodes = common.written(nodes.dropDuplicates(["node"]) if repeated else nodes, "near-nodes")
     with_hubs = met.join(hubs, F.col("key") == F.col("k")).select("node", F.explode(F.array(*[f"hub{r}" for r in range(HUBS)])).alias("hub"))
     pairs = with_hubs.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     links = _links(pairs, nodes, size, percent)
+    if repeated:
+        held = some.join(again, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "s1", "s2").distinct()
+        held = held.join(classes.select("node", "c1", "c2"), same_set).select("doc_id", "node")
+        first = held.groupBy(F.col("doc_id").alias("id")).agg(F.min("node").alias("b"))
+        held = held.join(first, F.col("doc_id") == F.col("id")).where("node <> b").select(F.col("node").alias("a"), "b")
+        links = common.written(links.unionByName(held).distinct(), "near-links")
     roots = common.written(components(links), "near-roots")
     # what still meets in one bucket from different components, and all small sets
     placed = met.join(roots, F.col("node") == F.col("id"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -310,15 +366,16 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR, id_col:
     left = placed.join(mixed, F.col("key") == F.col("k"), "left_semi").select(F.col("node").alias("x"), F.col("root").alias("r"))
     small = nodes.where(F.col("n") <= small_n).select(F.col("node").alias("x")).join(roots, F.col("x") == F.col("id"), "left").select("x", F.coalesce("root", "x").alias("r"))
     left = left.unionByName(small).distinct()
-    left = nodes.join(left, F.col("node") == F.col("x")).select("node", F.col("r").alias("root"), "text")
+    left = nodes.join(left, F.col("node") == F.col("x")).select("node", F.col("r").alias("root"), "z")
     more = _still_possible(left, size, percent)
     rest = _links(more, nodes, size, percent)
     if not rest.isEmpty():
-        roots = components(links.unionByName(rest))
-    roots = common.written(roots, "near-roots")
-    whole = classes.join(roots, F.col("node") == F.col("id"), "left").select("c1", "c2", F.coalesce("root", "node").alias("root"))
-    placed = sketch.join(whole, same_set & (F.col("n_shingles") > 0), "left")
-    out = placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+        roots = common.written(components(links.unionByName(rest)), "near-roots")
+    whole = classes.select("node", "c1", "c2", "doc_id").join(roots, F.col("node") == F.col("id"), "left").select("c1", "c2", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = whole.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
+    whole = whole.join(least, F.col("root") == F.col("r")).select("c1", "c2", "component_id")
+    placed = sketch.select("doc_id", "n_shingles", "s1", "s2").join(whole, same_set & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -358,3 +358,132 @@ def test_pipeline_against_plain_stages_row_by_row(spark, tmp_path):
         digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
         wanted += [(d, len(ids), *digests)] * copies[d]
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(wanted)
+
+
+def test_shared_passages_are_marked(spark):
+    rnd = random.Random(9)
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    rows = [(k, prose(120)) for k in range(30)]
+    for k in range(10, 20):  # the smallest passage that always shows, each in two rows, at any place
+        passage = prose(80)[: suffix_dedup.PASSAGE]
+        rows[k] = (k, prose(rnd.randint(0, 90)) + passage + prose(40))
+        rows.append((100 + k, prose(rnd.randint(0, 90)) + passage))
+    short = prose(40)[: suffix_dedup.PASSAGE - suffix_dedup.PASSAGE_WINDOW]
+    rows += [(200, prose(90) + short + prose(90)), (201, short + prose(90)), (202, rows[0][1]), (300, None), (301, None), (302, "")]
+    got = {r.doc_id: r.shares_passage for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, v in got.items() if v} == {0, 202, *range(10, 20), *range(110, 120)}
+
+
+def test_equal_rows_do_not_multiply(spark):
+    text = " ".join(f"w{k}" for k in range(300))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text)] * 50 + [(2, "x")], "doc_id long, text string")).collect()
+    assert [(r.n_removed, r.n_spans) for r in got if r.doc_id == 1] == [(len(text), 1)] * 50
+
+
+def test_rows_of_one_id_with_different_texts_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " z"), (9, b + " z"), (9, b + " z"), (1, c), (None, a)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 56, 3, False), (3, 57, 3, True), (9, 57, 3, False), (1, 56, 1, True), (None, 56, None, True)}
+
+
+def test_targets_of_many_sources_equal_those_worked_out_on_the_driver(spark):
+    rnd = random.Random(3)
+    rows = [(k, "w " * (1 + int(rnd.paretovariate(0.6)) % 900), f"host{k % 97}" if k % 13 else None, "x", 1) for k in range(1200)]
+    df = spark.createDataFrame(rows, DOCS)
+    a, b = ({r.doc_id: (r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix(df, at_hand=n).collect()} for n in (10, 10_000))
+    assert a == b
+
+
+def test_taken_words_come_within_a_median_document_of_each_target(spark):
+    """Documents of 1 to 20,000 words: in one block a source as lopsided as they come, in several with many of middle size."""
+    rnd = random.Random(5)
+    tail, middle = ([min(20_000, max(1, int(x()))) for _ in range(3000)] for x in (lambda: rnd.paretovariate(0.7), lambda: rnd.lognormvariate(5, 1.3)))
+    for sizes, sources, block in ((tail, 12, 4096), (middle, 2, 512)):
+        df = spark.createDataFrame([(k, "w " * n, f"s{k % sources}", "x", 1) for k, n in enumerate(sizes)], DOCS)
+        by = collections.defaultdict(list)
+        for r in mixing.mix(df, block=block).collect():
+            assert 0 <= r.copies <= 3
+            by[r.source_size, r.target].append(r)
+        for (_, target), rs in by.items():
+            assert abs(sum(r.taken for r in rs) - target) <= max(1, sorted(r["size"] for r in rs)[len(rs) // 2])
+
+
+def spans_of(w, tid_words, k, near):
+    """Diagonals of one text and one template by brute force: covered template places of each merged lane."""
+    lanes = collections.defaultdict(set)
+    for d in range(len(w) - k + 1):
+        for t in range(len(tid_words) - k + 1):
+            if w[d : d + k] == tid_words[t : t + k]:
+                lanes[d - t].add(t)
+    groups, last = [], None
+    for lane in sorted(lanes):
+        if last is None or lane - last > near:
+            groups.append(set())
+        groups[-1] |= lanes[lane]
+        last = lane
+    return [len({t + j for t in g for j in range(k)}) for g in groups]
+
+
+def test_licenses_against_brute_force(spark):
+    from quireframe.llm.license_scan import ALL, COVER, NEAR, NOTICES, SHORT, K
+
+    rnd = random.Random(6)
+    flat = [(label, t) for label, some in ALL.items() for t in some]
+    cases = [t for _, t in flat] + ["Licensed under CC BY-NC 4.0. " * 40, "x " * 50_000 + NOTICES["gpl"][0], None, ""]
+    for _ in range(60):
+        w = rnd.choice(flat)[1].split()
+        for _ in range(rnd.randint(0, 6)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.randint(0, 1)] = rnd.choice([[], ["extra"], ["other", "words"]])
+        cases.append(" ".join(["some", "start"] * rnd.randint(0, 4) + w + ["and", "end"]))
+    base = [({"mit license": "mit", "apache license": "apache", "general public license": "gpl"}, re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))][0]
+    words = lambda t: base[1].findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+    df = spark.createDataFrame([(k, t, "s", "row", 1) for k, t in enumerate(cases)], "doc_id long, text string, row string, w string, label int")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for k, t in enumerate(cases):
+        w = words(t)
+        labels, best = {v for p, v in base[0].items() if f" {p} " in f" {' '.join(w)} "}, 0.0
+        for label, tpl in flat:
+            m = words(tpl)
+            need = max(K, len(m) - 1 if len(m) < SHORT else int(np.ceil(len(m) * COVER)))
+            for n in spans_of(w, m, K, NEAR):
+                if n >= need:
+                    labels.add(label)
+                    best = max(best, n / len(m))
+        assert (got[k].labels, got[k].n_words) == (",".join(sorted(labels)), len(w)) and abs(got[k].score - min(1.0, best)) < 1e-12
+
+
+def test_each_edge_of_the_bands_decides():
+    import dataclasses
+
+    import zstandard
+
+    rnd = random.Random(5)
+    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(900)).encode()
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    whole, parts = quality.ratios(prose, 2048, squeeze)
+    assert len(parts) == -(-len(prose) // 2048) and parts[-1] == 2048 / len(squeeze(prose[-2048:])) and whole == len(prose) / len(squeeze(prose))
+    for ends, kept in (((whole, whole), True), ((whole * 1.001, 9), False), ((0, whole * 0.999), False)):
+        bands = quality.Bands(by_length=((len(prose), 99, 99), (len(prose) + 1, *ends), (float("inf"), 99, 99)))
+        assert quality.judge(prose, bands, squeeze)[6] == kept
+    for ends, bad in (((min(parts), max(parts)), 0), ((min(parts) * (1 + 1e-9), 9), parts.count(min(parts))), ((0, max(parts) * (1 - 1e-9)), parts.count(max(parts)))):
+        bands = quality.Bands(by_length=((float("inf"), 0, 99),), chunk_band=ends, chunk_share=0.0)
+        got = quality.judge(prose, bands, squeeze)
+        assert got[9] == bad and got[6] == (bad == 0)
+        assert quality.judge(prose, dataclasses.replace(bands, chunk_share=bad / len(parts)), squeeze)[6]
+
+
+def test_fitted_bands_reject_junk_and_keep_prose(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9)))
+    prose = [" ".join(word() for _ in range(rnd.choice((150, 700)))) for _ in range(300)]
+    junk = [" ".join(word() + "&&&%%%" for _ in range(300)) for _ in range(20)] + [base64.b85encode(random.Random(k).randbytes(700)).decode() + " x" * 60 for k in range(5)]
+    rows = [(k, t, "s", "x", 1) for k, t in enumerate(prose + junk)] + [(None, None, None, None, None), (900, "", "s", "x", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(250)] + [(k, 0, 0) for k in range(300, 310)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    bands = quality.fit(df, labels)
+    kept = {r.doc_id for r in quality.measure(df, bands).where("kept").collect()}
+    assert len(kept & set(range(300))) >= 298 and not kept & set(range(300, 325)) and {r.doc_id for r in quality.measure(df).where("kept").collect()} & set(range(300, 320))
+    assert quality.fit(df, labels.where("false")).by_length[3][1:] == quality.Bands().by_length[1][1:]
+    assert {r.doc_id for r in quality.keep_good(df, bands).collect()} == kept and quality.keep_good(none(spark), bands).count() == 0
