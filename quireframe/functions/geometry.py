@@ -45,6 +45,10 @@ def union(a: Column, b: Column) -> Column:
     return rect(F.least(a["x0"], b["x0"]), F.least(a["y0"], b["y0"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]))
 
 
+def meet(a: Column, b: Column) -> Column:
+    return rect(F.greatest(a["x0"], b["x0"]), F.greatest(a["y0"], b["y0"]), F.least(a["x1"], b["x1"]), F.least(a["y1"], b["y1"]))
+
+
 def grow(r: Column, by: float) -> Column:
     return rect(r["x0"] - by, r["y0"] - by, r["x1"] + by, r["y1"] + by)
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
@@ -21,13 +22,19 @@ RULE_THICKNESS, LEAST_AREA, MOST_AREA, TABLE_AREA = 3.0, 0.004, 0.85, 400.0
 MERGE_PAD = {"drawing": 4.0, "image": 1.0}
 
 
+def text_lines(lines: DataFrame, clip: Column | None = None) -> DataFrame:
+    """Lines that hold spans; with a rectangle, those that meet it."""
+    kept = lines.where(F.size("spans") > 0)
+    return kept if clip is None else kept.where(G.intersects(F.col("bbox"), clip))
+
+
 def in_runs(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Lines with the page's width (w) and, if they are narrow, the run of neighbouring narrow lines they stand in (lo, hi, run).
+    """Lines with the bounds of all the page's lines (area), their width (w) and, if they are narrow, the run of neighbouring narrow lines they stand in (lo, hi, run).
 
     Runs are at least a gutter apart. All windows are keyed by the page, so that one exchange serves them all.
     """
     box, page = F.col("bbox"), Window.partitionBy(*keys)
-    d = lines.withColumn("ax0", F.min(box["x0"]).over(page)).withColumn("ax1", F.max(box["x1"]).over(page))
+    d = lines.withColumns({a: f(box[a[1:]]).over(page) for a, f in (("ax0", F.min), ("ay0", F.min), ("ax1", F.max), ("ay1", F.max))})
     d = d.withColumn("w", F.col("ax1") - F.col("ax0")).withColumn("narrow", F.coalesce(G.width(box) < SPAN_LINE * F.col("w"), F.lit(False)))
     d = d.withColumn("body", F.col("narrow") & (F.sum(F.col("narrow").cast("int")).over(page) >= MIN_BODY))
     d = d.withColumn("lo", F.when(F.col("body"), F.floor(F.greatest(box["x0"], F.col("ax0"))))).withColumn("hi", F.when(F.col("body"), F.ceil(F.least(box["x1"], F.col("ax1")))))
@@ -35,7 +42,7 @@ def in_runs(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     gutter = F.greatest(F.lit(GUTTER_PT), GUTTER_SHARE * F.col("w"))
     d = d.withColumn("new", F.when(F.col("body"), (reach.isNull() | (F.col("lo") - reach >= gutter)).cast("int")))
-    return d.withColumn("run", F.when(F.col("body"), F.sum("new").over(order))).drop("ax0", "ax1", "narrow", "body", "new")
+    return d.withColumn("run", F.when(F.col("body"), F.sum("new").over(order))).drop("narrow", "body", "new")
 
 
 def is_column(lo: Column, hi: Column, n: Column) -> Column:
@@ -62,7 +69,9 @@ def assigned(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Lines with their place: col_no (first column that holds the middle), spanning, and region parts.
 
     Spanning lines cover a quarter of two columns. They form blocks; bands lie between blocks. band_no, part (0 columns,
-    1 block) and col_no order regions; a body line in no band or column has region_kind 'unassigned'.
+    1 block) and col_no order regions; a body line in no band or column has region_kind 'unassigned'. region_rect is the space
+    of the line's region: of a column its width and its band's height, of a block the width of all lines and its own height, and
+    where there are no columns the bounds of all lines. n_cols counts the page's columns.
     """
     box, page, run = F.col("bbox"), Window.partitionBy(*keys), Window.partitionBy(*keys, "run")
     first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), 0)
@@ -72,7 +81,7 @@ def assigned(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     wide = lambda c: (F.least(box["x1"], c["hi"]) - F.greatest(box["x0"], c["lo"])) > SPAN_OVERLAP * (c["hi"] - c["lo"])
     held = lambda c: G.mid_x(box).between(c["lo"] - SLACK, c["hi"] + SLACK)
     d = d.withColumn("multi", F.size("cols") >= 2).withColumn("spanning", F.col("multi") & (F.size(F.filter("cols", wide)) >= 2))
-    d = d.withColumn("col_no", F.when(F.col("multi"), first(F.transform("cols", lambda c, k: F.when(held(c), k + 1))))).drop("cols")
+    d = d.withColumn("col_no", F.when(F.col("multi"), first(F.transform("cols", lambda c, k: F.when(held(c), k + 1)))))
     order = Window.partitionBy(*keys, "spanning").orderBy(box["y0"], "line_no")
     gap = box["y0"] - F.lag(box["y1"]).over(order)
     d = d.withColumn("new", F.when(F.col("spanning"), (gap.isNull() | (gap > SPAN_GAP)).cast("int")))
@@ -86,30 +95,44 @@ def assigned(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     last = F.get("blocks", F.size("blocks") - 1)
     closed = F.transform("blocks", lambda b, k: F.when(((k == 0) | (my >= above(k))) & (my < b["by0"]), b["block"]))
     d = d.withColumn("band_no", F.coalesce(first(closed), F.when(my >= last["by1"], last["block"] + 1)))
-    out = d.withColumn("has_blocks", F.size("blocks") > 0)
-    number = F.when(~F.col("multi"), 1).when(F.col("spanning"), F.col("block")).when(~F.col("has_blocks"), 1).otherwise(F.col("band_no"))
+    number = F.when(~F.col("multi"), 1).when(F.col("spanning"), F.col("block")).when(F.size("blocks") == 0, 1).otherwise(F.col("band_no"))
+    out = d.withColumn("number", number.cast("int"))
+    number, own_col = F.col("number"), F.get("cols", F.col("col_no") - 1)
+    top = F.when(number > 1, F.get("blocks", number - 2)["by1"]).otherwise(F.col("ay0"))
+    end = F.when(number <= F.size("blocks"), F.get("blocks", number - 1)["by0"]).otherwise(F.col("ay1"))
+    space = F.when(~F.col("multi"), G.rect(*map(F.col, ("ax0", "ay0", "ax1", "ay1")))).when(F.col("spanning"), G.rect(F.col("ax0"), F.col("by0"), F.col("ax1"), F.col("by1")))
+    space = space.otherwise(G.rect(own_col["lo"], top, own_col["hi"], end))
     lost = F.col("multi") & ~F.col("spanning") & (F.col("col_no").isNull() | number.isNull())
     kind = F.when(lost, "unassigned").when(F.col("spanning"), "spanning").otherwise("text")
     part = F.col("spanning").cast("int")
     col = F.when(F.col("spanning") | ~F.col("multi"), 0).otherwise(F.col("col_no"))
-    return out.select(*keys, "line_no", "bbox", "spans", F.when(~lost, number).alias("band_no"), F.when(~lost, part).alias("part"), F.when(~lost, col).alias("region_col"), kind.alias("region_kind"))
+    shown = lambda c, name: F.when(~lost, c).alias(name)
+    count = F.when(F.col("multi"), F.size("cols")).otherwise(1)
+    return out.select(
+        *keys, "line_no", "bbox", "spans", shown(number.cast("bigint"), "band_no"), shown(part, "part"), shown(col, "region_col"), kind.alias("region_kind"), shown(space, "region_rect"),
+        count.alias("n_cols"),
+    )
 
 
 def regions(placed: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Text regions in reading order: band by band, columns from left to right, then the block below."""
     at = ["band_no", "part", "region_col"]
-    r = placed.where("region_kind <> 'unassigned'").groupBy(*keys, *at).agg(G.bounds(F.col("bbox")).alias("rect"), F.count("*").alias("n_lines"), F.first("region_kind").alias("kind"))
+    r = placed.where("region_kind <> 'unassigned'").groupBy(*keys, *at).agg(F.first("region_rect").alias("rect"), F.count("*").alias("n_lines"), F.first("region_kind").alias("kind"), F.first("n_cols").alias("n_cols"))
     return r.withColumn("region_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*at)))
 
 
 def with_tables(regs: DataFrame, tables: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Regions and tables in one order: a table stands before the first region, or table put in before, that starts lower."""
-    own = tables.select(*keys, F.col("table_no"), F.col("rect").alias("trect"))
-    lower = own.join(regs.select(*keys, F.col("region_no").alias("rn"), F.col("rect").alias("rrect")), keys, "left")
+    """Regions and tables in one order, numbered anew: a table stands before the first region that starts lower, after tables that start
+    higher or further left. Text regions keep their band_no, part and region_col."""
+    at = ["band_no", "part", "region_col"]
+    lower = tables.select(*keys, "table_no", F.col("rect").alias("trect")).join(regs.select(*keys, F.col("region_no").alias("rn"), F.col("rect").alias("rrect")), keys, "left")
     slot = lower.groupBy(*keys, "table_no", "trect").agg(F.min(F.when(F.col("rrect.y0") > F.col("trect.y0"), F.col("rn"))).alias("slot"))
-    rows = slot.select(*keys, F.lit("table").alias("kind"), F.col("trect").alias("rect"), F.coalesce("slot", F.lit(1 << 30)).alias("k1"), F.lit(0).alias("k2"), F.col("trect.y0").alias("k3"), F.col("table_no").alias("k4"))
-    rows = rows.unionByName(regs.select(*keys, "kind", "rect", F.col("region_no").alias("k1"), F.lit(1).alias("k2"), F.lit(0.0).alias("k3"), F.lit(0).alias("k4")))
-    return rows.withColumn("region_no", F.row_number().over(Window.partitionBy(*keys).orderBy("k1", "k2", "k3", "k4"))).drop("k1", "k2", "k3", "k4")
+    none = [F.lit(None).cast(dict(regs.dtypes)[c]).alias(c) for c in at]
+    sort = lambda k, t, r, n: [k.cast("int").alias("k1"), t.alias("k2"), r["y0"].alias("k3"), r["x0"].alias("k4"), n.cast("int").alias("table_no")]
+    rows = slot.select(*keys, F.lit("table").alias("kind"), F.col("trect").alias("rect"), *none, *sort(F.coalesce("slot", F.lit(1 << 30)), F.lit(0), F.col("trect"), F.col("table_no")))
+    rows = rows.unionByName(regs.select(*keys, "kind", "rect", *at, *sort(F.col("region_no"), F.lit(1), F.col("rect"), F.lit(None))))
+    order = Window.partitionBy(*keys).orderBy("k1", "k2", "k3", "k4", "table_no")
+    return rows.withColumn("region_no", F.row_number().over(order)).drop("k1", "k2", "k3", "k4")
 
 
 def usable_tables(tables: DataFrame) -> DataFrame:
@@ -135,45 +158,99 @@ def plausible_drawings(drawings: DataFrame, tables: DataFrame | None = None) ->
     return outside(kept, tables) if tables is not None else kept
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the nodes 0..n-1 that each reaches over the edges (a, b)."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def _meeting(group: np.ndarray, box: np.ndarray, pad: float, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rectangles of one group that meet when one is grown by pad: a sweep over left edges, some pairs at a time. Rows are sorted
+    by group and left edge."""
+    span = box[:, 2].max() - box[:, 0].min() + pad + 1
+    left = group * span + (box[:, 0] - box[:, 0].min())
+    ends = np.maximum(np.searchsorted(left, left + (box[:, 2] - box[:, 0]) + pad, side="left"), np.arange(1, len(box) + 1))
+    many = ends - np.arange(1, len(box) + 1)
+    i = 0
+    while i < len(box):
+        j = max(i + 1, int(np.searchsorted(np.cumsum(many[i:]), most, side="right")) + i)
+        a = np.repeat(np.arange(i, j), many[i:j])
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many[i:j]) - many[i:j], many[i:j]) + a + 1
+        p, q = box[a], box[b]
+        meet = (group[a] == group[b]) & (p[:, 0] - pad < q[:, 2]) & (q[:, 0] < p[:, 2] + pad) & (p[:, 1] - pad < q[:, 3]) & (q[:, 1] < p[:, 3] + pad)
+        yield a[meet], b[meet]
+        i = j
+
+
+def unions(group: np.ndarray, box: np.ndarray, pad: float) -> tuple[np.ndarray, np.ndarray]:
+    """The coarsest partition of each group's rectangles in which no two unions meet when one is grown by pad: groups and unions,
+    sorted. Pieces that meet become their union, until none do; many groups go through together."""
+    while True:
+        order = np.lexsort((box[:, 3], box[:, 2], box[:, 1], box[:, 0], group))
+        group, box = group[order], box[order]
+        if not len(box):
+            return group, box
+        pairs = [np.concatenate(x) for x in zip(*_meeting(group, box, pad), strict=True)]
+        first, of = np.unique(_roots(len(box), *pairs), return_inverse=True)
+        if len(first) == len(box):
+            return group, box
+        joined = np.stack([np.full(len(first), v) for v in (np.inf, np.inf, -np.inf, -np.inf)], axis=1)
+        for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum)):
+            f.at(joined[:, k], of, box[:, k])
+        group, box = group[first], joined
+
+
 def merge_rects(rects: list[tuple[float, float, float, float]], pad: float) -> list[tuple[float, float, float, float]]:
-    """Unions of rectangles that meet when one of them is grown by pad, until no two do. Unions may meet further ones."""
-    changed, kept = True, list(rects)
-    while changed:
-        changed, out = False, []
-        for r in kept:
-            for k, o in enumerate(out):
-                if o[0] - pad < r[2] and r[0] < o[2] + pad and o[1] - pad < r[3] and r[1] < o[3] + pad:
-                    out[k] = (min(o[0], r[0]), min(o[1], r[1]), max(o[2], r[2]), max(o[3], r[3]))
-                    changed = True
-                    break
-            else:
-                out.append(r)
-        kept = out
-    return kept
-
-
-def merged(rows: DataFrame, kind: str, order: str, keys: list[str] = PAGE) -> DataFrame:
-    """Obstacles (kind, obstacle_no, rect): merged rectangles of each page."""
-    pad = MERGE_PAD[kind]
+    """Unions of rectangles of one page."""
+    box = np.array(rects, dtype=float).reshape(-1, 4)
+    return [tuple(r) for r in unions(np.zeros(len(box), dtype=np.int64), box, pad)[1].tolist()]
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for _, p in pdf.iterrows():
-                rects = [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in p["rects"]]
-                out += [(*(p[k] for k in keys), k, *r) for k, r in enumerate(merge_rects(rects, pad))]
-            yield pd.DataFrame(out, columns=[*keys, "k", "x0", "y0", "x1", "y1"])
+def merged(rows: DataFrame, kind: str, keys: list[str] = PAGE) -> DataFrame:
+    """Obstacles (kind, k, rect): the unions of each page's rectangles, all pages of a batch at once."""
+    pad = MERGE_PAD[kind]
 
-    page = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "rect"))).alias("rs"))  # a page's drawings
-    page = page.select(*keys, F.transform("rs", lambda r: r["rect"]).alias("rects"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
+            flat = lists.flatten()
+            box = np.stack([np.asarray(flat.field(k), dtype=float) for k in range(4)], axis=1) if len(flat) else np.zeros((0, 4))
+            page, box = unions(np.repeat(np.arange(batch.num_rows), sizes), box, pad)
+            at = pa.array(page)
+            number = np.arange(len(page)) - np.searchsorted(page, page)
+            cols = [batch.column(k).take(at) for k in range(len(keys))] + [pa.array(number, pa.int32()), *(pa.array(box[:, k]) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "k", "x0", "y0", "x1", "y1"])
+
+    page = rows.groupBy(*keys).agg(F.collect_list("rect").alias("rects"))  # a page's drawings
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "k int, x0 double, y0 double, x1 double, y1 double"])
-    return page.mapInPandas(run, schema).select(*keys, F.lit(kind).alias("kind"), "k", G.rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("rect"))
+    return page.mapInArrow(run, schema).select(*keys, F.lit(kind).alias("kind"), "k", G.rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("rect"))
 
 
 def sized_obstacles(obstacles: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Obstacles that take a plausible share of the page, numbered from the top left."""
+    """Obstacles (kind, k, rect) that take a plausible share of the page, numbered from the top left."""
     p = pages.select(*keys, F.col("rect").alias("page_rect"))
     share = G.area(F.col("rect")) / G.area(F.col("page_rect"))
     kept = obstacles.join(p, keys).where(share.between(LEAST_AREA, MOST_AREA)).drop("page_rect")
     return kept.withColumn("obstacle_no", F.row_number().over(Window.partitionBy(*keys).orderBy("rect.y0", "rect.x0", "kind", "k"))).drop("k")
+
+
+def obstacles(pages: DataFrame, drawings: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame | None:
+    """What text must not cover: merged images and merged drawings outside tables, of plausible size."""
+    parts = []
+    if images is not None:
+        parts.append(merged(images.where(F.col("rect").isNotNull()), "image"))
+    if drawings is not None:
+        parts.append(merged(plausible_drawings(drawings, tables), "drawing"))
+    if not parts:
+        return None
+    return sized_obstacles(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), pages)

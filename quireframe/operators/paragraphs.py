@@ -23,11 +23,12 @@ def modal_margin(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return lines.groupBy(*keys).agg(F.mode(F.round(F.col("bbox.x0"), 1), True).alias("margin"))
 
 
-def marked_lines(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """Lines with the group's statistics, own body size, and whether a marker starts them."""
+def marked_lines(lines: DataFrame, keys: list[str] = PAGE, dominant: str | None = None) -> DataFrame:
+    """Lines with the group's statistics, own body size, and whether a marker starts them. dominant names a column with the dominant
+    size of something larger than the group, as of its page."""
     row = F.struct("line_no", "bbox", "spans")
-    page = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("ls"), F.mode(F.round(F.col("bbox.x0"), 1), True).alias("margin"))  # a group's lines
-    page = page.withColumn("dominant", X.dominant_span_size(F.flatten(F.transform("ls", lambda r: F.coalesce(r["spans"], F.array().cast(lines.schema["spans"].dataType))))))
+    page = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("ls"), F.mode(F.round(F.col("bbox.x0"), 1), True).alias("margin"), *([F.first(dominant).alias("dominant")] if dominant else []))  # a group's lines
+    page = page if dominant else page.withColumn("dominant", X.dominant_span_size(F.flatten(F.transform("ls", lambda r: F.coalesce(r["spans"], F.array().cast(lines.schema["spans"].dataType))))))
     both = page.select(*keys, "margin", "dominant", F.inline("ls"))
     is_marker = lambda s: X.span_marker(s, F.col("dominant")).isNotNull()
     body = X.dominant_span_size(F.filter("spans", lambda s: ~is_marker(s)))
@@ -35,7 +36,7 @@ def marked_lines(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return both.withColumn("body", body).withColumn("marked", F.coalesce(is_marker(shown), F.lit(False)))
 
 
-def numbered(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+def numbered(lines: DataFrame, keys: list[str] = PAGE, dominant: str | None = None) -> DataFrame:
     """Lines with the number of their paragraph in the group.
 
     A paragraph starts at a line of a new row that is indented, starts with a marker, changes size, or follows a gap.
@@ -43,7 +44,7 @@ def numbered(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     x0, y0, y1 = F.round(F.col("bbox.x0"), 1), F.col("bbox.y0"), F.col("bbox.y1")
     order = Window.partitionBy(*keys).orderBy(F.round(y0, 1), x0, "line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    d = marked_lines(lines, keys)
+    d = marked_lines(lines, keys, dominant)
     d = d.withColumn("prev_y0", F.lag(y0).over(order)).withColumn("prev_y1", F.lag(y1).over(order)).withColumn("prev_size", F.last("body", True).over(before))
     starts = X.any_of([
         x0 > F.col("margin") + MARGIN_STEP, F.col("marked"), F.coalesce(F.abs(F.col("body") - F.col("prev_size")) > SIZE_STEP, F.lit(False)),
@@ -54,9 +55,9 @@ def numbered(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return d.withColumn("para", F.sum("new").over(order)).withColumn("pos", F.row_number().over(order)).drop("new")
 
 
-def paragraphs(lines: DataFrame, keys: list[str] = PAGE, dehyphenate: bool = True) -> DataFrame:
+def paragraphs(lines: DataFrame, keys: list[str] = PAGE, dehyphenate: bool = True, dominant: str | None = None) -> DataFrame:
     """One row a paragraph: text, box, size, whether it is a single line, indent, leading."""
-    d = numbered(lines, keys).withColumn("piece", X.squeeze(X.soft_hyphens(X.line_text_marking(F.col("spans"), F.col("dominant")))))
+    d = numbered(lines, keys, dominant).withColumn("piece", X.squeeze(X.soft_hyphens(X.line_text_marking(F.col("spans"), F.col("dominant")))))
     row = F.struct("pos", "piece", F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), "spans")
     g = d.groupBy(*keys, "para").agg(  # a paragraph's lines
         F.sort_array(F.collect_list(row)).alias("ls"), G.bounds(F.col("bbox")).alias("bbox"),
@@ -78,9 +79,9 @@ def paragraphs(lines: DataFrame, keys: list[str] = PAGE, dehyphenate: bool = Tru
 
 def furniture(para: DataFrame, pages: DataFrame) -> DataFrame:
     """Paragraphs with `pinned`: short single lines in the head or foot band of the page."""
-    band = (F.col("bbox.y1") <= 0.12 * F.col("rect.y1")) | (F.col("bbox.y0") >= 0.88 * F.col("rect.y1"))
+    band = (F.col("bbox.y1") <= 0.12 * G.height(F.col("rect"))) | (F.col("bbox.y0") >= 0.88 * G.height(F.col("rect")))
     joined = para.join(pages.select(*PAGE, "rect"), PAGE)
-    return joined.withColumn("pinned", band & F.col("single_line") & (F.length("text") < 80)).drop("rect")
+    return joined.withColumn("pinned", band & F.col("single_line") & (F.length(X.strip(F.col("text"))) < 80)).drop("rect")
 
 
 def count_where(condition: Column) -> Column:

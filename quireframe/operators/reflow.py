@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G, text as X
-from ..schema import PAGE
+from ..schema import PAGE, RECT
 
 # Fixed values of the placement rules.
 SMALL, SHORT, TIGHT_GAP, SLACK_TIMES = 0.9, 120, 3.0, 1.5
@@ -29,16 +29,17 @@ def tight_height(width: Column, text: Column, size: Column, leading: Column) ->
 def reflow(para: DataFrame, region: list[str] = PAGE, reformat: bool = False) -> DataFrame:
     """Placements: each paragraph right below the one before, at their old distance; pinned ones stay.
 
-    The chain is a sum over a window: the first flowing top, plus heights and gaps so far.
+    The chain is a sum over a window: the first flowing top, plus heights and gaps so far. A single line may widen to the right, as far
+    as slack_x1, the right edge of its column or of the page, if there is such a column. When a page is only formatted anew (reformat), runs of small or short
+    paragraphs close up.
     """
     order = Window.partitionBy(*region, "pinned").orderBy("para")
-    all_ = Window.partitionBy(*region)
     size, box = F.col("size"), F.col("bbox")
-    body = F.max(size).over(all_)
+    body = F.max(size).over(Window.partitionBy(*region))
     small, short = size < SMALL * body, F.length("text") < SHORT
-    wide = F.when(F.col("single_line"), F.least(box["x1"] + SLACK_TIMES * size, F.col("region_x1") - 2.0)).otherwise(box["x1"])
-    d = para.withColumn("region_x1", F.max(box["x1"]).over(all_)).withColumn("x1", F.greatest(box["x1"], wide))
-    d = d.withColumn("small", small).withColumn("short", short)
+    edge = F.col("slack_x1") if "slack_x1" in para.columns else F.lit(None).cast("double")  # least() passes over a null
+    x1 = F.when(F.col("single_line"), F.least(box["x1"] + SLACK_TIMES * size, edge - 2.0)).otherwise(box["x1"])
+    d = para.withColumn("x1", x1).withColumn("small", small).withColumn("short", short)
     d = d.withColumn("h", box_height(F.col("x1") - box["x0"], F.col("text"), size, F.col("leading"))).withColumn("tight", F.col("h") - 0.2 * size)
     run = (F.lag("small").over(order) & F.col("small")) | (F.lag("short").over(order) & F.col("short"))
     gap = F.when(F.lit(reformat) & F.coalesce(run, F.lit(False)), TIGHT_GAP).otherwise(box["y0"] - F.lag(box["y1"]).over(order))
@@ -49,7 +50,7 @@ def reflow(para: DataFrame, region: list[str] = PAGE, reformat: bool = False) ->
 
 
 def ceilings(regs: DataFrame, pages: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """How far down a region may grow: to the next region below that shares some of its width, else to the page's end."""
+    """How far down a region may grow: to the next region or table that starts lower and shares some of its width, else to the page's end."""
     a = regs.select(*keys, "region_no", "rect")
     b = regs.select(*keys, F.col("rect").alias("other"))
     below = (F.col("other.y0") > F.col("rect.y0")) & (G.x_overlap(F.col("rect"), F.col("other")) > 0)
@@ -68,58 +69,89 @@ def clear_of(y: Column, h: Column, x0: Column, x1: Column, obstacles: Column, li
     return F.aggregate(F.sequence(F.lit(1), F.lit(JUMPS)), start, lambda a, _: F.when(a["done"], a).otherwise(moved(a)), lambda a: a["y"])
 
 
-def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE) -> DataFrame:
-    """Per region: the largest scale at which the flowing paragraphs end above the limit, else the smallest; and the rest that overflows.
+def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE, obstacles: DataFrame | None = None) -> DataFrame:
+    """Placements of regions, squeezed where they end below the limit: size, y and h may change; with the region's scale, the share of
+    its gaps that is kept, and what overflows even so.
 
-    Gaps shrink first, later ones more: a gap keeps `keep` of its slack, weighted by its place.
+    limit has a row a region: how far it may grow. Pinned paragraphs below the region's top are a floor, those above it a ceiling.
+    Of seven scales the largest at which all flowing paragraphs end above the limit is taken, else the smallest. Gaps shrink first,
+    later ones more. With obstacles (page, rect), a paragraph in the way of one moves below it. A region is one row with
+    arrays of its paragraphs, folded without a further exchange.
     """
-    flow = placed.where("not pinned")
-    pins = placed.where("pinned")
-    flows = flow.groupBy(*region).agg(F.min("y").alias("top"), F.max(F.col("y") + F.col("h")).alias("end"))
-    met = flows.join(pins.select(*region, F.col("y").alias("py"), (F.col("y") + F.col("h")).alias("pe")), region, "left")
-    edges = met.groupBy(*region, "top", "end").agg(
-        F.min(F.when(F.col("py") >= F.col("end"), F.col("py") - MIN_GAP)).alias("below"), F.max(F.when(F.col("pe") <= F.col("top"), F.col("pe") + MIN_GAP)).alias("above")
-    ).join(limit, region).select(*region, F.greatest("top", F.coalesce("above", "top")).alias("top"), "end", F.least("limit", F.coalesce("below", "limit")).alias("limit"))
-    scales = F.explode(F.array(*map(F.lit, SCALES))).alias("scale")
-    w = Window.partitionBy(*region).orderBy("para")
-    g = F.when(F.row_number().over(w) > 1, F.col("gap"))
-    rows = flow.withColumn("g", g).select(*region, "para", "text", "size", "leading", "x0", "x1", "g", scales)
-    rows = rows.withColumn("hs", box_height(F.col("x1") - F.col("x0"), F.col("text"), F.col("size") * F.col("scale"), F.col("leading")))
-    sums = rows.groupBy(*region, "scale").agg(
-        F.sum("hs").alias("heights"), F.coalesce(F.sum(F.greatest("g", F.lit(MIN_GAP))), F.lit(0.0)).alias("gaps"),
-        F.coalesce(F.sum(F.greatest(F.lit(0.0), F.col("g") - MIN_GAP)), F.lit(0.0)).alias("slack"), F.count("g").alias("n_gaps"),
-    )
-    t = sums.join(edges, region)
-    room = F.col("limit") - F.col("top")
-    keep = F.when(F.col("slack") <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (room - F.col("heights") - F.col("gaps")) / F.col("slack") + 1)))
-    t = t.withColumn("keep", keep).withColumn("room", room)
-    seq = Window.partitionBy(*region, "scale").orderBy("para")
-    nth = rows.where("g is not null").withColumn("i", F.row_number().over(seq)).join(t.select(*region, "scale", "keep", "n_gaps"), [*region, "scale"])
-    loose = F.greatest(F.lit(0.0), F.col("g") - MIN_GAP)
-    gap = MIN_GAP + F.greatest(F.lit(0.0), F.col("g") - MIN_GAP - loose * (1 - F.col("keep")) * F.col("i") / F.col("n_gaps"))
-    spent = nth.groupBy(*region, "scale").agg(F.sum(gap).alias("spent"))
-    t = t.join(spent, [*region, "scale"], "left").withColumn("over", F.col("heights") + F.coalesce("spent", F.lit(0.0)) - F.col("room"))
-    choice = F.row_number().over(Window.partitionBy(*region).orderBy((F.col("over") > 0).cast("int"), F.when(F.col("over") > 0, F.col("scale")).otherwise(-F.col("scale"))))
-    out = t.withColumn("r", choice).where("r = 1")
-    fits = F.col("end") <= F.col("limit")
+    row = F.struct("para", "text", "size", "single_line", "pinned", "indent", "leading", "x0", "x1", "y", "h")
+    g = placed.groupBy(*region).agg(F.sort_array(F.collect_list(row)).alias("ps")).join(limit.select(*region, F.col("limit").alias("end")), region)
+    none = F.array().cast(f"array<{RECT}>")
+    if obstacles is not None:
+        o = obstacles.select(*PAGE, F.struct("rect.y0", "rect.x0", "rect").alias("o")).groupBy(*PAGE).agg(F.transform(F.sort_array(F.collect_list("o")), lambda x: x["rect"]).alias("obstacles"))
+        g = g.join(o, PAGE, "left").withColumn("obstacles", F.coalesce("obstacles", none))
+    else:
+        g = g.withColumn("obstacles", none)
+    g = g.withColumn("flow", F.filter("ps", lambda p: ~p["pinned"])).withColumn("pins", F.filter("ps", lambda p: p["pinned"]))
+    first = F.get("flow", F.lit(0))["y"]
+    below = F.array_min(F.transform(F.filter("pins", lambda p: p["y"] > first), lambda p: p["y"] - MIN_GAP))
+    above = F.array_max(F.transform(F.filter("pins", lambda p: p["y"] + p["h"] <= first + 1.0), lambda p: p["y"] + p["h"] + MIN_GAP))
+    g = g.withColumn("top", F.greatest(first, above)).withColumn("end", F.least("end", below))
+    bottom = F.array_max(F.transform("flow", lambda p: p["y"] + p["h"]))
+    g = g.withColumn("fits", F.coalesce(bottom <= F.col("end"), F.lit(True))).withColumn("gaps", F.transform("flow", lambda p, k: F.when(k > 0, p["y"] - F.get("flow", k - 1)["y"] - F.get("flow", k - 1)["h"])))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    rest = F.filter("gaps", lambda x: x.isNotNull())
+    loose = lambda x: F.greatest(F.lit(0.0), x - MIN_GAP)
+    g = g.withColumn("slack", total(F.transform(rest, loose))).withColumn("least_gaps", total(F.transform(rest, lambda x: F.greatest(x, F.lit(MIN_GAP))))).withColumn("n_gaps", F.size(rest))
+
+    def laid(scale: Column) -> Column:
+        """The region at a scale: heights, share of gaps kept, tops, and what overflows."""
+        heights = F.transform("flow", lambda p: box_height(p["x1"] - p["x0"], p["text"], p["size"] * scale, p["leading"]))
+        keep = lambda hs: F.when(F.col("slack") <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("end") - F.col("top") - total(hs) - F.col("least_gaps")) / F.col("slack") + 1)))
+
+        def place(a: Column, k: Column, hs: Column, kept: Column) -> Column:
+            gap = F.get("gaps", k)
+            spent = F.when(k > 0, MIN_GAP + F.greatest(F.lit(0.0), gap - MIN_GAP - loose(gap) * (1 - kept) * (k / F.col("n_gaps")))).otherwise(0.0)
+            p, h = F.get("flow", k), F.get(hs, k)
+            moved = lambda y: F.when(F.size("obstacles") == 0, y).otherwise(clear_of(y, h, p["x0"], p["x1"], F.col("obstacles"), F.col("end")))
+            return F.transform(F.array(moved(a["y"] + spent)), lambda y: F.struct((y + h).alias("y"), F.array_append(a["tops"], y).alias("tops")))[0]
+
+        def whole(hs: Column, kept: Column) -> Column:
+            start = F.struct(F.col("top").alias("y"), F.array().cast("array<double>").alias("tops"))
+            done = F.aggregate(F.sequence(F.lit(0), F.size("flow") - 1), start, lambda a, k: place(a, k, hs, kept))
+            return F.transform(F.array(done), lambda a: F.struct(scale.alias("scale"), kept.alias("keep"), hs.alias("hs"), a["tops"].alias("tops"), (a["y"] - F.col("end")).alias("over")))[0]
+
+        return F.transform(F.array(heights), lambda hs: F.transform(F.array(keep(hs)), lambda kept: whole(hs, kept))[0])[0]
+
+    tried = F.transform(F.array(*map(F.lit, SCALES)), laid)
+    g = g.withColumn("tried", F.when(~F.col("fits"), tried))
+    g = g.withColumn("best", F.coalesce(F.get(F.filter("tried", lambda t: t["over"] <= 0), F.lit(0)), F.element_at("tried", -1))).drop("tried", "gaps")
+    out = g.select(*region, F.posexplode(F.concat("flow", "pins")).alias("nth", "p"), "best", F.size("flow").alias("n_flow"))
+    moves = F.col("best").isNotNull() & ~F.col("p.pinned")
+    put = lambda new, old: F.when(moves, new).otherwise(old)
     return out.select(
-        *region, F.when(fits, 1.0).otherwise(F.col("scale")).alias("scale"), F.when(fits, 1.0).otherwise(F.col("keep")).alias("keep"),
-        F.when(fits, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("over"))).alias("overflow"),
+        *region, "p.para", "p.text", put(F.col("p.size") * F.col("best.scale"), F.col("p.size")).alias("size"), "p.single_line", "p.pinned", "p.indent", "p.leading", "p.x0", "p.x1",
+        put(F.get("best.tops", F.col("nth")), F.col("p.y")).alias("y"), put(F.get("best.hs", F.col("nth")), F.col("p.h")).alias("h"), F.coalesce("best.scale", F.lit(1.0)).alias("scale"),
+        F.coalesce("best.keep", F.lit(1.0)).alias("keep"), F.greatest(F.lit(0.0), F.coalesce("best.over", F.lit(0.0))).alias("overflow"),
     )
 
 
-def fit_cells(cells: DataFrame, size_col: str = "size") -> DataFrame:
-    """Cells of text with the size at which they fit: down by quarter points to 60 per cent, which is taken unchecked.
+def fit_page(placed: DataFrame, pages: DataFrame) -> DataFrame:
+    """The whole page as one region without obstacles, down to its bottom margin."""
+    return fit(placed, pages.select(*PAGE, (F.col("rect.y1") - BOTTOM).alias("limit")))
 
-    Cells without box, text, or anything to translate are left out.
-    """
-    inner = CELL_INSET * 2 * 2  # the box is inset when it is taken over and again when it is fitted
-    t = X.squeeze(F.col("text"))
-    d = cells.where(F.col("bbox").isNotNull() & F.col("text").isNotNull()).withColumn("text", t)
-    d = d.withColumn("w", G.width(F.col("bbox")) - inner).withColumn("hmax", G.height(F.col("bbox")) - inner)
-    d = d.where((F.col("text") != "") & ~X.is_not_text(F.col("text")) & (F.col("w") > 0) & (F.col("hmax") > 0))
-    size = F.col(size_col)
+
+def usable_cells(cells: DataFrame) -> DataFrame:
+    """Cells with box, text and something to translate, their white space squeezed; inner is the box without its border."""
+    d = cells.where(F.col("bbox").isNotNull() & F.col("text").isNotNull()).withColumn("text", X.squeeze(F.col("text")))
+    d = d.withColumn("inner", G.grow(F.col("bbox"), -CELL_INSET))
+    return d.where((F.col("text") != "") & ~X.is_not_text(F.col("text")) & ~G.is_empty(F.col("inner")))
+
+
+def fit_size(text: Column, size: Column, inner: Column) -> Column:
+    """The size at which a cell's text fits its inner box, which is inset once more: down by quarter points to 60 per cent, which is taken
+    unchecked."""
+    w, h = G.width(inner) - 2 * CELL_INSET, G.height(inner) - 2 * CELL_INSET
     n = F.floor((size - CELL_SCALE * size) / CELL_STEP).cast("int")
     tries = F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: size - k * CELL_STEP), lambda s: s > CELL_SCALE * size)
-    good = F.filter(tries, lambda s: box_height(F.col("w"), F.col("text"), s, F.lit(None).cast("double")) <= F.col("hmax"))
-    return d.withColumn("fit_size", F.coalesce(F.get(good, 0), CELL_SCALE * size)).drop("w", "hmax")
+    good = F.filter(tries, lambda s: box_height(w, text, s, F.lit(None).cast("double")) <= h)
+    return F.coalesce(F.get(good, 0), CELL_SCALE * size)
+
+
+def fit_cells(cells: DataFrame, size_col: str = "size") -> DataFrame:
+    """Usable cells with the size at which they fit."""
+    return usable_cells(cells).withColumn("fit_size", fit_size(F.col("text"), F.col(size_col), F.col("inner"))).drop("inner")

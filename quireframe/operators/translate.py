@@ -1,35 +1,128 @@
-"""Translation requests with response checks; the model is a function of columns given by the caller."""
+"""Translation requests with response checks.
+
+A backend is a factory, called once in each worker, that gives a function from texts and a temperature to answers. Each row is
+asked for once, and once more where the answer is bad; both happen inside a batch, so no row is worked out twice.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
+from ..schema import PAGE
+
+#: Texts and a temperature to answers, one each.
+Answers = Callable[[Sequence[str], float], list[str]]
+Backend = Callable[[], Answers]
+
+
+def identity() -> Answers:
+    """A backend that answers with the source."""
+    return lambda texts, temperature: list(texts)
+
+
+def glossary(words: dict[str, str]) -> Backend:
+    """A backend that replaces whole words, whatever the case of their first letter, and leaves all else."""
+
+    def start() -> Answers:
+        known = {k.lower(): v for k, v in words.items()}
+        pattern = re.compile(r"\b(" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")\b", re.I) if known else None
+
+        def one(m: re.Match) -> str:
+            out = known[m[0].lower()]
+            return out[:1].upper() + out[1:] if m[0][:1].isupper() else out
+
+        return lambda texts, temperature: [pattern.sub(one, t) if pattern else t for t in texts]
+
+    return start
+
+
+_REFUSAL, _TASK = re.compile(X.REFUSAL), re.compile(X.REFUSAL_TASK)
+
 
-#: A model: source texts and a temperature to output texts. Pandas UDFs fit, as do plain column functions.
-Model = Callable[[Column, float], Column]
+def reason(source: str, answer: str) -> str | None:
+    """What is wrong with an answer; the same rules as the column function, for use between two calls of a model."""
+    t, o = source.strip(), answer.strip()
+    if len(t) > X.ECHO_LEN:
+        for bad, name in ((o == t, "echo"), (len(o) < 0.25 * len(t), "short"), (len(o) > 3 * len(t), "runaway")):
+            if bad:
+                return name
+    return "refusal" if _REFUSAL.match(o) and _TASK.search(o[: X.REFUSAL_LEN]) else None
 
 
-def identity(source: Column, temperature: float) -> Column:
-    return source
+_LOADED: dict[str, Answers] = {}
 
 
-def translated(para: DataFrame, model: Model = identity, temperature: float = 0.3, keep_source_if_bad: bool = False) -> DataFrame:
-    """Paragraphs with output, reason and skipped. Page numbers and near-empty texts never reach the model; a bad answer is asked
-    for once more at temperature 0. Branches are filtered and united, since a model inside a condition would run on all rows."""
-    skip = X.is_page_number(X.strip(F.col("text"))) | X.near_empty(F.col("text"))
+def _model(backend: Backend, name: str) -> Answers:
+    if name not in _LOADED:
+        _LOADED[name] = backend()
+    return _LOADED[name]
+
+
+def answered(rows: DataFrame, backend: Backend = identity, temperature: float = 0.3, name: str | None = None, retry: bool = True) -> DataFrame:
+    """Rows (text, ...) with answer, reason and calls. With retry, a bad answer is asked for once more at temperature 0, unless that
+    was the temperature already; it is taken if it is good. name tells backends of a worker apart."""
+    name = name or f"{backend.__module__}.{backend.__qualname__}-{id(backend)}"
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            model = _model(backend, name)
+            ask = lambda some, t: [a.strip().replace(X.MODEL_SENTINEL, X.SENTINEL) for a in model([x.replace(X.SENTINEL, X.MODEL_SENTINEL) for x in some], t)]  # noqa: B023, E731
+            out = ask(texts, temperature) if texts else []
+            why = [reason(t, a) for t, a in zip(texts, out, strict=True)]
+            calls = [1] * len(texts)
+            again = [k for k, r in enumerate(why) if r] if retry and temperature != 0 else []
+            for k, a in zip(again, ask([texts[k] for k in again], 0.0) if again else [], strict=True):
+                calls[k] = 2
+                if reason(texts[k], a) is None:
+                    out[k], why[k] = a, None
+            cols = [*batch.columns, pa.array(out, pa.string()), pa.array(why, pa.string()), pa.array(calls, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "answer", "reason", "calls"])
+
+    schema = StructType(list(rows.schema.fields)).add("answer", "string").add("reason", "string").add("calls", "integer")
+    return rows.mapInArrow(run, schema)
+
+
+def is_skipped(text: Column) -> Column:
+    """Page numbers and near-empty texts never reach a model."""
+    return X.is_page_number(X.strip(text)) | X.near_empty(text)
+
+
+def translated(para: DataFrame, backend: Backend = identity, temperature: float = 0.3, keep_source_if_bad: bool = False, name: str | None = None) -> DataFrame:
+    """Paragraphs with output, reason, skipped and calls. Markers that an answer lost are put back; a bad answer stays, or gives way
+    to its source where keep_source_if_bad is set."""
     none = F.lit(None).cast("string")
-    passed = para.where(skip).withColumns({"output": F.col("text"), "reason": none, "skipped": F.lit(True)})
-    asked = para.where(~skip).withColumn("answer", X.from_model(X.strip(model(X.for_model(F.col("text")), temperature))))
-    asked = asked.withColumn("reason", X.bad_translation(F.col("text"), F.col("answer")))
-    good = asked.where("reason is null")
-    bad = asked.where("reason is not null")
-    if temperature != 0:
-        bad = bad.withColumn("answer", X.from_model(X.strip(model(X.for_model(F.col("text")), 0.0)))).withColumn("reason", X.bad_translation(F.col("text"), F.col("answer")))
-    both = good.unionByName(bad)
+    skip = is_skipped(F.col("text"))
+    passed = para.where(skip).withColumns({"output": F.col("text"), "reason": none, "skipped": F.lit(True), "calls": F.lit(0)})
+    both = answered(para.where(~skip).withColumn("text", X.strip(F.col("text"))), backend, temperature, name)
     shown = X.preserve_markers(F.col("text"), F.col("answer"))
     if keep_source_if_bad:
         shown = F.when(F.col("reason").isNull(), shown).otherwise(F.col("text"))
     return both.withColumn("output", shown).drop("answer").withColumn("skipped", F.lit(False)).unionByName(passed)
+
+
+def events(done: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """What a run says of each paragraph: skipped or translated, and a warning where the answer is bad."""
+    n = lambda c: F.length(c).cast("string")
+    page = F.concat(F.lit("  page "), (F.col("page_no") + 1).cast("string"), F.lit(": "))
+    told = F.when(F.col("skipped"), F.concat(page, F.lit("skipped paragraph ["), n("text"), F.lit(" chars]")))
+    told = told.otherwise(F.concat(page, F.lit("paragraph translated ["), n("text"), F.lit(" chars] -> ["), n("output"), F.lit(" chars]")))
+    warned = F.when(F.col("reason").isNotNull(), F.concat(page, F.lit("WARNING: "), "reason", F.lit(" (paragraph: "), F.substring("text", 1, 60), F.lit(")")))
+    rows = F.array(F.struct(F.lit(1).alias("nth"), F.when(F.col("skipped"), "skipped").otherwise("translated").alias("kind"), told.alias("message")), F.struct(F.lit(0), F.lit("warning"), warned))
+    return done.select(*keys, "para", F.explode(F.filter(rows, lambda r: r["message"].isNotNull())).alias("e")).select(*keys, "para", "e.nth", "e.kind", "e.message")
+
+
+def titles(docs: DataFrame, backend: Backend = identity, temperature: float = 0.0, name: str | None = None) -> DataFrame:
+    """Documents (doc_id, title) with their title translated; a blank title, and one whose answer is bad, stays."""
+    blank = F.coalesce(X.strip(F.col("title")) == "", F.lit(True))
+    asked = docs.where(~blank).select("doc_id", "title", X.strip(F.col("title")).alias("text"))
+    got = answered(asked, backend, temperature, name)
+    got = got.select("doc_id", F.when(F.col("reason").isNull(), F.col("answer")).otherwise(F.col("title")).alias("title"), (F.col("reason").isNull()).alias("translated"))
+    return got.unionByName(docs.where(blank).select("doc_id", "title", F.lit(False).alias("translated")))

@@ -7,14 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry as G, text as X
 from ..operators import layout as L, paragraphs as P
 from ..schema import PAGE
+from .pages import Analysis
 
 
-def page_stats(lines: DataFrame, pages: DataFrame | None = None, drawings: DataFrame | None = None, tables: DataFrame | None = None) -> DataFrame:
-    free = lines
-    if tables is not None:
-        tables = L.usable_tables(tables)
-        free = L.outside(lines, tables, box="bbox")
-    placed = L.assigned(free)
+def page_stats(lines: DataFrame) -> DataFrame:
+    """The report of pages of lines alone, without drawings or tables."""
+    placed = L.assigned(lines)
     region = [*PAGE, "band_no", "part", "region_col"]
     para = P.paragraphs(placed.where("region_kind <> 'unassigned'"), region)
     seen = F.collect_set(F.struct("band_no", "part", "region_col"))  # a page's regions: each has a paragraph
@@ -22,27 +20,20 @@ def page_stats(lines: DataFrame, pages: DataFrame | None = None, drawings: DataF
         F.count("*").alias("paragraphs"), F.max("size").alias("body_size"), P.count_where(X.near_empty(F.col("text"))).alias("near_empty"),
         F.size(seen).alias("regions"), F.greatest(F.lit(1), F.max("region_col")).alias("columns"),
     )
-    margin = P.modal_margin(free).withColumnRenamed("margin", "modal_margin")
-    out = stats.join(margin, PAGE)
-    counts = {}
-    if drawings is not None and pages is not None:
-        solid = L.sized_obstacles(L.merged(L.plausible_drawings(drawings, tables), "drawing", "drawing_no"), pages)
-        counts["obstacles"] = solid.groupBy(*PAGE).agg(F.count("*").alias("obstacles"))
-    if tables is not None:
-        counts["tables"] = tables.groupBy(*PAGE).agg(F.count("*").alias("tables"))
-    for name in ("obstacles", "tables"):
-        if name in counts:
-            out = out.join(counts[name], PAGE, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-        else:
-            out = out.withColumn(name, F.lit(0))
+    out = stats.join(P.modal_margin(lines).withColumnRenamed("margin", "modal_margin"), PAGE).withColumn("obstacles", F.lit(0)).withColumn("tables", F.lit(0))
     return out.select(*PAGE, *[F.col(c).cast("bigint").alias(c) for c in ("paragraphs", "near_empty", "regions", "columns", "obstacles", "tables")], "body_size", "modal_margin")
 
 
-def overlay(regions: DataFrame, obstacles: DataFrame, gutters: DataFrame, paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Labelled boxes of a page's parts, for drawing."""
-    boxes = lambda d, kind, color, label, rect: d.select(*PAGE, F.lit(kind).alias("kind"), color.alias("color"), label.cast("string").alias("label"), rect.alias("rect"))
-    out = boxes(regions, "region", F.when(F.col("region_no") % 2 == 1, "blue").otherwise("green"), F.col("region_no"), F.col("rect"))
-    out = out.unionByName(boxes(obstacles, "obstacle", F.lit("red"), F.col("obstacle_no"), F.col("rect")))
-    g = gutters.join(pages.select(*PAGE, F.col("rect").alias("p")), PAGE)
-    out = out.unionByName(boxes(g, "gutter", F.lit("orange"), F.col("col_no"), G.rect(F.col("x0"), F.col("p.y0"), F.col("x1"), F.col("p.y1"))))
-    return out.unionByName(boxes(paragraphs, "paragraph", F.lit("grey"), F.col("para"), F.col("bbox")))
+def overlay(a: Analysis) -> DataFrame:
+    """Labelled boxes of a page's parts, for drawing: obstacles, gutters, regions and tables, paragraphs of text regions."""
+    none = F.lit(None).cast("string")
+    boxes = lambda d, kind, color, label, rect: d.select(*PAGE, F.lit(kind).alias("kind"), color.alias("color"), label.alias("label"), rect.alias("rect"))
+    own = a.placed.where("region_kind <> 'unassigned'")
+    table = F.col("kind") == "table"
+    name = F.concat(F.lit("R"), F.col("region_no").cast("string"), F.lit(":"), F.when(table, "table").otherwise("text"))
+    out = boxes(a.regions, "region", F.when(table, "green").otherwise("blue"), name, F.col("rect"))
+    area = a.placed.groupBy(*PAGE).agg(G.bounds(F.col("bbox")).alias("area"))
+    g = L.gutters(L.columns(a.placed)).join(area, PAGE)
+    out = out.unionByName(boxes(g, "gutter", F.lit("orange"), none, G.rect(F.col("x0"), F.col("area.y0"), F.col("x1"), F.col("area.y1"))))
+    out = out.unionByName(boxes(P.paragraphs(own, [*PAGE, "band_no", "part", "region_col"]), "paragraph", F.lit("grey"), none, F.col("bbox")))
+    return out if a.obstacles is None else out.unionByName(boxes(a.obstacles, "obstacle", F.lit("red"), F.col("kind"), F.col("rect")))

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geometry as G, text as X
-from .operators import ingest, layout as L, paragraphs as P, reflow as R, translate
-from .plans import page_stats as S
-from .schema import PAGE, RECT
+from .operators import cells as C, ingest, layout as L, paragraphs as P, reflow as R, translate
+from .plans import page_stats as S, pages as W
+from .schema import PAGE
 from .sources import derived
 
 QUERIES, SQL = {}, {}
@@ -49,7 +49,7 @@ _X = {
 }
 
 
-def lines_sql(columns: int = 1) -> str:
+def lines_sql(columns: int = 1, name: str = "l") -> str:
     x0, x1 = _X[columns]
     return f"""l0 AS (
   SELECT doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS raw
@@ -62,7 +62,7 @@ def lines_sql(columns: int = 1) -> str:
     CASE WHEN (doc_id + line_no) % 11 = 0 THEN (line_no % 99 + 1)::VARCHAR END AS mark,
     (doc_id + line_no) % 13 = 0 AS italic
   FROM l0
-), l AS (
+), {name} AS (
   SELECT *, {x0} AS x0, {x1} AS x1, 72e0 + 15e0 * i + 12e0 * (i // 6) AS y0, 72e0 + 15e0 * i + 12e0 * (i // 6) + size AS y1 FROM l1
 )"""
 
@@ -89,45 +89,50 @@ def fold_sql(dehyphenate: bool = True) -> str:
     return f"CASE WHEN NOT regexp_matches({core}, '\\S-$') OR regexp_matches({ncore}, '{_SUSP}') THEN o || ' ' || n ELSE {joined} END"
 
 
-def paragraphs_sql(dehyphenate: bool = True) -> str:
-    """CTEs up to para: one row a paragraph of one-column pages."""
-    w = "PARTITION BY doc_id, page_no ORDER BY round(y0, 1), round(x0, 1), line_no"
-    return f"""{lines_sql()}, sp AS (
-  SELECT doc_id, page_no, line_no, 0 AS k, 6.5e0 AS size, length(mark) AS n FROM l WHERE mark IS NOT NULL
-  UNION ALL SELECT doc_id, page_no, line_no, CASE WHEN mark IS NULL THEN 0 ELSE 1 END, size, length(text) FROM l
+def paragraph_ctes(lines: str = "l", keys: str = "doc_id, page_no", dehyphenate: bool = True) -> str:
+    """CTEs up to para: one row a paragraph of each group of lines."""
+    w = f"PARTITION BY {keys} ORDER BY round(y0, 1), round(x0, 1), line_no"
+    return f"""sp AS (
+  SELECT {keys}, line_no, 0 AS k, 6.5e0 AS size, length(mark) AS n FROM {lines} WHERE mark IS NOT NULL
+  UNION ALL SELECT {keys}, line_no, CASE WHEN mark IS NULL THEN 0 ELSE 1 END, size, length(text) FROM {lines}
 ), dom AS (
-  SELECT doc_id, page_no, size AS dominant FROM (
-    SELECT doc_id, page_no, size, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY sum(n) DESC, min(line_no * 2 + k)) AS r
-    FROM sp GROUP BY doc_id, page_no, size) WHERE r = 1
+  SELECT {keys}, size AS dominant FROM (
+    SELECT {keys}, size, row_number() OVER (PARTITION BY {keys} ORDER BY sum(n) DESC, min(line_no * 2 + k)) AS r
+    FROM sp GROUP BY {keys}, size) WHERE r = 1
 ), mar AS (
-  SELECT doc_id, page_no, m AS margin FROM (
-    SELECT doc_id, page_no, round(x0, 1) AS m, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY count(*) DESC, round(x0, 1)) AS r
-    FROM l GROUP BY doc_id, page_no, round(x0, 1)) WHERE r = 1
+  SELECT {keys}, m AS margin FROM (
+    SELECT {keys}, round(x0, 1) AS m, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, round(x0, 1)) AS r
+    FROM {lines} GROUP BY {keys}, round(x0, 1)) WHERE r = 1
 ), o AS (
-  SELECT l.*, dominant, margin, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, lag(size) OVER w AS psize, row_number() OVER w AS pos
-  FROM l JOIN dom USING (doc_id, page_no) JOIN mar USING (doc_id, page_no) WINDOW w AS ({w})
+  SELECT ls.*, dominant, margin, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, lag(size) OVER w AS psize, row_number() OVER w AS pos
+  FROM {lines} ls JOIN dom USING ({keys}) JOIN mar USING ({keys}) WINDOW w AS ({w})
 ), st AS (
   SELECT *, CASE WHEN py0 IS NULL OR (abs(y0 - py0) >= 2 AND (round(x0, 1) > margin + 4 OR mark IS NOT NULL OR abs(size - psize) > 1.5e0 OR y0 - py1 > 1.7e0 * size))
     THEN 1 ELSE 0 END AS s FROM o
 ), num AS (SELECT *, sum(s) OVER ({w})::BIGINT AS para, {_PIECE} AS piece FROM st
 ), psize AS (
-  SELECT doc_id, page_no, para, size AS psz FROM (
-    SELECT doc_id, page_no, para, size, row_number() OVER (PARTITION BY doc_id, page_no, para ORDER BY sum(length(text)) DESC, min(pos)) AS r
-    FROM num GROUP BY doc_id, page_no, para, size) WHERE r = 1
+  SELECT {keys}, para, size AS psz FROM (
+    SELECT {keys}, para, size, row_number() OVER (PARTITION BY {keys}, para ORDER BY sum(length(text)) DESC, min(pos)) AS r
+    FROM num GROUP BY {keys}, para, size) WHERE r = 1
 ), g AS (
-  SELECT doc_id, page_no, para, list_filter(list(piece ORDER BY pos), lambda x: x <> '') AS ps, list(y0 ORDER BY pos) AS ys, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1,
+  SELECT {keys}, para, list_filter(list(piece ORDER BY pos), lambda x: x <> '') AS ps, list(y0 ORDER BY pos) AS ys, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1,
     max(y1) AS y1, count(*) AS n_lines, arg_min(x0, pos) AS first_x0
-  FROM num GROUP BY doc_id, page_no, para
+  FROM num GROUP BY {keys}, para
 ), para AS (
-  SELECT doc_id, page_no, para, regexp_replace(CASE WHEN len(ps) = 0 THEN '' ELSE list_reduce(ps, lambda o, n: {fold_sql(dehyphenate)}) END, '\\s+([.,;:!?])', '\\1', 'g') AS text,
+  SELECT {keys}, para, regexp_replace(CASE WHEN len(ps) = 0 THEN '' ELSE list_reduce(ps, lambda o, n: {fold_sql(dehyphenate)}) END, '\\s+([.,;:!?])', '\\1', 'g') AS text,
     x0, y0, x1, y1, psz AS size, n_lines = 1 AS single_line,
     CASE WHEN n_lines = 1 THEN 0e0 ELSE round(greatest(0e0, first_x0 - x0), 1) END AS indent,
     CASE WHEN n_lines > 1 THEN round(list_sort(list_filter(list_transform(range(2, n_lines + 1), lambda k: ys[k] - ys[k - 1]), lambda v: v > 0))[
       len(list_filter(list_transform(range(2, n_lines + 1), lambda k: ys[k] - ys[k - 1]), lambda v: v > 0)) // 2 + 1] / psz, 3) END AS "leading"
-  FROM g JOIN psize USING (doc_id, page_no, para)
+  FROM g JOIN psize USING ({keys}, para)
 )"""
 
 
+def paragraphs_sql(dehyphenate: bool = True) -> str:
+    """CTEs up to para: one row a paragraph of one-column pages."""
+    return f"{lines_sql()}, {paragraph_ctes(dehyphenate=dehyphenate)}"
+
+
 NEAR = lambda x: f"length({STRIP(f'''replace(regexp_replace({x}, '\\[(\\d{{1,3}})\\]', '', 'g'), '*', '')''')}) < 4"
 
 # ---- paragraphs and page statistics -----------------------------------------------------------------------------
@@ -168,7 +173,9 @@ def modal_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- columns, regions, obstacles --------------------------------------------------------------------------------
 
-COLUMNS_SQL = f"""{lines_sql(2)}, area AS (
+def columns_ctes(lines: str) -> str:
+    """CTEs of areas and columns of the pages of l, which `lines` defines."""
+    return f"""{lines}, area AS (
   SELECT doc_id, page_no, min(x0) AS ax0, min(y0) AS ay0, max(x1) AS ax1, max(y1) AS ay1, max(x1) - min(x0) AS w FROM l GROUP BY doc_id, page_no
 ), body AS (
   SELECT * FROM (SELECT l.doc_id, l.page_no, w, floor(greatest(x0, ax0)) AS lo, ceil(least(x1, ax1)) AS hi, (x0 + x1) / 2 AS mid, count(*) OVER (PARTITION BY l.doc_id, l.page_no) AS n_body
@@ -179,11 +186,14 @@ COLUMNS_SQL = f"""{lines_sql(2)}, area AS (
   SELECT *, sum(CASE WHEN reach IS NULL OR lo - reach >= greatest(10e0, 0.035e0 * w) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY lo, hi) AS run FROM r0
 ), runs AS (SELECT doc_id, page_no, run, min(lo) AS lo, max(hi) AS hi, any_value(w) AS w FROM r1 GROUP BY doc_id, page_no, run
 ), adm AS (
-  SELECT * FROM runs u WHERE hi - lo >= 0.12e0 * w AND (SELECT count(*) FROM body b WHERE b.doc_id = u.doc_id AND b.page_no = u.page_no AND mid BETWEEN lo - 1 AND u.hi + 1 AND mid >= u.lo - 1) >= 3
+  SELECT * FROM runs u WHERE hi - lo >= 0.12e0 * w AND (SELECT count(*) FROM body b WHERE b.doc_id = u.doc_id AND b.page_no = u.page_no AND b.mid BETWEEN u.lo - 1 AND u.hi + 1) >= 3
 ), cols AS (
   SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY lo) AS col_no, lo, hi
   FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no) AS n_cols FROM adm) WHERE n_cols >= 2
-)""".replace("mid BETWEEN lo - 1 AND u.hi + 1 AND mid >= u.lo - 1", "b.mid BETWEEN u.lo - 1 AND u.hi + 1")
+)"""
+
+
+COLUMNS_SQL = columns_ctes(lines_sql(2))
 
 
 @query(f"WITH {COLUMNS_SQL} SELECT doc_id, page_no, col_no, lo, hi FROM cols")
@@ -198,7 +208,9 @@ def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.gutters(L.columns(_lines(spark, sf_dir, 2)))
 
 
-PLACED_SQL = f"""{COLUMNS_SQL}, facts AS (
+def placed_ctes(lines: str) -> str:
+    """CTEs up to placed: the lines with their places."""
+    return f"""{columns_ctes(lines)}, facts AS (
   SELECT l.doc_id, l.page_no, l.line_no, sum(CASE WHEN least(x1, hi) - greatest(x0, lo) > 0.25e0 * (hi - lo) THEN 1 ELSE 0 END) AS n_wide,
     min(CASE WHEN (x0 + x1) / 2 BETWEEN lo - 1 AND hi + 1 THEN col_no END) AS col_no
   FROM l JOIN cols USING (doc_id, page_no) GROUP BY l.doc_id, l.page_no, l.line_no
@@ -224,32 +236,50 @@ PLACED_SQL = f"""{COLUMNS_SQL}, facts AS (
 )"""
 
 
+PLACED_SQL = placed_ctes(lines_sql(2))
+
+
 @query(f"""WITH {PLACED_SQL} SELECT doc_id, page_no, line_no, CASE WHEN NOT lost THEN number END AS band_no, CASE WHEN NOT lost THEN spanning::INT END AS part,
   CASE WHEN NOT lost THEN region_col END AS region_col, region_kind FROM placed""")
 def line_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each line belongs, lost ones shown."""
-    return L.assigned(_lines(spark, sf_dir, 2)).drop("bbox", "spans")
+    return L.assigned(_lines(spark, sf_dir, 2)).drop("bbox", "spans", "region_rect", "n_cols")
+
+
+def regions_ctes(lines: str) -> str:
+    """CTEs up to regions: a column's space is its width and its band, a block's the area's width, a page's without columns the area."""
+    return f"""{placed_ctes(lines)}, rg AS (
+  SELECT doc_id, page_no, number, spanning, region_col, any_value(multi) AS multi, any_value(region_kind) AS kind, count(*) AS n_lines
+  FROM placed WHERE NOT lost GROUP BY doc_id, page_no, number, spanning, region_col
+), regions AS (
+  SELECT r.doc_id, r.page_no, number AS band_no, spanning::INT AS part, region_col, kind, n_lines,
+    CASE WHEN region_col > 0 THEN lo ELSE ax0 END AS rect_x0,
+    CASE WHEN NOT multi THEN ay0 WHEN spanning THEN own.by0 WHEN number > 1 THEN above.by1 ELSE ay0 END AS rect_y0,
+    CASE WHEN region_col > 0 THEN hi ELSE ax1 END AS rect_x1,
+    CASE WHEN NOT multi THEN ay1 WHEN spanning THEN own.by1 ELSE coalesce(own.by0, ay1) END AS rect_y1,
+    row_number() OVER (PARTITION BY r.doc_id, r.page_no ORDER BY number, spanning::INT, region_col) AS region_no
+  FROM rg r JOIN area USING (doc_id, page_no)
+  LEFT JOIN cols c ON c.doc_id = r.doc_id AND c.page_no = r.page_no AND c.col_no = r.region_col
+  LEFT JOIN blocks own ON own.doc_id = r.doc_id AND own.page_no = r.page_no AND own.block = r.number
+  LEFT JOIN blocks above ON above.doc_id = r.doc_id AND above.page_no = r.page_no AND above.block = r.number - 1
+)"""
 
 
-REGIONS_SQL = f"""{PLACED_SQL}, regions AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY band_no, part, region_col) AS region_no FROM (
-    SELECT doc_id, page_no, number AS band_no, spanning::INT AS part, region_col, any_value(region_kind) AS kind, count(*) AS n_lines, min(x0) AS rect_x0, min(y0) AS rect_y0, max(x1) AS rect_x1, max(y1) AS rect_y1
-    FROM placed WHERE NOT lost GROUP BY doc_id, page_no, number, spanning, region_col)
-)"""
+REGIONS_SQL = regions_ctes(lines_sql(2))
 
 
 @query(f"WITH {REGIONS_SQL} SELECT doc_id, page_no, region_no, kind, n_lines, rect_x0, rect_y0, rect_x1, rect_y1 FROM regions")
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions in reading order."""
-    r = L.regions(L.assigned(_lines(spark, sf_dir, 2))).drop("band_no", "part", "region_col")
+    r = L.regions(L.assigned(_lines(spark, sf_dir, 2))).drop("band_no", "part", "region_col", "n_cols")
     return flat(r, "rect")
 
 
 @query(f"""WITH {REGIONS_SQL} SELECT a.doc_id, a.page_no, a.region_no, coalesce(min(b.rect_y0), 792e0) AS "limit"
-FROM regions a LEFT JOIN regions b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.rect_y0 > a.rect_y0 AND least(a.rect_x1, b.rect_x1) - greatest(a.rect_x0, b.rect_x0) > 0
+FROM regions a LEFT JOIN regions b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.rect_y0 > a.rect_y0 AND NOT (b.rect_x1 <= a.rect_x0 OR b.rect_x0 >= a.rect_x1)
 GROUP BY a.doc_id, a.page_no, a.region_no""")
 def growth_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8."""
+    """J8 over text regions."""
     lines = _lines(spark, sf_dir, 2)
     return R.ceilings(L.regions(L.assigned(lines)), derived.pages(lines))
 
@@ -290,27 +320,131 @@ def usable_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DRAWINGS_SQL}, {TABLES_SQL} SELECT doc_id, page_no, drawing_no FROM kept k
 WHERE NOT EXISTS (SELECT 1 FROM ut WHERE ut.doc_id = k.doc_id AND tx0 < x1 AND x0 < tx1 AND ty0 < y1 AND y0 < ty1)""")
 def drawings_outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range anti-join on top of the page's key."""
+    """A range anti-join on top of the page's key."""
     d = L.plausible_drawings(derived.drawings(spark, sf_dir), L.usable_tables(_tables(spark, sf_dir)))
     return d.select(*PAGE, "drawing_no")
 
 
-@query()
+def union_ctes(rects: str, name: str = "merged") -> str:
+    """Recursive CTEs that join two rectangles (doc_id, page_no, kind, pad, x0, y0, x1, y1) that meet when one is grown, until none do."""
+    meets = "rs[p[1]].x0 - pad < rs[p[2]].x1 AND rs[p[2]].x0 < rs[p[1]].x1 + pad AND rs[p[1]].y0 - pad < rs[p[2]].y1 AND rs[p[2]].y0 < rs[p[1]].y1 + pad"
+    both = ", ".join(f"'{c}': {f}(rs[p[1]].{c}, rs[p[2]].{c})" for c, f in (("x0", "least"), ("y0", "least"), ("x1", "greatest"), ("y1", "greatest")))
+    pairs = "flatten(list_transform(range(1, len(rs) + 1), lambda i: list_transform(range(i + 1, len(rs) + 1), lambda j: [i, j])))"
+    return f"""steps AS (
+  SELECT doc_id, page_no, kind, pad, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY x0, y0, x1, y1) AS rs FROM {rects} GROUP BY doc_id, page_no, kind, pad
+  UNION ALL SELECT doc_id, page_no, kind, pad, list_append(list_filter(rs, lambda x, i: i <> p[1] AND i <> p[2]), {{{both}}}) FROM (
+    SELECT *, list_filter({pairs}, lambda p: {meets})[1] AS p FROM steps) WHERE p IS NOT NULL
+), {name} AS (
+  SELECT doc_id, page_no, kind, r.x0 AS x0, r.y0 AS y0, r.x1 AS x1, r.y1 AS y1 FROM (
+    SELECT doc_id, page_no, kind, unnest(rs) AS r FROM steps WHERE len(list_filter({pairs}, lambda p: {meets})) = 0)
+), solid AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, kind, x1, y1) AS obstacle_no FROM {name} WHERE (x1 - x0) * (y1 - y0) / (612e0 * 792e0) BETWEEN 0.004e0 AND 0.85e0
+)"""
+
+
+@query(f"""WITH RECURSIVE {DRAWINGS_SQL}, ob AS (SELECT doc_id, page_no, 'drawing' AS kind, 4e0 AS pad, x0, y0, x1, y1 FROM kept), {union_ctes("ob")}
+SELECT doc_id, page_no, kind, obstacle_no, x0 AS rect_x0, y0 AS rect_y0, x1 AS rect_x1, y1 AS rect_y1 FROM solid""")
 def obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged drawings of plausible size."""
     d = derived.drawings(spark, sf_dir)
     pages = d.select(*PAGE).distinct().select(*PAGE, G.rect(*map(F.lit, derived.PAGE_RECT)).alias("rect"))
-    return flat(L.sized_obstacles(L.merged(L.plausible_drawings(d), "drawing", "drawing_no"), pages), "rect")
+    return flat(L.obstacles(pages, drawings=d), "rect")
 
 
-@query()
-def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: labelled boxes."""
+# ---- whole pages ------------------------------------------------------------------------------------------------
+
+
+def _analysis(spark, sf_dir) -> W.Analysis:
     lines = _lines(spark, sf_dir, 2)
-    placed, pages = L.assigned(lines), derived.pages(lines)
-    para = P.paragraphs(placed.where("region_kind <> 'unassigned'"), [*PAGE, "band_no", "part", "region_col"])
-    none = spark.createDataFrame([], f"doc_id bigint, page_no int, obstacle_no int, rect {RECT}")
-    return flat(S.overlay(L.regions(placed), none, L.gutters(L.columns(lines)), para, pages), "rect")
+    pages = derived.pages(lines)
+    return W.analyze(lines, pages, derived.page_drawings(pages), derived.page_images(pages), derived.page_tables(pages))
+
+
+def _cells(spark, sf_dir, pages):
+    boxes = derived.cell_boxes(derived.page_tables(pages))
+    return C.matched(derived.cell_texts(boxes, derived.documents(spark, sf_dir)), boxes)
+
+
+_K = "(doc_id + page_no)"
+PAGES_SQL = f"""{lines_sql(2, "every")}, pages AS (SELECT DISTINCT doc_id, page_no FROM every
+), tb AS (
+  SELECT doc_id, page_no, 0 AS table_no, 72e0 AS tx0, 222e0 + (doc_id % 4) * 30 AS ty0, 300e0 AS tx1, 282e0 + (doc_id % 4) * 30 AS ty1, 3 AS n_rows, 3 AS n_cols FROM pages WHERE {_K} % 3 = 0
+  UNION ALL SELECT doc_id, page_no, 1, 72e0, 500e0, 512e0, 560e0, 2, 2 FROM pages WHERE {_K} % 6 = 0
+  UNION ALL SELECT doc_id, page_no, 2, 72e0, 600e0, 512e0, 640e0, 1, 4 FROM pages WHERE {_K} % 2 = 0
+), ut AS (SELECT * FROM tb WHERE (tx1 - tx0) * (ty1 - ty0) >= 400 AND n_rows >= 2 AND n_cols >= 2
+), l AS (SELECT * FROM every e WHERE NOT EXISTS (
+  SELECT 1 FROM ut WHERE ut.doc_id = e.doc_id AND ut.page_no = e.page_no AND tx0 < e.x1 AND e.x0 < tx1 AND ty0 < e.y1 AND e.y0 < ty1)
+)"""
+OBSTACLES_SQL = f"""img AS (
+  SELECT doc_id, page_no, 'image' AS kind, 1e0 AS pad, 330e0 AS x0, 400e0 AS y0, 400e0 AS x1, 450e0 AS y1 FROM pages WHERE {_K} % 4 = 1
+  UNION ALL SELECT doc_id, page_no, 'image', 1e0, 400.5e0, 400e0, 470e0, 450e0 FROM pages WHERE {_K} % 4 = 1
+  UNION ALL SELECT doc_id, page_no, 'image', 1e0, 10e0, 10e0, 12e0, 12e0 FROM pages WHERE {_K} % 4 <= 1
+), dr AS (
+  SELECT doc_id, page_no, 'drawing' AS kind, 4e0 AS pad, 90e0 AS x0, 300e0 AS y0, 130e0 AS x1, 340e0 AS y1 FROM pages WHERE {_K} % 4 = 2
+  UNION ALL SELECT doc_id, page_no, 'drawing', 4e0, 133e0, 300e0, 170e0, 360e0 FROM pages WHERE {_K} % 4 = 2
+  UNION ALL SELECT doc_id, page_no, 'drawing', 4e0, 160e0, 362e0, 260e0, 400e0 FROM pages WHERE {_K} % 4 = 2
+  UNION ALL SELECT doc_id, page_no, 'drawing', 4e0, 0e0, 0e0, 612e0, 792e0 FROM pages WHERE {_K} % 8 = 2
+), ob AS (SELECT * FROM img UNION ALL SELECT * FROM dr WHERE NOT EXISTS (
+  SELECT 1 FROM ut WHERE ut.doc_id = dr.doc_id AND ut.page_no = dr.page_no AND tx0 < dr.x1 AND dr.x0 < tx1 AND ty0 < dr.y1 AND dr.y0 < ty1)
+), {union_ctes("ob")}"""
+PLAN_SQL = f"""{regions_ctes(PAGES_SQL)}, slots AS (
+  SELECT t.doc_id, t.page_no, t.table_no, any_value(tx0) AS x0, any_value(ty0) AS y0, any_value(tx1) AS x1, any_value(ty1) AS y1, min(region_no) FILTER (WHERE rect_y0 > ty0) AS slot
+  FROM ut t LEFT JOIN regions r ON r.doc_id = t.doc_id AND r.page_no = t.page_no GROUP BY t.doc_id, t.page_no, t.table_no
+), plan AS (
+  SELECT doc_id, page_no, kind, table_no, band_no, part, region_col, x0, y0, x1, y1, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY k1, k2, y0, x0, table_no) AS region_no FROM (
+    SELECT doc_id, page_no, 'table' AS kind, table_no, NULL AS band_no, NULL AS part, NULL AS region_col, x0, y0, x1, y1, coalesce(slot, 1000000000) AS k1, 0 AS k2 FROM slots
+    UNION ALL SELECT doc_id, page_no, kind, NULL, band_no, part, region_col, rect_x0, rect_y0, rect_x1, rect_y1, region_no, 1 FROM regions)
+)"""
+
+
+@query(f"WITH {PLAN_SQL} SELECT doc_id, page_no, region_no, kind, table_no, x0 AS rect_x0, y0 AS rect_y0, x1 AS rect_x1, y1 AS rect_y1 FROM plan")
+def plan_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of the lines outside tables, with the tables among them, in reading order."""
+    return flat(_analysis(spark, sf_dir).regions.select(*PAGE, "region_no", "kind", "table_no", "rect"), "rect")
+
+
+@query(f"""WITH {PLAN_SQL} SELECT a.doc_id, a.page_no, a.region_no, coalesce(min(b.y0), 792e0) AS "limit" FROM plan a
+LEFT JOIN plan b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.y0 > a.y0 AND NOT (b.x1 <= a.x0 OR b.x0 >= a.x1) GROUP BY a.doc_id, a.page_no, a.region_no""")
+def plan_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8 over regions and tables."""
+    a = _analysis(spark, sf_dir)
+    return R.ceilings(a.regions, a.pages)
+
+
+@query(f"""WITH RECURSIVE {PAGES_SQL}, {OBSTACLES_SQL} SELECT doc_id, page_no, kind, obstacle_no, x0 AS rect_x0, y0 AS rect_y0, x1 AS rect_x1, y1 AS rect_y1 FROM solid""")
+def page_obstacles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged images, and merged drawings outside tables."""
+    return flat(_analysis(spark, sf_dir).obstacles, "rect")
+
+
+REGION_KEYS = "doc_id, page_no, number, spanning, region_col"
+REPORT_SQL = f"""{PLAN_SQL}, {OBSTACLES_SQL}, own AS (SELECT * FROM placed WHERE NOT lost), {paragraph_ctes("own", REGION_KEYS)}, ps AS (
+  SELECT doc_id, page_no, count(*) AS paragraphs, sum(CASE WHEN {NEAR('text')} THEN 1 ELSE 0 END) AS near_empty, max(size) AS body_size FROM para GROUP BY doc_id, page_no
+), margins AS (
+  SELECT doc_id, page_no, m FROM (
+    SELECT doc_id, page_no, round(x0, 1) AS m, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY count(*) DESC, round(x0, 1)) AS r FROM own GROUP BY doc_id, page_no, round(x0, 1)) WHERE r = 1
+), counted AS (
+  SELECT doc_id, page_no, (SELECT count(*) FROM cols c WHERE c.doc_id = p.doc_id AND c.page_no = p.page_no) AS columns, (SELECT count(*) FROM plan c WHERE c.doc_id = p.doc_id AND c.page_no = p.page_no) AS regions,
+    (SELECT count(*) FROM solid c WHERE c.doc_id = p.doc_id AND c.page_no = p.page_no) AS obstacles, (SELECT count(*) FROM ut c WHERE c.doc_id = p.doc_id AND c.page_no = p.page_no) AS tables FROM pages p
+)"""
+
+
+@query(f"""WITH RECURSIVE {REPORT_SQL} SELECT doc_id, page_no, coalesce(paragraphs, 0)::BIGINT AS paragraphs, coalesce(near_empty, 0)::BIGINT AS near_empty, regions::BIGINT AS regions, greatest(1, columns)::BIGINT AS columns,
+  obstacles::BIGINT AS obstacles, tables::BIGINT AS tables, body_size, m AS modal_margin FROM counted LEFT JOIN ps USING (doc_id, page_no) LEFT JOIN margins USING (doc_id, page_no)""")
+def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page report with columns, obstacles and tables."""
+    return W.report(_analysis(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {REPORT_SQL}, gut AS (SELECT doc_id, page_no, hi AS x0, lead(lo) OVER (PARTITION BY doc_id, page_no ORDER BY col_no) AS x1 FROM cols)
+SELECT doc_id, page_no, 'region' AS kind, CASE WHEN kind = 'table' THEN 'green' ELSE 'blue' END AS color, 'R' || region_no || ':' || CASE WHEN kind = 'table' THEN 'table' ELSE 'text' END AS label,
+  x0 AS rect_x0, y0 AS rect_y0, x1 AS rect_x1, y1 AS rect_y1 FROM plan
+UNION ALL SELECT doc_id, page_no, 'obstacle', 'red', kind, x0, y0, x1, y1 FROM solid
+UNION ALL SELECT doc_id, page_no, 'gutter', 'orange', NULL, x0, ay0, x1, ay1 FROM gut JOIN area USING (doc_id, page_no) WHERE x1 IS NOT NULL
+UNION ALL SELECT doc_id, page_no, 'paragraph', 'grey', NULL, x0, y0, x1, y1 FROM para""")
+def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled boxes of regions, obstacles, gutters and paragraphs."""
+    return flat(S.overlay(_analysis(spark, sf_dir)), "rect")
 
 
 # ---- text rules -------------------------------------------------------------------------------------------------
@@ -355,15 +489,16 @@ def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (
-  SELECT doc_id, substr(text, 1, 80) || ' [1] and [2] and [1]' AS src, substr(text, 1, 80) || CASE doc_id % 4 WHEN 0 THEN ' [1]' WHEN 1 THEN ' [2] [1] [1]' WHEN 2 THEN '' ELSE ' [3]' END AS output FROM documents
-), s AS (SELECT doc_id, output, i, v, row_number() OVER (PARTITION BY doc_id, v ORDER BY i) AS nth FROM (SELECT doc_id, output, unnest(range(len(a))) AS i, unnest(a) AS v FROM (SELECT doc_id, output, regexp_extract_all(src, '\\[(\\d{1,3})\\]', 1) AS a FROM m))
-), x AS (SELECT *, len(list_filter(regexp_extract_all(output, '\\[(\\d{1,3})\\]', 1), lambda y: y = v)) AS have FROM s)
-SELECT doc_id, CASE WHEN count(*) FILTER (WHERE nth > have) = 0 THEN any_value(output) ELSE regexp_replace(any_value(output), '\\s+$', '') || ' ' || string_agg('[' || v || ']', ' ' ORDER BY i) FILTER (WHERE nth > have) END AS kept
-FROM x GROUP BY doc_id""".replace("row_number() OVER (PARTITION BY doc_id, v ORDER BY i) AS nth", "row_number() OVER (PARTITION BY doc_id, v ORDER BY i DESC) AS nth_last, row_number() OVER (PARTITION BY doc_id, v ORDER BY i) AS nth"))
+  SELECT doc_id, text || ' [1] and [2] and [1]' AS src, text || CASE doc_id % 4 WHEN 0 THEN ' [1]' WHEN 1 THEN ' [2] [1] [1]' WHEN 2 THEN '' ELSE ' [3]' END AS output FROM documents
+), a AS (SELECT doc_id, output, regexp_extract_all(src, '\\[(\\d{1,3})\\]', 1) AS wanted, regexp_extract_all(output, '\\[(\\d{1,3})\\]', 1) AS have FROM m
+), s AS (SELECT doc_id, i, v, row_number() OVER (PARTITION BY doc_id, v ORDER BY i) AS nth FROM (SELECT doc_id, unnest(range(len(wanted))) AS i, unnest(wanted) AS v FROM a)
+), h AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, unnest(have) AS v FROM a) GROUP BY doc_id, v
+), x AS (SELECT doc_id, string_agg('[' || v || ']', ' ' ORDER BY i) AS lost FROM s LEFT JOIN h USING (doc_id, v) WHERE nth > coalesce(n, 0) GROUP BY doc_id)
+SELECT a.doc_id, CASE WHEN lost IS NULL THEN output ELSE regexp_replace(output, '\\s+$', '') || ' ' || lost END AS kept FROM a LEFT JOIN x USING (doc_id)""")
 def marker_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers that an output lost are put back, counting repeats."""
-    head, d = F.substring("text", 1, 80), F.col("doc_id") % 4
-    m = derived.documents(spark, sf_dir).select("doc_id", F.concat(head, F.lit(" [1] and [2] and [1]")).alias("src"), F.concat(head, F.when(d == 0, " [1]").when(d == 1, " [2] [1] [1]").when(d == 2, "").otherwise(" [3]")).alias("output"))
+    t, d = F.col("text"), F.col("doc_id") % 4
+    m = derived.documents(spark, sf_dir).select("doc_id", F.concat(t, F.lit(" [1] and [2] and [1]")).alias("src"), F.concat(t, F.when(d == 0, " [1]").when(d == 1, " [2] [1] [1]").when(d == 2, "").otherwise(" [3]")).alias("output"))
     return m.select("doc_id", X.preserve_markers(F.col("src"), F.col("output")).alias("kept"))
 
 
@@ -377,9 +512,18 @@ def marker_preservation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", X.preserve_markers(F.col("src"), F.col("output")).alias("kept"))
 
 
-@query()
+_ESCAPED = "regexp_replace(text, '\\*{2,}', '*', 'g')"
+for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_a}', '{_b}')"
+_RUN = "'(^|[^\\p{L}\\p{M}\\p{N}_*])\\*([^*]*[^*\\s])\\*($|[^\\p{L}\\p{M}\\p{N}_*])', '\\1<i>\\2</i>\\3', 'g'"
+#: Runs that share a sign between them are found one pass after the other, since there is no look-behind.
+_HTML = f"replace(regexp_replace(regexp_replace({_ESCAPED}, {_RUN}), {_RUN}), {SENT}, '*')"
+
+
+@query(f"""WITH {paragraphs_sql()} SELECT doc_id, page_no, para, '<p style="font-size:' || size || 'pt; text-align:' || CASE WHEN single_line THEN 'left' ELSE 'justify' END || ';' ||
+  CASE WHEN indent <> 0 THEN ' text-indent:' || indent || 'pt;' ELSE '' END || CASE WHEN "leading" <> 0 THEN ' line-height:' || "leading" || ';' ELSE '' END || '">' || {_HTML} || '</p>' AS html FROM para""")
 def paragraph_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-behind has no SQL form; tests hold it against given cases."""
+    """X10, X11."""
     p = P.paragraphs(_lines(spark, sf_dir))
     return p.select(*PAGE, "para", X.paragraph_html(F.col("text"), F.col("size"), F.col("single_line"), F.col("indent"), F.col("leading")).alias("html"))
 
@@ -395,42 +539,80 @@ def translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- placement --------------------------------------------------------------------------------------------------
 
 BOX = lambda w, n, s, lead: f"(greatest(1e0, ceil({n} * {s} * 0.5e0 / greatest({w}, 1e0))) * {s} * coalesce({lead}, 1.2e0))"
-PLACE_SQL = f"""{paragraphs_sql()}, pin AS (
-  SELECT *, (y1 <= 0.12e0 * 792 OR y0 >= 0.88e0 * 792) AND single_line AND length(text) < 80 AS pinned, max(x1) OVER (PARTITION BY doc_id, page_no) AS rx1 FROM para
-), wide AS (SELECT *, greatest(x1, CASE WHEN single_line THEN least(x1 + 1.5e0 * size, rx1 - 2) ELSE x1 END) AS nx1 FROM pin
+def place_ctes(gap: str, dehyphenate: bool = True) -> str:
+    """CTEs up to place: tops by running sums of heights and gaps."""
+    return f"""{paragraphs_sql(dehyphenate)}, pin AS (
+  SELECT *, (y1 <= 0.12e0 * 792 OR y0 >= 0.88e0 * 792) AND single_line AND length({STRIP('text')}) < 80 AS pinned, max(size) OVER (PARTITION BY doc_id, page_no) AS body_size FROM para
+), wide AS (SELECT *, CASE WHEN single_line THEN least(x1 + 1.5e0 * size, 612e0 - 2) ELSE x1 END AS nx1 FROM pin
 ), meas AS (SELECT *, {BOX('(nx1 - x0)', 'length(text)', 'size', '"leading"')} AS h, {BOX('(nx1 - x0)', 'length(text)', 'size', '"leading"')} - 0.2e0 * size AS tight FROM wide
+), gaps0 AS (
+  SELECT *, {gap} AS gap FROM meas WINDOW w AS (PARTITION BY doc_id, page_no, pinned ORDER BY para)
 ), gaps AS (
-  SELECT *, y0 - lag(y1) OVER w AS gap, coalesce(lag(tight) OVER w + (y0 - lag(y1) OVER w), 0e0) AS step FROM meas WINDOW w AS (PARTITION BY doc_id, page_no, pinned ORDER BY para)
+  SELECT *, coalesce(lag(tight) OVER w + gap, 0e0) AS step FROM gaps0 WINDOW w AS (PARTITION BY doc_id, page_no, pinned ORDER BY para)
 ), place AS (
   SELECT *, CASE WHEN pinned THEN y0 ELSE first(y0) OVER w + sum(step) OVER w END AS y FROM gaps WINDOW w AS (PARTITION BY doc_id, page_no, pinned ORDER BY para ROWS UNBOUNDED PRECEDING)
 )"""
 
 
-def _placed(spark, sf_dir):
+_GAP = "y0 - lag(y1) OVER w"
+_TIGHT = f"""CASE WHEN (lag(size < 0.9e0 * body_size) OVER w AND size < 0.9e0 * body_size) OR (lag(length(text) < 120) OVER w AND length(text) < 120) THEN 3e0 ELSE {_GAP} END"""
+PLACE_SQL = place_ctes(_GAP)
+
+
+def _flow(spark, sf_dir, dehyphenate=True):
     lines = _lines(spark, sf_dir)
     pages = derived.pages(lines)
-    return R.reflow(P.furniture(P.paragraphs(lines), pages)), pages
+    para = P.furniture(P.paragraphs(lines, dehyphenate=dehyphenate), pages)
+    return para.join(pages.select(*PAGE, F.col("rect.x1").alias("slack_x1")), PAGE), pages
 
 
 @query(f"WITH {PLACE_SQL} SELECT doc_id, page_no, para, pinned, nx1 AS x1, round(y, 6) AS y, round(h, 6) AS h FROM place")
 def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placements by running sums."""
-    return _placed(spark, sf_dir)[0].select(*PAGE, "para", "pinned", "x1", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
+    return R.reflow(_flow(spark, sf_dir)[0]).select(*PAGE, "para", "pinned", "x1", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
+
+
+@query(f"WITH {place_ctes(_TIGHT, False)} SELECT doc_id, page_no, para, pinned, round(y, 6) AS y FROM place")
+def reflow_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatting anew, where runs of small or short paragraphs close up and hyphens stay."""
+    return R.reflow(_flow(spark, sf_dir, False)[0], reformat=True).select(*PAGE, "para", "pinned", F.round("y", 6).alias("y"))
+
+
+_SCALED = BOX("(nx1 - x0)", "length(text)", "(size * scale)", '"leading"')
+FIT_SQL = f"""{PLACE_SQL}, fl AS (
+  SELECT *, y - lag(y + h) OVER w AS g, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc_id, page_no) - 1 AS n_gaps FROM place WHERE NOT pinned WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY para)
+), tops AS (SELECT doc_id, page_no, min(y) FILTER (WHERE i = 1) AS first_y, max(y + h) AS bottom FROM fl GROUP BY doc_id, page_no
+), ends AS (
+  SELECT t.doc_id, t.page_no, any_value(bottom) AS bottom, greatest(any_value(first_y), max(y + h + 1.5e0) FILTER (WHERE y + h <= first_y + 1)) AS top, least(774e0, min(y - 1.5e0) FILTER (WHERE y > first_y)) AS stop
+  FROM tops t LEFT JOIN (SELECT * FROM place WHERE pinned) p ON p.doc_id = t.doc_id AND p.page_no = t.page_no GROUP BY t.doc_id, t.page_no
+), tried AS (
+  SELECT fl.*, scale, {_SCALED} AS hs, top, stop, bottom FROM fl JOIN ends USING (doc_id, page_no), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale)
+), kept AS (
+  SELECT doc_id, page_no, scale, CASE WHEN coalesce(sum(greatest(0e0, g - 1.5e0)), 0e0) <= 0 THEN 1e0
+    ELSE greatest(0e0, least(1e0, (any_value(stop) - any_value(top) - sum(hs) - sum(CASE WHEN g IS NOT NULL THEN greatest(g, 1.5e0) END)) / sum(greatest(0e0, g - 1.5e0)) + 1)) END AS keep FROM tried GROUP BY doc_id, page_no, scale
+), laid AS (
+  SELECT doc_id, page_no, scale, keep, any_value(bottom) <= any_value(stop) AS fits,
+    any_value(top) + sum(hs + CASE WHEN i = 1 THEN 0e0 ELSE 1.5e0 + greatest(0e0, g - 1.5e0 - greatest(0e0, g - 1.5e0) * (1 - keep) * ((i - 1) / n_gaps)) END) - any_value(stop) AS over
+  FROM tried JOIN kept USING (doc_id, page_no, scale) GROUP BY doc_id, page_no, scale, keep
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY CASE WHEN over <= 0 THEN 0 ELSE 1 END, CASE WHEN over <= 0 THEN -scale ELSE scale END) AS r FROM laid) WHERE r = 1
+)"""
 
 
-@query()
+@query(f"""WITH {FIT_SQL} SELECT doc_id, page_no, CASE WHEN coalesce(fits, true) THEN 1e0 ELSE scale END AS scale, CASE WHEN coalesce(fits, true) THEN 1e0 ELSE round(keep, 6) END AS keep,
+  CASE WHEN coalesce(fits, true) THEN 0e0 ELSE round(greatest(0e0, over), 6) END AS overflow FROM (SELECT DISTINCT doc_id, page_no FROM place) LEFT JOIN best USING (doc_id, page_no)""")
 def region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven scales side by side, the largest that fits."""
-    placed, pages = _placed(spark, sf_dir)
-    limit = pages.select(*PAGE, (F.col("rect.y1") - R.BOTTOM).alias("limit"))
-    return R.fit(placed, limit).select(*PAGE, "scale", F.round("keep", 6).alias("keep"), F.round("overflow", 6).alias("overflow"))
+    """The largest of seven scales at which a page's paragraphs end above its limit and its pinned paragraphs."""
+    para, pages = _flow(spark, sf_dir)
+    put = R.fit_page(R.reflow(para), pages)
+    return put.groupBy(*PAGE).agg(*[F.round(F.max(c), 6).alias(c) for c in ("scale", "keep", "overflow")])
 
 
 @query("""WITH c AS (SELECT p_partkey, regexp_replace(p_name, '\\s+', ' ', 'g') AS text, 40e0 + p_partkey % 60 - 4 AS w, 14e0 + p_partkey % 40 - 4 AS h FROM part),
 s AS (SELECT *, list_filter(list_transform(range(0, 17), lambda k: 10e0 - k * 0.25e0), lambda z: z > 6) AS tries FROM c WHERE w > 0 AND h > 0 AND length(text) >= 2 AND NOT regexp_matches(text, '^[\\s\\d\\.,;:%°/\\-+×x()\\[\\]§–—]*$'))
 SELECT p_partkey AS doc_id, coalesce(list_filter(tries, lambda z: greatest(1e0, ceil(length(text) * z * 0.5e0 / greatest(w, 1e0))) * z * 1.2e0 <= h)[1], 6e0) AS fit_size FROM s""")
 def cell_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size at which a cell's text fits."""
+    """The size at which a cell's text fits."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
     cells = p.select(k.alias("doc_id"), F.lit(0).alias("page_no"), G.rect(F.lit(0.0), F.lit(0.0), 40.0 + k % 60, 14.0 + k % 40).alias("bbox"), F.col("p_name").alias("text"), F.lit(10.0).alias("size"))

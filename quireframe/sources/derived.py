@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G
 
@@ -52,3 +52,52 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), n.alias("drawing_no"),
         G.rect(x0, y0, x0 + q * 6.0, y0 + (p % 30) * 4.0).alias("rect"), fill.alias("fill"), F.lit(None).cast("array<double>").alias("color"),
     )
+
+
+def _when(rows: DataFrame, name: str, cases: list[tuple[Column, tuple]], *more: str) -> DataFrame:
+    """A row for each case that holds on a page: its number, a rectangle, and further columns."""
+    entry = lambda k, values: F.struct(F.lit(k).alias(name), G.rect(*[v if isinstance(v, Column) else F.lit(v) for v in values[:4]]).alias("rect"), *[v.alias(m) if isinstance(v, Column) else F.lit(v).alias(m) for v, m in zip(values[4:], more, strict=True)])
+    every = F.array(*[F.when(cond, entry(k, values)) for k, (cond, values) in enumerate(cases)])
+    return rows.select("doc_id", "page_no", F.inline(F.array_compact(every)))
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """On every fourth page two images a hair apart; a speck on every second."""
+    k = (F.col("doc_id") + F.col("page_no")) % 4
+    return _when(pages, "image_no", [(k == 1, (330.0, 400.0, 400.0, 450.0)), (k == 1, (400.5, 400.0, 470.0, 450.0)), (k <= 1, (10.0, 10.0, 12.0, 12.0))])
+
+
+def page_drawings(pages: DataFrame) -> DataFrame:
+    """On every fourth page three drawings that are one figure, a rule and a white box; on every eighth one that covers the page."""
+    k = F.col("doc_id") + F.col("page_no")
+    white, grey = F.array(*[F.lit(1.0)] * 3), F.array(*[F.lit(0.5)] * 3)
+    some = [(90.0, 300.0, 130.0, 340.0), (133.0, 300.0, 170.0, 360.0), (160.0, 362.0, 260.0, 400.0), (300.0, 100.0, 301.0, 400.0)]
+    cases = [(k % 4 == 2, (*r, grey)) for r in some] + [(k % 4 == 2, (72.0, 420.0, 400.0, 480.0, white)), (k % 8 == 2, (*PAGE_RECT, grey))]
+    return _when(pages, "drawing_no", cases, "fill").withColumn("color", F.lit(None).cast("array<double>"))
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """On every third page a table in the left column, on every sixth one across; single rows, which are none, on every second."""
+    d, k = F.col("doc_id"), F.col("doc_id") + F.col("page_no")
+    y = 222.0 + (d % 4) * 30.0
+    return _when(pages, "table_no", [(k % 3 == 0, (72.0, y, 300.0, y + 60.0, 3, 3)), (k % 6 == 0, (72.0, 500.0, 512.0, 560.0, 2, 2)), (k % 2 == 0, (72.0, 600.0, 512.0, 640.0, 1, 4))], "n_rows", "n_cols")
+
+
+def cell_boxes(tables: DataFrame) -> DataFrame:
+    """Boxes of each table's cells; one of them is missing in some tables."""
+    n = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    grid = tables.select("*", F.explode(n("n_rows")).alias("row_idx")).select("*", F.explode(n("n_cols")).alias("col_idx"))
+    r = F.col("rect")
+    w, h = G.width(r) / F.col("n_cols"), G.height(r) / F.col("n_rows")
+    x, y = r["x0"] + w * F.col("col_idx"), r["y0"] + h * F.col("row_idx")
+    gone = (F.col("row_idx") == 1) & (F.col("col_idx") == 1) & ((F.col("doc_id") + F.col("page_no")) % 2 == 1)
+    return grid.select("doc_id", "page_no", "table_no", "row_idx", "col_idx", F.when(~gone, G.rect(x, y, x + w, y + h)).alias("bbox"))
+
+
+def cell_texts(boxes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of cells: a number, two words, a word with space around, nothing; words come from the document."""
+    k, i = (F.col("row_idx") + F.col("col_idx")) % 4, F.col("row_idx") * 7 + F.col("col_idx") * 3 + F.col("page_no")
+    word = lambda n: F.get("ws", (n % F.size("ws")).cast("int"))
+    text = F.when(k == 0, ((F.col("doc_id") + F.col("page_no")) % 1000).cast("string")).when(k == 1, F.concat(word(i), F.lit(" "), word(i + 1))).when(k == 2, F.concat(F.lit("  "), word(i), F.lit("  ")))
+    d = boxes.drop("bbox").join(docs.select("doc_id", F.split("text", " ").alias("ws")), "doc_id")
+    return d.select("doc_id", "page_no", "table_no", "row_idx", "col_idx", text.alias("text"))
