@@ -115,7 +115,7 @@ def events(done: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     told = F.when(F.col("skipped"), F.concat(page, F.lit("skipped paragraph ["), n("text"), F.lit(" chars]")))
     told = told.otherwise(F.concat(page, F.lit("paragraph translated ["), n("text"), F.lit(" chars] -> ["), n("output"), F.lit(" chars]")))
     warned = F.when(F.col("reason").isNotNull(), F.concat(page, F.lit("WARNING: "), "reason", F.lit(" (paragraph: "), F.substring("text", 1, 60), F.lit(")")))
-    rows = F.array(F.struct(F.lit(1).alias("nth"), F.when(F.col("skipped"), "skipped").otherwise("translated").alias("kind"), told.alias("message")), F.struct(F.lit(0), F.lit("warning"), warned))
+    rows = F.array(F.struct(F.lit(1).alias("nth"), F.when(F.col("skipped"), "skipped").otherwise("translated").alias("kind"), told.alias("message")), F.struct(F.lit(0).alias("nth"), F.lit("warning").alias("kind"), warned.alias("message")))
     return done.select(*keys, "para", F.explode(F.filter(rows, lambda r: r["message"].isNotNull())).alias("e")).select(*keys, "para", "e.nth", "e.kind", "e.message")
 
 
