@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 # Fixed values of the intake.
 MOST_ATTEMPTS, RETRY_DELAY_S, STALE_S, SUFFIX = 3, 150, 450, "_en"
 CHARS_A_PAGE = 50
+CHECKS, EMPTY_S, MOST_S, LOG_BYTES = 2, 5.0, 120.0, 5 << 20
 
 
 def file_key(path: Column, length: Column, modified: Column) -> Column:
@@ -58,11 +59,51 @@ def fold_attempts(events: DataFrame, key: str = "file_key", order: list[str] | N
     )
 
 
-def stable(observations: DataFrame, key: str = "path") -> DataFrame:
-    """Files whose last two observed sizes are equal and not zero."""
-    w = Window.partitionBy(key).orderBy("ts")
-    o = observations.withColumn("before", F.lag("length").over(w)).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ts"))))
-    return o.where("r = 1 and length > 0 and length = before").select(key, "length")
+def _seconds(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
+def gate(observations: DataFrame, key: str = "path", checks: int = CHECKS, interval_s: float = 1.0, empty_s: float = EMPTY_S, most_s: float = MOST_S) -> DataFrame:
+    """Of files seen again and again (ts, length, modified): whether they may be opened, and when that was known.
+
+    A file that is not empty when first seen and was last written more than checks * interval before is stable at once. Else it is stable
+    at the `checks`-th sight in a row of one size that is not zero. It is given up as empty when it has been empty for empty_s
+    seconds, and as too slow most_s seconds after the first sight; whichever comes first. Otherwise it is waiting.
+    """
+    seen, so_far = Window.partitionBy(key).orderBy("ts", "length"), Window.partitionBy(key)
+    s = _seconds
+    same = F.coalesce((F.col("length") == F.lag("length").over(seen)) & (F.col("length") > 0), F.lit(False))
+    o = observations.select(key, "ts", "length", (s(F.col("ts")) - s(F.col("modified")) > checks * interval_s).alias("old"))
+    o = o.withColumn("nth", F.row_number().over(seen)).withColumn("same", same.cast("int")).withColumn("start", F.min(s(F.col("ts"))).over(so_far))
+    o = o.withColumn("runs", F.sum(1 - F.col("same")).over(seen)).withColumn("fills", F.sum((F.col("length") > 0).cast("int")).over(seen))
+    o = o.withColumn("again", F.sum("same").over(Window.partitionBy(key, "runs").orderBy("ts", "length")))
+    since = F.min(F.when(F.col("length") == 0, s(F.col("ts")))).over(Window.partitionBy(key, "fills"))
+    now = s(F.col("ts"))
+    verdict = F.when((F.col("nth") == 1) & F.col("old") & (F.col("length") > 0), "stable").when(now - F.col("start") >= most_s, "slow").when((F.col("length") == 0) & (now - since >= empty_s), "empty")
+    o = o.withColumn("verdict", verdict.when(F.col("again") >= checks, "stable"))
+    first = F.min(F.when(F.col("verdict").isNotNull(), F.struct("nth", "verdict", "ts")))
+    return o.groupBy(key).agg(first.alias("f")).select(key, F.coalesce("f.verdict", F.lit("waiting")).alias("verdict"), F.col("f.ts").alias("known_at"))
+
+
+def retry_marks(failures: DataFrame, key: str = "file_key", stale_s: int = STALE_S, delay_s: int = RETRY_DELAY_S) -> DataFrame:
+    """Retries that get scheduled: one at a time, since a mark keeps others away until it is stale. A key's times are folded in order."""
+    times = failures.groupBy(key).agg(F.sort_array(F.collect_list("ts")).alias("at"))  # a key's failures
+    none = F.array().cast(f"array<{dict(failures.dtypes)['ts']}>")
+    late = lambda kept, t: _seconds(t) - _seconds(F.element_at(kept, -1)) >= stale_s
+    kept = F.aggregate("at", none, lambda a, t: F.when(F.size(a) == 0, F.array(t)).when(late(a, t), F.array_append(a, t)).otherwise(a))
+    d = times.select(key, F.explode(kept).alias("ts"))
+    return d.select(key, "ts", (F.col("ts") + F.make_dt_interval(secs=F.lit(delay_s))).alias("due"))
+
+
+def progress_lines(events: DataFrame) -> DataFrame:
+    """Events (ts, message) as lines `[HH:MM:SS] message`."""
+    return events.select("ts", F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "), "message").alias("value"))
+
+
+def rotated(lines: DataFrame, col: str = "value", most: int = LOG_BYTES) -> DataFrame:
+    """The progress log as a run finds it: emptied if it has passed its size, line ends counted."""
+    size = lines.agg(F.coalesce(F.sum(F.octet_length(col) + 1), F.lit(0)).alias("bytes"))  # one row
+    return lines.join(F.broadcast(size.where(F.col("bytes") <= most)), how="cross").drop("bytes")
 
 
 def preflight(pages: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geometry as G, text as X
-from .operators import cells as C, ingest, layout as L, paragraphs as P, reflow as R, translate
-from .plans import page_stats as S, pages as W
+from .operators import cells as C, ingest, layout as L, measure as M, paragraphs as P, reflow as R, translate as T
+from .plans import page_stats as S, pages as W, watch
 from .schema import PAGE
 from .sources import derived
 
@@ -135,6 +135,8 @@ def paragraphs_sql(dehyphenate: bool = True) -> str:
 
 NEAR = lambda x: f"length({STRIP(f'''replace(regexp_replace({x}, '\\[(\\d{{1,3}})\\]', '', 'g'), '*', '')''')}) < 4"
 
+BOX = lambda w, n, s, lead: f"(greatest(1e0, ceil({n} * {s} * 0.5e0 / greatest({w}, 1e0))) * {s} * coalesce({lead}, 1.2e0))"
+
 # ---- paragraphs and page statistics -----------------------------------------------------------------------------
 
 
@@ -447,6 +449,96 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(S.overlay(_analysis(spark, sf_dir)), "rect")
 
 
+@query(f"""WITH RECURSIVE {REPORT_SQL}, r AS (SELECT doc_id, page_no, greatest(x0 - 1, 0e0) AS x0, greatest(y0 - 1, 0e0) AS y0, least(x1 + 1, 612e0) AS x1, least(y1 + 1, 792e0) AS y1 FROM para)
+SELECT doc_id, page_no, x0 AS rect_x0, y0 AS rect_y0, x1 AS rect_x1, y1 AS rect_y1 FROM r WHERE x0 < x1 AND y0 < y1 AND NOT EXISTS (
+  SELECT 1 FROM solid s WHERE s.doc_id = r.doc_id AND s.page_no = r.page_no AND s.x0 < r.x1 AND r.x0 < s.x1 AND s.y0 < r.y1 AND r.y0 < s.y1)""")
+def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph boxes to be erased, grown by a point and cut at the page, but none that meets an obstacle."""
+    a = _analysis(spark, sf_dir)
+    para = P.paragraphs(a.placed.where("region_kind <> 'unassigned'"), [*PAGE, *W.REGION])
+    return flat(W.redactions(para.select(*PAGE, F.col("bbox").alias("rect")), a.pages, a.obstacles), "rect")
+
+
+CELLS_SQL = f"""{PAGES_SQL}, boxes AS (
+  SELECT doc_id, page_no, table_no, r AS row_idx, c AS col_idx, tx0 + (tx1 - tx0) / n_cols * c AS x0, ty0 + (ty1 - ty0) / n_rows * r AS y0, tx0 + (tx1 - tx0) / n_cols * c + (tx1 - tx0) / n_cols AS x1,
+    ty0 + (ty1 - ty0) / n_rows * r + (ty1 - ty0) / n_rows AS y1, r = 1 AND c = 1 AND {_K} % 2 = 1 AS gone
+  FROM (SELECT *, unnest(range(n_cols)) AS c FROM (SELECT *, unnest(range(n_rows)) AS r FROM tb))
+), texts AS (
+  SELECT b.*, r7 % len(ws) AS i, CASE (row_idx + col_idx) % 4 WHEN 0 THEN ({_K} % 1000)::VARCHAR WHEN 1 THEN ws[r7 % len(ws) + 1] || ' ' || ws[(r7 + 1) % len(ws) + 1] WHEN 2 THEN '  ' || ws[r7 % len(ws) + 1] || '  ' END AS text
+  FROM (SELECT *, row_idx * 7 + col_idx * 3 + page_no AS r7 FROM boxes) b JOIN (SELECT doc_id AS d2, string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL) ON d2 = doc_id
+), lit AS (
+  SELECT b.doc_id, b.page_no, b.table_no, b.row_idx, b.col_idx, e.line_no, e.size, e.mark, length(e.text) AS n FROM boxes b JOIN every e USING (doc_id, page_no)
+  WHERE NOT gone AND b.x0 < e.x1 AND e.x0 < b.x1 AND b.y0 < e.y1 AND e.y0 < b.y1
+), csp AS (
+  SELECT doc_id, page_no, table_no, row_idx, col_idx, line_no, 0 AS k, 6.5e0 AS size, length(mark) AS n FROM lit WHERE mark IS NOT NULL
+  UNION ALL SELECT doc_id, page_no, table_no, row_idx, col_idx, line_no, CASE WHEN mark IS NULL THEN 0 ELSE 1 END, size, n FROM lit
+), csz AS (
+  SELECT doc_id, page_no, table_no, row_idx, col_idx, size AS seen FROM (
+    SELECT doc_id, page_no, table_no, row_idx, col_idx, size, row_number() OVER (PARTITION BY doc_id, page_no, table_no, row_idx, col_idx ORDER BY sum(n) DESC, min(line_no * 2 + k)) AS r
+    FROM csp GROUP BY doc_id, page_no, table_no, row_idx, col_idx, size) WHERE r = 1
+), fonts AS (
+  SELECT t.*, coalesce(seen, 10e0) AS size, coalesce(one, true) AS single_line FROM texts t LEFT JOIN csz USING (doc_id, page_no, table_no, row_idx, col_idx)
+  LEFT JOIN (SELECT doc_id, page_no, table_no, row_idx, col_idx, count(*) = 1 AS one FROM lit GROUP BY ALL) USING (doc_id, page_no, table_no, row_idx, col_idx)
+), usable AS (
+  SELECT *, {STRIP("regexp_replace(text, '\\s+', ' ', 'g')")} AS t FROM fonts WHERE NOT gone AND x0 + 1 < x1 - 1 AND y0 + 1 < y1 - 1
+), done AS (
+  SELECT *, size - 0.6e0 * size AS room, x1 - x0 - 4 AS w, y1 - y0 - 4 AS h, CASE WHEN length(t) > 40 THEN 'echo' END AS reason FROM usable
+  WHERE t <> '' AND length(t) >= 2 AND NOT regexp_matches(t, '^[\\s\\d\\.,;:%°/\\-+×x()\\[\\]§–—]*$')
+)"""
+
+
+@query(f"WITH {CELLS_SQL} SELECT doc_id, page_no, table_no, row_idx, col_idx, text, size, single_line FROM fonts")
+def cell_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells brought together from texts and boxes, with the size of the lines that meet them."""
+    lines = _lines(spark, sf_dir, 2)
+    return C.with_fonts(_cells(spark, sf_dir, derived.pages(lines)), lines).drop("bbox")
+
+
+@query(f"""WITH {CELLS_SQL} SELECT doc_id, page_no, table_no, row_idx, col_idx, t AS text, reason, CASE WHEN reason IS NULL THEN round(coalesce(list_filter(list_filter(
+  list_transform(range(0, floor(room / 0.25e0)::BIGINT + 1), lambda k: size - k * 0.25e0), lambda z: z > 0.6e0 * size),
+  lambda z: greatest(1e0, ceil(length(t) * z * 0.5e0 / greatest(w, 1e0))) * z * 1.2e0 <= h)[1], 0.6e0 * size), 6) END AS size FROM done""")
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells asked for, those with a bad answer without a size, and the size at which the others fit."""
+    lines = _lines(spark, sf_dir, 2)
+    done = C.translated(_cells(spark, sf_dir, derived.pages(lines)), lines)
+    return done.select(*C.CELL, "text", "reason", F.round("size", 6).alias("size"))
+
+
+@query(f"WITH {CELLS_SQL} SELECT doc_id, page_no, table_no, count(*) AS cells FROM done WHERE reason IS NULL GROUP BY doc_id, page_no, table_no")
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11."""
+    lines = _lines(spark, sf_dir, 2)
+    return C.counts(C.translated(_cells(spark, sf_dir, derived.pages(lines)), lines))
+
+
+@query()
+def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages to placements, by a small glossary; tests hold the parts against plain Python."""
+    a = _analysis(spark, sf_dir)
+    words = {"the": "der", "and": "und", "of": "von", "to": "zu"}
+    return flat(W.translate(a, _cells(spark, sf_dir, a.pages), T.glossary(words), name="query-glossary").placements, "rect")
+
+
+@query()
+def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: what a run says of each paragraph and cell."""
+    a = _analysis(spark, sf_dir)
+    return W.translate(a, _cells(spark, sf_dir, a.pages)).events
+
+
+@query("SELECT DISTINCT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no)::INT AS nth, max(page_no) OVER (PARTITION BY doc_id) + 1 AS \"of\" FROM every".replace("SELECT", f"WITH {lines_sql(1, 'every')} SELECT", 1))
+def page_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each document, counted."""
+    return W.ordinals(derived.pages(_lines(spark, sf_dir)))
+
+
+@query(f"""WITH {paragraphs_sql()} SELECT doc_id, page_no, para, round({BOX('round(x1 - x0, 1)', 'length(text)', 'round(size, 2)', 'CASE WHEN "leading" <> 0 THEN round("leading", 3) END')}, 6) AS box_h FROM para""")
+def measured_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: heights by a measurer in Python, each distinct request once."""
+    p = P.paragraphs(_lines(spark, sf_dir)).withColumn("width", G.width(F.col("bbox")))
+    return M.measured(p).select(*PAGE, "para", F.round("box_h", 6).alias("box_h"))
+
+
 # ---- text rules -------------------------------------------------------------------------------------------------
 
 
@@ -533,12 +625,11 @@ SELECT doc_id, page_no, para, CASE WHEN skipped THEN text ELSE {STRIP('text')} E
 def translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model is asked, with the identity as model, so that long texts are echoes."""
     p = P.paragraphs(_lines(spark, sf_dir))
-    return translate.translated(p).select(*PAGE, "para", "output", "reason", "skipped")
+    return T.translated(p).select(*PAGE, "para", "output", "reason", "skipped")
 
 
 # ---- placement --------------------------------------------------------------------------------------------------
 
-BOX = lambda w, n, s, lead: f"(greatest(1e0, ceil({n} * {s} * 0.5e0 / greatest({w}, 1e0))) * {s} * coalesce({lead}, 1.2e0))"
 def place_ctes(gap: str, dehyphenate: bool = True) -> str:
     """CTEs up to place: tops by running sums of heights and gaps."""
     return f"""{paragraphs_sql(dehyphenate)}, pin AS (
@@ -671,6 +762,69 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.preflight(pages.withColumn("needs_pass", F.col("doc_id") % 50 == 0))
 
 
+_SEEN_SQL = """o0 AS (
+  SELECT user_id, event_id, make_timestamp(1704067200000000 + event_id * 50000) AS ts, event_id // 700 % 3 * 100 AS length, event_id % 4 AS age FROM events
+)"""
+
+
+@query(f"""WITH {_SEEN_SQL}, o1 AS (
+  SELECT *, epoch_us(ts) / 1e6 AS s, age > 2 AS old, row_number() OVER w AS nth, coalesce(length = lag(length) OVER w AND length > 0, false)::INT AS same, min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS start,
+    sum((length > 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, length) AS fills FROM o0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, length)
+), o2 AS (SELECT *, sum(1 - same) OVER (PARTITION BY user_id ORDER BY ts, length) AS runs FROM o1
+), o3 AS (
+  SELECT *, sum(same) OVER (PARTITION BY user_id, runs ORDER BY ts, length) AS again, min(CASE WHEN length = 0 THEN s END) OVER (PARTITION BY user_id, fills) AS since FROM o2
+), v AS (
+  SELECT *, CASE WHEN nth = 1 AND old AND length > 0 THEN 'stable' WHEN s - start >= 120 THEN 'slow' WHEN length = 0 AND s - since >= 5 THEN 'empty' WHEN again >= 2 THEN 'stable' END AS verdict FROM o3
+) SELECT user_id AS path, coalesce(arg_min(verdict, nth) FILTER (WHERE verdict IS NOT NULL), 'waiting') AS verdict, min(ts) FILTER (WHERE verdict IS NOT NULL) AS known_at FROM v GROUP BY user_id""")
+def stable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files have stopped growing, by sights of their sizes."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    at = lambda secs: F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=secs)
+    seen = e.select(F.col("user_id").alias("path"), at(n * 0.05).alias("ts"), (F.floor(n / 700) % 3 * 100).alias("length"), at(n * 0.05 - n % 4).alias("modified"))
+    return ingest.gate(seen)
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS file_key, ts FROM events WHERE event_type = 'error'
+), m AS (
+  SELECT file_key, min(ts) AS ts FROM e GROUP BY file_key
+  UNION ALL SELECT file_key, nxt FROM (SELECT m.file_key, (SELECT min(e.ts) FROM e WHERE e.file_key = m.file_key AND e.ts >= m.ts + INTERVAL 450 SECOND) AS nxt FROM m) WHERE nxt IS NOT NULL
+) SELECT file_key, ts, ts + INTERVAL 150 SECOND AS due FROM m""")
+def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: one outstanding retry at a time."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'")
+    return ingest.retry_marks(e.select(F.col("user_id").alias("file_key"), "ts"))
+
+
+@query("SELECT ts, '[' || strftime(ts, '%H:%M:%S') || '] ' || event_type || ' ' || event_id AS value FROM events")
+def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the progress log, below its size."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return ingest.rotated(ingest.progress_lines(e.select("ts", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("message"))))
+
+
+@query("""WITH f AS (SELECT 'in/' || p_name || '-' || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '_en' ELSE '' END || '.pdf' AS path, p_partkey AS n, p_partkey % 5 = 1 AS kept FROM part
+), files AS (SELECT *, path || ':' || n || ':0' AS file_key FROM f
+), state AS (SELECT file_key, CASE WHEN n % 7 = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN n % 7 = 0 THEN 0 ELSE 2 END AS attempts, NULL::VARCHAR AS error FROM files WHERE n % 7 <= 1
+), todo AS (
+  SELECT file_key, path, n, CASE WHEN kept THEN 'copying' ELSE 'work' END AS action FROM files WHERE NOT ends_with(path, '_en.pdf') AND file_key NOT IN (SELECT file_key FROM state WHERE status = 'done')
+), came AS (SELECT file_key, CASE n % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'unsupported' END AS outcome, 'message ' || n AS message FROM todo WHERE action = 'work'
+), fresh AS (
+  SELECT c.file_key, CASE WHEN outcome = 'success' THEN 'done' WHEN outcome = 'unsupported' OR coalesce(attempts, 0) + (outcome = 'error')::INT >= 3 THEN 'failed' ELSE 'pending' END AS status,
+    CASE WHEN outcome = 'error' THEN coalesce(attempts, 0) + 1 ELSE 0 END AS attempts, CASE WHEN outcome <> 'success' THEN message END AS error FROM came c LEFT JOIN state s USING (file_key)
+) SELECT file_key, status, attempts::INT AS attempts, error FROM fresh UNION ALL SELECT * FROM state WHERE file_key NOT IN (SELECT file_key FROM fresh)""")
+def watch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pass over a listing, and the state that follows."""
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("in/"), "p_name", F.lit("-"), k.cast("string"), F.when(k % 6 == 0, "_en").otherwise(""), F.lit(".pdf"))
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), k.alias("n")).withColumn("file_key", ingest.file_key(F.col("path"), F.col("n"), F.timestamp_seconds(F.lit(0))))
+    over = F.col("n") % 7 == 0
+    state = files.where("n % 7 <= 1").select("file_key", F.when(over, "done").otherwise("pending").alias("status"), F.when(over, 0).otherwise(2).alias("attempts"), F.lit(None).cast("string").alias("error"))
+    todo = watch.plan(files, state, files.select("path", F.when(F.col("n") % 5 == 1, "waiting").otherwise("stable").alias("verdict")))
+    outcome = F.when(F.col("n") % 3 == 0, "success").when(F.col("n") % 3 == 1, "error").otherwise("unsupported")
+    came = todo.where("action = 'work'").join(files.select("file_key", "n"), "file_key").select("file_key", outcome.alias("outcome"), F.concat(F.lit("message "), F.col("n").cast("string")).alias("message"))
+    return watch.run(todo, state, came, "2024-01-01 00:00:00").state
+
+
 @query("""SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def ext_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: run-log events by tumbling windows."""
