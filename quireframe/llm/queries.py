@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, embed_dedup, license_scan, line_dedup, minhash, mixing, quality, suffix_dedup, tokenfile, warc
 from .common import table
@@ -61,11 +61,26 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.groups(table(spark, sf_dir, "embeddings"))
 
 
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: words, and places of the phrases."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op7: sizes and targets."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: counts, and the plain rules."""
+    return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_file, op3_hyperminhash, op4_line_dedup, op5_bpe, op6_license_scan, op7_mixing, op8_quality, op9_warc,
-        op10_embed_dedup,
+        op10_embed_dedup, license_places, mix_targets, quality_counts,
     )
 }
 
@@ -109,4 +124,45 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM p JOIN k ON payload_digest = d
 """
 
-SQL = {"op4_line_dedup": OP4_SQL, "op9_warc": OP9_SQL}
+_AT = "list_filter(range(len(w)), lambda i: {})"
+_PLACES = [
+    _AT.format("w[i + 1] = 'mit' AND w[i + 2] = 'license'"), _AT.format("w[i + 1] = 'apache' AND w[i + 2] = 'license'"),
+    _AT.format("w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license'"),
+]
+LICENSE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), p AS (SELECT doc_id, w, {_PLACES[0]} AS mit, {_PLACES[1]} AS apache, {_PLACES[2]} AS gpl FROM d
+), e AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS every FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every) AS first_word, list_max(every) AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM e
+"""
+
+#: The level at which uncapped sources share what the capped ones leave rises until no further one is capped.
+MIX_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, size, ([1e0, 2e0, 3e0])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::BIGINT] AS w FROM (SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source)
+), steps AS (
+  SELECT 0 AS k, 0e0 AS level
+  UNION ALL SELECT k + 1, (SELECT (sum(s.size) - coalesce(sum(3 * s.size) FILTER (WHERE 3 * s.size < level * s.w), 0)) / sum(s.w) FILTER (WHERE 3 * s.size >= level * s.w) FROM s) FROM steps WHERE k < 40
+), l AS (SELECT max(level) AS level FROM steps)
+SELECT doc_id, d.size, s.size AS source_size, round(least(3e0 * s.size, level * w), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l
+"""
+
+QUALITY_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM documents
+), g AS (SELECT rid, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS gram FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n >= 2
+), covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid
+), c AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN covered USING (rid)
+) SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+SQL = {"op4_line_dedup": OP4_SQL, "op9_warc": OP9_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL}
