@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import geometry as G, text as X
 from ..operators import cells as C, layout as L, paragraphs as P, reflow as R, translate as T
 from ..schema import PAGE
+from ..sources import store
 
 REGION = ["band_no", "part", "region_col"]
 
@@ -26,10 +27,11 @@ class Analysis:
 
 
 def analyze(lines: DataFrame, pages: DataFrame, drawings: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None) -> Analysis:
-    """Lines that meet a table belong to it; the others form regions, among which the tables stand by their height."""
+    """Lines that meet a table belong to it; the others form regions, among which the tables stand by their height. Placed lines are
+    written, since regions, paragraphs and counts all start from them."""
     lines = L.text_lines(lines)
     usable = L.usable_tables(tables) if tables is not None else None
-    placed = L.assigned(L.outside(lines, usable, box="bbox") if usable is not None else lines)
+    placed = store.written(L.assigned(L.outside(lines, usable, box="bbox") if usable is not None else lines), "placed-lines")
     regions = L.regions(placed)
     if usable is not None:
         regions = L.with_tables(regions, usable)
@@ -80,13 +82,14 @@ def paragraphs(a: Analysis, reformat: bool = False) -> DataFrame:
 
 def translate(a: Analysis, cells: DataFrame | None = None, backend: T.Backend = T.identity, temperature: float = 0.3, reformat: bool = False, name: str | None = None) -> Translation:
     """Paragraphs go through the backend, flow in their regions and are fitted below obstacles and above whatever comes next; cells are
-    fitted into their boxes. With reformat nothing is asked for, and cells stay as they are."""
+    fitted into their boxes. With reformat nothing is asked for, and cells stay as they are. Answers are written before anything reads
+    them, so the backend is asked once."""
     region = [*PAGE, "region_no"]
     para = paragraphs(a, reformat)
     if reformat:
         done = para.withColumns({"output": F.col("text"), "reason": F.lit(None).cast("string"), "skipped": T.is_skipped(F.col("text"))})
     else:
-        done = T.translated(para, backend, temperature, name=name)
+        done = store.written(T.translated(para, backend, temperature, name=name), "translated")
     limit = R.ceilings(a.regions, a.pages).join(a.pages.select(*PAGE, F.col("rect.y1").alias("page_y1")), PAGE)
     limit = limit.select(*region, F.least("limit", F.col("page_y1") - R.BOTTOM).alias("limit"))
     flowed = R.reflow(done.withColumn("text", F.col("output")), region, reformat)
@@ -100,6 +103,7 @@ def translate(a: Analysis, cells: DataFrame | None = None, backend: T.Backend =
     events = T.events(done, region)
     if cells is not None and not reformat:
         own = C.translated(cells.join(a.tables.select(*PAGE, "table_no"), [*PAGE, "table_no"], "left_semi"), a.lines, backend, temperature, name)
+        own = store.written(own, "translated-cells")
         good = own.where("reason is null").withColumn("text", F.col("answer"))
         at = good.join(a.regions.select(*PAGE, "table_no", "region_no"), [*PAGE, "table_no"])
         placements = placements.unionByName(at.select(*cols("cell", nth(F.col("region_no"), F.col("row_idx"), F.col("col_idx")), F.col("inner"), F.lit(True))))

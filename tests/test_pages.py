@@ -275,3 +275,11 @@ def test_text_lines_and_clip(spark):
     rows = [(1, 0, 0, (0.0, 0.0, 10.0, 10.0), [("a", 9.0, "f", 0)]), (1, 0, 1, (20.0, 0.0, 30.0, 10.0), [("b", 9.0, "f", 0)]), (1, 0, 2, (0.0, 0.0, 10.0, 10.0), [])]
     lines = spark.createDataFrame(rows, LINES)
     assert L.text_lines(lines).count() == 2 and [r.line_no for r in L.text_lines(lines, BOX(15, 0, 25, 5)).collect()] == [1]
+
+
+def test_a_page_is_asked_for_once_whatever_is_read_of_it(spark, tmp_path):
+    log = tmp_path / "calls"
+    a = W.analyze(lines_of(spark, [(72, 30, 200, 9, "Kapitel 3")] + body(72, 380, 100, 4, 11) + body(72, 380, 200, 3, 11)), page_of(spark, 450, 750))
+    t = W.translate(a, backend=counting(str(log), False), name="once")
+    assert t.placements.count() == 3 and t.events.count() == 3 and t.redactions.count() == 6
+    assert len(log.read_text(encoding="utf-8").splitlines()) == 3
