@@ -3,7 +3,7 @@
 Writing: a page's payload digest is looked up among all pages; the page with the largest id of those with an
 equal payload is a response, the others revisit it. A page's three records go into one archive; records end in
 two line ends, which is the line separator of the text files written, gzipped, to shared storage. Reading: archives are parsed
-a record at a time; requests and metadata are joined to the response or revisit that their WARC-Concurrent-To names.
+a record at a time; requests and metadata are grouped with the response or revisit that their WARC-Concurrent-To names.
 
 Defined results: a null html is an empty payload; a null url is an empty target; line ends in a url become
 spaces; rows that share a page_id are captures of their own, and all rows with the largest id of an equal
@@ -26,10 +26,11 @@ from . import common
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-RECORDS_A_FILE = 6000
+#: Bytes of payload that an archive holds about, and the most records of it.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 6000
 RECORD = (
     "record_id string, kind string, concurrent_to string, target string, date string, digest string, refers_to string, "
-    "page_id long, refers_page long, payload_bytes long, payload binary, fields string"
+    "page_id long, payload_bytes long, payload binary, fields string"
 )
 
 
@@ -62,13 +63,15 @@ def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z",
     base = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.translate(F.coalesce(url_col, F.lit("")), "\r\n", "  ").alias("url"), common.empty_if_null(F.col(html_col)).alias("html")
     )
-    base = base.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    first = base.groupBy(F.col("sha").alias("of")).agg(F.max("page_id").alias("keeper"))
+    base = base.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
+    first = base.groupBy(F.col("sha").alias("of")).agg(F.max(F.struct("page_id", "row")).alias("k"), F.count("*").alias("copies"), F.max(F.octet_length("html")).alias("size"))
+    first = common.written(first.select("of", F.col("k.page_id").alias("keeper"), F.col("k.row").alias("keeper_row"), "copies", "size"), "warc-payloads")  # so that the join below can split hot payloads
+    held = first.agg(F.sum(F.col("copies") * F.col("size")), F.sum("copies")).first()
+    a_file = max(1, min(FILE_RECORDS // 3, FILE_BYTES * (held[1] or 1) // max(held[0] or 1, 1)))  # captures
     rows = base.join(first, F.col("sha") == F.col("of"))
     rid = lambda kind, page, *more: _uuid(F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), *more)
     rows = rows.select(
-        "page_id", "url", "html", "keeper", base32_of_hex(F.col("sha")).alias("b32"), F.octet_length("html").alias("n"),
-        F.monotonically_increasing_id().cast("string").alias("row"),
+        "page_id", "url", "html", "keeper", F.col("keeper_row").cast("string").alias("keeper_row"), base32_of_hex(F.col("sha")).alias("b32"), F.octet_length("html").alias("n"), F.col("row").cast("string").alias("row"),
     )
     is_copy = (F.col("n") >= least) & (F.col("keeper").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = rows.withColumn("copy", is_copy).withColumn("rid", rid("capture", F.col("page_id"), F.col("row")))
@@ -78,7 +81,7 @@ def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z",
     full = _record("response", F.col("rid"), [*common_to, *told, ("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(head(F.col("n")), F.col("html")))
     copy = _record(
         "revisit", F.col("rid"),
-        [*common_to, *told, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To-Page-ID", F.col("keeper").cast("string")), ("Content-Type", F.lit("application/http; msgtype=response"))],
+        [*common_to, *told, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", rid("capture", F.col("keeper"), F.col("keeper_row"))), ("Content-Type", F.lit("application/http; msgtype=response"))],
         head(F.col("n")),
     )
     with_it = [*common_to, ("WARC-Concurrent-To", F.col("rid"))]
@@ -91,7 +94,7 @@ def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z",
         F.concat(F.lit("payloadBytes: "), F.col("n").cast("string"), F.lit("\r\n")),
     )
     records = rows.select(F.explode(F.array(request, F.when(F.col("copy"), copy).otherwise(full), notes)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * a_file).text(path)
     return path
 
 
@@ -122,7 +125,7 @@ def records(spark: SparkSession, path: str, kinds: tuple[str, ...], payloads: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
-        kinds_of = [pa.string()] * 7 + [pa.int64()] * 3 + [pa.binary(), pa.string()]
+        kinds_of = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.binary(), pa.string()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=names)
@@ -144,7 +147,7 @@ def records(spark: SparkSession, path: str, kinds: tuple[str, ...], payloads: bo
                         num = lambda x: int(h[x]) if x in h else None  # noqa: E731, B023
                         rows.append((
                             h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), digest,
-                            h.get("warc-refers-to"), num("warc-page-id"), num("warc-refers-to-page-id"), n,
+                            h.get("warc-refers-to"), num("warc-page-id"), n,
                             payload if payloads else None, block.decode("utf-8", "replace") if kind not in whole else None,
                         ))
                         held += len(payload or b"") if payloads else 0
@@ -159,12 +162,16 @@ def records(spark: SparkSession, path: str, kinds: tuple[str, ...], payloads: bo
 
 
 def captures(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One nested row a capture: the response or revisit, with its request and metadata where there are any."""
-    main = records(spark, path, ("response", "revisit"), payloads)
-    request = records(spark, path, ("request",)).select(F.col("concurrent_to").alias("q_of"), F.struct("record_id", "target", F.col("fields").alias("head")).alias("request"))
-    notes = records(spark, path, ("metadata",)).select(F.col("concurrent_to").alias("m_of"), F.struct("record_id", "fields").alias("metadata"))
-    return (
-        main.join(request, F.col("record_id") == F.col("q_of"), "left")
-        .join(notes, F.col("record_id") == F.col("m_of"), "left")
-        .select("page_id", "target", "date", F.struct("record_id", "kind", "digest", "payload_bytes", "payload", "refers_page").alias("response"), "request", "metadata")
-    )
+    """One nested row a capture: the response or revisit, with its request and metadata where there are any. All records are read once
+    and meet by the record that they are concurrent to; a revisit meets the response that it refers to by that one's record id."""
+    every = records(spark, path, ("response", "revisit", "request", "metadata"), payloads)
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    main = F.max(F.when(of("response", "revisit"), F.struct("record_id", "kind", "digest", "payload_bytes", "refers_to", "page_id", "target", "date", "payload"))).alias("main")
+    request = F.max(F.when(of("request"), F.struct("record_id", "target", F.col("fields").alias("head")))).alias("request")
+    notes = F.max(F.when(of("metadata"), F.struct("record_id", "fields"))).alias("metadata")
+    met = every.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture")).agg(main, request, notes).where("main is not null")
+    met = common.written(met, "warc-captures")
+    meant = met.where("main.kind = 'response'").select(F.col("capture").alias("r_id"), F.col("main.page_id").alias("refers_page"))
+    met = met.join(meant, F.col("main.refers_to") == F.col("r_id"), "left")
+    shown = F.struct("main.record_id", "main.kind", "main.digest", "main.payload_bytes", "main.payload", "main.refers_to", "refers_page")
+    return met.select("main.page_id", "main.target", "main.date", shown.alias("response"), "request", "metadata")
