@@ -28,7 +28,7 @@ from . import common
 from .graph import components
 
 LEAST = 0.95
-SAMPLE, LIST_ROWS, MOST_LISTS, SUBSPACES, CODES, BLOCK = 20_000, 250, 1024, 8, 64, 1024
+SAMPLE, MOST_LISTS, SUBSPACES, CODES, BLOCK = 32_768, 4096, 8, 64, 1024
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -71,10 +71,12 @@ class Quantiser:
     def probes(self, x: np.ndarray, own: np.ndarray, near: float) -> np.ndarray:
         """Which lists x is compared with: its own, and those whose border with it is at most `near` away."""
         c = self.centroids
-        d = (c * c).sum(axis=1) - 2 * (x @ c.T)
+        size = (c * c).sum(axis=1)
+        d = size - 2 * (x @ c.T)
         lead = d - d[np.arange(len(x)), own][:, None]
-        between = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(axis=2), 0))[own]
-        return (lead <= 2 * between * near + 1e-9) | (np.arange(len(c)) == own[:, None])
+        between, of = np.unique(own, return_inverse=True)
+        between = np.sqrt(np.maximum(size[between][:, None] + size - 2 * (c[between] @ c.T), 0))[of]
+        return (lead <= 2 * between * near + 1e-6) | (np.arange(len(c)) == own[:, None])
 
     def approximate(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Products of queries with the rows of a list, from the queries' tables."""
@@ -93,8 +95,9 @@ def _units(col: pa.Array, dim: int) -> np.ndarray:
 def _placed(dim: int, q: Quantiser, near: float):
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                b = batch.slice(k, 1024)
+            step = max(64, (1 << 20) // len(q.centroids))
+            for k in range(0, batch.num_rows, step):
+                b = batch.slice(k, step)
                 x = _units(b.column(2), dim)
                 lists, codes, error = q.encode(x)
                 near_by = q.probes(x, lists, near)
@@ -152,7 +155,7 @@ def _one_length(rows: DataFrame, dim: int, n: int, least: float) -> DataFrame:
     """Of distinct vectors (node, m, v) of one length: (a, a, number of linked vectors) and (a, b, 0) for linked a and b."""
     sample = rows.orderBy(F.xxhash64("node", "v")).limit(SAMPLE).select("v").toArrow().column(0)
     x = _units(sample, dim)
-    q = Quantiser(x, max(1, min(MOST_LISTS, math.ceil(n / LIST_ROWS))))
+    q = Quantiser(x, max(1, min(MOST_LISTS, math.isqrt(n))))
     far = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     placed = rows.select("node", "m", "v").mapInArrow(_placed(dim, q, far / 2), "node long, m long, x array<double>, list long, codes binary, error double, probes array<long>, mask binary")
     placed = common.written(placed, "quantised")
