@@ -5,71 +5,28 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources import store
+from ..sources.store import drop, exists, fresh_path  # noqa: F401  for the operators
+
 #: Words of documents: runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
-_OWN_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where none is set, a local one serves a local master, as in tests; a cluster has to name one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        found = _OWN_CHECKPOINTS
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _folder(spark, path)
-    return fs.exists(at)
-
-
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends here, any executor may be lost.
-
-    The files go when the driver's JVM ends, or before that by `drop`; a job that reruns writes anew.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    lean(spark)
-    df.write.option("compression", codec).parquet(path)
-    fs, at = _folder(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for t in tables:
-        fs, at = _folder(t.sparkSession, t.written_at)
-        fs.delete(at, True)
+    """df as a table in the shared folder, read back; texts go through Python in small batches on the way."""
+    lean(df.sparkSession)
+    return store.written(df, what, codec)
 
 
 def lean(spark: SparkSession) -> None:
