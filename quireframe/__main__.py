@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import ingest, translate as T
 from .plans import page_stats as S, pages as W
-from .sources import decode
+from .sources import decode, store
 
 
 def options() -> argparse.ArgumentParser:
@@ -35,8 +35,7 @@ def tables(spark: SparkSession, source: str, jsonl: bool) -> dict[str, DataFrame
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     o = options().parse_args(argv)
     spark = spark or SparkSession.builder.appName("quireframe").getOrCreate()
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{o.source}/lines.parquet")
-    t = tables(spark, o.source, not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+    t = tables(spark, o.source, not store.exists(spark, f"{o.source}/lines.parquet"))
     if o.pages:
         last = t["pages"].agg(F.max("page_no")).first()[0]
         wanted, said = ingest.page_range(o.pages, (last if last is not None else -1) + 1)

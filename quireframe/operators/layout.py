@@ -59,6 +59,12 @@ def columns(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return kept.select(*keys, F.row_number().over(page.orderBy("lo")).alias("col_no"), "lo", "hi")
 
 
+def column_counts(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """How many columns each page has; a page without a split has one."""
+    n = columns(lines, keys).groupBy(*keys).agg(F.count("*").alias("n"))
+    return lines.select(*keys).distinct().join(n, keys, "left").select(*keys, F.coalesce("n", F.lit(1)).cast("int").alias("columns"))
+
+
 def gutters(cols: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """The bands between neighbouring columns."""
     nxt = F.lead("lo").over(Window.partitionBy(*keys).orderBy("col_no"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator, Sequence
 from math import ceil
 
@@ -54,6 +55,14 @@ def measured(rows: DataFrame, measurer: Measurer = by_letters, name: str | None
     return rows.join(found, same, "left").drop(*[f"__{c}" for c in REQUEST])
 
 
+def first_pair(pairs: Sequence[tuple[str, str]], exists: Callable[[str], bool] = os.path.exists) -> tuple[str, str]:
+    """The first pair of font files (upright, italic) that is there whole, for a measurer or renderer to load."""
+    for upright, italic in pairs:
+        if exists(upright) and exists(italic):
+            return upright, italic
+    raise FileNotFoundError(f"none of {len(pairs)} pairs of fonts is there")
+
+
 def disagreements(rows: DataFrame) -> DataFrame:
     """Of rendered rows (scale), those that came out smaller than measured, with what is said of them."""
     said = F.concat(F.lit("  WARNING: paragraph rendered at "), F.format_number("scale", 2), F.lit("x -- the measure disagreed with the render"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ingest
+from ..sources import store
 
 #: Files (file_key, path, output) to what came of them: file_key, outcome (success, error, unsupported) and message.
 Work = Callable[[DataFrame], DataFrame]
@@ -52,13 +54,43 @@ def run(todo: DataFrame, state: DataFrame, came: DataFrame, now: str) -> Pass:
     return Pass(kept.unionByName(fresh), results, ingest.retry_marks(todo.where("action = 'copying'").select("file_key", at.alias("ts"))))
 
 
+class Busy(RuntimeError):
+    """Another pass holds the folder."""
+
+
+@contextlib.contextmanager
+def lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """One pass at a time: a lock file that only one can create. It goes with the driver's JVM, should the pass not end."""
+    fs, at = store.folder(spark, f"{path}/_lock")
+    if not fs.createNewFile(at):
+        raise Busy(path)
+    fs.deleteOnExit(at)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def remove_parts(spark: SparkSession, path: str, suffix: str = ".part") -> int:
+    """Deletes half-written files that a killed run left below a folder; for a pass that holds the lock."""
+    fs, at = store.folder(spark, path)
+    found, gone = fs.listFiles(at, True), 0
+    while found.hasNext():
+        f = found.next().getPath()
+        if f.getName().endswith(suffix):
+            gone += fs.delete(f, False)
+    return gone
+
+
 def folder(spark: SparkSession, path: str, state_path: str, log_path: str, work: Work, now: str, version: int, verdicts: DataFrame | None = None) -> Pass:
     """A pass over a folder with its state and its logs in files. What came of the work is written first, so it is done once."""
-    state = ingest.load_state(spark, state_path)
-    todo = plan(ingest.list_files(spark, path), state, verdicts)
-    outcomes = f"{log_path}/outcomes/version={version}"
-    work(todo.where("action = 'work'").select("file_key", "path", "output")).select("file_key", "outcome", "message").write.mode("overwrite").parquet(outcomes)
-    done = run(todo, state, spark.read.parquet(outcomes), now)
-    ingest.save_state(spark, done.state, state_path, version)
-    ingest.log_result(done.results, f"{log_path}/results")
-    return done
+    with lock(spark, log_path):
+        remove_parts(spark, path)
+        state = ingest.load_state(spark, state_path)
+        todo = plan(ingest.list_files(spark, path), state, verdicts)
+        outcomes = f"{log_path}/outcomes/version={version}"
+        work(todo.where("action = 'work'").select("file_key", "path", "output")).select("file_key", "outcome", "message").write.mode("overwrite").parquet(outcomes)
+        done = run(todo, state, spark.read.parquet(outcomes), now)
+        ingest.save_state(spark, done.state, state_path, version)
+        ingest.log_result(done.results, f"{log_path}/results")
+        return done

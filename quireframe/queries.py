@@ -204,6 +204,12 @@ def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.columns(_lines(spark, sf_dir, 2))
 
 
+@query(f"WITH {COLUMNS_SQL} SELECT doc_id, page_no, greatest(1, count(lo))::INT AS columns FROM area LEFT JOIN cols USING (doc_id, page_no) GROUP BY doc_id, page_no")
+def column_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns counted page by page."""
+    return L.column_counts(_lines(spark, sf_dir, 2))
+
+
 @query(f"WITH {COLUMNS_SQL} SELECT * FROM (SELECT doc_id, page_no, col_no, hi AS x0, lead(lo) OVER (PARTITION BY doc_id, page_no ORDER BY col_no) AS x1 FROM cols) WHERE x1 IS NOT NULL")
 def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3."""

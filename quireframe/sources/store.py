@@ -28,13 +28,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path as it knows it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _folder(spark, path)
+    fs, at = folder(spark, path)
     return fs.exists(at)
 
 
@@ -46,7 +47,7 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.option("compression", codec).parquet(path)
-    fs, at = _folder(spark, path)
+    fs, at = folder(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
@@ -56,5 +57,5 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:
-        fs, at = _folder(t.sparkSession, t.written_at)
+        fs, at = folder(t.sparkSession, t.written_at)
         fs.delete(at, True)

@@ -156,3 +156,22 @@ def test_passes_over_a_folder(spark, tmp_path):
     (box / "e.pdf").write_bytes(b"y")
     done = watch.folder(spark, str(box), state, logs, work, "2024-05-01 00:00:00", 9, waiting)
     assert [r.file_key.rsplit("/", 1)[1].split(":")[0] for r in done.retries.collect()] == ["e.pdf"]
+
+
+def test_one_pass_at_a_time_and_no_leftovers(spark, tmp_path):
+    box, logs = tmp_path / "box", str(tmp_path / "logs")
+    (box / "sub").mkdir(parents=True)
+    for name in ("a.pdf.part", "sub/b_en.pdf.part", "c.pdf"):
+        (box / name).write_bytes(b"x")
+    none = lambda files: files.select("file_key", F.lit("error").alias("outcome"), F.lit("m").alias("message"))
+    with watch.lock(spark, logs), pytest.raises(watch.Busy):
+        watch.folder(spark, str(box), str(tmp_path / "state"), logs, none, "2024-05-01 00:00:00", 1)
+    watch.folder(spark, str(box), str(tmp_path / "state"), logs, none, "2024-05-01 00:00:00", 1)
+    assert [p.name for p in box.rglob("*") if p.is_file() and not p.name.endswith(".crc")] == ["c.pdf"]
+
+
+def test_first_pair_of_fonts():
+    there = {"b.ttf", "bi.ttf", "a.ttf"}
+    assert M.first_pair([("a.ttf", "ai.ttf"), ("b.ttf", "bi.ttf")], there.__contains__) == ("b.ttf", "bi.ttf")
+    with pytest.raises(FileNotFoundError):
+        M.first_pair([("x", "y")], there.__contains__)
