@@ -11,16 +11,17 @@ def components(links: DataFrame) -> DataFrame:
     """Of each node in links(a, b): the smallest node that can be reached, as (id, root).
 
     Large-star and small-star steps in turn: each hangs neighbours on the smallest node around, with
-    aggregates and joins on the node only; every step's links are written, so none is worked out twice.
+    aggregates and joins on the node only; every step's links are written, so none is worked out twice. The smallest nodes
+    are written too: links then meet them in a join that Spark can split where a node has very many.
     """
     edges = common.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).withColumn("m", F.least("c", "m"))
+        low = common.written(both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).withColumn("m", F.least("c", "m")), "lows")
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        large = common.written(large.where("u <> v").distinct(), "large")
+        low = common.written(large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), "lows")
         small = large.join(low, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v")))
         edges = common.written(small.where("u <> v").distinct(), "links")

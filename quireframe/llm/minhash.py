@@ -299,7 +299,7 @@ def _still_possible(left: DataFrame, size: int, percent: int) -> DataFrame:
     first = first.select("node", "root", "n", place.alias("at"), F.col("x.tok").alias("tok"))
     first = common.written(first, "near-prefixes")
     mixed = first.groupBy(F.col("tok").alias("t")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
-    first = first.join(mixed, F.col("tok") == F.col("t"), "left_semi")
+    first = common.written(first.join(mixed, F.col("tok") == F.col("t"), "left_semi"), "near-shared")  # so that the join below can split hot shingles
     other = first.select(F.col("tok").alias("tok2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
     # what can be shared from the first shingle in common on must reach what the threshold asks for
     near = (F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + 1) * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("n2"))
