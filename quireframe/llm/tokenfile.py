@@ -36,7 +36,7 @@ BLOCK_BYTES = 1 << 20
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1500, 4096, 32_768
 #: nth numbers the rows of a task, so that rows of one doc_id can stand in several shards.
 FRAMES = "doc_id long, tie long, nth long, n long, frame binary"
-BLOCKS = "shard int, block int, n_docs long, n_ids long, data binary"
+BLOCKS = "shard int, block int, n_docs long, n_ids long, low long, high long, data binary"
 #: Words that go through the library as one text.
 TOGETHER = 128
 
@@ -203,11 +203,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
             nonlocal block, index, frames, at
             head = struct.pack(_HEAD, MAGIC, len(index), digest)
             data = head + np.array(index, dtype=_INDEX).tobytes() + b"".join(frames)
-            n = sum(x[3] for x in index)
+            n, named = sum(x[3] for x in index), [x[0] for x in index if not x[1]]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(index)], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())],
-                names=["shard", "block", "n_docs", "n_ids", "data"],
-            )
+                [
+                    pa.array([shard], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x], pa.int64()) for x in (len(index), n, min(named, default=None), max(named, default=None))),
+                    pa.array([data], pa.binary()),
+                ],
+                names=[x.split()[0] for x in BLOCKS.split(", ")],
+            )
             block, index, frames, at = block + 1, [], [], 0
             return out
 
@@ -279,7 +282,7 @@ def read(spark: SparkSession, dataset: Dataset) -> DataFrame:
 
 
 def look_up(spark: SparkSession, dataset: Dataset, doc_id: int) -> list[list[int]]:
-    """The ids of one document, from the frames that the index names and no others."""
+    """The ids of one document, from the blocks whose range of doc_ids holds it, and there from the frames that the index names."""
     digest, trained = dataset.dictionary(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +296,5 @@ def look_up(spark: SparkSession, dataset: Dataset, doc_id: int) -> list[list[int
                     ids = np.frombuffer(unpack(expand(frames[int(x["at"]) : int(x["at"]) + int(x["len"])])), dtype="<u4")
                     yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["ids"])
 
-    return [r["ids"] for r in dataset.blocks(spark).select("data").mapInArrow(find, "ids array<long>").collect()]
+    near = dataset.blocks(spark).where((F.col("low") <= doc_id) & (F.col("high") >= doc_id))
+    return [r["ids"] for r in near.select("data").mapInArrow(find, "ids array<long>").collect()]
