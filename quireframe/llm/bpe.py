@@ -4,8 +4,8 @@ The merge list of a tokenizer file is compiled into a table of tokens. The encod
 symbol by symbol and keeps, for the last few prefixes only, the last token of each prefix's
 encoding: a token may follow another exactly if the pair encodes to itself, and each prefix has
 just one such last token. A token is emitted once every prefix that a later token can still start
-from agrees on it; `lookahead` is the merge list's sufficient lookahead (merges x longest token),
-the most that can be pending, so memory does not grow with the text.
+from agrees on it. Whether a border stands is settled by so many letters behind it as `lookahead` says, the merge list's
+sufficient lookahead: no more than that and a few tokens' length can be pending, so memory does not grow with the text.
 
 Defined results: a null text is encoded as an empty one and gives no ids; white space gives no
 ids; rows are encoded one by one, repeated or not; other columns are left out.
@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common, units
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Steps of the transducer that a worker keeps.
-STATES = 300_000
+#: Steps of the transducer that a worker keeps, and units in each generation of its memory.
+STATES, KEPT = 300_000, 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -49,11 +49,24 @@ class Merges:
         for r, m in enumerate(merges):
             self.rank.setdefault(tuple(m), r)
         self.longest = max((len(self._symbols(t)) for t in vocab), default=1)
-        self.lookahead = max(1, len(self.rank)) * self.longest
+        self.lookahead = self._lookahead()
         self._tokens: dict[str, tuple | None] = {}
         self.states: dict[str | None, After] = {}
         self.learned = 0
 
+    def _lookahead(self) -> int:
+        """Letters behind a border that can matter for it. A merge hangs on what follows it only through earlier merges that could take
+        the end of its right part away: merges whose left part is such an end. So letters of right parts add up along chains
+        of merges of falling rank; the longest chain counts."""
+        reach: dict[str, int] = {}  # of left parts: letters behind them that earlier merges can hang on
+        most = 1
+        for left, right in self.rank:  # by rank
+            letters = self._symbols(right)
+            n = len(letters) + max(reach.get("".join(letters[k:]), 0) for k in range(len(letters)))
+            reach[left] = max(reach.get(left, 0), n)
+            most = max(most, n)
+        return most
+
     def _symbols(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
             body = token[: -len(self.suffix)]
@@ -141,8 +154,6 @@ class Merges:
                     yield from out
                     if done:
                         after, came, buffer, base = after[done:], came[done:], buffer[done:], base + done
-                    elif n > self.lookahead:
-                        raise AssertionError("more letters wait than the merge list's lookahead")
         if wait:
             n = len(buffer) + 1
             tail = buffer + wait + suffix
@@ -219,7 +230,7 @@ class Codec:
         self.bytes = {c: b for b, c in self.letters.items()}
         #: What follows the decoded text of each token but the last.
         self.between = b" " if self.decoder is None else b""
-        self.units = units.Encoder(self.encode_units)
+        self.units = units.Encoder(self.encode_units, KEPT)
         most = max(self.tokens, default=-1) + 1
         ends = [b"%d " % i for i in range(most)]
         shown = [b"".join(self.decode_stream([i])) + self.between if i in self.tokens else b"" for i in range(most)]
@@ -376,8 +387,35 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(common.tidy(run), SCHEMA)
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: its ids, as array<int>."""
+def decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """Of documents' packed ids (doc_id, ids): what encode_decode says of their texts, from the ids alone."""
+    common.lean(tokens.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            raw, starts = common.text_views(batch, "ids")
+            at, flat, rows = (starts - starts[0]) // 4, pa.array(raw[starts[0] : starts[-1]].view("<i4")), []
+            for i, j in common.row_runs(at, units.BLOCK // 4):
+                both = [units.views(pc.take(t, flat.slice(at[i], at[j] - at[i]))) for t in c.tables]
+                for k in range(i, j):
+                    a, b = int(at[k] - at[i]), int(at[k + 1] - at[i])
+                    ends = []
+                    for (data, offsets), after in zip(both, (b" ", c.between), strict=True):
+                        d = Digest(after)
+                        d.add(data[offsets[a] : offsets[b]])
+                        ends.append(d.end())
+                    rows.append((b - a, *ends))
+            n, a, b = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(common.tidy(run), SCHEMA)
+
+
+def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """Per document: its ids, as array<int>, or packed as little-endian 32-bit integers."""
+
+    common.lean(docs.sparkSession)
 
     common.lean(docs.sparkSession)
 
@@ -385,9 +423,12 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         c = codec(path)
         for batch in batches:
             rows = list(c.units.rows(*common.text_views(batch, "text")))
+            if packed:
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+                continue
             at = np.zeros(len(rows) + 1, dtype=np.int32)
             np.cumsum([len(r) // 4 for r in rows], out=at[1:])
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(common.tidy(run), "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.empty_if_null(F.col(text_col)).alias("text")).mapInArrow(common.tidy(run), f"doc_id long, ids {'binary' if packed else 'array<int>'}")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from . import common
 
 #: Bytes of text cut at once; a unit that is longer stays whole.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Units kept in each generation of the memory, and the longest unit kept.
 KEPT, KEPT_LEN = 250_000, 48
 #: Fixed value: the pattern of the files that these rules hold for.
@@ -115,8 +115,8 @@ def blocks(raw: np.ndarray, starts: np.ndarray, most: int = BLOCK) -> Iterator[t
 class Encoder:
     """Ids of texts by their units; encode: from distinct units to their ids as little-endian 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
-        self._encode, self.kept = encode, common.Recent(KEPT)
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], kept: int = KEPT):
+        self._encode, self.kept = encode, common.Recent(kept)
 
     def of(self, units: list[bytes]) -> list[bytes]:
         kept = self.kept
