@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from ..sources.store import drop, exists, fresh_path  # noqa: F401  for the oper
 #: Words of documents: runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
+#: Seconds after which a worker gives memory back.
+TIDY_S = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,14 +41,23 @@ def lean(spark: SparkSession) -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """run over batches; what a worker holds without need goes back to the system when its task ends."""
+    """run over batches; what a worker holds without need goes back to the system now and then, and when its task ends."""
 
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+    def give_back() -> None:
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for batch in run(batches):
+            yield batch
+            if time.monotonic() - last > TIDY_S:
+                batch = None
+                give_back()
+                last = time.monotonic()
+        give_back()
+
     return wrapped
 
 
