@@ -487,3 +487,110 @@ def test_fitted_bands_reject_junk_and_keep_prose(spark):
     assert len(kept & set(range(300))) >= 298 and not kept & set(range(300, 325)) and {r.doc_id for r in quality.measure(df).where("kept").collect()} & set(range(300, 320))
     assert quality.fit(df, labels.where("false")).by_length[3][1:] == quality.Bands().by_length[1][1:]
     assert {r.doc_id for r in quality.keep_good(df, bands).collect()} == kept and quality.keep_good(none(spark), bands).count() == 0
+
+
+def test_digests_of_token_tables_equal_those_of_texts(spark, docs):
+    a, b = (sorted(tuple(r) for r in d.collect()) for d in (bpe.encode_decode(docs, tokenizer()), bpe.decoded(bpe.encode_ids(docs, tokenizer(), packed=True), tokenizer())))
+    assert a == b and bpe.decoded(bpe.encode_ids(none(spark), tokenizer(), packed=True), tokenizer()).count() == 0
+    assert [len(r.ids) for r in bpe.encode_ids(docs, tokenizer()).orderBy("doc_id").collect()] == [x[1] for x in a]
+
+
+def test_lines_of_large_hosts_and_clashing_names(spark, monkeypatch):
+    rows = [(k, f"own {k}\nmenu", "big" if k % 3 else None, "x", k) for k in range(90)] * 2 + [(500 + k, "menu", "small", "x", 1) for k in range(4)]
+    names = "doc_id long, text string, host string, drop string, salt int"
+    df = spark.createDataFrame([(d, t, h, "keep", s) for d, t, h, _, s in rows], names)
+    a = sorted(tuple(r) for r in line_dedup.drop_boilerplate(df, host_col="host").collect())
+    monkeypatch.setattr(line_dedup, "TASK_PAGES", 7)
+    b = line_dedup.drop_boilerplate(df, host_col="host")
+    assert b.columns == df.columns and a == sorted(tuple(r) for r in b.collect())
+    assert a == sorted((d, t.split("\n")[0], h, "keep", s) for d, t, h, _, s in rows)
+
+
+def test_revisits_refer_to_records(spark):
+    rows = [(k, "http://a", f"<p>{k}</p>" if k is not None and k % 3 == 0 else "<p>same</p>") for k in [*range(40), 38, 38, None]]
+    found = warc.captures(spark, warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    by = {r.response.record_id: r for r in found}
+    assert len(found) == len(by) == 43
+    for r in found:
+        if r.response.kind == "revisit":
+            assert by[r.response.refers_to].response.kind == "response" and by[r.response.refers_to].page_id == r.response.refers_page == 38
+        assert r.request is not None and r.metadata is not None
+
+
+def test_archives_hold_bounded_bytes(spark, monkeypatch):
+    import glob
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    path = warc.write(spark.createDataFrame([(k, "u", f"{k:05d}" * 400) for k in range(100)], "page_id long, url string, html string").coalesce(1))
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{path.removeprefix('file:')}/*.gz")]
+    assert len(sizes) >= 10 and max(sizes) < 40_000 and warc.captures(spark, path).count() == 100
+
+
+def test_equal_and_empty_vectors(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert embed_dedup.groups(spark.createDataFrame([], schema)).count() == 0
+    assert [tuple(r) for r in embed_dedup.groups(spark.createDataFrame([(4, None), (5, [0.0, 0.0])], schema)).orderBy("vec_id").collect()] == [(4, 0, 4, True), (5, 0, 5, True)]
+    rows = [(1, [1.0, 0.0])] * 3 + [(2, [2.0, 0.0]), (None, [1.0, 0.0]), (7, [0.0, 1.0])]
+    got = sorted((tuple(r) for r in embed_dedup.groups(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True)] * 3 + [(2, 3, 1, False), (None, 0, None, True), (7, 0, 7, True)], key=str)
+
+
+def test_lookahead_settles_borders():
+    """Of random small merge lists: texts that share a start have the same borders in it, but for its last letters."""
+    rnd = random.Random(7)
+    for trial in range(600):
+        letters = "ab" if trial % 2 else "abc"
+        tokens, merges = list(letters), []
+        for _ in range(rnd.randint(1, 9)):
+            pair = rnd.choice(tokens), rnd.choice(tokens)
+            if pair not in merges and len("".join(pair)) <= 6:
+                merges.append(pair)
+                tokens += [] if "".join(pair) in tokens else ["".join(pair)]
+        m = bpe.Merges({t: k for k, t in enumerate(tokens)}, merges, "")
+        for _ in range(12):
+            n = m.lookahead + rnd.randint(2, 20)
+            start = "".join(rnd.choices(letters, k=rnd.randint(1, 3))) * n if rnd.random() < 0.4 else "".join(rnd.choices(letters, k=n))
+            both = []
+            for _ in range(2):
+                text = start[:n] + "".join(rnd.choices(letters, k=rnd.randint(0, 12)))
+                parts = m.merged(list(text))
+                assert list(m.stream(iter(text))) == parts
+                both.append({sum(map(len, parts[:k])) for k in range(len(parts))})
+            assert all(b > n - m.lookahead for b in both[0] ^ both[1] if b <= n)
+
+
+def test_what_waits_is_bounded_by_the_lookahead():
+    m, rnd = bpe.codec(tokenizer()).merges, random.Random(1)
+    assert m.lookahead < 1000
+    tokens = [t for t in m.vocab if not t.endswith("</w>") and "<|" not in t]
+    for trial in range(60):
+        text = "".join(rnd.choices(tokens, k=80)) if trial % 3 else "".join(rnd.choices("abcdest", k=900)) if trial % 2 else "ab" * 500
+        fed = done = most = 0
+
+        def letters():
+            nonlocal fed
+            for c in text:  # noqa: B023
+                fed += 1
+                yield c
+
+        for t in m.stream(letters()):
+            most = max(most, fed - done)
+            done += len(t.removesuffix("</w>"))
+        assert done == len(text) and most <= m.lookahead + 4 * m.longest
+
+
+def test_shared_passages_are_left_out_of_text(spark):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    passage, long = prose(90)[:330], prose(200)
+    rows = [(1, prose(80) + passage + prose(80)), (2, passage + prose(70)), (3, prose(300)), (4, long), (5, "x" + long), (6, None), (7, "é" * 200 + passage)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        r = got[k]
+        if k in (1, 2, 7):
+            assert r.kept == t and r.n_removed == 0 and r.shares_passage and passage not in r.text and len(t) - 330 <= len(r.text) <= len(t) - 128
+            cut = [p for p in range(len(t)) if t[:p] + t[p + len(t) - len(r.text) :] == r.text]
+            assert cut and all(t[p : p + len(t) - len(r.text)] in passage for p in cut)
+        else:
+            assert r.text == r.kept and (r.text == (t or "") if k in (3, 6) else len(r.text) <= 1)
