@@ -17,7 +17,7 @@ def tokenizer() -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,4 +165,35 @@ WITH d AS (
 ) SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
 """
 
-SQL = {"op4_line_dedup": OP4_SQL, "op9_warc": OP9_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL}
+#: Components by reaching: fit for the small tables that SQL is run on.
+_REACHED = """sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT {id} AS id, {id} AS r FROM {rows} UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a
+), comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
+
+#: All shingles of all texts, and how many each two documents share.
+OP3_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id > y.doc_id GROUP BY ALL
+), links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
+), {_REACHED.format(id="doc_id", rows="d")}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.id = d.doc_id
+"""
+
+#: All pairs of vectors.
+OP10_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+), links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id > y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) >= 0.95e0
+), {_REACHED.format(id="vec_id", rows="embeddings")}, n AS (SELECT a, count(*) AS n FROM sides GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON a = vec_id JOIN comp ON comp.id = vec_id
+"""
+
+SQL = {
+    "op3_hyperminhash": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_warc": OP9_SQL, "op10_embed_dedup": OP10_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL,
+}

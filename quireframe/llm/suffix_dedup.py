@@ -15,8 +15,9 @@ that all strings of the suffix share, and `full`, of all bytes of all its string
    buckets and runs as above, and where a group may repeat in part, its strings one by one.
 3. The repeated starts of a text are joined to it, and what they cover is removed. Texts are shuffled compressed.
 
-Beside that, a shorter sampled suffix whose leading token also stands in another row marks a text that shares a passage with it:
-every passage of PASSAGE bytes in two rows is seen, no string shorter than PASSAGE - PASSAGE_WINDOW + 1 bytes is.
+Beside that, a shorter sampled suffix whose leading token also stands in another row shows a passage that both share: each
+passage of PASSAGE bytes in two rows is seen, no string shorter than PASSAGE - PASSAGE_WINDOW + 1 bytes is. What such
+tokens span is left out of `text`, beside the repeats.
 
 Tokens are 64-bit fingerprints, so what counts as equal is equal in 128 bits.
 
@@ -96,7 +97,7 @@ def blocks(raw: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[n
 
 
 def suffixes(block: np.ndarray, bounds: np.ndarray, length: int, window: int, gram: int):
-    """Of each sampled suffix of a block: index of its text, first and last start that belong to it, its two tokens."""
+    """Of each sampled suffix of a block: index of its text, first and last start that belong to it, its two tokens, and its place."""
     n = len(block) - length + 1
     sizes = np.diff(bounds)
     if n <= 0 or not (sizes >= length).any():
@@ -120,7 +121,7 @@ def suffixes(block: np.ndarray, bounds: np.ndarray, length: int, window: int, gr
     s, e, q, t = valid[new], valid[last], owner[new], text[new]
     lead = prints.of(q, length - window + 1)
     full = common.mix64(prints.of(s, e - s + length) + (q - s).astype(np.uint64))
-    return t, s, e, lead, full
+    return t, s, e, lead, full, q
 
 
 def multikey_quicksort(lead: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -174,7 +175,7 @@ def _sampled(length: int, window: int, gram: int):
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         for block, rows, bounds, place in blocks(raw, starts, length):
             if (found := suffixes(block, bounds, length, window, gram)) is not None:
-                t, s, e, lead, full = found
+                t, s, e, lead, full, _ = found
                 shift = place[t] - bounds[t]
                 yield lead, full, keys[rows[t]], np.zeros(len(t), dtype=np.int64), s + shift, e + shift
 
@@ -188,19 +189,20 @@ def _leads(length: int, window: int, gram: int):
         for batch in batches:
             raw, starts = common.text_views(batch, "text")
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for block, rows, bounds, _ in blocks(raw, starts, length):
+            for block, rows, bounds, place in blocks(raw, starts, length):
                 if (found := suffixes(block, bounds, length, window, gram)) is not None:
-                    yield pa.RecordBatch.from_arrays([_signed(found[3]), pa.array(keys[rows[found[0]]])], names=["lead", "key"])
+                    t, s, e, lead, _, at = found
+                    yield pa.RecordBatch.from_arrays([_signed(lead), pa.array(keys[rows[t]]), pa.array(at + place[t] - bounds[t])], names=["lead", "key", "at"])
 
     return run
 
 
 def _sharing(own: DataFrame, length: int, window: int, gram: int) -> DataFrame:
-    """Keys of the texts (key, text) that share a passage with a text of another key."""
-    leads = common.written(own.mapInArrow(common.tidy(_leads(length, window, gram)), "lead long, key long"), "passage-leads")
+    """Of texts (key, text): where a leading token stands (key, at) that a text of another key has too."""
+    leads = common.written(own.mapInArrow(common.tidy(_leads(length, window, gram)), "lead long, key long, at long"), "passage-leads")
     shared = leads.groupBy(F.col("lead").alias("l")).agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("l")
     shared = common.written(shared, "passage-shared")  # so that the join below can split hot tokens
-    out = common.written(leads.join(shared, F.col("lead") == F.col("l"), "left_semi").select("key").distinct(), "passage-keys")
+    out = common.written(leads.join(shared, F.col("lead") == F.col("l"), "left_semi").select("key", "at"), "passage-places")
     common.drop(leads, shared)
     return out
 
@@ -344,7 +346,17 @@ def _pieces(length: int):
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept string"
+def _without(text: np.ndarray, gone: np.ndarray, shared: np.ndarray) -> bytes:
+    """What is left without the bytes that are gone and those of shared leading tokens."""
+    if len(shared):
+        turns = np.zeros(len(text) + 1, dtype=np.int32)
+        np.add.at(turns, shared, 1)
+        np.add.at(turns, shared + PASSAGE - PASSAGE_WINDOW + 1, -1)
+        gone = gone | (np.cumsum(turns[:-1]) > 0)
+    return text[~gone].tobytes()
+
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept string, text string"
 
 
 def _removed(length: int, texts: bool):
@@ -358,7 +370,7 @@ def _removed(length: int, texts: bool):
             for i in range(batch.num_rows):
                 text = np.frombuffer(expand(batch.column(1)[i].as_py()), dtype=np.uint8)
                 first, last = s[at[i] : at[i + 1]], e[at[i] : at[i + 1]]
-                shares, first, last = bool((first < 0).any()), first[first >= 0], last[first >= 0]
+                shared, first, last = -1 - first[first < 0], first[first >= 0], last[first >= 0]
                 gone = np.zeros(len(text), dtype=bool)
                 if len(first):
                     turns = np.zeros(len(text) + 1, dtype=np.int32)
@@ -367,10 +379,10 @@ def _removed(length: int, texts: bool):
                     gone = np.cumsum(turns[:-1]) > 0
                 kept = text[~gone].tobytes()
                 n_spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
-                rows.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), shares, kept if texts else None))
-            n, r, k, h, p, t = zip(*rows, strict=True) if rows else ([],) * 6
-            shown = pa.array([None if x is None else x.decode("utf-8", "replace") for x in t], pa.string())
-            cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(p, pa.bool_()), shown]
+                rows.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), len(shared) > 0, kept if texts else None, _without(text, gone, shared) if texts else None))
+            n, r, k, h, p, t, u = zip(*rows, strict=True) if rows else ([],) * 7
+            shown = [pa.array([None if x is None else x.decode("utf-8", "replace") for x in y], pa.string()) for y in (t, u)]
+            cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(p, pa.bool_()), *shown]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
@@ -379,8 +391,9 @@ def _removed(length: int, texts: bool):
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True
 ) -> DataFrame:
-    """Per document: bytes, removed bytes and runs, digest of what is left, whether it shares a passage with another row, and
-    what is left where texts is set (a character of which some bytes are removed shows as a replacement character)."""
+    """Per document: bytes, removed bytes and runs, digest of what is left, whether it shares a passage with another row; where
+    texts is set, what is left (kept), and that without the shared passages (text). A character of which some bytes are removed
+    shows as a replacement character."""
     if window - 1 + gram > length or window < 2:
         raise ValueError("the window and a gram must fit into a string")
     spark = docs.sparkSession
@@ -389,8 +402,8 @@ def remove_repeats(
     own = base.select("key", "text")
     packed = base.select("doc_id", "key", "text").mapInArrow(common.tidy(_packed), "doc_id long, key long, z binary")
     spans_of = lambda d: d.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # noqa: E731  of one text
-    minus = F.lit(-1).cast("long")
-    sharing = _sharing(own, PASSAGE, PASSAGE_WINDOW, GRAM).select("key", minus.alias("s"), minus.alias("e"))
+    shared = -1 - F.col("at")  # told from starts of repeats by its sign
+    sharing = _sharing(own, PASSAGE, PASSAGE_WINDOW, GRAM).select("key", shared.alias("s"), shared.alias("e"))
     repeated, part = _sorted_out(own, _sampled(length, window, gram), "suffix-buckets")
     picked = packed.join(spans_of(part).hint("shuffle_hash"), F.col("key") == F.col("of")).select("key", "z", "spans")
     pieces = common.written(picked.mapInArrow(common.tidy(_pieces(length)), "key long, s long, e long, piece binary"), "suffix-pieces")
