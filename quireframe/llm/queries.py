@@ -76,11 +76,16 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: all but the shared passages."""
+    return op1_suffix_dedup(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_file, op3_hyperminhash, op4_line_dedup, op5_bpe, op6_license_scan, op7_mixing, op8_quality, op9_warc,
-        op10_embed_dedup, license_places, mix_targets, quality_counts,
+        op10_embed_dedup, license_places, mix_targets, quality_counts, repeats_removed,
     )
 }
 
@@ -139,6 +144,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min
 FROM e
 """
 
+_TEMPLATES = ", ".join(
+    f"({n}, '{label}', '{t.replace(chr(39), chr(39) * 2)}')" for n, (label, t) in enumerate((label, t) for label, some in license_scan.ALL.items() for t in some)
+)
+_FOUR = "unnest(range(len(w) - 3)) AS i"
+OP6_SQL = f"""
+WITH base AS ({LICENSE_SQL}), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), tpl AS (
+  SELECT tid, label, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM (VALUES {_TEMPLATES}) v(tid, label, t)
+), tg AS (SELECT tid, label, len(w) AS n, i AS t, array_to_string(w[i + 1 : i + 4], ' ') AS g FROM (SELECT *, {_FOUR} FROM tpl WHERE len(w) >= 4)
+), dg AS (SELECT doc_id, i AS d, array_to_string(w[i + 1 : i + 4], ' ') AS g FROM (SELECT *, {_FOUR} FROM d WHERE len(w) >= 4)
+), hits AS (SELECT DISTINCT doc_id, tid, label, n, d - t AS lane, t FROM dg JOIN tg USING (g)
+), lanes AS (
+  SELECT doc_id, tid, lane, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY lane) AS grp FROM (
+    SELECT doc_id, tid, lane, CASE WHEN lane - lag(lane) OVER (PARTITION BY doc_id, tid ORDER BY lane) <= {license_scan.NEAR} THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, tid, lane FROM hits))
+), spans AS (
+  SELECT doc_id, label, n, count(DISTINCT t + j) AS covered FROM hits JOIN lanes USING (doc_id, tid, lane), (SELECT unnest([0, 1, 2, 3]) AS j) GROUP BY doc_id, tid, label, n, grp
+), more AS (
+  SELECT doc_id, list(DISTINCT label) AS names, max(covered / n) AS best FROM spans
+  WHERE covered >= greatest(4, CASE WHEN n < {license_scan.SHORT} THEN n - 1 ELSE ceil(n * {license_scan.COVER}e0) END) GROUP BY doc_id
+)
+SELECT doc_id, n_words, n_base, first_word, last_word, base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split(base_labels, ','), lambda x: x <> ''), coalesce(names, []::VARCHAR[])))), ',') AS labels,
+  least(1e0, coalesce(best, 0e0)) AS score
+FROM base LEFT JOIN more USING (doc_id)
+"""
+
 #: The level at which uncapped sources share what the capped ones leave rises until no further one is capped.
 MIX_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
@@ -165,6 +197,25 @@ WITH d AS (
 ) SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
 """
 
+#: The string of 400 bytes at each place, those that stand twice, and what they cover.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), h AS (SELECT rid, i, md5(b[i : i + 399]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)
+), twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n >= 2
+), runs AS (
+  SELECT rid, run, min(i) AS lo, max(i) + 399 AS hi FROM (
+    SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM twice))
+  GROUP BY rid, run
+), gaps AS (SELECT rid, lo, hi, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY lo), 0) + 1 AS since FROM runs
+), kept AS (
+  SELECT rid, any_value(b) AS b, max(hi) AS last_hi, list_reduce(list(CASE WHEN since < lo THEN b[since : lo - 1] ELSE ''::BLOB END ORDER BY lo), lambda x, y: x || y) AS head, sum(hi - lo + 1) AS n, count(*) AS spans
+  FROM gaps JOIN d USING (rid) GROUP BY rid
+)
+SELECT doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN head IS NULL THEN d.b WHEN last_hi < octet_length(d.b) THEN head || d.b[last_hi + 1 : octet_length(d.b)] ELSE head END) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 #: Components by reaching: fit for the small tables that SQL is run on.
 _REACHED = """sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
 ), reach AS (SELECT {id} AS id, {id} AS r FROM {rows} UNION SELECT reach.id, sides.b FROM reach JOIN sides ON reach.r = sides.a
@@ -195,5 +246,5 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 """
 
 SQL = {
-    "op3_hyperminhash": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_warc": OP9_SQL, "op10_embed_dedup": OP10_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL,
+    "op3_hyperminhash": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_license_scan": OP6_SQL, "op9_warc": OP9_SQL, "op10_embed_dedup": OP10_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL, "repeats_removed": REPEATS_SQL,
 }
