@@ -465,7 +465,7 @@ def redactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(W.redactions(para.select(*PAGE, F.col("bbox").alias("rect")), a.pages, a.obstacles), "rect")
 
 
-CELLS_SQL = f"""{PAGES_SQL}, boxes AS (
+CELL_CTES = f"""boxes AS (
   SELECT doc_id, page_no, table_no, r AS row_idx, c AS col_idx, tx0 + (tx1 - tx0) / n_cols * c AS x0, ty0 + (ty1 - ty0) / n_rows * r AS y0, tx0 + (tx1 - tx0) / n_cols * c + (tx1 - tx0) / n_cols AS x1,
     ty0 + (ty1 - ty0) / n_rows * r + (ty1 - ty0) / n_rows AS y1, r = 1 AND c = 1 AND {_K} % 2 = 1 AS gone
   FROM (SELECT *, unnest(range(n_cols)) AS c FROM (SELECT *, unnest(range(n_rows)) AS r FROM tb))
@@ -491,6 +491,7 @@ CELLS_SQL = f"""{PAGES_SQL}, boxes AS (
   SELECT *, size - 0.6e0 * size AS room, x1 - x0 - 4 AS w, y1 - y0 - 4 AS h, CASE WHEN length(t) > 40 THEN 'echo' END AS reason FROM usable
   WHERE t <> '' AND length(t) >= 2 AND NOT regexp_matches(t, '^[\\s\\d\\.,;:%°/\\-+×x()\\[\\]§–—]*$')
 )"""
+CELLS_SQL = f"{PAGES_SQL}, {CELL_CTES}"
 
 
 @query(f"WITH {CELLS_SQL} SELECT doc_id, page_no, table_no, row_idx, col_idx, text, size, single_line FROM fonts")
@@ -525,7 +526,18 @@ def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(W.translate(a, _cells(spark, sf_dir, a.pages), T.glossary(words), name="query-glossary").placements, "rect")
 
 
-@query()
+_PAGE_SAID = "'  page ' || (page_no + 1) || ': "
+
+
+@query(f"""WITH RECURSIVE {REPORT_SQL}, {CELL_CTES}, told AS (
+  SELECT p.doc_id, p.page_no, region_no, para, {STRIP('text')} AS text FROM para p JOIN plan r
+  ON r.doc_id = p.doc_id AND r.page_no = p.page_no AND r.band_no = p.number AND r.part = p.spanning::INT AND r.region_col = p.region_col WHERE {STRIP('text')} <> ''
+), asked AS (SELECT *, {NEAR('text')} OR regexp_full_match(text, '[\\[\\(]?\\s*[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?\\s*[\\]\\)]?') AS skipped FROM told)
+SELECT doc_id, page_no, region_no, para, 1 AS nth, CASE WHEN skipped THEN 'skipped' ELSE 'translated' END AS kind, CASE WHEN skipped THEN {_PAGE_SAID}skipped paragraph [' || length(text) || ' chars]'
+  ELSE {_PAGE_SAID}paragraph translated [' || length(text) || ' chars] -> [' || length(text) || ' chars]' END AS message FROM asked
+UNION ALL SELECT doc_id, page_no, region_no, para, 0, 'warning', {_PAGE_SAID}WARNING: echo (paragraph: ' || substr(text, 1, 60) || ')' FROM asked WHERE NOT skipped AND length(text) > 40
+UNION ALL SELECT d.doc_id, d.page_no, region_no, row_idx, col_idx, 'cell', '    cell r' || row_idx || 'c' || col_idx || ': ' || reason || ' -- keeping source text'
+  FROM done d JOIN plan r ON r.doc_id = d.doc_id AND r.page_no = d.page_no AND r.table_no = d.table_no WHERE reason IS NOT NULL""")
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: what a run says of each paragraph and cell."""
     a = _analysis(spark, sf_dir)
