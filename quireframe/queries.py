@@ -728,6 +728,69 @@ def cell_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fit_cells(cells).select("doc_id", "fit_size")
 
 
+# ---- whole pages, from regions to fitted placements -------------------------------------------------------------
+
+_RK = "doc_id, page_no, region_no"
+_OBSTACLE = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}"
+_PASS = """list_reduce(list_prepend({'x0': y, 'y0': 0e0, 'x1': 0e0, 'y1': 0e0}, obs), lambda a, o:
+  CASE WHEN px0 < o.x1 AND o.x0 < px1 AND a.x0 < o.y1 AND a.x0 + hs > o.y0 THEN {'x0': o.y1 + 1.5e0, 'y0': 0e0, 'x1': 0e0, 'y1': 0e0} ELSE a END).x0"""
+FLOW_SQL = f"""{REPORT_SQL}, told AS (
+  SELECT p.doc_id, p.page_no, r.region_no, para, {STRIP('text')} AS text, p.x0, p.y0, p.x1, p.y1, size, single_line, "leading", r.x1 AS rx1, greatest(1, columns) AS n_cols
+  FROM para p JOIN plan r ON r.doc_id = p.doc_id AND r.page_no = p.page_no AND r.band_no = p.number AND r.part = p.spanning::INT AND r.region_col = p.region_col
+  JOIN counted c ON c.doc_id = p.doc_id AND c.page_no = p.page_no WHERE {STRIP('text')} <> ''
+), wide AS (
+  SELECT *, (y1 <= 0.12e0 * 792 OR y0 >= 0.88e0 * 792) AND single_line AND length(text) < 80 AS pinned,
+    CASE WHEN single_line THEN least(x1 + 1.5e0 * size, CASE WHEN n_cols > 1 THEN rx1 ELSE 612e0 END - 2) ELSE x1 END AS nx1 FROM told
+), meas AS (SELECT *, {BOX('(nx1 - x0)', 'length(text)', 'size', '"leading"')} AS h FROM wide
+), steps2 AS (
+  SELECT *, coalesce(lag(h - 0.2e0 * size) OVER w + (y0 - lag(y1) OVER w), 0e0) AS step FROM meas WINDOW w AS (PARTITION BY {_RK}, pinned ORDER BY para)
+), place AS (
+  SELECT *, CASE WHEN pinned THEN y0 ELSE first(y0) OVER w + sum(step) OVER w END AS y FROM steps2 WINDOW w AS (PARTITION BY {_RK}, pinned ORDER BY para ROWS UNBOUNDED PRECEDING)
+), ceilings AS (
+  SELECT a.doc_id, a.page_no, a.region_no, least(coalesce(min(b.y0), 792e0), 774e0) AS ceiling FROM plan a
+  LEFT JOIN plan b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND b.y0 > a.y0 AND NOT (b.x1 <= a.x0 OR b.x0 >= a.x1) GROUP BY a.doc_id, a.page_no, a.region_no
+), fl AS (
+  SELECT *, y - lag(y + h) OVER w AS g, row_number() OVER w AS i, count(*) OVER (PARTITION BY {_RK}) AS n FROM place WHERE NOT pinned WINDOW w AS (PARTITION BY {_RK} ORDER BY para)
+), tops AS (SELECT {_RK}, min(y) FILTER (WHERE i = 1) AS first_y, max(y + h) AS bottom FROM fl GROUP BY {_RK}
+), ends AS (
+  SELECT t.doc_id, t.page_no, t.region_no, any_value(bottom) AS bottom, greatest(any_value(first_y), max(y + h + 1.5e0) FILTER (WHERE y + h <= first_y + 1)) AS top,
+    least(any_value(ceiling), min(y - 1.5e0) FILTER (WHERE y > first_y)) AS stop
+  FROM tops t JOIN ceilings USING ({_RK}) LEFT JOIN (SELECT * FROM place WHERE pinned) p ON p.doc_id = t.doc_id AND p.page_no = t.page_no AND p.region_no = t.region_no GROUP BY t.doc_id, t.page_no, t.region_no
+), tried AS (
+  SELECT fl.*, scale, {BOX('(nx1 - x0)', 'length(text)', '(size * scale)', '"leading"')} AS hs, top, stop FROM fl JOIN ends USING ({_RK}), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale) WHERE bottom > stop
+), kept AS (
+  SELECT {_RK}, scale, CASE WHEN coalesce(sum(greatest(0e0, g - 1.5e0)), 0e0) <= 0 THEN 1e0 ELSE greatest(0e0, least(1e0, (any_value(stop) - any_value(top) - sum(hs) - sum(CASE WHEN g IS NOT NULL THEN greatest(g, 1.5e0) END))
+    / sum(CASE WHEN g IS NOT NULL THEN greatest(0e0, g - 1.5e0) END) + 1)) END AS keep FROM tried GROUP BY {_RK}, scale
+), boxes2 AS (SELECT o.doc_id, o.page_no, list({_OBSTACLE} ORDER BY o.y0, o.x0, o.x1, o.y1) AS obs FROM solid o GROUP BY o.doc_id, o.page_no
+), rows2 AS (
+  SELECT t.doc_id, t.page_no, t.region_no, t.scale, t.i, t.n, t.hs, t.x0 AS px0, t.nx1 AS px1, top, stop, coalesce(obs, []) AS obs,
+    CASE WHEN i = 1 THEN 0e0 ELSE 1.5e0 + greatest(0e0, g - 1.5e0 - greatest(0e0, g - 1.5e0) * (1 - keep) * ((i - 1) / (n - 1))) END AS spent
+  FROM tried t JOIN kept USING ({_RK}, scale) LEFT JOIN boxes2 b ON b.doc_id = t.doc_id AND b.page_no = t.page_no
+), walk AS (
+  SELECT {_RK}, scale, i, 0 AS pass, top AS y, false AS done FROM rows2 WHERE i = 1
+  UNION ALL SELECT w.doc_id, w.page_no, w.region_no, w.scale, CASE WHEN w.done THEN w.i + 1 ELSE w.i END, CASE WHEN w.done THEN 0 ELSE w.pass + 1 END,
+    CASE WHEN w.done THEN w.y + r.hs + nxt.spent ELSE moved END, NOT w.done AND (moved = w.y OR moved + r.hs > r.stop OR w.pass + 1 >= 32)
+  FROM (SELECT w.*, hs, px0, px1, obs, {_PASS} AS moved FROM walk w JOIN rows2 USING ({_RK}, scale, i)) w
+  JOIN rows2 r ON r.doc_id = w.doc_id AND r.page_no = w.page_no AND r.region_no = w.region_no AND r.scale = w.scale AND r.i = w.i
+  LEFT JOIN rows2 nxt ON nxt.doc_id = w.doc_id AND nxt.page_no = w.page_no AND nxt.region_no = w.region_no AND nxt.scale = w.scale AND nxt.i = w.i + 1
+  WHERE NOT w.done OR nxt.i IS NOT NULL
+), laid AS (SELECT {_RK}, scale, i, n, y, hs, y + hs - stop AS over FROM walk JOIN rows2 USING ({_RK}, scale, i) WHERE done
+), best AS (
+  SELECT {_RK}, scale FROM (SELECT *, row_number() OVER (PARTITION BY {_RK} ORDER BY CASE WHEN over <= 0 THEN 0 ELSE 1 END, CASE WHEN over <= 0 THEN -scale ELSE scale END) AS r FROM laid WHERE i = n) WHERE r = 1
+), put AS (SELECT l.* FROM laid l JOIN best USING ({_RK}, scale)
+), ordered AS (SELECT *, CASE WHEN NOT pinned THEN row_number() OVER (PARTITION BY {_RK}, pinned ORDER BY para) END AS i FROM place
+)"""
+
+
+@query(f"""WITH RECURSIVE {FLOW_SQL} SELECT o.doc_id, o.page_no, o.region_no, para, pinned, round(x0, 6) AS rect_x0, round(coalesce(p.y, o.y), 6) AS rect_y0, round(nx1, 6) AS rect_x1,
+  round(coalesce(p.y, o.y) + coalesce(hs, h), 6) AS rect_y1, round(size * coalesce(scale, 1e0), 6) AS size FROM ordered o LEFT JOIN put p ON p.doc_id = o.doc_id AND p.page_no = o.page_no AND p.region_no = o.region_no AND p.i = o.i""")
+def flow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of whole pages through regions, tables and obstacles to their fitted places, as they are."""
+    put = W.translate(_analysis(spark, sf_dir)).placements
+    edge = lambda k: F.round(F.col(f"rect.{k}"), 6).alias(f"rect_{k}")
+    return put.select(*PAGE, "region_no", F.col("para").cast("bigint").alias("para"), "pinned", *map(edge, ("x0", "y0", "x1", "y1")), F.round("size", 6).alias("size"))
+
+
 # ---- intake and logs --------------------------------------------------------------------------------------------
 
 _OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'unsupported' ELSE 'copying' END"
