@@ -734,6 +734,12 @@ _RK = "doc_id, page_no, region_no"
 _OBSTACLE = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}"
 _PASS = """list_reduce(list_prepend({'x0': y, 'y0': 0e0, 'x1': 0e0, 'y1': 0e0}, obs), lambda a, o:
   CASE WHEN px0 < o.x1 AND o.x0 < px1 AND a.x0 < o.y1 AND a.x0 + hs > o.y0 THEN {'x0': o.y1 + 1.5e0, 'y0': 0e0, 'x1': 0e0, 'y1': 0e0} ELSE a END).x0"""
+def _in_turn(x: str) -> str:
+    """A sum in the order of paragraphs, since whether a region fits can hang on the last bit; gaps are there from the second on."""
+    some = "" if x == "hs" else " FILTER (WHERE i > 1)"
+    return f"list_reduce(list_prepend(0e0, coalesce(list({x} ORDER BY i){some}, [])), lambda a, b: a + b)"
+
+
 FLOW_SQL = f"""{REPORT_SQL}, told AS (
   SELECT p.doc_id, p.page_no, r.region_no, para, {STRIP('text')} AS text, p.x0, p.y0, p.x1, p.y1, size, single_line, "leading", r.x1 AS rx1, greatest(1, columns) AS n_cols
   FROM para p JOIN plan r ON r.doc_id = p.doc_id AND r.page_no = p.page_no AND r.band_no = p.number AND r.part = p.spanning::INT AND r.region_col = p.region_col
@@ -758,9 +764,11 @@ FLOW_SQL = f"""{REPORT_SQL}, told AS (
   FROM tops t JOIN ceilings USING ({_RK}) LEFT JOIN (SELECT * FROM place WHERE pinned) p ON p.doc_id = t.doc_id AND p.page_no = t.page_no AND p.region_no = t.region_no GROUP BY t.doc_id, t.page_no, t.region_no
 ), tried AS (
   SELECT fl.*, scale, {BOX('(nx1 - x0)', 'length(text)', '(size * scale)', '"leading"')} AS hs, top, stop FROM fl JOIN ends USING ({_RK}), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale) WHERE bottom > stop
+), sums AS (
+  SELECT {_RK}, scale, any_value(stop) AS stop, any_value(top) AS top, {_in_turn('hs')} AS heights, {_in_turn('greatest(0e0, g - 1.5e0)')} AS slack, {_in_turn('greatest(g, 1.5e0)')} AS least_gaps
+  FROM tried GROUP BY {_RK}, scale
 ), kept AS (
-  SELECT {_RK}, scale, CASE WHEN coalesce(sum(greatest(0e0, g - 1.5e0)), 0e0) <= 0 THEN 1e0 ELSE greatest(0e0, least(1e0, (any_value(stop) - any_value(top) - sum(hs) - sum(CASE WHEN g IS NOT NULL THEN greatest(g, 1.5e0) END))
-    / sum(CASE WHEN g IS NOT NULL THEN greatest(0e0, g - 1.5e0) END) + 1)) END AS keep FROM tried GROUP BY {_RK}, scale
+  SELECT {_RK}, scale, CASE WHEN slack <= 0 THEN 1e0 ELSE greatest(0e0, least(1e0, (stop - top - heights - least_gaps) / slack + 1)) END AS keep FROM sums
 ), boxes2 AS (SELECT o.doc_id, o.page_no, list({_OBSTACLE} ORDER BY o.y0, o.x0, o.x1, o.y1) AS obs FROM solid o GROUP BY o.doc_id, o.page_no
 ), rows2 AS (
   SELECT t.doc_id, t.page_no, t.region_no, t.scale, t.i, t.n, t.hs, t.x0 AS px0, t.nx1 AS px1, top, stop, coalesce(obs, []) AS obs,
