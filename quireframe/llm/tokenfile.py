@@ -31,14 +31,14 @@ from . import common, units
 MAGIC = b"QTB1"
 _HEAD, _HEAD_BYTES = "<4sI32s", struct.calcsize("<4sI32s")
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u1"), ("first", "<u8"), ("n", "<u4"), ("at", "<u8"), ("len", "<u4")])
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, ROW_GROUP = 1 << 20, 16 << 20
 #: The dictionary is trained on so many documents, those with the smallest hashes of doc_id, and so many ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1500, 4096, 32_768
 #: nth numbers the rows of a task, so that rows of one doc_id can stand in several shards.
 FRAMES = "doc_id long, tie long, nth long, n long, frame binary"
 BLOCKS = "shard int, block int, n_docs long, n_ids long, low long, high long, data binary"
-#: Words that go through the library as one text.
-TOGETHER = 128
+#: Words that go through the library as one text, texts that do at once, and units in each generation of the memory.
+TOGETHER, AT_ONCE, KEPT = 128, 64, 250_000
 
 
 class LibraryEncoder:
@@ -55,14 +55,17 @@ class LibraryEncoder:
             spec = json.load(f)
         suffix = spec["model"].get("end_of_word_suffix")
         split = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        self.units = units.Encoder(self._units) if suffix and split == [units.PATTERN] else None
+        self.units = units.Encoder(self._units, KEPT) if suffix and split == [units.PATTERN] else None
         vocab = spec["model"]["vocab"]
         if self.units is not None:
             self.ends = np.zeros(max(vocab.values()) + 1 + len(spec.get("added_tokens", [])), dtype=bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(texts), AT_ONCE):  # the library's results are much larger than the ids
+            out += [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts[k : k + AT_ONCE], add_special_tokens=False)]
+        return out
 
     def _units(self, some: list[bytes]) -> list[bytes]:
         """Units of letters alone are one piece each, so many of them go through the library as one text, and its ids are parted
@@ -231,7 +234,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_i
     order = ["doc_id", "tie", "nth"]
     dealt = frames.repartitionByRange(max(common.parts(spark), 1), *order).sortWithinPartitions(*order)
     dealt = dealt.select("doc_id", "n", "frame", F.spark_partition_id().alias("shard"))
-    dealt.mapInArrow(common.tidy(assemble), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks = dealt.mapInArrow(common.tidy(assemble), BLOCKS).write.option("compression", "none")
+    blocks.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")  # small row groups, as a writer and a reader hold one
     return Dataset(path)
 
 

@@ -19,7 +19,7 @@ from . import common
 #: Bytes of text cut at once; a unit that is longer stays whole.
 BLOCK = 1 << 21
 #: Units kept in each generation of the memory, and the longest unit kept.
-KEPT, KEPT_LEN = 250_000, 48
+KEPT, KEPT_LEN = 100_000, 48
 #: Fixed value: the pattern of the files that these rules hold for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
