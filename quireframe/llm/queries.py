@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embed_dedup, license_scan, line_dedup, minhash, mixing, quality, suffix_dedup, tokenfile, warc
+from . import audit, bpe, embed_dedup, fim, license_scan, line_dedup, minhash, mixing, quality, sharding, suffix_dedup, tokenfile, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,27 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.groups(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"))
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op11: how many shards have how many documents, and the size of them all."""
+    by = op11_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("docs"), F.sum("size").alias("size"), F.max("slot").alias("last"))
+    return by.where("last = docs - 1").groupBy("docs").agg(F.count("*").alias("shards"))
+
+
 def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op6: words, and places of the phrases."""
     return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -85,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_token_file, op3_hyperminhash, op4_line_dedup, op5_bpe, op6_license_scan, op7_mixing, op8_quality, op9_warc,
-        op10_embed_dedup, license_places, mix_targets, quality_counts, repeats_removed,
+        op10_embed_dedup, op11_sharding, op12_fim, op13_source_audit, license_places, mix_targets, quality_counts, repeats_removed, shard_counts,
     )
 }
 
@@ -245,6 +266,51 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON a = vec_id JOIN comp ON comp.id = vec_id
 """
 
+#: Rows dealt evenly over 40 shards.
+SHARDS_SQL = """
+SELECT docs, count(*) AS shards FROM (SELECT n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END AS docs FROM (SELECT count(*) AS n FROM documents), (SELECT unnest(range(40)) AS s))
+WHERE docs > 0 GROUP BY docs
+"""
+
+_DRAW = "('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {}, 8))::BIGINT"
+FIM_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, {", ".join(f"{_DRAW.format(1 + 8 * k)} AS h{k + 1}" for k in range(4))} FROM documents
+), c AS (
+  SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS x, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (SELECT *, array_to_string(w[1 : x], '') AS a, array_to_string(w[x + 1 : y], '') AS b, array_to_string(w[y + 1 : n], '') AS z FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+_P = "1 + 1000000000::HUGEINT * ({} + 1) // ({} + terms)"
+AUDIT_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), o AS (SELECT rid, lang, source, unnest(w) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS every FROM o GROUP BY lang, term HAVING count(DISTINCT rid) >= 3
+), v AS (SELECT lang, count(*) AS terms, sum(every) AS every_total FROM kept GROUP BY lang
+), c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), full_ AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {_P.format("coalesce(c.n, 0)", "total")} AS p, {_P.format("every", "every_total")} AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), pairs AS (
+  SELECT x.lang, x.source, y.source AS item, coalesce(f, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS other, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f FROM full_ a JOIN full_ b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) z
+    ON z.lang = x.lang AND z.source = x.source AND z.other = y.source
+), terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM full_ WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL SELECT * FROM (SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r FROM terms) WHERE r <= 200
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
+"""
+
 SQL = {
-    "op3_hyperminhash": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_license_scan": OP6_SQL, "op9_warc": OP9_SQL, "op10_embed_dedup": OP10_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL, "repeats_removed": REPEATS_SQL,
+    "op3_hyperminhash": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_license_scan": OP6_SQL, "op9_warc": OP9_SQL, "op10_embed_dedup": OP10_SQL, "op12_fim": FIM_SQL, "op13_source_audit": AUDIT_SQL, "shard_counts": SHARDS_SQL, "license_places": LICENSE_SQL, "mix_targets": MIX_SQL, "quality_counts": QUALITY_SQL, "repeats_removed": REPEATS_SQL,
 }
