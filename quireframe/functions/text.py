@@ -52,6 +52,16 @@ def from_model(x: Column) -> Column:
     return F.replace(x, F.lit(MODEL_SENTINEL), F.lit(SENTINEL))
 
 
+def quoted(x: Column) -> Column:
+    """A text as Python shows it: in single quotes, or in double ones if it holds only single ones, with backslashes, line ends, tabs and the
+    stand-in for an asterisk escaped; other letters stay."""
+    out = F.replace(x, F.lit("\\"), F.lit("\\\\"))
+    for a, b in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), (SENTINEL, "\\uf8ff")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    single = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"')), F.concat(F.lit('"'), out, F.lit('"'))).otherwise(single)
+
+
 def marker_digits(x: Column) -> Column:
     """The digits of a footnote marker of three at most, superscript or not, else null."""
     d = F.translate(strip(x), SUPERSCRIPTS, DIGITS)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..schema import FILE_STATE
+from ..sources import store
+
 # Fixed values of the intake.
 MOST_ATTEMPTS, RETRY_DELAY_S, STALE_S, SUFFIX = 3, 150, 450, "_en"
 CHARS_A_PAGE = 50
@@ -23,8 +31,8 @@ def output_path(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
-    """All files of a kind below a folder, with their keys; contents are not read."""
-    glob = f"*.{{{suffix.lower()},{suffix.upper()}}}"
+    """All files of a kind below a folder, however their suffix is written, with their keys; contents are not read."""
+    glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     return files.select("path", "length", "modificationTime").where(F.lower("path").endswith(f".{suffix.lower()}")).withColumn("file_key", file_key(F.col("path"), F.col("length"), F.col("modificationTime")))
 
@@ -115,25 +123,47 @@ def preflight(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return g.select(key, "n_pages", "n_chars", verdict.alias("verdict"))
 
 
-def page_range(spec: str | None, n_pages: int) -> tuple[list[int], list[str]]:
-    """Pages, from 0, of a comma list of numbers and ranges from 1; and what is said about parts without pages."""
-    import re
+def preflight_message() -> Column:
+    """What is said of a checked document (path, needs_pass, n_pages, n_chars, verdict); null where all is well."""
+    few = F.concat(F.lit("WARNING: "), "path", F.lit(" has very little extractable text ("), F.col("n_chars").cast("string"), F.lit(" chars across "), F.col("n_pages").cast("string"), F.lit(" page(s)); output may be near-empty"))
+    why = F.when(F.col("needs_pass"), " is password-protected; decrypt it first").when(F.col("n_pages") == 0, " has no pages").otherwise(" has no extractable text (image-only scan?) -- run OCR (e.g. ocrmypdf) first")
+    return F.when(F.col("verdict") == "unsupported", F.concat("path", why)).when(F.col("verdict") == "warn", few)
 
-    if not spec:
-        return list(range(n_pages)), []
-    pages, said = set(), []
-    for part in spec.split(","):
-        m = re.fullmatch(r"(\d+)(?:\s*-\s*(\d+))?", part.strip())
+
+# Fixed value: a part of a page range.
+RANGE_PART = r"(\d+)(?:\s*-\s*(\d+))?"
+
+
+def page_parts(spec: str) -> list[tuple[str, int, int]]:
+    """The parts of a comma list of numbers and ranges from 1, with their first and last page; empty parts are passed over."""
+    parts = []
+    for part in filter(None, map(str.strip, spec.split(","))):
+        m = re.fullmatch(RANGE_PART, part)
         a, b = (int(m[1]), int(m[2] or m[1])) if m else (0, 0)
         if a < 1 or b < a:
             raise ValueError(f"not a page range: {part!r}")
-        got = range(a - 1, min(b, n_pages))
-        if not got:
-            said.append(f"no pages in {part.strip()}")
-        pages.update(got)
+        parts.append((part, a, b))
+    return parts
+
+
+def page_range(spec: str | None, n_pages: int) -> tuple[list[int], list[str]]:
+    """Pages, from 0, that a spec names in a document of n_pages; and what is said about parts without pages."""
+    if not spec:
+        return list(range(n_pages)), []
+    parts = page_parts(spec)
+    pages = sorted({p for _, a, b in parts for p in range(a - 1, min(b, n_pages))})
     if not pages:
         raise ValueError(f"no pages in {spec!r}")
-    return sorted(pages), said
+    return pages, [f"no pages in {part}" for part, a, _ in parts if a > n_pages]
+
+
+def chosen_pages(pages: DataFrame, spec: str) -> tuple[DataFrame, DataFrame]:
+    """Of each document (doc_id, page_no), the pages that a spec names; and (doc_id, message) of parts that name none of its pages."""
+    parts = page_parts(spec)
+    inside = reduce(lambda x, y: x | y, [F.col("page_no").between(a - 1, b - 1) for _, a, b in parts], F.lit(False))
+    n = pages.groupBy("doc_id").agg((F.max("page_no") + 1).alias("n"))
+    said = F.array(*[F.when(F.col("n") < a, F.lit(f"no pages in {part}")) for part, a, _ in parts], F.lit(None).cast("string"))
+    return pages.where(inside), n.select("doc_id", F.explode(F.array_compact(said)).alias("message"))
 
 
 # Kinds of log lines, first match wins.
@@ -162,14 +192,17 @@ def save_state(spark: SparkSession, state: DataFrame, path: str, version: int) -
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of the state; nothing where there is none."""
-    from pyspark.errors import AnalysisException
-
-    from ..schema import FILE_STATE
-
-    try:
-        every = spark.read.parquet(path)
-        last = every.agg(F.max("version")).first()[0]
-        return every.where(F.col("version") == last).drop("version")
-    except AnalysisException:
-        return spark.createDataFrame([], FILE_STATE)
+    """The latest version of the state that can be read whole; nothing where there is none. Columns that an older version lacks are empty."""
+    for version in sorted((v for v in map(_version, store.children(spark, path)) if v is not None), reverse=True):
+        state = spark.read.schema(FILE_STATE).parquet(f"{path}/version={version}").fillna("pending", ["status"]).fillna(0, ["attempts"])
+        try:
+            state.write.format("noop").mode("overwrite").save()
+        except (PySparkException, Py4JJavaError):  # half written, or no state at all
+            continue
+        return state
+    return spark.createDataFrame([], FILE_STATE)
+
+
+def _version(name: str) -> int | None:
+    m = re.fullmatch(r"version=(\d+)", name)
+    return int(m[1]) if m else None

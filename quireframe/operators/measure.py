@@ -9,6 +9,9 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources import store
+from . import workers
+
 #: Rows of (width, text, size, single_line, indent, leading) to (box height, tight height), one each.
 Heights = Callable[[Sequence[tuple]], list[tuple[float, float]]]
 #: A factory of those, called once in each worker.
@@ -26,13 +29,10 @@ def by_letters() -> Heights:
     return lambda rows: [one(*r) for r in rows]
 
 
-_LOADED: dict[str, Heights] = {}
-
-
-def measured(rows: DataFrame, measurer: Measurer = by_letters, name: str | None = None) -> DataFrame:
+def measured(rows: DataFrame, measurer: Measurer = by_letters) -> DataFrame:
     """Rows with box_h and tight_h. Requests are rounded (widths and indents to a tenth, sizes to a hundredth, leading to a thousandth;
-    a leading of 0 is none) and told apart by that, measured once each, and joined back."""
-    name = name or f"{measurer.__module__}.{measurer.__qualname__}-{id(measurer)}"
+    a leading of 0 is none) and told apart by that, measured once each, written, and joined back."""
+    name = workers.name_of(measurer)
     key = {
         "width": F.round("width", 1), "text": F.col("text"), "size": F.round("size", 2), "single_line": F.col("single_line"), "indent": F.round("indent", 1),
         "leading": F.when(F.col("leading") != 0, F.round("leading", 3)),
@@ -40,15 +40,14 @@ def measured(rows: DataFrame, measurer: Measurer = by_letters, name: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if name not in _LOADED:
-                _LOADED[name] = measurer()
-            found = _LOADED[name](list(zip(*(batch.column(k).to_pylist() for k in range(len(REQUEST))), strict=True)))
+            heights = workers.loaded(name, measurer)
+            found = heights(list(zip(*(batch.column(k).to_pylist() for k in range(len(REQUEST))), strict=True)))
             both = [pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *both], names=[*REQUEST, "box_h", "tight_h"])
 
     schema = "width double, text string, size double, single_line boolean, indent double, leading double, box_h double, tight_h double"
     asked = rows.select(*[c.cast(schema.split(f"{n} ")[1].split(",")[0]).alias(n) for n, c in key.items()]).distinct()
-    found = asked.mapInArrow(run, schema).select(*[F.col(c).alias(f"__{c}") for c in REQUEST], "box_h", "tight_h")
+    found = store.written(asked.mapInArrow(run, schema), "measured").select(*[F.col(c).alias(f"__{c}") for c in REQUEST], "box_h", "tight_h")
     same = F.lit(True)
     for n, c in key.items():
         same = same & c.eqNullSafe(F.col(f"__{n}"))

@@ -1,6 +1,8 @@
 """Measuring, reflowing and fitting paragraphs, and table cells.
 
-The measure is a stand-in for a renderer: as many lines as the text needs at half the size a letter.
+Without a measurer heights come from a stand-in for a renderer, a column expression: as many lines as the text needs at half the size a
+letter. A measurer (`measure`) is asked for all heights of a step at once, each distinct request once, and its answers are joined back: those
+of paragraphs as they are before they flow, those of the smaller scales only for regions that do not fit.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G, text as X
 from ..schema import PAGE, RECT
+from . import measure as M
 
 # Fixed values of the placement rules.
 SMALL, SHORT, TIGHT_GAP, SLACK_TIMES = 0.9, 120, 3.0, 1.5
@@ -26,7 +29,7 @@ def tight_height(width: Column, text: Column, size: Column, leading: Column) ->
     return box_height(width, text, size, leading) - 0.2 * size
 
 
-def reflow(para: DataFrame, region: list[str] = PAGE, reformat: bool = False) -> DataFrame:
+def reflow(para: DataFrame, region: list[str] = PAGE, reformat: bool = False, measurer: M.Measurer | None = None) -> DataFrame:
     """Placements: each paragraph right below the one before, at their old distance; pinned ones stay.
 
     The chain is a sum over a window: the first flowing top, plus heights and gaps so far. A single line may widen to the right, as far
@@ -40,7 +43,10 @@ def reflow(para: DataFrame, region: list[str] = PAGE, reformat: bool = False) ->
     edge = F.col("slack_x1") if "slack_x1" in para.columns else F.lit(None).cast("double")  # least() passes over a null
     x1 = F.when(F.col("single_line"), F.least(box["x1"] + SLACK_TIMES * size, edge - 2.0)).otherwise(box["x1"])
     d = para.withColumn("x1", x1).withColumn("small", small).withColumn("short", short)
-    d = d.withColumn("h", box_height(F.col("x1") - box["x0"], F.col("text"), size, F.col("leading"))).withColumn("tight", F.col("h") - 0.2 * size)
+    if measurer is None:
+        d = d.withColumn("h", box_height(F.col("x1") - box["x0"], F.col("text"), size, F.col("leading"))).withColumn("tight", F.col("h") - 0.2 * size)
+    else:
+        d = M.measured(d.withColumn("width", F.col("x1") - box["x0"]), measurer).withColumnsRenamed({"box_h": "h", "tight_h": "tight"})
     run = (F.lag("small").over(order) & F.col("small")) | (F.lag("short").over(order) & F.col("short"))
     gap = F.when(F.lit(reformat) & F.coalesce(run, F.lit(False)), TIGHT_GAP).otherwise(box["y0"] - F.lag(box["y1"]).over(order))
     step = F.coalesce(F.lag("tight").over(order) + gap, F.lit(0.0))
@@ -69,7 +75,17 @@ def clear_of(y: Column, h: Column, x0: Column, x1: Column, obstacles: Column, li
     return F.aggregate(F.sequence(F.lit(1), F.lit(JUMPS)), start, lambda a, _: F.when(a["done"], a).otherwise(moved(a)), lambda a: a["y"])
 
 
-def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE, obstacles: DataFrame | None = None) -> DataFrame:
+def scaled_heights(regions: DataFrame, region: list[str], measurer: M.Measurer) -> DataFrame:
+    """Regions with `heights`: of each flowing paragraph of those that do not fit, its heights at all scales, from one request each."""
+    asked = regions.where(~F.col("fits")).select(*region, F.explode("flow").alias("p"))
+    asked = asked.select(*region, "p.para", "p.text", "p.single_line", "p.indent", "p.leading", (F.col("p.x1") - F.col("p.x0")).alias("width"), F.col("p.size").alias("own"), F.posexplode(F.array(*map(F.lit, SCALES))).alias("k", "scale"))
+    found = M.measured(asked.withColumn("size", F.col("own") * F.col("scale")), measurer)
+    one = found.groupBy(*region, "para").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "box_h"))), lambda x: x["box_h"]).alias("hs"))  # seven of them
+    of = one.groupBy(*region).agg(F.transform(F.sort_array(F.collect_list(F.struct("para", "hs"))), lambda x: x["hs"]).alias("heights"))  # a region's
+    return regions.join(of, region, "left")
+
+
+def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE, obstacles: DataFrame | None = None, measurer: M.Measurer | None = None) -> DataFrame:
     """Placements of regions, squeezed where they end below the limit: size, y and h may change; with the region's scale, the share of
     its gaps that is kept, and what overflows even so.
 
@@ -98,9 +114,16 @@ def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE, obstacles
     loose = lambda x: F.greatest(F.lit(0.0), x - MIN_GAP)
     g = g.withColumn("slack", total(F.transform(rest, loose))).withColumn("least_gaps", total(F.transform(rest, lambda x: F.greatest(x, F.lit(MIN_GAP))))).withColumn("n_gaps", F.size(rest))
 
-    def laid(scale: Column) -> Column:
+    if measurer is not None:
+        g = scaled_heights(g, region, measurer)
+
+    def laid(nth: Column) -> Column:
         """The region at a scale: heights, share of gaps kept, tops, and what overflows."""
-        heights = F.transform("flow", lambda p: box_height(p["x1"] - p["x0"], p["text"], p["size"] * scale, p["leading"]))
+        scale = F.get(F.array(*map(F.lit, SCALES)), nth)
+        if measurer is None:
+            heights = F.transform("flow", lambda p: box_height(p["x1"] - p["x0"], p["text"], p["size"] * scale, p["leading"]))
+        else:
+            heights = F.transform("heights", lambda hs: F.get(hs, nth))
         keep = lambda hs: F.when(F.col("slack") <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("end") - F.col("top") - total(hs) - F.col("least_gaps")) / F.col("slack") + 1)))
 
         def place(a: Column, k: Column, hs: Column, kept: Column) -> Column:
@@ -117,9 +140,9 @@ def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE, obstacles
 
         return F.transform(F.array(heights), lambda hs: F.transform(F.array(keep(hs)), lambda kept: whole(hs, kept))[0])[0]
 
-    tried = F.transform(F.array(*map(F.lit, SCALES)), laid)
-    g = g.withColumn("tried", F.when(~F.col("fits"), tried))
-    g = g.withColumn("best", F.coalesce(F.get(F.filter("tried", lambda t: t["over"] <= 0), F.lit(0)), F.element_at("tried", -1))).drop("tried", "gaps")
+    kind = "struct<scale: double, keep: double, hs: array<double>, tops: array<double>, over: double>"
+    best = F.aggregate(F.sequence(F.lit(0), F.lit(len(SCALES) - 1)), F.lit(None).cast(kind), lambda a, k: F.when(F.coalesce(a["over"] <= 0, F.lit(False)), a).otherwise(laid(k).cast(kind)))
+    g = g.withColumn("best", F.when(~F.col("fits"), best)).drop("gaps")  # scales after the first good one are not worked out
     out = g.select(*region, F.posexplode(F.concat("flow", "pins")).alias("nth", "p"), "best", F.size("flow").alias("n_flow"))
     moves = F.col("best").isNotNull() & ~F.col("p.pinned")
     put = lambda new, old: F.when(moves, new).otherwise(old)
@@ -130,9 +153,19 @@ def fit(placed: DataFrame, limit: DataFrame, region: list[str] = PAGE, obstacles
     )
 
 
-def fit_page(placed: DataFrame, pages: DataFrame) -> DataFrame:
+def fit_page(placed: DataFrame, pages: DataFrame, measurer: M.Measurer | None = None) -> DataFrame:
     """The whole page as one region without obstacles, down to its bottom margin."""
-    return fit(placed, pages.select(*PAGE, (F.col("rect.y1") - BOTTOM).alias("limit")))
+    return fit(placed, pages.select(*PAGE, (F.col("rect.y1") - BOTTOM).alias("limit")), measurer=measurer)
+
+
+def fit_events(put: DataFrame, region: list[str]) -> DataFrame:
+    """What a run says of each region that was squeezed: what overflows even so, or at which scale it fits; nothing where smaller gaps did."""
+    size = lambda c: F.format_string("%.2f", c)
+    d = put.groupBy(*region).agg(F.max("overflow").alias("over"), F.min("scale").alias("scale"))
+    over = F.concat(F.lit("  OVERFLOW: region content overflows by "), F.round("over", 0).cast("long").cast("string"), F.lit("pt even at "), size(F.col("scale")), F.lit("x font scale -- some text may be clipped"))
+    scaled = F.concat(F.lit("  region content rescaled to "), size(F.col("scale")), F.lit("x to fit"))
+    kind = F.when(F.col("over") > 0, "overflow").when(F.col("scale") < 1, "rescaled")
+    return d.select(*region, kind.alias("kind"), F.when(F.col("over") > 0, over).otherwise(scaled).alias("message")).where("kind is not null")
 
 
 def usable_cells(cells: DataFrame) -> DataFrame:
@@ -146,12 +179,25 @@ def fit_size(text: Column, size: Column, inner: Column) -> Column:
     """The size at which a cell's text fits its inner box, which is inset once more: down by quarter points to 60 per cent, which is taken
     unchecked."""
     w, h = G.width(inner) - 2 * CELL_INSET, G.height(inner) - 2 * CELL_INSET
-    n = F.floor((size - CELL_SCALE * size) / CELL_STEP).cast("int")
-    tries = F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: size - k * CELL_STEP), lambda s: s > CELL_SCALE * size)
-    good = F.filter(tries, lambda s: box_height(w, text, s, F.lit(None).cast("double")) <= h)
+    good = F.filter(cell_tries(size), lambda s: box_height(w, text, s, F.lit(None).cast("double")) <= h)
     return F.coalesce(F.get(good, 0), CELL_SCALE * size)
 
 
 def fit_cells(cells: DataFrame, size_col: str = "size") -> DataFrame:
     """Usable cells with the size at which they fit."""
     return usable_cells(cells).withColumn("fit_size", fit_size(F.col("text"), F.col(size_col), F.col("inner"))).drop("inner")
+
+
+def cell_tries(size: Column) -> Column:
+    """Sizes that a cell's text is tried at, from its own down by quarter points, above 60 per cent of it."""
+    n = F.floor((size - CELL_SCALE * size) / CELL_STEP).cast("int")
+    return F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: size - k * CELL_STEP), lambda s: s > CELL_SCALE * size)
+
+
+def measured_cells(cells: DataFrame, keys: list[str], measurer: M.Measurer) -> DataFrame:
+    """Cells (text, size, inner) with the size at which they fit by a measurer, all sizes of all cells asked for at once."""
+    w, h = G.width(F.col("inner")) - 2 * CELL_INSET, G.height(F.col("inner")) - 2 * CELL_INSET
+    none = F.lit(None).cast("double")
+    asked = cells.select(*keys, "text", w.alias("width"), h.alias("room"), F.lit(True).alias("single_line"), F.lit(0.0).alias("indent"), none.alias("leading"), F.explode(cell_tries(F.col("size"))).alias("size"))
+    good = M.measured(asked, measurer).where("box_h <= room").groupBy(*keys).agg(F.max("size").alias("good"))
+    return cells.join(good, keys, "left").withColumn("size", F.coalesce("good", CELL_SCALE * F.col("size"))).drop("good")

@@ -82,12 +82,34 @@ def remove_parts(spark: SparkSession, path: str, suffix: str = ".part") -> int:
     return gone
 
 
-def folder(spark: SparkSession, path: str, state_path: str, log_path: str, work: Work, now: str, version: int, verdicts: DataFrame | None = None) -> Pass:
-    """A pass over a folder with its state and its logs in files. What came of the work is written first, so it is done once."""
+def look(spark: SparkSession, files: DataFrame, log_path: str, now: str) -> DataFrame:
+    """Verdicts on the files of a listing, from this sight of them and those of earlier passes. Sights are kept in a table; those before a
+    file was given up count no more once its retry is due, and until then it is left alone."""
+    at = F.lit(now).cast("timestamp")
+    path = f"{log_path}/sights"
+    files.select("path", at.alias("ts"), "length", F.col("modificationTime").alias("modified")).write.mode("append").parquet(path)
+    seen = spark.read.schema(SIGHTS).parquet(path)
+    marks = spark.read.schema(MARKS).parquet(f"{log_path}/marks") if store.exists(spark, f"{log_path}/marks") else spark.createDataFrame([], MARKS)
+    last = marks.groupBy("path").agg(F.max("due").alias("due"))
+    fresh = seen.join(files.select("path"), "path", "left_semi").join(last, "path", "left").where("due is null or ts >= due").drop("due")
+    verdicts = store.written(ingest.gate(fresh), "verdicts")
+    gone = verdicts.where("verdict in ('slow', 'empty')").select("path", F.col("known_at").alias("ts"), (at + F.make_dt_interval(secs=F.lit(ingest.RETRY_DELAY_S))).alias("due"))
+    gone.write.mode("append").parquet(f"{log_path}/marks")
+    return verdicts
+
+
+SIGHTS = "path string, ts timestamp, length bigint, modified timestamp"
+MARKS = "path string, ts timestamp, due timestamp"
+
+
+def folder(spark: SparkSession, path: str, state_path: str, log_path: str, work: Work, now: str, version: int) -> Pass:
+    """A pass over a folder with its state and its logs in files: only files that the gate has passed are worked on. What came of the
+    work is written first, so it is done once."""
     with lock(spark, log_path):
         remove_parts(spark, path)
         state = ingest.load_state(spark, state_path)
-        todo = plan(ingest.list_files(spark, path), state, verdicts)
+        files = store.written(ingest.list_files(spark, path), "listing")
+        todo = plan(files, state, look(spark, ingest.pending(files, state), log_path, now))
         outcomes = f"{log_path}/outcomes/version={version}"
         work(todo.where("action = 'work'").select("file_key", "path", "output")).select("file_key", "outcome", "message").write.mode("overwrite").parquet(outcomes)
         done = run(todo, state, spark.read.parquet(outcomes), now)

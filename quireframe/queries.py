@@ -518,33 +518,8 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.counts(C.translated(_cells(spark, sf_dir, derived.pages(lines)), lines))
 
 
-@query()
-def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole pages to placements, by a small glossary; tests hold the parts against plain Python."""
-    a = _analysis(spark, sf_dir)
-    words = {"the": "der", "and": "und", "of": "von", "to": "zu"}
-    return flat(W.translate(a, _cells(spark, sf_dir, a.pages), T.glossary(words), name="query-glossary").placements, "rect")
-
-
-_PAGE_SAID = "'  page ' || (page_no + 1) || ': "
-
-
-@query(f"""WITH RECURSIVE {REPORT_SQL}, {CELL_CTES}, told AS (
-  SELECT p.doc_id, p.page_no, region_no, para, {STRIP('text')} AS text FROM para p JOIN plan r
-  ON r.doc_id = p.doc_id AND r.page_no = p.page_no AND r.band_no = p.number AND r.part = p.spanning::INT AND r.region_col = p.region_col WHERE {STRIP('text')} <> ''
-), asked AS (SELECT *, {NEAR('text')} OR regexp_full_match(text, '[\\[\\(]?\\s*[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?\\s*[\\]\\)]?') AS skipped FROM told)
-SELECT doc_id, page_no, region_no, para, 1 AS nth, CASE WHEN skipped THEN 'skipped' ELSE 'translated' END AS kind, CASE WHEN skipped THEN {_PAGE_SAID}skipped paragraph [' || length(text) || ' chars]'
-  ELSE {_PAGE_SAID}paragraph translated [' || length(text) || ' chars] -> [' || length(text) || ' chars]' END AS message FROM asked
-UNION ALL SELECT doc_id, page_no, region_no, para, 0, 'warning', {_PAGE_SAID}WARNING: echo (paragraph: ' || substr(text, 1, 60) || ')' FROM asked WHERE NOT skipped AND length(text) > 40
-UNION ALL SELECT d.doc_id, d.page_no, region_no, row_idx, col_idx, 'cell', '    cell r' || row_idx || 'c' || col_idx || ': ' || reason || ' -- keeping source text'
-  FROM done d JOIN plan r ON r.doc_id = d.doc_id AND r.page_no = d.page_no AND r.table_no = d.table_no WHERE reason IS NOT NULL""")
-def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M7: what a run says of each paragraph and cell."""
-    a = _analysis(spark, sf_dir)
-    return W.translate(a, _cells(spark, sf_dir, a.pages)).events
-
-
-@query("SELECT DISTINCT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no)::INT AS nth, max(page_no) OVER (PARTITION BY doc_id) + 1 AS \"of\" FROM every".replace("SELECT", f"WITH {lines_sql(1, 'every')} SELECT", 1))
+@query(f"""WITH {lines_sql(1, 'every')}
+SELECT DISTINCT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no)::INT AS nth, max(page_no) OVER (PARTITION BY doc_id) + 1 AS "of" FROM every""")
 def page_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of each document, counted."""
     return W.ordinals(derived.pages(_lines(spark, sf_dir)))
@@ -639,7 +614,7 @@ def paragraph_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {paragraphs_sql()}, k AS (SELECT *, {NEAR('text')} OR regexp_full_match({STRIP('text')}, '[\\[\\(]?\\s*[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?\\s*[\\]\\)]?') AS skipped FROM para)
-SELECT doc_id, page_no, para, CASE WHEN skipped THEN text ELSE {STRIP('text')} END AS output, CASE WHEN NOT skipped AND length({STRIP('text')}) > 40 THEN 'echo' END AS reason, skipped FROM k""")
+SELECT doc_id, page_no, para, {STRIP('text')} AS output, CASE WHEN NOT skipped AND length({STRIP('text')}) > 40 THEN 'echo' END AS reason, skipped FROM k""")
 def translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model is asked, with the identity as model, so that long texts are echoes."""
     p = P.paragraphs(_lines(spark, sf_dir))
@@ -740,14 +715,17 @@ def _in_turn(x: str) -> str:
     return f"list_reduce(list_prepend(0e0, coalesce(list({x} ORDER BY i){some}, [])), lambda a, b: a + b)"
 
 
-FLOW_SQL = f"""{REPORT_SQL}, told AS (
+def flow_sql(shown: str = "text") -> str:
+    """CTEs from pages to fitted paragraphs; `shown` is what is put in place of a text."""
+    return f"""{REPORT_SQL}, told0 AS (
   SELECT p.doc_id, p.page_no, r.region_no, para, {STRIP('text')} AS text, p.x0, p.y0, p.x1, p.y1, size, single_line, "leading", r.x1 AS rx1, greatest(1, columns) AS n_cols
   FROM para p JOIN plan r ON r.doc_id = p.doc_id AND r.page_no = p.page_no AND r.band_no = p.number AND r.part = p.spanning::INT AND r.region_col = p.region_col
   JOIN counted c ON c.doc_id = p.doc_id AND c.page_no = p.page_no WHERE {STRIP('text')} <> ''
+), told AS (SELECT *, {shown} AS shown FROM told0
 ), wide AS (
   SELECT *, (y1 <= 0.12e0 * 792 OR y0 >= 0.88e0 * 792) AND single_line AND length(text) < 80 AS pinned,
     CASE WHEN single_line THEN least(x1 + 1.5e0 * size, CASE WHEN n_cols > 1 THEN rx1 ELSE 612e0 END - 2) ELSE x1 END AS nx1 FROM told
-), meas AS (SELECT *, {BOX('(nx1 - x0)', 'length(text)', 'size', '"leading"')} AS h FROM wide
+), meas AS (SELECT *, {BOX('(nx1 - x0)', 'length(shown)', 'size', '"leading"')} AS h FROM wide
 ), steps2 AS (
   SELECT *, coalesce(lag(h - 0.2e0 * size) OVER w + (y0 - lag(y1) OVER w), 0e0) AS step FROM meas WINDOW w AS (PARTITION BY {_RK}, pinned ORDER BY para)
 ), place AS (
@@ -763,7 +741,7 @@ FLOW_SQL = f"""{REPORT_SQL}, told AS (
     least(any_value(ceiling), min(y - 1.5e0) FILTER (WHERE y > first_y)) AS stop
   FROM tops t JOIN ceilings USING ({_RK}) LEFT JOIN (SELECT * FROM place WHERE pinned) p ON p.doc_id = t.doc_id AND p.page_no = t.page_no AND p.region_no = t.region_no GROUP BY t.doc_id, t.page_no, t.region_no
 ), tried AS (
-  SELECT fl.*, scale, {BOX('(nx1 - x0)', 'length(text)', '(size * scale)', '"leading"')} AS hs, top, stop FROM fl JOIN ends USING ({_RK}), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale) WHERE bottom > stop
+  SELECT fl.*, scale, {BOX('(nx1 - x0)', 'length(shown)', '(size * scale)', '"leading"')} AS hs, top, stop FROM fl JOIN ends USING ({_RK}), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale) WHERE bottom > stop
 ), sums AS (
   SELECT {_RK}, scale, any_value(stop) AS stop, any_value(top) AS top, {_in_turn('hs')} AS heights, {_in_turn('greatest(0e0, g - 1.5e0)')} AS slack, {_in_turn('greatest(g, 1.5e0)')} AS least_gaps
   FROM tried GROUP BY {_RK}, scale
@@ -790,7 +768,7 @@ FLOW_SQL = f"""{REPORT_SQL}, told AS (
 )"""
 
 
-@query(f"""WITH RECURSIVE {FLOW_SQL} SELECT o.doc_id, o.page_no, o.region_no, para, pinned, round(x0, 6) AS rect_x0, round(coalesce(p.y, o.y), 6) AS rect_y0, round(nx1, 6) AS rect_x1,
+@query(f"""WITH RECURSIVE {flow_sql()} SELECT o.doc_id, o.page_no, o.region_no, para, pinned, round(x0, 6) AS rect_x0, round(coalesce(p.y, o.y), 6) AS rect_y0, round(nx1, 6) AS rect_x1,
   round(coalesce(p.y, o.y) + coalesce(hs, h), 6) AS rect_y1, round(size * coalesce(scale, 1e0), 6) AS size FROM ordered o LEFT JOIN put p ON p.doc_id = o.doc_id AND p.page_no = o.page_no AND p.region_no = o.region_no AND p.i = o.i""")
 def flow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of whole pages through regions, tables and obstacles to their fitted places, as they are."""
@@ -799,6 +777,72 @@ def flow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.select(*PAGE, "region_no", F.col("para").cast("bigint").alias("para"), "pinned", *map(edge, ("x0", "y0", "x1", "y1")), F.round("size", 6).alias("size"))
 
 
+_LETTER = "[^\\p{L}\\p{N}_]"
+
+
+def glossary_sql(x: str, words: dict[str, str]) -> str:
+    """Whole words of what a model is given replaced one after another, each twice, as neighbours share the letter between them; a capital stays."""
+    x = f"replace({x}, {SENT}, 'XASTERISKX')"
+    for word, other in words.items():
+        for first, out in ((word[0], other), (word[0].upper(), other.capitalize())):
+            for _ in range(2):
+                x = f"regexp_replace({x}, '(^|{_LETTER})[{first}](?i:{word[1:]})($|{_LETTER})', '\\1{out}\\2', 'g')"
+    return f"replace({x}, 'XASTERISKX', {SENT})"
+
+
+WORDS = {"the": "der", "and": "und", "of": "von", "to": "zu"}
+PAGE_NO_SQL = "regexp_full_match({}, '[\\[\\(]?\\s*[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?\\s*[\\]\\)]?')"
+_SHOWN = f"CASE WHEN {NEAR('text')} OR {PAGE_NO_SQL.format('text')} THEN text ELSE {glossary_sql('text', WORDS)} END"
+
+
+@query(f"""WITH RECURSIVE {flow_sql(_SHOWN)}, {CELL_CTES}, given AS (SELECT *, {glossary_sql('t', WORDS)} AS answer FROM done)
+SELECT o.doc_id, o.page_no, 'text' AS kind, o.region_no::INT AS region_no, para::INT AS para, NULL::INT AS col_idx, shown AS text, round(x0, 6) AS rect_x0, round(coalesce(p.y, o.y), 6) AS rect_y0, round(nx1, 6) AS rect_x1,
+  round(coalesce(p.y, o.y) + coalesce(hs, h), 6) AS rect_y1, round(size * coalesce(scale, 1e0), 6) AS size, pinned FROM ordered o LEFT JOIN put p ON p.doc_id = o.doc_id AND p.page_no = o.page_no AND p.region_no = o.region_no AND p.i = o.i
+UNION ALL SELECT g.doc_id, g.page_no, 'cell', r.region_no, row_idx, col_idx, answer, round(g.x0 + 1, 6), round(g.y0 + 1, 6), round(g.x1 - 1, 6), round(g.y1 - 1, 6), round(coalesce(list_filter(list_filter(
+  list_transform(range(0, floor(room / 0.25e0)::BIGINT + 1), lambda k: size - k * 0.25e0), lambda z: z > 0.6e0 * size),
+  lambda z: greatest(1e0, ceil(length(answer) * z * 0.5e0 / greatest(w, 1e0))) * z * 1.2e0 <= g.h)[1], 0.6e0 * size), 6), true
+  FROM given g JOIN plan r ON r.doc_id = g.doc_id AND r.page_no = g.page_no AND r.table_no = g.table_no WHERE NOT (answer = t AND length(t) > 40)""")
+def translate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages to placements of texts and cells, by a small glossary."""
+    a = _analysis(spark, sf_dir)
+    put = flat(W.translate(a, _cells(spark, sf_dir, a.pages), T.glossary(WORDS)).placements, "rect")
+    return put.withColumns({c: F.round(c, 6) for c in ("rect_x0", "rect_y0", "rect_x1", "rect_y1", "size")})
+
+
+_SAID = "'  page ' || (page_no + 1) || ': "
+_ESC = lambda x: f"replace(replace({x}, chr(92), chr(92) || chr(92)), {SENT}, chr(92) || 'uf8ff')"
+QUOTED = lambda x: f"CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, chr(34)) THEN chr(34) || {_ESC(x)} || chr(34) ELSE chr(39) || replace({_ESC(x)}, chr(39), chr(92) || chr(39)) || chr(39) END"
+_ECHO = "output is identical to the source (probable no-op/echo)"
+_TOKENS = lambda n: f"'    TOKEN INFO: source chars=' || {n} || ', source tokens≈' || greatest(1, {n} // 3) || ', max_tokens=' || least(4096, greatest(512, floor(greatest(1, {n} // 3) * 2.5e0)::BIGINT + 64))"
+_N = f"length(replace(text, {SENT}, 'XASTERISKX'))"
+
+
+@query(f"""WITH RECURSIVE {flow_sql()}, {CELL_CTES}, asked AS (SELECT *, {NEAR('text')} AS bare, {PAGE_NO_SQL.format('text')} AS number, length(text) > 40 AS echo FROM told
+), said AS (
+  SELECT doc_id, page_no, region_no, para, unnest(CASE WHEN number THEN [] WHEN bare THEN [{{'k': 'skipped', 'm': {_SAID}skipped near-empty paragraph [' || length(text) || ' chars] -> skipped (too little content)'}}]
+    ELSE list_filter([{{'k': 'asked', 'm': {_SAID}translating paragraph [' || length(text) || ' chars] ...'}}, {{'k': 'tokens', 'm': {_TOKENS(_N)}}},
+      {{'k': CASE WHEN echo THEN 'retry' END, 'm': {_SAID}{_ECHO}; retrying once at temp=0'}}, {{'k': CASE WHEN echo THEN 'tokens' END, 'm': {_TOKENS(_N)}}},
+      {{'k': CASE WHEN echo THEN 'warning' END, 'm': {_SAID}WARNING: {_ECHO} (paragraph: ' || {QUOTED("substr(text, 1, 60)")} || ')'}},
+      {{'k': 'translated', 'm': {_SAID}paragraph translated [' || length(text) || ' chars] -> [' || length(text) || ' chars]'}}], lambda x: x.k IS NOT NULL) END) AS e,
+    generate_subscripts(CASE WHEN number THEN [] WHEN bare THEN [1] WHEN echo THEN [1, 2, 3, 4, 5, 6] ELSE [1, 2, 3] END, 1) - 1 AS nth FROM asked
+), cell AS (
+  SELECT d.doc_id, d.page_no, d.table_no, r.region_no, row_idx, col_idx, t, reason FROM done d JOIN plan r ON r.doc_id = d.doc_id AND r.page_no = d.page_no AND r.table_no = d.table_no
+)
+SELECT doc_id, 1 AS stage, page_no::INT AS page_no, region_no::INT AS region_no, para::BIGINT AS row_idx, NULL::INT AS col_idx, nth::BIGINT AS nth, e.k AS kind, e.m AS message FROM said
+UNION ALL SELECT doc_id, 1, page_no, -1, NULL, NULL, NULL, 'page', '--- page ' || (page_no + 1) || ' (' || row_number() OVER (PARTITION BY doc_id ORDER BY page_no) || '/' || count(*) OVER (PARTITION BY doc_id) || ') --- '
+  || regions || ' region(s), ' || greatest(1, columns) || ' column(s), ' || obstacles || ' obstacle(s), ' || tables || ' table(s)' FROM counted
+UNION ALL SELECT doc_id, 1, page_no, region_no, NULL, NULL, NULL, CASE WHEN over > 0 THEN 'overflow' ELSE 'rescaled' END, CASE WHEN over > 0 THEN '  OVERFLOW: region content overflows by ' || round(over)::BIGINT || 'pt even at ' || printf('%.2f', scale)
+  || 'x font scale -- some text may be clipped' ELSE '  region content rescaled to ' || printf('%.2f', scale) || 'x to fit' END FROM put WHERE i = n AND (over > 0 OR scale < 1)
+UNION ALL SELECT doc_id, 1, page_no, region_no, row_idx, col_idx, 0, 'tokens', {_TOKENS("length(t)")} FROM cell
+UNION ALL SELECT doc_id, 1, page_no, region_no, row_idx, col_idx, 1, 'cell', '    cell r' || row_idx || 'c' || col_idx || ': {_ECHO} -- keeping source text' FROM cell WHERE reason IS NOT NULL
+UNION ALL SELECT p.doc_id, 1, p.page_no, p.region_no, NULL, NULL, 0, 'table', '  table: ' || count(c.t) FILTER (WHERE c.reason IS NULL) || ' cell(s) translated'
+  FROM plan p LEFT JOIN cell c ON c.doc_id = p.doc_id AND c.page_no = p.page_no AND c.table_no = p.table_no WHERE p.kind = 'table' GROUP BY p.doc_id, p.page_no, p.region_no""")
+def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: what a run says of each page, paragraph, region, cell and table."""
+    a = _analysis(spark, sf_dir)
+    return W.translate(a, _cells(spark, sf_dir, a.pages)).events
+
+
 # ---- intake and logs --------------------------------------------------------------------------------------------
 
 _OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'unsupported' ELSE 'copying' END"

@@ -39,6 +39,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none where there is no such folder."""
+    fs, at = folder(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends here, any executor may be lost, and nothing above it runs again.
 

@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(HERE))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(HERE), HERE, os.environ.get("PYTHONPATH")]))  # for the workers
 
 
 @pytest.fixture(scope="session")

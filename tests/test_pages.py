@@ -1,12 +1,13 @@
 """Whole pages: regions with tables, the fit, translation and cells, against plain Python and given values."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quireframe.functions import text as X
-from quireframe.operators import cells as C, layout as L, reflow as R, translate as T
+from quireframe.operators import cells as C, layout as L, measure as M, reflow as R, translate as T, workers
 from quireframe.plans import pages as W
 from quireframe.schema import CELLS, DRAWINGS, IMAGES, LINES, PAGES, RECT, TABLES
 
@@ -194,7 +195,7 @@ def test_each_row_is_asked_for_once_and_bad_ones_once_more(spark, tmp_path, bad_
     texts = [f"a text of number {k} that is long enough to be told from an echo [{k}]" for k in range(100)] + ["12", "- 3 -", "[1] *", "short"]
     para = spark.createDataFrame([(1, 0, k, t) for k, t in enumerate(texts)], "doc_id long, page_no int, para long, text string").repartition(3)
     log = tmp_path / "calls"
-    done = T.translated(para, counting(str(log), bad_first), name=f"counting-{bad_first}").collect()
+    done = T.translated(para, counting(str(log), bad_first)).collect()
     asked = log.read_text(encoding="utf-8").splitlines()
     assert len(asked) == 101 + (100 if bad_first else 0) and len(set(asked)) == len(asked)
     by = {r.para: r for r in done}
@@ -207,7 +208,7 @@ def test_a_bad_answer_stays_or_gives_way_to_the_source(spark):
     para = spark.createDataFrame([(1, 0, 1, text)], "doc_id long, page_no int, para long, text string")
     refuse = lambda: lambda texts, temperature: ["Please provide the German text."] * len(texts)
     for keep, wanted in ((False, "Please provide the German text."), (True, text)):
-        r = T.translated(para, refuse, keep_source_if_bad=keep, name="refuse").first()
+        r = T.translated(para, refuse, keep_source_if_bad=keep).first()
         assert (r.output, r.reason, r.calls) == (wanted, "refusal", 2)
 
 
@@ -219,6 +220,193 @@ def test_reasons_agree_with_the_column_function(spark):
     assert all(T.reason(r.s, r.o) == r.r for r in got)
 
 
+def test_a_worker_never_answers_with_another_backend(spark):
+    para = spark.createDataFrame([(1, 0, 1, "the cat sat")], "doc_id long, page_no int, para long, text string").coalesce(1)
+    said = []
+    for k in range(8):  # one after another, so that a freed one's address may be taken by the next
+        said.append(T.answered(para, T.glossary({"cat": f"w{k}"})).first().answer)
+    assert said == [f"the w{k} sat" for k in range(8)]
+    heights = lambda h: lambda: lambda rows: [(h, h)] * len(rows)
+    rows = spark.createDataFrame([(100.0, "text", 11.0, False, 0.0, None)], "width double, text string, size double, single_line boolean, indent double, leading double").coalesce(1)
+    assert [M.measured(rows, heights(float(k))).first().box_h for k in range(8)] == [float(k) for k in range(8)]
+
+
+def test_workers_keep_few_and_find_the_same_again():
+    made = []
+    for k in (1, 2, 1, 3, 1, 2):
+        workers.loaded(f"test-{k}", lambda k=k: made.append(k) or k)
+    assert made == [1, 2, 3, 2] and workers.name_of(T.glossary({"a": "b"})) == workers.name_of(T.glossary({"a": "b"})) != workers.name_of(T.glossary({"a": "c"}))
+
+
+def toy():
+    class Toy:
+        """A model whose tokens are words, which stops at its budget."""
+
+        unknown_id = 0
+
+        def __init__(self, seed, most=None):
+            self.seed, self.most = seed, most
+
+        def token_id(self, token):
+            return 7 if self.seed else 0
+
+        def stop_at(self, token):
+            self.end = token
+
+        def count(self, text):
+            return 600 * len(text.split())
+
+        def generate(self, texts, temperature, budgets):
+            return [f"seed {self.seed} budget {b} and no end" for b in budgets]
+
+    return Toy
+
+
+def test_seeded_models_and_answers_cut_off(spark):
+    text = "Ein Satz, der lang genug ist, um kein Echo zu sein, und zu Ende geht."
+    para = spark.createDataFrame([(1, 0, 1, text)], "doc_id long, page_no int, para long, text string")
+    done = T.translated(para, T.seeded(toy(), 3))
+    r = done.first()
+    assert r.output == "seed 3 budget 4096 and no end" and [(t.tokens, t.budget, t.cut) for t in r.tries] == [(9000, 4096, r.output)]
+    said = [x.message for x in T.events(done).orderBy("nth").collect()]
+    assert said[1] == f"    TOKEN INFO: source chars={len(text)}, source tokens≈9000, max_tokens=4096"
+    assert said[2] == "  WARNING: translation may be truncated at max_tokens=4096 (source ended in punctuation, output did not): ...'seed 3 budget 4096 and no end'"
+    with pytest.raises(Exception, match="is no token of the model"):
+        T.translated(para, T.seeded(toy(), 0)).collect()
+    rnd = random.Random(3)
+    cases = [("x" * rnd.randint(0, 30) + rnd.choice(["", ".", "?)", " "]), "y" * rnd.randint(1700, 2000) + rnd.choice(["", ".", "! "]), rnd.choice([512, 600])) for _ in range(200)]
+    got = spark.createDataFrame(cases, "s string, o string, m int").select("s", "o", "m", X.truncated(X.strip(F.col("s")), F.col("o"), F.col("m")).alias("t")).collect()
+    assert all(T.cut_short(r.s, r.o, r.m) == r.t for r in got) and len({r.t for r in got}) == 2
+
+
+def test_events_of_each_kind_in_order(spark):
+    long = "a sentence of more than forty characters, as it's here"
+    texts = ["12", "- 3 -", "[1] *", "short one", long, long + " \uf8ff"]
+    para = spark.createDataFrame([(1, 4, k, t) for k, t in enumerate(texts)], "doc_id long, page_no int, para long, text string")
+    better = lambda: lambda some, temperature: [t if temperature or t.endswith("X") else "another sentence, of about as many letters" for t in some]
+    by = {}
+    for r in T.events(T.translated(para, better)).orderBy("para", "nth").collect():
+        by.setdefault(r.para, []).append((r.kind, r.message))
+    assert set(by) == {2, 3, 4, 5} and by[2] == [("skipped", "  page 5: skipped near-empty paragraph [5 chars] -> skipped (too little content)")]
+    assert [k for k, _ in by[3]] == ["asked", "tokens", "translated"] and [k for k, _ in by[4]] == ["asked", "tokens", "retry", "tokens", "translated"]
+    assert [k for k, _ in by[5]] == ["asked", "tokens", "retry", "tokens", "warning", "translated"]
+    assert by[4][2][1] == "  page 5: output is identical to the source (probable no-op/echo); retrying once at temp=0"
+    assert by[5][4][1] == f"  page 5: WARNING: output is identical to the source (probable no-op/echo) (paragraph: {texts[5][:60]!r})"
+    odd = ["it's", 'say "x"', "both ' and \"", "back\\slash", "tab\there", "\uf8ff"]
+    assert [r.q for r in spark.createDataFrame([(t,) for t in odd], "t string").select(X.quoted(F.col("t")).alias("q")).collect()] == [repr(t) for t in odd]
+
+
+def uneven():
+    """A measurer: narrow and wide letters, lines cut by their sum."""
+
+    def one(width, text, size, single, indent, leading):
+        w = sum(0.3 if c in "ijl" else 0.8 if c in "mw" else 0.5 for c in text)
+        box = max(1.0, math.ceil(w * size / max(width, 1.0) - 1e-9)) * size * (1.2 if leading is None else leading)
+        return box, box - 0.25 * size
+
+    return lambda rows: [one(*r) for r in rows]
+
+
+def plain_fit(paras, limit, measure):
+    """A region of flowing paragraphs by plain Python: (para, text, size, x0, x1, y0, y1) to tops, heights, scale."""
+    top, bottom, placed = None, None, []
+    for _, text, size, x0, x1, y0, y1 in paras:
+        top = y0 if top is None else bottom + (y0 - last)  # noqa: F821
+        box, tight = measure(x1 - x0, text, size)
+        placed.append((top, box))
+        bottom, last = top + tight, y1
+    if max(y + h for y, h in placed) <= limit:
+        return [y for y, _ in placed], [h for _, h in placed], 1.0
+    gaps = [placed[k][0] - placed[k - 1][0] - placed[k - 1][1] for k in range(1, len(placed))]
+    for scale in (1.0, 0.94, 0.88, 0.82, 0.76, 0.7, 0.65):
+        hs = [measure(x1 - x0, text, size * scale)[0] for _, text, size, x0, x1, _, _ in paras]
+        slack = sum(max(0.0, g - 1.5) for g in gaps)
+        keep = 1.0 if slack <= 0 else max(0.0, min(1.0, (limit - placed[0][0] - sum(hs) - sum(max(g, 1.5) for g in gaps)) / slack + 1))
+        tops, y = [], placed[0][0]
+        for k, h in enumerate(hs):
+            if k:
+                g = gaps[k - 1]
+                y += 1.5 + max(0.0, g - 1.5 - max(0.0, g - 1.5) * (1 - keep) * (k / len(gaps)))
+            tops.append(y)
+            y += h
+        if y <= limit:
+            break
+    return tops, hs, scale
+
+
+def test_flow_and_fit_by_a_measurer_against_plain_python(spark, tmp_path):
+    rnd, log = random.Random(11), str(tmp_path / "asked")
+
+    def logged():
+        inner = uneven()
+
+        def ask(rows):
+            with open(log, "a", encoding="utf-8") as f:
+                f.writelines(f"{r}\n" for r in rows)
+            return inner(rows)
+
+        return ask
+
+    rows, wanted = [], {}
+    one = uneven()
+    measure = lambda w, t, s: one([(round(w, 1), t, round(s, 2), False, 0.0, None)])[0]
+    for doc in range(12):
+        y, paras = 60.0, []
+        for k in range(rnd.randint(1, 9) if doc % 2 else 9):
+            text = "".join(rnd.choice("ijlmwabc ") for _ in range(rnd.randint(20, 300 + 100 * (doc % 6))))
+            h = rnd.choice([12.0, 24.0, 60.0])
+            paras.append((k, text, rnd.choice([9.0, 11.0]), 72.0, 300.0, y, y + h))
+            y += h + rnd.choice([2.0, 8.0, 14.0])
+        rows += [(doc, 0, k, t, (x0, y0, x1, y1), s, False, 0.0, None, False) for k, t, s, x0, x1, y0, y1 in paras]
+        wanted[doc] = plain_fit(paras, 750.0 - 18.0, measure)
+    para = spark.createDataFrame(rows, f"doc_id long, page_no int, para long, text string, bbox {RECT}, size double, single_line boolean, indent double, leading double, pinned boolean")
+    pages = para.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.expr("named_struct('x0', 0d, 'y0', 0d, 'x1', 450d, 'y1', 750d)").alias("rect"))
+    got = {}
+    for r in R.fit_page(R.reflow(para, measurer=logged), pages, logged).orderBy("para").collect():
+        got.setdefault(r.doc_id, []).append((r.y, r.h, r.scale))
+    for doc, (tops, hs, scale) in wanted.items():
+        assert [round(y, 6) for y, _, _ in got[doc]] == [round(y, 6) for y in tops] and [round(h, 6) for _, h, _ in got[doc]] == [round(h, 6) for h in hs] and {s for _, _, s in got[doc]} == {scale}
+    assert len({s for _, _, s in wanted.values()}) > 2
+    asked = open(log, encoding="utf-8").read().splitlines()
+    fits = sum(len(t) for t, _, s in wanted.values() if s == 1.0)
+    assert len(asked) <= len(rows) + 7 * (len(rows) - fits)
+    said = {r.doc_id: r.kind for r in R.fit_events(R.fit_page(R.reflow(para, measurer=uneven), pages, uneven), ["doc_id", "page_no"]).collect()}
+    assert all((said.get(d) is None) == (s == 1.0 and t[-1] + h[-1] <= 732) for d, (t, h, s) in wanted.items())
+
+
+def test_cells_by_a_measurer(spark):
+    box = lambda w, h: (0.0, 0.0, w, h)
+    rows = [(k, 0, 0, 0, 0, box(40.0 + 9 * k, 14.0 + 4 * (k % 5)), "wide words mmm www" * (1 + k % 3)) for k in range(20)]
+    cells = spark.createDataFrame(rows, CELLS)
+    none = spark.createDataFrame([], LINES)
+    one = uneven()
+    for r in C.translated(cells, none, T.glossary({"wide": "broad"}), measurer=uneven).collect():
+        w, h, s, t = r.inner.x1 - r.inner.x0 - 2, r.inner.y1 - r.inner.y0 - 2, 10.0, r.answer
+        while s > 6.0 and one([(round(w, 1), t, round(s, 2), True, 0.0, None)])[0][0] > h:
+            s -= 0.25
+        assert r["size"] == (s if s > 6.0 else 6.0)
+
+
+def test_a_run_over_documents(spark):
+    rows = [(72, 30, 200, 9, "Kapitel 3")] + body(72, 380, 100, 4, 11)
+    lines = lines_of(spark, rows)
+    pages = page_of(spark, 450, 750)
+    more = pages.unionByName(pages.withColumn("doc_id", F.lit(2).cast("long"))).unionByName(pages.withColumn("doc_id", F.lit(3).cast("long")))
+    lines = lines.unionByName(lines.withColumn("doc_id", F.lit(3).cast("long"))).unionByName(lines_of(spark, [(72, 100, 200, 9, "wenig")]).withColumn("doc_id", F.lit(5).cast("long")))
+    more = more.unionByName(pages.withColumn("doc_id", F.lit(5).cast("long")))
+    docs = spark.createDataFrame([(1, "a.pdf", "Das Haus", False), (2, "b.pdf", "x", False), (3, "c.pdf", None, True), (4, "d.pdf", None, None), (5, "e.pdf", " ", False)], "doc_id long, path string, title string, needs_pass boolean")
+    done = W.run(docs, {"lines": lines, "pages": more}, T.glossary({"das": "the", "haus": "house"}))
+    assert {r.doc_id: (r.outcome, r.message) for r in done.outcomes.collect()} == {
+        1: ("success", None), 2: ("unsupported", "b.pdf has no extractable text (image-only scan?) -- run OCR (e.g. ocrmypdf) first"), 3: ("unsupported", "c.pdf is password-protected; decrypt it first"),
+        4: ("unsupported", "d.pdf has no pages"), 5: ("success", "WARNING: e.pdf has very little extractable text (5 chars across 1 page(s)); output may be near-empty"),
+    }
+    assert {r.doc_id for r in done.translation.placements.collect()} == {1, 5} and {r.doc_id: r.title for r in done.titles.collect()} == {1: "The House", 5: " "}
+    said = [(r.doc_id, r.kind, r.message) for r in W.in_order(done.translation.events).collect()]
+    assert [x for x in said if x[0] == 1][-1] == (1, "title", "  translated document title: 'Das Haus' -> 'The House'") and [x for x in said if x[0] == 5][0][1] == "warning"
+    again = W.run(docs, {"lines": lines, "pages": more}, reformat=True)
+    assert {r.kind for r in again.translation.events.collect()} == {"page", "warning"} and {r.translated for r in again.titles.collect()} == {False}
+
+
 def test_glossary_backend():
     ask = T.glossary({"haus": "house", "das": "the"})()
     assert ask(["Das Haus, das hausboot"], 0.0) == ["The House, the hausboot"] and T.glossary({})()(["x"], 0.0) == ["x"]
@@ -226,7 +414,7 @@ def test_glossary_backend():
 
 def test_titles(spark):
     docs = spark.createDataFrame([(1, " Das Haus "), (2, "  "), (3, None), (4, "t" * 60)], "doc_id long, title string")
-    got = {r.doc_id: (r.title, r.translated) for r in T.titles(docs, T.glossary({"das": "the", "haus": "house"}), name="titles").collect()}
+    got = {r.doc_id: (r.title, r.translated) for r in T.titles(docs, T.glossary({"das": "the", "haus": "house"})).collect()}
     assert got == {1: ("The House", True), 2: ("  ", False), 3: (None, False), 4: ("t" * 60, False)}
 
 
@@ -236,9 +424,9 @@ def test_cells(spark):
     lines = lines_of(spark, [(180, 104, 260, 9, "Preis in Mark"), (275, 124, 360, 8, "viele"), (275, 130, 360, 8, "Worte")])
     fonts = {(r.row_idx, r.col_idx): (r["size"], r.single_line) for r in C.with_fonts(b, lines).collect()}
     assert fonts[0, 1] == (9.0, True) and fonts[1, 2] == (8.0, False) and fonts[0, 0] == (10.0, True)
-    done = {(r.row_idx, r.col_idx): r for r in C.translated(C.matched(b.drop("bbox"), b.drop("text")), lines, T.glossary({"viele": "many", "worte": "words"}), name="cells").collect()}
+    done = {(r.row_idx, r.col_idx): r for r in C.translated(C.matched(b.drop("bbox"), b.drop("text")), lines, T.glossary({"viele": "many", "worte": "words"})).collect()}
     assert set(done) == {(0, 1), (1, 2)} and done[1, 2].answer == "many Words" and done[1, 2]["size"] == 8.0 and tuple(done[0, 1].inner) == (173.0, 101.0, 271.0, 119.0)
-    assert C.counts(C.translated(b, lines, name="cells-id")).first().cells == 2
+    assert C.counts(C.translated(b, lines)).first().cells == 2
 
 
 def test_translated_page(spark):
@@ -248,7 +436,7 @@ def test_translated_page(spark):
     images = spark.createDataFrame([(1, 0, 0, (60.0, 80.0, 200.0, 105.0))], IMAGES)
     pages = page_of(spark, 450, 750)
     a = W.analyze(lines_of(spark, rows), pages, images=images, tables=tables)
-    t = W.translate(a, cells, T.glossary({"jahr": "year", "preis": "price", "und": "and"}), name="page")
+    t = W.translate(a, cells, T.glossary({"jahr": "year", "preis": "price", "und": "and"}))
     put = {(r.kind, r.region_no, r.para, r.col_idx): r for r in t.placements.collect()}
     assert {k[0] for k in put} == {"text", "cell"} and len(put) == 4
     cell = put["cell", 2, 0, 0]
@@ -257,7 +445,10 @@ def test_translated_page(spark):
     boxes = [tuple(r.rect) for r in t.redactions.collect()]
     assert not any(r[0] < 200 and r[2] > 60 and r[1] < 105 and r[3] > 80 for r in boxes) and (72.0, 300.0, 172.0, 320.0) in boxes
     said = [r.message for r in t.events.collect()]
-    assert any("skipped" in m for m in said) and any("translated" in m for m in said)
+    assert not any("skipped" in m for m in said) and "  table: 1 cell(s) translated" in said  # nothing is said of a bare number
+    assert "--- page 1 (1/1) --- 2 region(s), 1 column(s), 1 obstacle(s), 1 table(s)" in said
+    order = [r.kind for r in W.in_order(t.events).collect()]
+    assert order[0] == "page" and order.index("asked") < order.index("tokens") < order.index("translated") and t.metrics["paragraphs"] == 3 and t.metrics["placed"] == 3
     again = W.translate(a, cells, reformat=True)
     assert {r.kind for r in again.placements.collect()} == {"text"}
     assert W.ordinals(pages).first()[2:] == (1, 1)
@@ -280,6 +471,6 @@ def test_text_lines_and_clip(spark):
 def test_a_page_is_asked_for_once_whatever_is_read_of_it(spark, tmp_path):
     log = tmp_path / "calls"
     a = W.analyze(lines_of(spark, [(72, 30, 200, 9, "Kapitel 3")] + body(72, 380, 100, 4, 11) + body(72, 380, 200, 3, 11)), page_of(spark, 450, 750))
-    t = W.translate(a, backend=counting(str(log), False), name="once")
-    assert t.placements.count() == 3 and t.events.count() == 3 and t.redactions.count() == 6
+    t = W.translate(a, backend=counting(str(log), False))
+    assert t.placements.count() == 3 and t.events.where("kind = 'translated'").count() == 3 and t.redactions.count() == 6
     assert len(log.read_text(encoding="utf-8").splitlines()) == 3

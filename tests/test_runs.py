@@ -76,7 +76,7 @@ def test_measuring_asks_once_for_each_distinct_request(spark, tmp_path):
 
     rows = [(100.04, "some text", 11.001, False, 0.0, None), (100.01, "some text", 11.0, False, 0.04, 0.0), (100.0, "some text", 11.0, False, 0.0, 1.3), (50.0, None, 9.0, True, 0.0, None)]
     df = spark.createDataFrame(rows[:3] * 20, "width double, text string, size double, single_line boolean, indent double, leading double")
-    got = M.measured(df.repartition(4), counting, "counting-measure").collect()
+    got = M.measured(df.repartition(4), counting).collect()
     assert len(got) == 60 and len(open(log, encoding="utf-8").readlines()) == 2
     assert {(r.leading, r.box_h) for r in got} == {(None, 13.2), (0.0, 13.2), (1.3, 14.3)} and all(abs(r.box_h - r.tight_h - 2.2) < 1e-9 for r in got)
     scales = spark.createDataFrame([(1.0,), (0.9991,), (0.8,)], "scale double")
