@@ -19,7 +19,7 @@ from ..schema import PAGE
 GUTTER_SHARE, GUTTER_PT, SPAN_LINE, COLUMN_SHARE, COLUMN_LINES, MIN_BODY = 0.035, 10.0, 0.60, 0.12, 3, 6
 SPAN_GAP, SPAN_OVERLAP, SLACK = 8.0, 0.25, 1.0
 RULE_THICKNESS, LEAST_AREA, MOST_AREA, TABLE_AREA = 3.0, 0.004, 0.85, 400.0
-MERGE_PAD = {"drawing": 4.0, "image": 1.0}
+MERGE_PAD = {"drawing": 4.0, "image": 1.0, "table": 0.5}
 
 
 def text_lines(lines: DataFrame, clip: Column | None = None) -> DataFrame:

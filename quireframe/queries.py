@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geometry as G, text as X
-from .operators import cells as C, ingest, layout as L, measure as M, paragraphs as P, reflow as R, translate as T
+from .operators import cells as C, grids, ingest, layout as L, measure as M, paragraphs as P, reflow as R, translate as T
 from .plans import page_stats as S, pages as W, watch
 from .schema import PAGE
 from .sources import derived
@@ -494,6 +494,19 @@ CELL_CTES = f"""boxes AS (
 CELLS_SQL = f"{PAGES_SQL}, {CELL_CTES}"
 
 
+@query(f"""WITH {PAGES_SQL}, every_table AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY ty0, tx0) - 1 AS nth, table_no = 0 AND {_K} % 2 = 1 AS wide FROM tb
+), grid AS (SELECT *, (tx1 - tx0) / n_cols AS w, (ty1 - ty0) / n_rows AS h FROM (SELECT *, unnest(range(n_cols)) AS c FROM (SELECT *, unnest(range(n_rows)) AS r FROM every_table))
+), faces AS (SELECT *, NOT (wide AND r = 1 AND c = 2) AS there, wide AND r = 1 AND c = 1 AS two FROM grid)
+SELECT doc_id, page_no, nth::INT AS table_no, r::INT AS row_idx, c::INT AS col_idx, CASE WHEN there THEN round(tx0 + w * c, 6) END AS bbox_x0, CASE WHEN there THEN round(ty0 + h * r, 6) END AS bbox_y0,
+  CASE WHEN there THEN round(tx0 + w * c + w * CASE WHEN two THEN 2 ELSE 1 END, 6) END AS bbox_x1, CASE WHEN there THEN round(ty0 + h * r + h, 6) END AS bbox_y1 FROM faces""")
+def found_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found by their drawn lines, with the boxes of their cells."""
+    pages = derived.pages(_lines(spark, sf_dir, 2))
+    _, cells = grids.find_tables(derived.grid_drawings(derived.page_tables(pages)))
+    out = flat(cells.drop("text"), "bbox")
+    return out.withColumns({c: F.round(c, 6) for c in ("bbox_x0", "bbox_y0", "bbox_x1", "bbox_y1")})
+
+
 @query(f"WITH {CELLS_SQL} SELECT doc_id, page_no, table_no, row_idx, col_idx, text, size, single_line FROM fonts")
 def cell_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells brought together from texts and boxes, with the size of the lines that meet them."""

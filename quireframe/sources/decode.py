@@ -66,14 +66,15 @@ def tables(pages: DataFrame) -> dict[str, DataFrame]:
     """Pages (doc_id, page_no, page) as the engine's tables: pages, lines, images, drawings, tables, cells."""
     lines = pages.select("doc_id", "page_no", F.flatten(F.transform(F.filter("page.blocks", lambda b: b["type"] == 0), lambda b: b["lines"])).alias("ls"))
     lines = lines.select("doc_id", "page_no", F.posexplode("ls").alias("line_no", "x")).where(F.size("x.spans") > 0)
-    images = _each(pages, "images", "k").where("x.rects is not null").select("doc_id", "page_no", "k", F.posexplode("x.rects").alias("n", "r"))
+    places = F.flatten(F.transform(F.filter("page.images", lambda i: i["rects"].isNotNull()), lambda i: i["rects"]))
+    images = pages.select("doc_id", "page_no", F.posexplode(places).alias("image_no", "r"))
     found = _each(pages, "tables", "table_no")
     cells = found.select("doc_id", "page_no", "table_no", F.posexplode("x.cells").alias("row_idx", "row"), "x.texts")
     cells = cells.select("doc_id", "page_no", "table_no", "row_idx", F.posexplode("row").alias("col_idx", "box"), "texts")
     return {
         "pages": pages.select("doc_id", "page_no", _rect(F.col("page.rect")).alias("rect"), F.coalesce("page.rotation", F.lit(0)).alias("rotation")),
         "lines": lines.select("doc_id", "page_no", "line_no", _rect(F.col("x.bbox")).alias("bbox"), "x.spans"),
-        "images": images.select("doc_id", "page_no", (F.col("k") * 1000 + F.col("n")).alias("image_no"), _rect(F.col("r")).alias("rect")),
+        "images": images.select("doc_id", "page_no", "image_no", _rect(F.col("r")).alias("rect")),
         "drawings": _each(pages, "drawings", "drawing_no").select("doc_id", "page_no", "drawing_no", _rect(F.col("x.rect")).alias("rect"), "x.fill", "x.color"),
         "tables": found.select("doc_id", "page_no", "table_no", _rect(F.col("x.bbox")).alias("rect"), F.col("x.row_count").alias("n_rows"), F.col("x.col_count").alias("n_cols")),
         "cells": cells.select("doc_id", "page_no", "table_no", "row_idx", "col_idx", _rect(F.col("box")).alias("bbox"), F.get(F.get("texts", F.col("row_idx")), F.col("col_idx")).alias("text")),

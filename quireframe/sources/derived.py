@@ -94,6 +94,23 @@ def cell_boxes(tables: DataFrame) -> DataFrame:
     return grid.select("doc_id", "page_no", "table_no", "row_idx", "col_idx", F.when(~gone, G.rect(x, y, x + w, y + h)).alias("bbox"))
 
 
+def grid_drawings(tables: DataFrame) -> DataFrame:
+    """The lines of each table's grid as thin drawings: those across in two pieces that touch, those down in a piece a row; on every second page
+    one piece is missing, so that two places are one cell."""
+    r = F.col("rect")
+    w, h = G.width(r) / F.col("n_cols"), G.height(r) / F.col("n_rows")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n))
+    line = lambda x0, y0, x1, y1: G.rect(x0 - 0.5, y0 - 0.5, x1 + 0.5, y1 + 0.5)
+    y = r["y0"] + h * F.col("k")
+    mid = G.mid_x(r)
+    across = tables.select("*", upto(F.col("n_rows")).alias("k")).select("doc_id", "page_no", F.explode(F.array(line(r["x0"], y, mid, y), line(mid, y, r["x1"], y))).alias("rect"))
+    x, top = r["x0"] + w * F.col("k"), r["y0"] + h * F.col("row")
+    gone = (F.col("table_no") == 0) & (F.col("k") == 2) & (F.col("row") == 1) & ((F.col("doc_id") + F.col("page_no")) % 2 == 1)
+    down = tables.select("*", upto(F.col("n_cols")).alias("k")).select("*", upto(F.col("n_rows") - 1).alias("row")).where(~gone).select("doc_id", "page_no", line(x, top, x, top + h).alias("rect"))
+    black = F.array(*[F.lit(0.0)] * 3)
+    return across.unionByName(down).select("doc_id", "page_no", F.lit(0).alias("drawing_no"), "rect", black.alias("fill"), F.lit(None).cast("array<double>").alias("color"))
+
+
 def cell_texts(boxes: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts of cells: a number, two words, a word with space around, nothing; words come from the document."""
     k, i = (F.col("row_idx") + F.col("col_idx")) % 4, F.col("row_idx") * 7 + F.col("col_idx") * 3 + F.col("page_no")

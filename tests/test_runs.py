@@ -1,6 +1,7 @@
 """Files to tables to results: decoding, measuring, the gate, retries, passes over a folder, the command line."""
 
 import json
+import os
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quireframe import __main__ as cli
 from quireframe.operators import ingest, measure as M
 from quireframe.plans import watch
+from quireframe.schema import FILE_STATE
 from quireframe.sources import decode
 
 
@@ -132,30 +134,86 @@ def test_progress_log_is_emptied_beyond_its_size(spark):
     assert ingest.rotated(lines, most=20).count() == 1 and ingest.rotated(lines, most=19).count() == 0 and ingest.rotated(lines.where("false")).count() == 0
 
 
+def old(path, seconds=3600):
+    path.write_bytes(b"x")
+    os.utime(path, (1_714_521_600 - seconds,) * 2)
+
+
 def test_passes_over_a_folder(spark, tmp_path):
     box = tmp_path / "box"
     box.mkdir()
-    for name in ("a.pdf", "b.PDF", "c.pdf", "c_en.pdf", "d.pdf"):
-        (box / name).write_bytes(b"x")
+    for name in ("a.pdf", "b.PdF", "c.pdf", "c_en.pdf", "d.pdf"):
+        old(box / name)
     worked = []
 
     def work(files):
         worked.append(sorted(r.path.rsplit("/", 1)[1] for r in files.collect()))
         name = F.element_at(F.split("path", "/"), -1)
-        return files.select("file_key", F.when(name == "a.pdf", "success").when(name == "b.PDF", "error").otherwise("unsupported").alias("outcome"), F.lit("why").alias("message"))
+        return files.select("file_key", F.when(name == "a.pdf", "success").when(name == "b.PdF", "error").otherwise("unsupported").alias("outcome"), F.lit("why").alias("message"))
 
     state, logs = str(tmp_path / "state"), str(tmp_path / "logs")
+    run = lambda version, now="2024-05-01 00:00:00": watch.folder(spark, str(box), state, logs, work, now, version)
     for version in range(4):
-        done = watch.folder(spark, str(box), state, logs, work, "2024-05-01 00:00:00", version)
-    assert worked == [["a.pdf", "b.PDF", "d.pdf"], ["b.PDF"], ["b.PDF"], []]
+        run(version)
+    assert worked == [["a.pdf", "b.PdF", "d.pdf"], ["b.PdF"], ["b.PdF"], []]
     got = {r.file_key.rsplit("/", 1)[1].split(":")[0]: (r.status, r.attempts, r.error) for r in ingest.load_state(spark, state).collect()}
-    assert got == {"a.pdf": ("done", 0, None), "b.PDF": ("failed", 3, "why"), "c.pdf": ("done", 0, None), "d.pdf": ("failed", 0, "why")}
+    assert got == {"a.pdf": ("done", 0, None), "b.PdF": ("failed", 3, "why"), "c.pdf": ("done", 0, None), "d.pdf": ("failed", 0, "why")}
     log = spark.read.option("header", True).csv(f"{logs}/results")
     assert sorted(r.status for r in log.collect()) == ["error: why"] * 3 + ["ok", "unsupported: why"]
-    waiting = ingest.list_files(spark, str(box)).select("path", F.lit("waiting").alias("verdict"))
-    (box / "e.pdf").write_bytes(b"y")
-    done = watch.folder(spark, str(box), state, logs, work, "2024-05-01 00:00:00", 9, waiting)
-    assert [r.file_key.rsplit("/", 1)[1].split(":")[0] for r in done.retries.collect()] == ["e.pdf"]
+    name = lambda r: r.path.rsplit("/", 1)[1] if "path" in r.asDict() else r.file_key.rsplit("/", 1)[1].split(":")[0]
+    old(box / "e.pdf", -5)  # still being written, then grown, then at rest
+    waits = run(5, "2024-05-01 00:00:06").retries.collect()
+    assert [name(r) for r in waits] == ["e.pdf"] and worked[-1] == []
+    (box / "e.pdf").write_bytes(b"xx")
+    os.utime(box / "e.pdf", (1_714_521_600 + 7,) * 2)
+    for version, second in ((6, 7), (7, 8)):
+        run(version, f"2024-05-01 00:00:{second:02}")
+        assert worked[-1] == []
+    run(8, "2024-05-01 00:00:09")
+    assert worked[-1] == ["e.pdf"]
+    (box / "f.pdf").write_bytes(b"")  # empty: given up after five seconds, looked at again when its retry is due
+    os.utime(box / "f.pdf", (1_714_521_600 + 10,) * 2)
+    for version, now in ((10, "00:00:10"), (11, "00:00:16"), (12, "00:01:00")):
+        run(version, f"2024-05-01 {now}")
+    old(box / "f.pdf")
+    run(13, "2024-05-01 00:02:00")
+    assert worked[-1] == []
+    run(14, "2024-05-01 00:02:46")
+    assert worked[-1] == ["f.pdf"]
+
+
+def test_states_that_cannot_be_read(spark, tmp_path):
+    state = str(tmp_path / "state")
+    assert ingest.load_state(spark, state).count() == 0
+    ingest.save_state(spark, spark.createDataFrame([("a", "done", 0, None)], FILE_STATE), state, 1)
+    spark.createDataFrame([("b", "pending")], "file_key string, status string").write.parquet(f"{state}/version=2")
+    assert [tuple(r) for r in ingest.load_state(spark, state).collect()] == [("b", "pending", 0, None)]
+    (tmp_path / "state" / "version=3").mkdir()
+    (tmp_path / "state" / "version=3" / "part-0.parquet").write_bytes(b"PAR1 half writ")
+    assert [r.file_key for r in ingest.load_state(spark, state).collect()] == ["b"]
+    for v in (1, 2):
+        for f in (tmp_path / "state" / f"version={v}").glob("*.parquet"):
+            f.write_bytes(b"torn")
+    for f in (tmp_path / "state").rglob(".*.crc"):
+        f.unlink()
+    assert ingest.load_state(spark, state).count() == 0
+
+
+def test_files_are_listed_however_their_suffix_is_written(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("a.pdf", "b.PDF", "sub/c.Pdf", "d.pDf", "e.pdfx", "f.txt", "pdf"):
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in ingest.list_files(spark, str(tmp_path)).collect()) == ["a.pdf", "b.PDF", "c.Pdf", "d.pDf"]
+
+
+def test_page_ranges_of_each_document(spark):
+    assert ingest.page_range("1,", 5) == ([0], []) and ingest.page_range(" 1 ,,3-4,9", 5) == ([0, 2, 3], ["no pages in 9"])
+    for bad in (",", "0", "3-1", "x", "9"):
+        with pytest.raises(ValueError):
+            ingest.page_range(bad, 5)
+    pages = spark.createDataFrame([(d, p) for d, n in ((1, 2), (2, 4)) for p in range(n)], "doc_id long, page_no int")
+    some, said = ingest.chosen_pages(pages, "2-3,,4")
+    assert sorted(map(tuple, some.collect())) == [(1, 1), (2, 1), (2, 2), (2, 3)] and [tuple(r) for r in said.collect()] == [(1, "no pages in 4")]
 
 
 def test_one_pass_at_a_time_and_no_leftovers(spark, tmp_path):
