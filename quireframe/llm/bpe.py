@@ -131,12 +131,14 @@ class Merges:
         return self.states.get(None) or self.states.setdefault(None, After(self, None))
 
     def stream(self, letters: Iterable[str]) -> Iterator[str]:
-        """The tokens of a piece that arrives in strings of any length, each as soon as no later letter can change it."""
+        """The tokens of a piece that arrives in strings of any length, each as soon as no later letter can change it. So many letters as the
+        lookahead behind a token settle it, so no more than those, a token, and what comes between two looks are ever held."""
         buffer, base = "", 0  # letters from the oldest unsettled prefix on; how many prefixes are settled
         after: list[After] = [self.start()]  # of prefixes from there on: what may follow the last token,
         came: list[int] = [0]  # and where that token starts
         wait, longest, suffix = "", self.longest, self.suffix
-        emit = 3 * longest
+        emit = min(self.lookahead + longest, 3 * longest)  # letters held before it is looked at what is settled
+        most = self.lookahead + longest + emit
         for block in letters:
             block, wait = wait + block[:-1], block[-1:]  # the last letter carries the end mark
             for s in block:
@@ -154,6 +156,8 @@ class Merges:
                     yield from out
                     if done:
                         after, came, buffer, base = after[done:], came[done:], buffer[done:], base + done
+                    elif n > most:
+                        raise RuntimeError("the lookahead does not suffice")
         if wait:
             n = len(buffer) + 1
             tail = buffer + wait + suffix
@@ -233,7 +237,7 @@ class Codec:
         self.units = units.Encoder(self.encode_units, KEPT)
         most = max(self.tokens, default=-1) + 1
         ends = [b"%d " % i for i in range(most)]
-        shown = [b"".join(self.decode_stream([i])) + self.between if i in self.tokens else b"" for i in range(most)]
+        shown = [self.letter_bytes(self.tokens[i]) + self.between if i in self.tokens else b"" for i in range(most)]
         self.tables = [pa.array(x, pa.large_binary()) for x in (ends, shown)]
 
     def pieces(self, chunk: str) -> Iterator[str | int]:
@@ -294,10 +298,8 @@ class Codec:
         if self.decoder is not None:
             waiting = codecs.getincrementaldecoder("utf-8")("replace")
             for i in ids:
-                if (t := self.tokens.get(i)) is not None:
-                    known = all(c in self.bytes for c in t)
-                    if text := waiting.decode(bytes(map(self.bytes.__getitem__, t)) if known else t.encode()):
-                        yield text.encode()
+                if (t := self.tokens.get(i)) is not None and (text := waiting.decode(self.letter_bytes(t))):
+                    yield text.encode()
             if text := waiting.decode(b"", final=True):
                 yield text.encode()
             return
@@ -307,6 +309,16 @@ class Codec:
                 yield (" " + t if begun else t).encode()
                 begun = True
 
+    def letter_bytes(self, token: str) -> bytes:
+        """What a token stands for: the bytes of its letters where the file has a byte-level decoder, else the letters themselves."""
+        if self.decoder is not None and all(c in self.bytes for c in token):
+            return bytes(map(self.bytes.__getitem__, token))
+        return token.encode()
+
+    def sinks(self) -> tuple[Digest, Digest]:
+        """For a document's ids and its text; the latter goes through the state machine of a byte-level decoder, if the file has one."""
+        return Digest(b" "), Digest(self.between, self.decoder is not None)
+
     def digests(self, raw: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, str, str]]:
         """Of each row: number of ids, digests of the ids and of the text decoded from them, a block at a time."""
         row, n, kept = 0, 0, None
@@ -320,7 +332,7 @@ class Codec:
                 if kept is None or i + k != row:
                     if kept is not None:
                         yield n, *(x.end() for x in kept)
-                    row, n, kept = i + k, 0, (Digest(b" "), Digest(self.between))
+                    row, n, kept = i + k, 0, self.sinks()
                 n += int(held[bounds[k + 1]] - held[bounds[k]])
                 for x, (data, offsets) in zip(kept, both, strict=True):
                     x.add(data[offsets[bounds[k]] : offsets[bounds[k + 1]]])
@@ -344,19 +356,24 @@ class Codec:
 
 
 class Digest:
-    """SHA-256 of bytes that come in pieces, without the separator that ends the last."""
+    """SHA-256 of bytes that come in pieces, without the separator that ends the last. With `bytewise` they are bytes of characters, and those of
+    an unfinished one wait until it is whole."""
 
-    def __init__(self, after: bytes):
+    def __init__(self, after: bytes, bytewise: bool = False):
         self.after, self.hash, self.any = after, hashlib.sha256(), False
+        self.waiting = codecs.getincrementaldecoder("utf-8")("replace") if bytewise else None
 
     def add(self, data: memoryview) -> None:
         if len(data):
             if self.any:
                 self.hash.update(self.after)
-            self.hash.update(data[: len(data) - len(self.after)])
+            data = data[: len(data) - len(self.after)]
+            self.hash.update(data if self.waiting is None else self.waiting.decode(bytes(data)).encode())
             self.any = True
 
     def end(self) -> str:
+        if self.waiting is not None:
+            self.hash.update(self.waiting.decode(b"", final=True).encode())
         return self.hash.hexdigest()
 
 
@@ -401,8 +418,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
                 for k in range(i, j):
                     a, b = int(at[k] - at[i]), int(at[k + 1] - at[i])
                     ends = []
-                    for (data, offsets), after in zip(both, (b" ", c.between), strict=True):
-                        d = Digest(after)
+                    for (data, offsets), d in zip(both, c.sinks(), strict=True):
                         d.add(data[offsets[a] : offsets[b]])
                         ends.append(d.end())
                     rows.append((b - a, *ends))
@@ -417,8 +433,6 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     common.lean(docs.sparkSession)
 
-    common.lean(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:

@@ -109,7 +109,7 @@ def judge(text: bytes, bands: Bands, squeeze) -> tuple:
 
 def fit(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Bands:
     """Bands that all but a few of the rows labelled good (doc_id, quality) lie in: of at most `sample` of them, those with the smallest
-    hashes of doc_id. Classes with fewer than LEAST rows, and chunks if there are fewer than that, keep the given bands."""
+    hashes of doc_id and text. Classes with fewer than LEAST rows, and chunks if there are fewer than that, keep the given bands."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
     some = good.orderBy(F.xxhash64("id"), "id").limit(sample)
     common.lean(docs.sparkSession)
@@ -125,16 +125,18 @@ def fit(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), sample: int
                 whole, parts = ratios(raw[at[i] : at[i + 1]].tobytes(), bands.chunk, squeeze)
                 rows.append((int(at[i + 1] - at[i]), whole, min(parts, default=None), max(parts, default=None)))
             cols = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] + [pa.float64()] * 3, strict=True)], names=["n", "whole", "least", "most"])
+            cols = [pa.array(c, k) for c, k in zip(cols, [pa.int64()] + [pa.float64()] * 3, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *cols], names=["h", "n", "whole", "least", "most"])
 
-    texts = docs.where(F.length(text_col) > 0).join(F.broadcast(some), F.col(id_col).cast("long") == F.col("id")).select(F.col(text_col).alias("text"))
-    seen = texts.mapInArrow(common.tidy(run), "n long, whole double, least double, most double").limit(sample).toPandas()  # bounded by sample
+    texts = docs.where(F.length(text_col) > 0).join(F.broadcast(some), F.col(id_col).cast("long") == F.col("id")).select(F.col(text_col).alias("text"), F.xxhash64("id", text_col).alias("h"))
+    seen = texts.mapInArrow(common.tidy(run), "h long, n long, whole double, least double, most double")
+    seen = seen.orderBy("h", "n", "whole").limit(sample).toPandas()  # bounded by sample, and the same rows in each run where rows share ids
     by_length = []
     for low, high in zip((0, *CLASSES), CLASSES, strict=False):
         x = seen.loc[(seen["n"] >= low) & (seen["n"] < high), "whole"]
         at = next((a, b) for most, a, b in bands.by_length if low < most)
         by_length.append((high, *_limits(x, x, at)))
-    chunks = seen.dropna()
+    chunks = seen.dropna(subset=["least", "most"])
     return replace(bands, by_length=tuple(by_length), chunk_band=_limits(chunks["least"], chunks["most"], bands.chunk_band))
 
 
