@@ -31,7 +31,8 @@ def output_path(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
-    """All files of a kind below a folder, however their suffix is written, with their keys; contents are not read."""
+    """All files of a kind below a folder, however their suffix is written, with their keys; contents are not read. Empty files are not
+    there, as Spark's file sources pass over them: they are seen as soon as they have bytes."""
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     return files.select("path", "length", "modificationTime").where(F.lower("path").endswith(f".{suffix.lower()}")).withColumn("file_key", file_key(F.col("path"), F.col("length"), F.col("modificationTime")))
@@ -193,7 +194,7 @@ def save_state(spark: SparkSession, state: DataFrame, path: str, version: int) -
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
     """The latest version of the state that can be read whole; nothing where there is none. Columns that an older version lacks are empty."""
-    for version in sorted((v for v in map(_version, store.children(spark, path)) if v is not None), reverse=True):
+    for version in sorted((v for v in map(version_of, store.children(spark, path)) if v is not None), reverse=True):
         state = spark.read.schema(FILE_STATE).parquet(f"{path}/version={version}").fillna("pending", ["status"]).fillna(0, ["attempts"])
         try:
             state.write.format("noop").mode("overwrite").save()
@@ -203,6 +204,7 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], FILE_STATE)
 
 
-def _version(name: str) -> int | None:
+def version_of(name: str) -> int | None:
+    """The number of a version, from its folder's name."""
     m = re.fullmatch(r"version=(\d+)", name)
     return int(m[1]) if m else None

@@ -102,16 +102,19 @@ SIGHTS = "path string, ts timestamp, length bigint, modified timestamp"
 MARKS = "path string, ts timestamp, due timestamp"
 
 
-def folder(spark: SparkSession, path: str, state_path: str, log_path: str, work: Work, now: str, version: int) -> Pass:
+def folder(spark: SparkSession, path: str, state_path: str, log_path: str, work: Work, now: str, version: int, suffix: str = "pdf") -> Pass:
     """A pass over a folder with its state and its logs in files: only files that the gate has passed are worked on. What came of the
     work is written first, so it is done once."""
     with lock(spark, log_path):
         remove_parts(spark, path)
         state = ingest.load_state(spark, state_path)
-        files = store.written(ingest.list_files(spark, path), "listing")
+        files = store.written(ingest.list_files(spark, path, suffix), "listing")
         todo = plan(files, state, look(spark, ingest.pending(files, state), log_path, now))
         outcomes = f"{log_path}/outcomes/version={version}"
-        work(todo.where("action = 'work'").select("file_key", "path", "output")).select("file_key", "outcome", "message").write.mode("overwrite").parquet(outcomes)
+        new = todo.where("action = 'work'").select("file_key", "path", "output")
+        none = F.lit(None).cast("string")
+        came = new.select("file_key", none.alias("outcome"), none.alias("message")).where("false") if new.isEmpty() else work(new)
+        came.select("file_key", "outcome", "message").write.mode("overwrite").parquet(outcomes)
         done = run(todo, state, spark.read.parquet(outcomes), now)
         ingest.save_state(spark, done.state, state_path, version)
         ingest.log_result(done.results, f"{log_path}/results")

@@ -57,12 +57,31 @@ def test_command_line(spark, folder):
     cli.main(["translate", src, out, "--glossary", str(words)], spark)
     texts = {(x.page_no, x.kind): x.text for x in spark.read.parquet(f"{out}/placements").orderBy("para").collect()}
     assert texts[0, "text"].startswith("A Absatz auf der Page") and texts[0, "cell"] in ("Year", "and Preis")
-    cli.main(["translate", src, out, "--reformat-only"], spark)
+    assert [(x.path.rsplit("/", 1)[1], "JSONDecodeError" in x.message) for x in spark.read.parquet(f"{out}/undecoded").collect()] == [("bad.jsonl", True)]
+    assert {x.outcome for x in spark.read.parquet(f"{out}/outcomes").collect()} == {"success"}
+    cli.main(["translate", src, out, "--reformat-only", "--force", "--table-strategy", "lines"], spark)
     assert {x.kind for x in spark.read.parquet(f"{out}/placements").collect()} == {"text"}
     with pytest.raises(SystemExit):
         cli.main(["unknown", src, out], spark)
 
 
+def test_watch_command(spark, folder, capsys):
+    words, box = folder / "words.json", folder / "in"
+    words.write_text(json.dumps({"absatz": "paragraph", "ein": "a"}))
+    (box / "scan.jsonl").write_text(json.dumps(page_dict("  ")) + "\n")
+    for f in box.iterdir():
+        os.utime(f, (1_700_000_000,) * 2)
+    run = lambda n: cli.main(["watch", str(box), str(folder / "log"), "--glossary", str(words), "--passes", str(n), "--interval", "0.1"], spark)
+    run(2)
+    assert capsys.readouterr().out.splitlines() == ["pass 1: 3 file(s)", "pass 2: 1 file(s)"]  # the empty one waits
+    state = {r.file_key.rsplit("/", 1)[1].split(":")[0]: (r.status, r.attempts) for r in ingest.load_state(spark, str(folder / "log" / "state")).collect()}
+    assert state == {"a.jsonl": ("done", 0), "bad.jsonl": ("pending", 2), "scan.jsonl": ("failed", 0)}
+    pages = [json.loads(x) for x in (box / "a_en.jsonl").read_text().splitlines()]
+    assert len(pages) == 2 and pages[0]["placements"][0]["text"].startswith("A Paragraph auf der Seite") and pages[1]["redactions"]
+    assert sorted(p.name for p in box.iterdir()) == ["a.jsonl", "a_en.jsonl", "bad.jsonl", "empty.jsonl", "scan.jsonl"]
+    assert {"page", "translated"} <= {r.kind for r in spark.read.parquet(str(folder / "log" / "events")).collect()}
+
+
 def test_measuring_asks_once_for_each_distinct_request(spark, tmp_path):
     log = str(tmp_path / "asked")
 
@@ -155,7 +174,7 @@ def test_passes_over_a_folder(spark, tmp_path):
     run = lambda version, now="2024-05-01 00:00:00": watch.folder(spark, str(box), state, logs, work, now, version)
     for version in range(4):
         run(version)
-    assert worked == [["a.pdf", "b.PdF", "d.pdf"], ["b.PdF"], ["b.PdF"], []]
+    assert worked == [["a.pdf", "b.PdF", "d.pdf"], ["b.PdF"], ["b.PdF"]]
     got = {r.file_key.rsplit("/", 1)[1].split(":")[0]: (r.status, r.attempts, r.error) for r in ingest.load_state(spark, state).collect()}
     assert got == {"a.pdf": ("done", 0, None), "b.PdF": ("failed", 3, "why"), "c.pdf": ("done", 0, None), "d.pdf": ("failed", 0, "why")}
     log = spark.read.option("header", True).csv(f"{logs}/results")
@@ -163,23 +182,22 @@ def test_passes_over_a_folder(spark, tmp_path):
     name = lambda r: r.path.rsplit("/", 1)[1] if "path" in r.asDict() else r.file_key.rsplit("/", 1)[1].split(":")[0]
     old(box / "e.pdf", -5)  # still being written, then grown, then at rest
     waits = run(5, "2024-05-01 00:00:06").retries.collect()
-    assert [name(r) for r in waits] == ["e.pdf"] and worked[-1] == []
+    assert [name(r) for r in waits] == ["e.pdf"] and len(worked) == 3
     (box / "e.pdf").write_bytes(b"xx")
     os.utime(box / "e.pdf", (1_714_521_600 + 7,) * 2)
     for version, second in ((6, 7), (7, 8)):
         run(version, f"2024-05-01 00:00:{second:02}")
-        assert worked[-1] == []
+        assert len(worked) == 3
     run(8, "2024-05-01 00:00:09")
-    assert worked[-1] == ["e.pdf"]
-    (box / "f.pdf").write_bytes(b"")  # empty: given up after five seconds, looked at again when its retry is due
-    os.utime(box / "f.pdf", (1_714_521_600 + 10,) * 2)
-    for version, now in ((10, "00:00:10"), (11, "00:00:16"), (12, "00:01:00")):
-        run(version, f"2024-05-01 {now}")
-    old(box / "f.pdf")
-    run(13, "2024-05-01 00:02:00")
-    assert worked[-1] == []
-    run(14, "2024-05-01 00:02:46")
-    assert worked[-1] == ["f.pdf"]
+    assert worked[3:] == [["e.pdf"]]
+    for version, second in ((10, 10), (11, 60), (12, 131)):  # grows for two minutes: given up, looked at again when its retry is due
+        (box / "f.pdf").write_bytes(b"x" * version)
+        os.utime(box / "f.pdf", (1_714_521_600 + second,) * 2)
+        run(version, f"2024-05-01 00:{second // 60:02}:{second % 60:02}")
+    run(13, "2024-05-01 00:03:00")
+    assert not any("f.pdf" in w for w in worked)
+    run(14, "2024-05-01 00:04:42")
+    assert "f.pdf" in worked[-1]
 
 
 def test_states_that_cannot_be_read(spark, tmp_path):
