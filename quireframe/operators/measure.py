@@ -29,6 +29,18 @@ def by_letters() -> Heights:
     return lambda rows: [one(*r) for r in rows]
 
 
+def by_letter_widths() -> Heights:
+    """As by_letters, but narrow letters take three tenths of the size and wide ones eight."""
+
+    def one(width: float, text: str, size: float, single: bool, indent: float, leading: float | None) -> tuple[float, float]:
+        narrow, wide = sum(map(text.count, "ijl")), sum(map(text.count, "mw"))
+        letters = (5 * len(text) - 2 * narrow + 3 * wide) / 5.0
+        box = max(1.0, float(ceil(letters * size * 0.5 / max(width, 1.0)))) * size * (1.2 if leading is None else leading)
+        return box, box - 0.2 * size
+
+    return lambda rows: [one(*r) for r in rows]
+
+
 def measured(rows: DataFrame, measurer: Measurer = by_letters) -> DataFrame:
     """Rows with box_h and tight_h. Requests are rounded (widths and indents to a tenth, sizes to a hundredth, leading to a thousandth;
     a leading of 0 is none) and told apart by that, measured once each, written, and joined back."""

@@ -531,6 +531,33 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.counts(C.translated(_cells(spark, sf_dir, derived.pages(lines)), lines))
 
 
+SPEC = "1,,3-4, 7"
+
+
+@query(f"WITH {lines_sql(1, 'every')} SELECT DISTINCT doc_id, page_no FROM every WHERE page_no IN (0, 2, 3, 6)")
+def chosen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of each document that a range with an empty part names."""
+    return ingest.chosen_pages(derived.pages(_lines(spark, sf_dir)).select(*PAGE), SPEC)[0]
+
+
+@query(f"""WITH {lines_sql(1, 'every')}, n AS (SELECT doc_id, max(page_no) + 1 AS n FROM every GROUP BY doc_id)
+SELECT doc_id, 'no pages in ' || part AS message FROM n, (VALUES ('1', 1), ('3-4', 3), ('7', 7)) v(part, a) WHERE n < a""")
+def page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document, the parts of a range that name none of its pages."""
+    return ingest.chosen_pages(derived.pages(_lines(spark, sf_dir)).select(*PAGE), SPEC)[1]
+
+
+@query(f"""WITH RECURSIVE {REPORT_SQL}, each AS (
+  SELECT r.doc_id, r.page_no, r.kind, r.region_no, count(q.doc_id) AS paras, coalesce(sum(length(q.text)), 0) AS chars FROM plan r LEFT JOIN para q ON q.doc_id = r.doc_id AND q.page_no = r.page_no
+    AND q.number = r.band_no AND q.spanning::INT = r.part AND q.region_col = r.region_col GROUP BY r.doc_id, r.page_no, r.kind, r.region_no
+)
+SELECT doc_id, page_no, kind, grouping(doc_id, page_no, kind)::BIGINT AS level, count(*) AS regions, sum(paras)::BIGINT AS paragraphs, sum(chars)::BIGINT AS chars FROM each
+GROUP BY GROUPING SETS ((doc_id, page_no, kind), (doc_id, page_no), (doc_id, kind), (doc_id), (kind), ())""")
+def report_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, paragraphs and letters by page and kind, page, document and kind, document, kind, and of all, in one pass."""
+    return W.report_levels(_analysis(spark, sf_dir))
+
+
 @query(f"""WITH {lines_sql(1, 'every')}
 SELECT DISTINCT doc_id, page_no, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_no)::INT AS nth, max(page_no) OVER (PARTITION BY doc_id) + 1 AS "of" FROM every""")
 def page_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,17 +577,18 @@ def measured_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, regexp_extract_all(t, '\\[(\\d{{1,3}})\\]', 1) AS marks, {NEAR('t')} AS near_empty, regexp_full_match({STRIP('t')}, '[\\[\\(]?\\s*[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?\\s*[\\]\\)]?') AS page_number,
   regexp_matches(t, '^[\\s\\d\\.,;:%°/\\-+×x()\\[\\]§–—]*$') OR length(t) < 2 AS not_text,
-  {STRIP("regexp_replace(t, '\\s+', ' ', 'g')")} AS squeezed, regexp_replace(t, '\\s+([.,;:!?])', '\\1', 'g') AS tidy, replace(t, '*', {SENT}) AS hidden,
+  {STRIP("regexp_replace(t, '\\s+', ' ', 'g')")} AS squeezed, regexp_replace(t, '\\s+([.,;:!?])', '\\1', 'g') AS tidy, replace(t, '*', {SENT}) AS hidden, replace(replace(t, ' ', chr(173)), chr(173), '-') AS hard,
   least(4096, greatest(512, floor(greatest(1, length(t) // 3) * 2.5e0)::BIGINT + 64))::BIGINT AS budget
 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN (doc_id % 1000)::VARCHAR WHEN doc_id % 7 = 0 THEN text || ' [' || (doc_id % 9 + 1)::VARCHAR || ']' ELSE text END AS t FROM documents)""")
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1, X4, X5, X8, X14, F9, F10, F11."""
+    """X1, X3, X4, X5, X8, X14, F9, F10, F11."""
     d = F.col("doc_id")
     base = derived.documents(spark, sf_dir).select("doc_id", F.when(d % 5 == 0, (d % 1000).cast("string")).when(d % 7 == 0, F.concat("text", F.lit(" ["), (d % 9 + 1).cast("string"), F.lit("]"))).otherwise(F.col("text")).alias("t"))
     t = F.col("t")
     return base.select(
         "doc_id", X.markers(t).alias("marks"), X.near_empty(t).alias("near_empty"), X.is_page_number(X.strip(t)).alias("page_number"), X.is_not_text(t).alias("not_text"), X.squeeze(t).alias("squeezed"),
-        X.tidy(t).alias("tidy"), F.replace(t, F.lit("*"), F.lit(X.SENTINEL)).alias("hidden"), X.token_budget(t).cast("bigint").alias("budget"),
+        X.tidy(t).alias("tidy"), F.replace(t, F.lit("*"), F.lit(X.SENTINEL)).alias("hidden"),
+        X.soft_hyphens(F.replace(t, F.lit(" "), F.lit("\u00ad"))).alias("hard"), X.token_budget(t).cast("bigint").alias("budget"),
     )
 
 
@@ -636,12 +664,15 @@ def translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- placement --------------------------------------------------------------------------------------------------
 
-def place_ctes(gap: str, dehyphenate: bool = True) -> str:
+_BOXED = BOX("(nx1 - x0)", "length(text)", "size", '"leading"')
+
+
+def place_ctes(gap: str, dehyphenate: bool = True, box: str = _BOXED) -> str:
     """CTEs up to place: tops by running sums of heights and gaps."""
     return f"""{paragraphs_sql(dehyphenate)}, pin AS (
   SELECT *, (y1 <= 0.12e0 * 792 OR y0 >= 0.88e0 * 792) AND single_line AND length({STRIP('text')}) < 80 AS pinned, max(size) OVER (PARTITION BY doc_id, page_no) AS body_size FROM para
 ), wide AS (SELECT *, CASE WHEN single_line THEN least(x1 + 1.5e0 * size, 612e0 - 2) ELSE x1 END AS nx1 FROM pin
-), meas AS (SELECT *, {BOX('(nx1 - x0)', 'length(text)', 'size', '"leading"')} AS h, {BOX('(nx1 - x0)', 'length(text)', 'size', '"leading"')} - 0.2e0 * size AS tight FROM wide
+), meas AS (SELECT *, {box} AS h, {box} - 0.2e0 * size AS tight FROM wide
 ), gaps0 AS (
   SELECT *, {gap} AS gap FROM meas WINDOW w AS (PARTITION BY doc_id, page_no, pinned ORDER BY para)
 ), gaps AS (
@@ -676,14 +707,18 @@ def reflow_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCALED = BOX("(nx1 - x0)", "length(text)", "(size * scale)", '"leading"')
-FIT_SQL = f"""{PLACE_SQL}, fl AS (
+
+
+def fit_sql(place: str = PLACE_SQL, scaled: str = _SCALED) -> str:
+    """CTEs up to best: the scale of each page that does not fit as it is."""
+    return f"""{place}, fl AS (
   SELECT *, y - lag(y + h) OVER w AS g, row_number() OVER w AS i, count(*) OVER (PARTITION BY doc_id, page_no) - 1 AS n_gaps FROM place WHERE NOT pinned WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY para)
 ), tops AS (SELECT doc_id, page_no, min(y) FILTER (WHERE i = 1) AS first_y, max(y + h) AS bottom FROM fl GROUP BY doc_id, page_no
 ), ends AS (
   SELECT t.doc_id, t.page_no, any_value(bottom) AS bottom, greatest(any_value(first_y), max(y + h + 1.5e0) FILTER (WHERE y + h <= first_y + 1)) AS top, least(774e0, min(y - 1.5e0) FILTER (WHERE y > first_y)) AS stop
   FROM tops t LEFT JOIN (SELECT * FROM place WHERE pinned) p ON p.doc_id = t.doc_id AND p.page_no = t.page_no GROUP BY t.doc_id, t.page_no
 ), tried AS (
-  SELECT fl.*, scale, {_SCALED} AS hs, top, stop, bottom FROM fl JOIN ends USING (doc_id, page_no), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale)
+  SELECT fl.*, scale, {scaled} AS hs, top, stop, bottom FROM fl JOIN ends USING (doc_id, page_no), (SELECT unnest([1e0, 0.94e0, 0.88e0, 0.82e0, 0.76e0, 0.7e0, 0.65e0]) AS scale)
 ), kept AS (
   SELECT doc_id, page_no, scale, CASE WHEN coalesce(sum(greatest(0e0, g - 1.5e0)), 0e0) <= 0 THEN 1e0
     ELSE greatest(0e0, least(1e0, (any_value(stop) - any_value(top) - sum(hs) - sum(CASE WHEN g IS NOT NULL THEN greatest(g, 1.5e0) END)) / sum(greatest(0e0, g - 1.5e0)) + 1)) END AS keep FROM tried GROUP BY doc_id, page_no, scale
@@ -696,8 +731,12 @@ FIT_SQL = f"""{PLACE_SQL}, fl AS (
 )"""
 
 
-@query(f"""WITH {FIT_SQL} SELECT doc_id, page_no, CASE WHEN coalesce(fits, true) THEN 1e0 ELSE scale END AS scale, CASE WHEN coalesce(fits, true) THEN 1e0 ELSE round(keep, 6) END AS keep,
-  CASE WHEN coalesce(fits, true) THEN 0e0 ELSE round(greatest(0e0, over), 6) END AS overflow FROM (SELECT DISTINCT doc_id, page_no FROM place) LEFT JOIN best USING (doc_id, page_no)""")
+def scales_sql(fit: str) -> str:
+    return f"""WITH {fit} SELECT doc_id, page_no, CASE WHEN coalesce(fits, true) THEN 1e0 ELSE scale END AS scale, CASE WHEN coalesce(fits, true) THEN 1e0 ELSE round(keep, 6) END AS keep,
+  CASE WHEN coalesce(fits, true) THEN 0e0 ELSE round(greatest(0e0, over), 6) END AS overflow FROM (SELECT DISTINCT doc_id, page_no FROM place) LEFT JOIN best USING (doc_id, page_no)"""
+
+
+@query(scales_sql(fit_sql()))
 def region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest of seven scales at which a page's paragraphs end above its limit and its pinned paragraphs."""
     para, pages = _flow(spark, sf_dir)
@@ -705,6 +744,18 @@ def region_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put.groupBy(*PAGE).agg(*[F.round(F.max(c), 6).alias(c) for c in ("scale", "keep", "overflow")])
 
 
+_LETTERS = "((5 * length(text) - 2 * length(regexp_replace(text, '[^ijl]', '', 'g')) + 3 * length(regexp_replace(text, '[^mw]', '', 'g'))) / 5e0)"
+_ASKED = lambda size: BOX("round(nx1 - x0, 1)", _LETTERS, f"round({size}, 2)", 'CASE WHEN "leading" <> 0 THEN round("leading", 3) END')
+
+
+@query(scales_sql(fit_sql(place_ctes(_GAP, box=_ASKED("size")), _ASKED("size * scale"))))
+def measured_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow and the fit by a measurer that is asked for the heights, narrow and wide letters apart."""
+    para, pages = _flow(spark, sf_dir)
+    put = R.fit_page(R.reflow(para, measurer=M.by_letter_widths), pages, M.by_letter_widths)
+    return put.groupBy(*PAGE).agg(*[F.round(F.max(c), 6).alias(c) for c in ("scale", "keep", "overflow")])
+
+
 @query("""WITH c AS (SELECT p_partkey, regexp_replace(p_name, '\\s+', ' ', 'g') AS text, 40e0 + p_partkey % 60 - 4 AS w, 14e0 + p_partkey % 40 - 4 AS h FROM part),
 s AS (SELECT *, list_filter(list_transform(range(0, 17), lambda k: 10e0 - k * 0.25e0), lambda z: z > 6) AS tries FROM c WHERE w > 0 AND h > 0 AND length(text) >= 2 AND NOT regexp_matches(text, '^[\\s\\d\\.,;:%°/\\-+×x()\\[\\]§–—]*$'))
 SELECT p_partkey AS doc_id, coalesce(list_filter(tries, lambda z: greatest(1e0, ceil(length(text) * z * 0.5e0 / greatest(w, 1e0))) * z * 1.2e0 <= h)[1], 6e0) AS fit_size FROM s""")
@@ -949,20 +1000,24 @@ def progress_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT 'in/' || p_name || '-' || p_partkey || CASE WHEN p_partkey % 6 = 0 THEN '_en' ELSE '' END || '.pdf' AS path, p_partkey AS n, p_partkey % 5 = 1 AS kept FROM part
+  UNION ALL SELECT 'in/' || p_name || '-' || p_partkey || '_en.pdf', p_partkey, false FROM part WHERE p_partkey % 8 = 3
 ), files AS (SELECT *, path || ':' || n || ':0' AS file_key FROM f
 ), state AS (SELECT file_key, CASE WHEN n % 7 = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN n % 7 = 0 THEN 0 ELSE 2 END AS attempts, NULL::VARCHAR AS error FROM files WHERE n % 7 <= 1
 ), todo AS (
-  SELECT file_key, path, n, CASE WHEN kept THEN 'copying' ELSE 'work' END AS action FROM files WHERE NOT ends_with(path, '_en.pdf') AND file_key NOT IN (SELECT file_key FROM state WHERE status = 'done')
+  SELECT file_key, path, n, CASE WHEN n % 8 = 3 THEN 'done' WHEN kept THEN 'copying' ELSE 'work' END AS action FROM files WHERE NOT ends_with(path, '_en.pdf') AND file_key NOT IN (SELECT file_key FROM state WHERE status = 'done')
 ), came AS (SELECT file_key, CASE n % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'error' ELSE 'unsupported' END AS outcome, 'message ' || n AS message FROM todo WHERE action = 'work'
 ), fresh AS (
   SELECT c.file_key, CASE WHEN outcome = 'success' THEN 'done' WHEN outcome = 'unsupported' OR coalesce(attempts, 0) + (outcome = 'error')::INT >= 3 THEN 'failed' ELSE 'pending' END AS status,
     CASE WHEN outcome = 'error' THEN coalesce(attempts, 0) + 1 ELSE 0 END AS attempts, CASE WHEN outcome <> 'success' THEN message END AS error FROM came c LEFT JOIN state s USING (file_key)
+  UNION ALL SELECT file_key, 'done', 0, NULL FROM todo WHERE action = 'done'
 ) SELECT file_key, status, attempts::INT AS attempts, error FROM fresh UNION ALL SELECT * FROM state WHERE file_key NOT IN (SELECT file_key FROM fresh)""")
 def watch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pass over a listing, and the state that follows."""
     k = F.col("p_partkey")
     path = F.concat(F.lit("in/"), "p_name", F.lit("-"), k.cast("string"), F.when(k % 6 == 0, "_en").otherwise(""), F.lit(".pdf"))
-    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), k.alias("n")).withColumn("file_key", ingest.file_key(F.col("path"), F.col("n"), F.timestamp_seconds(F.lit(0))))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    outputs = part.where("p_partkey % 8 = 3").select(F.concat(F.lit("in/"), "p_name", F.lit("-"), k.cast("string"), F.lit("_en.pdf")).alias("path"), k.alias("n"))
+    files = part.select(path.alias("path"), k.alias("n")).unionByName(outputs).withColumn("file_key", ingest.file_key(F.col("path"), F.col("n"), F.timestamp_seconds(F.lit(0))))
     over = F.col("n") % 7 == 0
     state = files.where("n % 7 <= 1").select("file_key", F.when(over, "done").otherwise("pending").alias("status"), F.when(over, 0).otherwise(2).alias("attempts"), F.lit(None).cast("string").alias("error"))
     todo = watch.plan(files, state, files.select("path", F.when(F.col("n") % 5 == 1, "waiting").otherwise("stable").alias("verdict")))
