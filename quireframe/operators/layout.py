@@ -6,7 +6,7 @@ small, bounded group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G
 from ..schema import PAGE
+from ..sources import store
 
 # Fixed values of the layout rules.
 GUTTER_SHARE, GUTTER_PT, SPAN_LINE, COLUMN_SHARE, COLUMN_LINES, MIN_BODY = 0.035, 10.0, 0.60, 0.12, 3, 6
 SPAN_GAP, SPAN_OVERLAP, SLACK = 8.0, 0.25, 1.0
 RULE_THICKNESS, LEAST_AREA, MOST_AREA, TABLE_AREA = 3.0, 0.004, 0.85, 400.0
+#: Rectangles of a page that are merged at once, and of a tile of a larger page.
+PAGE_RECTS, TILE_RECTS = 50_000, 5_000
 MERGE_PAD = {"drawing": 4.0, "image": 1.0, "table": 0.5}
 
 
@@ -220,9 +223,72 @@ def merge_rects(rects: list[tuple[float, float, float, float]], pad: float) -> l
     return [tuple(r) for r in unions(np.zeros(len(box), dtype=np.int64), box, pad)[1].tolist()]
 
 
-def merged(rows: DataFrame, kind: str, keys: list[str] = PAGE) -> DataFrame:
-    """Obstacles (kind, k, rect): the unions of each page's rectangles, all pages of a batch at once."""
+def _linked(pad: float, keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of tiles (keys, tile, rects with their ids), all of a batch at once: each rectangle's id with the smallest that it hangs together with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(keys)
+            group = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths(), dtype=np.int64))
+            flat = lists.flatten()
+            ids = np.asarray(flat.field(0), dtype=np.int64)
+            box = np.stack([np.asarray(flat.field(k), dtype=float) for k in range(1, 5)], axis=1) if len(flat) else np.zeros((0, 4))
+            order = np.lexsort((ids, box[:, 0], group))
+            group, ids, box = group[order], ids[order], box[order]
+            root = np.zeros(0, dtype=np.int64)
+            if len(ids):
+                pairs = [np.concatenate(x) for x in zip(*_meeting(group, box, pad), strict=True)]
+                part = _roots(len(ids), *pairs)
+                least = np.full(len(ids), np.iinfo(np.int64).max)
+                np.minimum.at(least, part, ids)
+                root = least[part]
+            at = pa.array(group)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(keys)), pa.array(ids), pa.array(root)], names=[*batch.schema.names[:keys], "id", "root"])
+
+    return run
+
+
+def tiled_unions(rows: DataFrame, pad: float, keys: list[str] = PAGE, tile_rects: int = TILE_RECTS) -> DataFrame:
+    """What `unions` gives, for pages of any number of rectangles: (keys, k, x0, y0, x1, y1). A page is cut into tiles of about tile_rects
+    rectangles, each of which goes to all tiles that it meets when grown. In a tile those that hang together take the smallest id among them, a
+    rectangle in several tiles the smallest of theirs, and all of one id become their union; so on until no id changes. A link over a border
+    is found by the rectangle that lies on both sides."""
+    edge = ["x0", "y0", "x1", "y1"]
+    now = store.written(rows.select(*keys, F.monotonically_increasing_id().alias("id"), *[F.col(f"rect.{e}").alias(e) for e in edge]), "unions")
+    while True:
+        page = now.groupBy(*keys).agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"), F.ceil(F.sqrt(F.count("*") / tile_rects)).alias("side"))
+        d = now.join(page, keys)
+        at = lambda c, low, high, by: F.least(F.greatest(F.floor((c + by - F.col(low)) / F.greatest(F.col(high) - F.col(low), F.lit(1e-9)) * F.col("side")), F.lit(0)), F.col("side") - 1)
+        span = lambda a, b, low, high: F.explode(F.sequence(at(F.col(a), low, high, -pad), at(F.col(b), low, high, pad)))
+        d = d.withColumn("tx", span("x0", "x1", "left", "right")).withColumn("ty", span("y0", "y1", "top", "bottom"))
+        tiles = d.groupBy(*keys, "tx", "ty").agg(F.collect_list(F.struct("id", *edge)).alias("rects")).select(*keys, "rects")  # a tile's
+        types = dict(now.dtypes)
+        schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "id bigint, root bigint"])
+        roots = tiles.mapInArrow(_linked(pad, len(keys)), schema).groupBy(*keys, "id").agg(F.min("root").alias("root"))
+        after = now.join(roots, [*keys, "id"]).groupBy(*keys, "root").agg(*[f(e).alias(e) for f, e in zip((F.min, F.min, F.max, F.max), edge, strict=True)], F.count("*").alias("n"))
+        after = store.written(after, "unions")
+        settled = after.where("n > 1").isEmpty()
+        store.drop(now)
+        if settled:
+            order = Window.partitionBy(*keys).orderBy(*edge)
+            return after.select(*keys, (F.row_number().over(order) - 1).cast("int").alias("k"), *edge)
+        now = store.written(after.select(*keys, F.col("root").alias("id"), *edge), "unions")
+        store.drop(after)
+
+
+def merged(rows: DataFrame, kind: str, keys: list[str] = PAGE, most: int = PAGE_RECTS) -> DataFrame:
+    """Obstacles (kind, k, rect): the unions of each page's rectangles, all pages of a batch at once; pages with more than `most` go by tiles."""
     pad = MERGE_PAD[kind]
+    large = rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys)
+    box = G.rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("rect")
+    if not large.isEmpty():
+        large = store.written(large, "large-pages")
+        tiled = tiled_unions(rows.join(large, keys, "left_semi"), pad, keys).select(*keys, F.lit(kind).alias("kind"), "k", box)
+        return _merged(rows.join(large, keys, "left_anti"), kind, keys, pad).unionByName(tiled)
+    return _merged(rows, kind, keys, pad)
+
+
+def _merged(rows: DataFrame, kind: str, keys: list[str], pad: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,11 +1,13 @@
 """Columns, order, obstacles and placement on small pages made by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quireframe.operators import ingest, layout as L, paragraphs as P, reflow as R
 from quireframe.plans.page_stats import page_stats
-from quireframe.schema import LINES
+from quireframe.schema import LINES, RECT
 
 
 def page(spark, rows, size=10.0):
@@ -118,3 +120,22 @@ def test_listing_and_keys(spark, tmp_path):
     assert files.count() == 4
     assert ingest.pending(files, spark.createDataFrame([], "file_key string, status string")).count() == 3
     assert [r.path.rsplit("/", 1)[1] for r in ingest.already_there(files).collect()] == ["a.pdf"]
+
+
+def test_large_pages_by_tiles(spark):
+    rnd, rows = random.Random(21), []
+    for doc, (n, size) in enumerate(((400, 6.0), (300, 20.0), (500, 2.0), (40, 150.0), (1, 5.0))):
+        for _ in range(n):
+            x, y = rnd.uniform(-50, 900), rnd.uniform(0, 700)
+            rows.append((doc, 0, (x, y, x + rnd.uniform(0.1, size), y + rnd.uniform(0.1, size))))
+    rows += [(9, 0, (10.0 * k, 5.0, 10.0 * k + 9.0, 8.0)) for k in range(200)]  # a chain through all tiles
+    df = spark.createDataFrame(rows, f"doc_id long, page_no int, rect {RECT}")
+    for pad in (4.0, 1.0):
+        got = {}
+        for r in L.tiled_unions(df, pad, tile_rects=8).orderBy("doc_id", "k").collect():
+            got.setdefault(r.doc_id, []).append((r.x0, r.y0, r.x1, r.y1))
+        assert {d: sorted(L.merge_rects([r for k, _, r in rows if k == d], pad)) for d in got} == got and set(got) == {0, 1, 2, 3, 4, 9}
+    both = [sorted((r.doc_id, r.k, tuple(r.rect)) for r in L.merged(df, "drawing", most=m).collect()) for m in (450, 10_000)]
+    assert both[0] == both[1]
+    tasks = L.merged(df.where("doc_id = 0"), "drawing", most=100)
+    assert tasks.count() == sum(d == 0 for d, _, _ in both[1])
