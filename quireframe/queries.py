@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geometry as G, text as X
 from .operators import cells as C, grids, ingest, layout as L, measure as M, paragraphs as P, reflow as R, translate as T
-from .plans import page_stats as S, pages as W, watch
+from .plans import page_stats as S, pages as W, sketches, watch
 from .schema import PAGE
 from .sources import derived
+from .streaming import runlog
 
 QUERIES, SQL = {}, {}
 
@@ -1031,3 +1032,30 @@ def ext_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extension: run-log events by tumbling windows."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS path, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events
+), s AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e)
+SELECT path, min(ts) AS first, max(ts) AS last, count(*) AS lines, count(*) FILTER (WHERE event_type = 'view') AS warnings, count(*) FILTER (WHERE event_type = 'error') AS errors FROM s GROUP BY path, nth""")
+def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a run log: stretches of lines on one file that are no more than two hours apart."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "view", "warning").otherwise(F.col("event_type"))
+    return runlog.sessions(e.select(F.col("user_id").cast("string").alias("path"), "ts", kind.alias("kind")), "2 hours")
+
+
+@query("""WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'), r AS (SELECT user_id, ts, event_type FROM events WHERE event_type IN ('purchase', 'error'))
+SELECT a.user_id::VARCHAR AS path, a.ts AS started, a.event_id AS attempt, r.ts AS ended, r.event_type AS outcome FROM a
+LEFT JOIN r ON r.user_id = a.user_id AND r.ts >= a.ts AND r.ts <= a.ts + INTERVAL '6 hours'""")
+def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of a run log with what came of them within six hours, and those that nothing came of."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("path", F.col("user_id").cast("string"))
+    a = e.where("event_type = 'click'").select("path", "ts", F.col("event_id").alias("attempt"))
+    return runlog.outcomes(a, e.where("event_type in ('purchase', 'error')").select("path", "ts", F.col("event_type").alias("outcome")), "6 hours")
+
+
+@query()
+def line_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each page number over all documents from their stored sketches; tests hold the errors against exact counts."""
+    parts = sketches.sketched(_lines(spark, sf_dir), PAGE)
+    return sketches.figures(sketches.united(parts, ["page_no"]), ["page_no"])
