@@ -391,7 +391,7 @@ def _removed(length: int, texts: bool):
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True
 ) -> DataFrame:
-    """Per document: bytes, removed bytes and runs, digest of what is left, whether it shares a passage with another row; where
+    """Per document: bytes, removed bytes and runs, digest of what is left, whether it shares a passage with a row of another id or text; where
     texts is set, what is left (kept), and that without the shared passages (text). A character of which some bytes are removed
     shows as a replacement character."""
     if window - 1 + gram > length or window < 2:
@@ -405,7 +405,7 @@ def remove_repeats(
     shared = -1 - F.col("at")  # told from starts of repeats by its sign
     sharing = _sharing(own, PASSAGE, PASSAGE_WINDOW, GRAM).select("key", shared.alias("s"), shared.alias("e"))
     repeated, part = _sorted_out(own, _sampled(length, window, gram), "suffix-buckets")
-    picked = packed.join(spans_of(part).hint("shuffle_hash"), F.col("key") == F.col("of")).select("key", "z", "spans")
+    picked = packed.join(spans_of(part).hint("merge"), F.col("key") == F.col("of")).select("key", "z", "spans")
     pieces = common.written(picked.mapInArrow(common.tidy(_pieces(length)), "key long, s long, e long, piece binary"), "suffix-pieces")
     common.drop(part)
     more, part = _sorted_out(pieces, _grouped(length, window, gram, min(STEP, window)), "group-buckets")
@@ -416,5 +416,5 @@ def remove_repeats(
     last, part = _sorted_out(close, _single(length), "string-buckets")
     common.drop(part, close)
     spans = spans_of(repeated.unionByName(more).unionByName(last).unionByName(sharing))
-    joined = packed.join(spans.hint("shuffle_hash"), F.col("key") == F.col("of"), "left").select("doc_id", "z", "spans")
+    joined = packed.join(spans.hint("merge"), F.col("key") == F.col("of"), "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(common.tidy(_removed(length, texts)), RESULT)
