@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import geometry as G, text as X
+from .functions import geometry as G, tables as table_functions, text as X
 from .operators import cells as C, grids, ingest, layout as L, measure as M, paragraphs as P, reflow as R, translate as T
 from .plans import page_stats as S, pages as W, sketches, watch
 from .schema import PAGE
@@ -701,6 +701,14 @@ def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reflow(_flow(spark, sf_dir)[0]).select(*PAGE, "para", "pinned", "x1", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
 
 
+@query(f"WITH {PLACE_SQL} SELECT doc_id, page_no, para, pinned, nx1 AS x1, round(y, 6) AS y, round(h, 6) AS h FROM place")
+def reflow_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a table function that folds over the rows of a page."""
+    table_functions.register(spark)
+    para = _flow(spark, sf_dir)[0]
+    return spark.sql("SELECT doc_id, page_no, para, pinned, x1, round(y, 6) AS y, round(h, 6) AS h FROM reflow(TABLE({para}))", para=para)
+
+
 @query(f"WITH {place_ctes(_TIGHT, False)} SELECT doc_id, page_no, para, pinned, round(y, 6) AS y FROM place")
 def reflow_reformat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formatting anew, where runs of small or short paragraphs close up and hyphens stay."""

@@ -139,3 +139,16 @@ def test_large_pages_by_tiles(spark):
     assert both[0] == both[1]
     tasks = L.merged(df.where("doc_id = 0"), "drawing", most=100)
     assert tasks.count() == sum(d == 0 for d, _, _ in both[1])
+
+
+def test_table_function(spark):
+    from quireframe.functions import tables
+
+    tables.register(spark)
+    rows = [(d, 0, k, f"text {d} " * (k + 1), (72.0, 50.0 + 30 * k, 272.0, 70.0 + 30 * k), 10.0, k == 0, k == 2, None, None, "kept") for d in (1, 2) for k in range(5)]
+    para = spark.createDataFrame(rows, f"doc_id long, page_no int, para long, text string, bbox {RECT}, size double, single_line boolean, pinned boolean, leading double, slack_x1 double, more string")
+    got = spark.sql("SELECT * FROM reflow(TABLE({p})) ORDER BY doc_id, para", p=para.repartition(3))
+    wanted = R.reflow(para.withColumn("indent", F.lit(0.0))).orderBy("doc_id", "para").collect()
+    assert got.columns[-4:] == ["more", "x1", "y", "h"] and [(r.doc_id, r.para, r.x1, round(r.y, 6), r.h) for r in got.collect()] == [(r.doc_id, r.para, r.x1, round(r.y, 6), r.h) for r in wanted]
+    with pytest.raises(Exception, match="needs the columns"):
+        spark.sql("SELECT * FROM reflow(TABLE({p}))", p=para.drop("size")).collect()
