@@ -23,6 +23,8 @@ RULE_THICKNESS, LEAST_AREA, MOST_AREA, TABLE_AREA = 3.0, 0.004, 0.85, 400.0
 #: Rectangles of a page that are merged at once, and of a tile of a larger page.
 PAGE_RECTS, TILE_RECTS = 50_000, 5_000
 MERGE_PAD = {"drawing": 4.0, "image": 1.0, "table": 0.5}
+#: Cells of a page, by the size of what stands in them, and how far from its origin they reach; what lies beyond stands in the last ones.
+CELLS, FAR = (256.0, 2048.0), 20_000.0
 
 
 def text_lines(lines: DataFrame, clip: Column | None = None) -> DataFrame:
@@ -150,7 +152,7 @@ def usable_tables(tables: DataFrame) -> DataFrame:
 
 
 def outside(rows: DataFrame, blockers: DataFrame, box: str = "rect", blocker_box: str = "rect", keys: list[str] = PAGE) -> DataFrame:
-    """Rows whose box meets no blocker of the page."""
+    """Rows whose box meets no blocker of the page; a page's rows stay together, as its lines have to."""
     b = blockers.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(blocker_box).alias("__r"))
     same = [F.col(k) == F.col(f"__{k}") for k in keys]
     cond = same[0]
@@ -159,12 +161,34 @@ def outside(rows: DataFrame, blockers: DataFrame, box: str = "rect", blocker_box
     return rows.join(b, cond & G.intersects(F.col(box), F.col("__r")), "left_anti")
 
 
+def outside_by_cells(rows: DataFrame, blockers: DataFrame, box: str = "rect", blocker_box: str = "rect", keys: list[str] = PAGE) -> DataFrame:
+    """What `outside` gives, for pages of any number of rows: a page is cut into cells, so that it is shared among tasks. A row stands in one
+    cell, that of its first corner on the finest grid whose cells are not smaller than it is (the largest rows stand together); a blocker goes to
+    the cells of each grid whose rows can reach it, of which there are 26,000 at most."""
+    r, b = F.col(box), F.col(blocker_box)
+    near = lambda c: F.least(F.greatest(c, F.lit(-FAR)), F.lit(FAR))
+    at = lambda c, cell: F.floor(near(c) / cell)
+    place = lambda grid, x, y: F.struct(F.lit(grid).alias("grid"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    size = F.greatest(near(r["x1"]) - near(r["x0"]), near(r["y1"]) - near(r["y0"]))
+    last = len(CELLS)
+    own, reached = place(last, F.lit(0), F.lit(0)), [F.array(place(last, F.lit(0), F.lit(0)))]
+    for grid, cell in reversed(list(enumerate(CELLS))):
+        own = F.when(size <= cell, place(grid, at(r["x0"], cell), at(r["y0"], cell))).otherwise(own)
+        xs, ys = (F.sequence(at(b[f"{c}0"], cell) - 1, at(b[f"{c}1"], cell)) for c in "xy")
+        reached.append(F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place(grid, x, y)))))  # noqa: B023
+    every = blockers.where(b.isNotNull()).select(*[F.col(k).alias(f"__{k}") for k in keys], b.alias("__r"), F.explode(F.concat(*reached)).alias("__cell"))
+    cond = own == F.col("__cell")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__{k}"))
+    return rows.join(every, cond & G.intersects(r, F.col("__r")), "left_anti")
+
+
 def plausible_drawings(drawings: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     r = F.col("rect")
     white = F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))
     invisible = F.coalesce(F.col("fill") == white, F.lit(False)) & (F.col("color").isNull() | (F.col("color") == white))
     kept = drawings.where(~G.is_empty(r) & (F.least(G.width(r), G.height(r)) > RULE_THICKNESS) & ~invisible)
-    return outside(kept, tables) if tables is not None else kept
+    return outside_by_cells(kept, tables) if tables is not None else kept
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -216,7 +216,7 @@ def redactions(rects: DataFrame, pages: DataFrame, obstacles: DataFrame | None =
     d = rects.join(pages.select(*PAGE, F.col("rect").alias("page")), PAGE)
     d = d.select(*PAGE, G.meet(grown, page).alias("rect"))
     d = d.where(~G.is_empty(F.col("rect")))
-    return L.outside(d, obstacles) if obstacles is not None else d
+    return L.outside_by_cells(d, obstacles) if obstacles is not None else d
 
 
 def ordinals(pages: DataFrame) -> DataFrame:

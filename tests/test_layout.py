@@ -141,6 +141,46 @@ def test_large_pages_by_tiles(spark):
     assert tasks.count() == sum(d == 0 for d, _, _ in both[1])
 
 
+def test_outside_by_cells(spark):
+    rnd = random.Random(31)
+
+    def rects(n, sizes, reach):
+        out = []
+        for _ in range(n):
+            x, y = rnd.choice([rnd.uniform(-reach, reach), 256.0 * rnd.randint(-4, 4)]), rnd.choice([rnd.uniform(-reach, reach), 2048.0 * rnd.randint(-1, 1)])
+            out.append((x, y, x + rnd.choice(sizes), y + rnd.choice(sizes)))
+        return out
+
+    sizes = (0.0, 1.0, 30.0, 256.0, 257.0, 900.0, 2048.0, 3000.0, 50_000.0, -20.0)
+    rows = [(d, 0, k, r) for d, reach in ((1, 400), (2, 5000), (3, 40_000)) for k, r in enumerate(rects(500, sizes, reach))] + [(1, 0, 900, None), (4, 0, 1, (0.0, 0.0, 5.0, 5.0)), (None, 0, 2, (0.0, 0.0, 5.0, 5.0))]
+    far = [(1, 0, 901, (1e9, 1e9, 1e9 + 5, 1e9 + 5)), (1, 0, 902, (1e9 + 90, 1e9, 1e9 + 95, 1e9 + 5)), (1, 0, 903, (float("nan"), 0.0, 1.0, 1.0))]
+    stops = [(d, 0, r) for d, reach in ((1, 400), (2, 5000), (3, 40_000)) for r in rects(12, sizes[1:6] + (-20.0, 40_000.0 if d == 3 else 5.0), reach)]
+    stops += [(1, 0, None), (1, 0, (1e9 + 1, 1e9 + 1, 1e9 + 2, 1e9 + 2)), (7, 0, (0.0, 0.0, 1.0, 1.0))]
+    df = spark.createDataFrame(rows + far, f"doc_id long, page_no int, k int, rect {RECT}")
+    by = spark.createDataFrame(stops, f"doc_id long, page_no int, rect {RECT}")
+    meet = lambda a, b: a and b and a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+    wanted = sorted((str(d), k) for d, _, k, r in rows + far[:2] if not any(d == e and meet(r, s) for e, _, s in stops))
+    got = sorted((str(r.doc_id), r.k) for r in L.outside_by_cells(df, by).collect())
+    assert [x for x in got if x[1] != 903] == wanted and 100 < len(wanted) < 1400 and ("1", 901) not in wanted
+    assert got == sorted((str(r.doc_id), r.k) for r in L.outside(df, by).collect())
+    assert L.outside_by_cells(df.where("false"), by).count() == 0 and L.outside_by_cells(df, by.where("false")).count() == df.count()
+
+
+def test_a_hot_page_is_shared_among_tasks(spark):
+    from pyspark.sql import functions as F
+
+    at = lambda c: (F.col("id") * c % 600).cast("double")
+    page = spark.range(4000).select(F.floor(F.col("id") / 9999).alias("doc_id"), F.floor(F.col("id") / 8888).alias("page_no"), F.struct(at(7).alias("x0"), at(11).alias("y0"), (at(7) + 3).alias("x1"), (at(11) + 3).alias("y1")).alias("rect"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        tasks = lambda f: f(page, page.where("rect.x0 = 0")).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks(L.outside) == 1 and tasks(L.outside_by_cells) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_table_function(spark):
     from quireframe.functions import tables
 
