@@ -5,6 +5,9 @@ equal payload is a response, the others revisit it. A page's three records go in
 two line ends, which is the line separator of the text files written, gzipped, to shared storage. Reading: archives are parsed
 a record at a time; requests and metadata are grouped with the response or revisit that their WARC-Concurrent-To names.
 
+A record's id is made of what it records. Only rows that share page_id and payload need a number besides, and where the page that others revisit
+is repeated like that, its number has to be the same to all: then, and only then, the input is written before it is numbered.
+
 Defined results: a null html is an empty payload; a null url is an empty target; line ends in a url become
 spaces; rows that share a page_id are captures of their own, and all rows with the largest id of an equal
 payload are responses; a null page_id is kept and revisits only if another page has an id; payloads smaller
@@ -56,6 +59,18 @@ def _record(kind: str, rid: Column, headers: list[tuple[str, Column]], block: Co
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block)
 
 
+def _keepers(rows: DataFrame) -> DataFrame:
+    """Of each payload: the page that is its response, the number of one of its rows and whether it has several (again), copies, bytes, and whether
+    other pages have it (visited). Written, so that hot payloads can be split in a join."""
+    page, row = F.col("page_id"), F.col("row")
+    by = rows.groupBy(F.col("sha").alias("of")).agg(
+        F.max(F.struct(page, row)).alias("last"), F.max(F.struct(page, (-row).alias("row"))).alias("first"), F.count("*").alias("copies"),
+        F.max(F.octet_length("html")).alias("size"), ((F.count(page) < F.count("*")) | (F.min(page) < F.max(page))).alias("visited"),
+    )
+    again = F.col("last.row") > -F.col("first.row")
+    return common.written(by.select("of", F.col("last.page_id").alias("keeper"), F.col("last.row").alias("keeper_row"), again.alias("again"), "copies", "size", "visited"), "warc-payloads")
+
+
 def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Writes all pages; the folder of the archives. Payloads are shuffled once, to meet their equals' largest id."""
     spark = pages.sparkSession
@@ -64,15 +79,17 @@ def write(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z",
         F.col(id_col).cast("long").alias("page_id"), F.translate(F.coalesce(url_col, F.lit("")), "\r\n", "  ").alias("url"), common.empty_if_null(F.col(html_col)).alias("html")
     )
     base = base.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("row", F.monotonically_increasing_id())
-    first = base.groupBy(F.col("sha").alias("of")).agg(F.max(F.struct("page_id", "row")).alias("k"), F.count("*").alias("copies"), F.max(F.octet_length("html")).alias("size"))
-    first = common.written(first.select("of", F.col("k.page_id").alias("keeper"), F.col("k.row").alias("keeper_row"), "copies", "size"), "warc-payloads")  # so that the join below can split hot payloads
-    held = first.agg(F.sum(F.col("copies") * F.col("size")), F.sum("copies")).first()
+    first = _keepers(base)
+    held = first.agg(F.sum(F.col("copies") * F.col("size")), F.sum("copies"), F.max(F.col("again") & F.col("visited"))).first()
+    if held[2]:
+        common.drop(first)
+        base = common.written(base, "warc-pages")
+        first = _keepers(base)
     a_file = max(1, min(FILE_RECORDS // 3, FILE_BYTES * (held[1] or 1) // max(held[0] or 1, 1)))  # captures
     rows = base.join(first, F.col("sha") == F.col("of"))
-    rid = lambda kind, page, *more: _uuid(F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), *more)
-    rows = rows.select(
-        "page_id", "url", "html", "keeper", F.col("keeper_row").cast("string").alias("keeper_row"), base32_of_hex(F.col("sha")).alias("b32"), F.octet_length("html").alias("n"), F.col("row").cast("string").alias("row"),
-    )
+    once = lambda page: F.when(~F.col("again") & page.eqNullSafe(F.col("keeper")) & page.isNotNull(), F.lit("-"))  # noqa: E731  the only row of its page and payload
+    rid = lambda kind, page, row: _uuid(F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), F.col("b32"), F.coalesce(once(page), row.cast("string")))
+    rows = rows.select("page_id", "url", "html", "keeper", "keeper_row", "again", base32_of_hex(F.col("sha")).alias("b32"), F.octet_length("html").alias("n"), "row")
     is_copy = (F.col("n") >= least) & (F.col("keeper").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = rows.withColumn("copy", is_copy).withColumn("rid", rid("capture", F.col("page_id"), F.col("row")))
     head = lambda n: F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit("\r\n\r\n"))

@@ -517,6 +517,20 @@ def test_revisits_refer_to_records(spark):
         assert r.request is not None and r.metadata is not None
 
 
+def test_revisits_find_their_records_when_rows_are_numbered_anew(spark, monkeypatch):
+    """Rows have other numbers each time that they are worked out, as they may after a lost executor."""
+    number = warc.F.udf(lambda: random.getrandbits(60), "long").asNondeterministic()
+    monkeypatch.setattr(warc.F, "monotonically_increasing_id", lambda: number())
+    for more in ([], [38, 38, None, None], [5, 5]):
+        rows = [(k, "http://a", f"<p>{k}</p>" if k is not None and k % 3 == 0 else "<p>same</p>", "x", 1) for k in [*range(40), *more]]
+        found = warc.captures(spark, warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, sha string, row int"))).collect()
+        by = {r.response.record_id: r for r in found}
+        assert len(found) == len(by) == len(rows) and {r.response.kind for r in found} == {"response", "revisit"}
+        for r in found:
+            if r.response.kind == "revisit":
+                assert by[r.response.refers_to].response.kind == "response" and by[r.response.refers_to].page_id == r.response.refers_page == 38
+
+
 def test_archives_hold_bounded_bytes(spark, monkeypatch):
     import glob
     import gzip
