@@ -61,6 +61,14 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer where a column of df has it already, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -382,11 +382,12 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = SIMILAR, id_col:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without near copies of a kept one, with all their columns: one row of each kept doc_id, the first by a hash of
     all columns, since rows that share a doc_id are one document; all rows whose doc_id is null."""
-    per_id = groups(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"), F.max("kept").alias("__kept"))
-    kept = common.written(per_id.where("__kept").select("__id", "__rows"), "near-kept")
-    left = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    if kept.where("__id is not null and __rows > 1").isEmpty():
+    of, nth = common.unused(docs, "kept_id"), common.unused(docs, "kept_nth")
+    per_id = groups(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias(of)).agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    kept = common.written(per_id.where("kept").select(of, "rows"), "near-kept")
+    left = docs.join(kept.select(of), F.col(id_col).cast("long").eqNullSafe(F.col(of)), "left_semi")
+    if kept.where(F.col(of).isNotNull() & (F.col("rows") > 1)).isEmpty():
         return left
     key, row = F.col(id_col).cast("long"), F.xxhash64(F.to_json(F.struct(*docs.columns)))
-    nth = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), row)).orderBy(row))
-    return left.withColumn("__nth", nth).where(key.isNull() | (F.col("__nth") == 1)).drop("__nth")
+    number = F.row_number().over(Window.partitionBy(key, F.when(key.isNull(), row)).orderBy(row))
+    return left.withColumn(nth, number).where(key.isNull() | (F.col(nth) == 1)).drop(nth)

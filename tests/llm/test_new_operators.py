@@ -235,3 +235,47 @@ def test_planted_links_of_each_size_are_found(spark):
         linked.append(len(own & sets(b)) / len(own | sets(b)) >= 0.75)
     got = {r.doc_id: r.component_id for r in minhash.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert all(linked) and got == {d: d - d % 2 for d in range(600)}
+
+
+CLASHING = "doc_id long, text string, source string, kept_id int, Kept_Nth int, row string, host string, h long, n int, drop array<string>, more map<string,int>, __id int"
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Columns named as the stages' own, repeated rows and ids, null ids and sources, no rows at all."""
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    own = (1, 2, "row", "host", 3, 4, ["drop"], {"a": 1}, 5)
+    rows = [(k, prose(rnd.randint(70, 160)), [None, "a", "b"][k % 3], *own) for k in range(30)]
+    rows += [rows[3]] * 3 + [(4, prose(90), "a", *own), (None, prose(80), "b", *own), (None, None, None, *own), (50, rows[7][1], "b", *[None] * 9), (51, "", "a", *own)]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, CLASHING)
+        seen = [docs]
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, seen[-1], str(tmp_path))
+            assert name == "bpe" or out.columns == docs.columns
+            seen.append(spark.createDataFrame(out.collect(), out.schema))
+        good, lines, near, mixed, ids = ([tuple(r) for r in s.collect()] for s in seen[1:])
+        fit = {r[:3] for r in rows if r[1]}
+        assert {r[:3] for r in good} == (fit if some else set()) and sorted(map(str, lines)) == sorted(map(str, good)) and len(good) == (36 if some else 0)
+        if some:
+            assert {r[0] for r in near} == set(range(30)) | {None} and sum(r[0] is None for r in near) == 1 and len(near) == 31
+            assert set(map(str, mixed)) <= set(map(str, near)) and max(collections.Counter(map(str, mixed)).values()) <= 3
+        assert len(ids) == len(mixed) and sorted(map(str, (r[0] for r in ids))) == sorted(map(str, (r[0] for r in mixed)))
+
+
+def test_licenses_and_vectors_on_odd_rows(spark):
+    from quireframe.llm import embed_dedup, license_scan
+
+    mit = license_scan.TEMPLATES["mit"]
+    long = "word " * 80_000 + mit + " tail" * 10
+    cases = [(None, mit), (None, mit), (None, None), (7, long), (7, long), (7, "mit license"), (8, "İ MIT LICENSE"), (9, "mit-license")]
+    schema = "doc_id long, text string, w string, offset int, label string, row long"
+    got = sorted(str((r.doc_id, r.n_words, r.labels)) for r in license_scan.scan(spark.createDataFrame([(d, t, "x", 1, "y", 2) for d, t in cases], schema)).collect())
+    n = len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", mit.lower()))
+    wanted = [(None, n, "mit")] * 2 + [(None, 0, "")] + [(7, 80_000 + n + 10, "mit")] * 2 + [(7, 2, "mit"), (8, 2, ""), (9, 2, "mit")]
+    assert got == sorted(map(str, wanted))
+    vectors = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0]), (5, [1.0]), (6, []), (None, [1.0, 0.0]), (7, [float("inf"), 0.0]), (8, [1.0, None])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.groups(spark.createDataFrame([(k, v, 1, "x") for k, v in vectors], "vec_id long, embedding array<double>, node int, list string")).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), None: (0, None), 7: (0, 7), 8: (0, 8)}
