@@ -192,3 +192,27 @@ def test_table_function(spark):
     assert got.columns[-4:] == ["more", "x1", "y", "h"] and [(r.doc_id, r.para, r.x1, round(r.y, 6), r.h) for r in got.collect()] == [(r.doc_id, r.para, r.x1, round(r.y, 6), r.h) for r in wanted]
     with pytest.raises(Exception, match="needs the columns"):
         spark.sql("SELECT * FROM reflow(TABLE({p}))", p=para.drop("size")).collect()
+
+
+def operators(df, *names):
+    """How many of some operators a query's plan has."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(line.lstrip(" :+-*()0123456789").startswith(names) for line in plan.splitlines())
+
+
+def test_texts_are_not_sorted_for_each_rule(spark):
+    lines = page(spark, [(x, 50.0 + 14 * k, x + 200) for x in (72.0, 320.0) for k in range(15)])
+    placed = L.assigned(lines)
+    assert operators(placed, "Sort ", "Window ") == 0
+    assert operators(P.paragraphs(lines), "Sort ", "Window ") == 0
+    assert operators(P.paragraphs(placed, ["doc_id", "page_no", "band_no", "part", "region_col"]), "Sort ", "Window ") == 0
+
+
+def test_lines_that_stand_alike_are_one_run_and_blocks_are_told_by_their_first_line(spark):
+    """Equal lines, a block of two lines and one of its own, lines in any order, pages without columns beside them."""
+    rows = [(72.0, 20.0, 520.0), (72.0, 32.0, 520.0)] + [(x, 60.0 + 14 * (k % 7), x + 200) for x in (72.0, 320.0) for k in range(14)] + [(72.0, 300.0, 520.0)]
+    lines = page(spark, rows).unionByName(page(spark, rows[2:9]).withColumn("page_no", F.lit(1))).orderBy(F.desc("line_no")).repartition(3)
+    r = L.regions(L.assigned(lines.drop("spans"))).orderBy("page_no", "region_no").collect()
+    assert [(x.page_no, x.kind, x.n_lines, x.rect.y0, x.rect.y1) for x in r] == [
+        (0, "spanning", 2, 20.0, 42.0), (0, "text", 14, 42.0, 300.0), (0, "text", 14, 42.0, 300.0), (0, "spanning", 1, 300.0, 310.0), (1, "text", 7, 60.0, 154.0)
+    ]
