@@ -359,7 +359,7 @@ def _without(text: np.ndarray, gone: np.ndarray, shared: np.ndarray) -> bytes:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean, kept string, text string"
 
 
-def _removed(length: int, texts: bool):
+def _removed(length: int, texts: bool, passages: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -379,7 +379,7 @@ def _removed(length: int, texts: bool):
                     gone = np.cumsum(turns[:-1]) > 0
                 kept = text[~gone].tobytes()
                 n_spans = int((gone & ~np.r_[False, gone[:-1]]).sum())
-                rows.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), len(shared) > 0, kept if texts else None, _without(text, gone, shared) if texts else None))
+                rows.append((len(text), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), len(shared) > 0 if passages else None, kept if texts else None, _without(text, gone, shared) if texts else None))
             n, r, k, h, p, t, u = zip(*rows, strict=True) if rows else ([],) * 7
             shown = [pa.array([None if x is None else x.decode("utf-8", "replace") for x in y], pa.string()) for y in (t, u)]
             cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(p, pa.bool_()), *shown]
@@ -389,11 +389,11 @@ def _removed(length: int, texts: bool):
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True
+    docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, passages: bool = True
 ) -> DataFrame:
     """Per document: bytes, removed bytes and runs, digest of what is left, whether it shares a passage with a row of another id or text; where
     texts is set, what is left (kept), and that without the shared passages (text). A character of which some bytes are removed
-    shows as a replacement character."""
+    shows as a replacement character. Without passages they are not looked for: shares_passage is null, and text is what is left."""
     if window - 1 + gram > length or window < 2:
         raise ValueError("the window and a gram must fit into a string")
     spark = docs.sparkSession
@@ -402,8 +402,6 @@ def remove_repeats(
     own = base.select("key", "text")
     packed = base.select("doc_id", "key", "text").mapInArrow(common.tidy(_packed), "doc_id long, key long, z binary")
     spans_of = lambda d: d.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct("s", "e")).alias("spans"))  # noqa: E731  of one text
-    shared = -1 - F.col("at")  # told from starts of repeats by its sign
-    sharing = _sharing(own, PASSAGE, PASSAGE_WINDOW, GRAM).select("key", shared.alias("s"), shared.alias("e"))
     repeated, part = _sorted_out(own, _sampled(length, window, gram), "suffix-buckets")
     picked = packed.join(spans_of(part).hint("merge"), F.col("key") == F.col("of")).select("key", "z", "spans")
     pieces = common.written(picked.mapInArrow(common.tidy(_pieces(length)), "key long, s long, e long, piece binary"), "suffix-pieces")
@@ -415,6 +413,10 @@ def remove_repeats(
     common.drop(part, pieces)
     last, part = _sorted_out(close, _single(length), "string-buckets")
     common.drop(part, close)
-    spans = spans_of(repeated.unionByName(more).unionByName(last).unionByName(sharing))
+    found = repeated.unionByName(more).unionByName(last)
+    if passages:
+        shared = -1 - F.col("at")  # told from starts of repeats by its sign
+        found = found.unionByName(_sharing(own, PASSAGE, PASSAGE_WINDOW, GRAM).select("key", shared.alias("s"), shared.alias("e")))
+    spans = spans_of(found)
     joined = packed.join(spans.hint("merge"), F.col("key") == F.col("of"), "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(common.tidy(_removed(length, texts)), RESULT)
+    return joined.mapInArrow(common.tidy(_removed(length, texts, passages)), RESULT)

@@ -279,3 +279,17 @@ def test_licenses_and_vectors_on_odd_rows(spark):
     vectors = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0]), (5, [1.0]), (6, []), (None, [1.0, 0.0]), (7, [float("inf"), 0.0]), (8, [1.0, None])]
     found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.groups(spark.createDataFrame([(k, v, 1, "x") for k, v in vectors], "vec_id long, embedding array<double>, node int, list string")).collect()}
     assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6), None: (0, None), 7: (0, 7), 8: (0, 8)}
+
+
+def test_repeats_are_removed_without_looking_for_passages(spark, tmp_path, monkeypatch):
+    from quireframe.llm import queries, suffix_dedup
+
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"w{rng.randrange(1 << 30)}" for _ in range(n))
+    long, short = words(80), words(25)  # a repeat, and a passage that is shorter than one
+    rows = [(1, f"{words(30)} {long} {words(9)}"), (2, f"{long}{words(40)}"), (3, f"{words(9)} {short}"), (4, f"{short} {words(50)}"), (5, None), (6, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = queries.op1_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").orderBy("doc_id").collect()
+    monkeypatch.setattr(suffix_dedup, "_sharing", lambda *_: pytest.fail("passages were looked for"))
+    got = queries.repeats_removed(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert got == wanted and [r.n_spans for r in got] == [1, 1, 0, 0, 0, 0]
