@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import geometry as G, text as X
 from ..operators import layout as L, paragraphs as P
 from ..schema import PAGE
+from ..sources import store
 from .pages import Analysis
 
 
@@ -33,7 +34,7 @@ def overlay(a: Analysis) -> DataFrame:
     name = F.concat(F.lit("R"), F.col("region_no").cast("string"), F.lit(":"), F.when(table, "table").otherwise("text"))
     out = boxes(a.regions, "region", F.when(table, "green").otherwise("blue"), name, F.col("rect"))
     area = a.placed.groupBy(*PAGE).agg(G.bounds(F.col("bbox")).alias("area"))
-    g = L.gutters(L.columns(a.placed)).join(area, PAGE)
+    g = L.gutters(L.columns(a.placed)).join(store.dealt(area), PAGE)
     out = out.unionByName(boxes(g, "gutter", F.lit("orange"), none, G.rect(F.col("x0"), F.col("area.y0"), F.col("x1"), F.col("area.y1"))))
     out = out.unionByName(boxes(P.paragraphs(own, [*PAGE, "band_no", "part", "region_col"]), "paragraph", F.lit("grey"), none, F.col("bbox")))
     return out if a.obstacles is None else out.unionByName(boxes(a.obstacles, "obstacle", F.lit("red"), F.col("kind"), F.col("rect")))
